@@ -15,7 +15,7 @@ from .components import _Forest, components
 from .scratch import bitmap_has, bitmap_of, slot_of, written
 from .words import numbered, split
 
-#: Buckets of the frequency sketch that orders the n-grams: half a megabyte on the driver, whatever the corpus holds.
+#: Buckets of each of the two frequency sketches that order the n-grams: a megabyte each on the driver, whatever the corpus holds.
 SKETCH = 1 << 17
 #: A cell of the join takes at most about so many sets and so many n-grams.
 CELL_SETS, CELL_GRAMS = 96, 1 << 20
@@ -27,25 +27,41 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def gram_sets(text: pa.Array, words: int) -> Iterator[np.ndarray]:
-    """For each text, the sorted distinct 64-bit hashes of its ``words``-grams; of a shorter text, one hash of all its words; empty without words."""
+def _slot(h: np.ndarray) -> np.ndarray:
+    return (h & np.uint64(SKETCH - 1)).astype(np.int64)
+
+
+def gram_sets(text: pa.Array, words: int, rarity: np.ndarray | None = None, seen: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """For each text, the sorted distinct 64-bit hashes of its ``words``-grams; of a shorter text, one hash of all its words; empty without words.
+
+    With ``rarity`` (by word bucket), also the sum of it over the words of each n-gram. ``seen`` counts words by bucket."""
     flat, ends = split(text)
     at, distinct = numbered(flat)
     table = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in distinct.to_pylist()), np.uint64, len(distinct))
     h = table[at]
-    grams = np.zeros(0, np.uint64)
-    if len(h) >= words:
-        grams = h[: len(h) - words + 1] * _A
+    if seen is not None:
+        seen += np.bincount(_slot(table), np.bincount(at, minlength=len(table)), minlength=SKETCH).astype(np.int64)
+    grams, rare = np.zeros(0, np.uint64), None
+    size = len(h) - words + 1
+    if size > 0:
+        grams = h[:size] * _A
         for k in range(1, words):
-            grams = _mixed(grams) + h[k : len(h) - words + 1 + k] * _C
+            grams = _mixed(grams) + h[k : size + k] * _C
         grams = _mixed(grams)
+        if rarity is not None:
+            each = rarity[_slot(table)][at]
+            rare = sum(each[k : size + k] for k in range(words))
     for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
         if j - i >= words:
-            yield np.unique(grams[i : j - words + 1])
+            if rarity is None:
+                yield np.unique(grams[i : j - words + 1]), None
+            else:
+                own, first = np.unique(grams[i : j - words + 1], return_index=True)
+                yield own, rare[i : j - words + 1][first]
         elif j > i:
-            yield np.array([xxhash.xxh3_64_intdigest(h[i:j].tobytes(), seed=j - i)], np.uint64)
+            yield np.array([xxhash.xxh3_64_intdigest(h[i:j].tobytes(), seed=j - i)], np.uint64), np.zeros(1, np.float32)
         else:
-            yield np.zeros(0, np.uint64)
+            yield np.zeros(0, np.uint64), np.zeros(0, np.float32)
 
 
 def _digest(grams: np.ndarray) -> tuple[int, int]:
@@ -53,9 +69,13 @@ def _digest(grams: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def _keys(grams: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The n-grams as sorted integers whose order is the global one: rare first (by the sketch), then by hash."""
-    return np.sort((rank[(grams & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (grams >> np.uint64(8))).astype(np.int64)
+def _keys(grams: np.ndarray, rare: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The n-grams as sorted integers whose order is the global one: first those of rare words, last those that many texts share, then by hash.
+
+    Any order that depends on the n-gram alone gives the same links; this one makes prefixes that few texts share."""
+    rank = often[_slot(grams)]
+    rank = np.where(rank > 0, rank, rare.astype(np.uint64))
+    return np.sort((rank << np.uint64(56)) | (grams >> np.uint64(8))).astype(np.int64)
 
 
 def _prefix(n: int, num: int, den: int) -> int:
@@ -69,9 +89,9 @@ def gram_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     Two rows link when ``den * |A and B| >= num * |A or B|`` for their sets of distinct word ``words``-grams (a text with
     fewer words is one n-gram). Every link counts: no cap, no sampling, no signature that could miss one.
 
-    1. One pass gives each row a 128-bit digest of its set, and a sketch of n-gram frequencies over all rows. Rows of one
-       digest are one set from here on, so copies cost nothing more, however many.
-    2. The global order puts rare n-grams first. A set's prefix is so long that two sets which link share an n-gram of
+    1. One pass gives each row a 128-bit digest of its set, and sketches of word and n-gram frequencies over all rows. Rows
+       of one digest are one set from here on, so copies cost nothing more, however many.
+    2. The global order puts n-grams of rare words first and those that many texts share last. A set's prefix is so long that two sets which link share an n-gram of
        their prefixes; prefix n-grams that one set alone has are dropped, the others name each set's *leader* there.
     3. The members of a leader, in cells of bounded size, are stored in a prefix tree in the global order; walking a set
        through it shares the overlaps of common paths and leaves a subtree as soon as what remains can't reach the
@@ -87,33 +107,35 @@ def gram_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def scan(batches):
-        seen = np.zeros(SKETCH, np.int64)
+        of_grams, of_words = np.zeros(SKETCH, np.int64), np.zeros(SKETCH, np.int64)
+        names = ["kind", "doc_id", "n", "hi", "lo"]
         for b in batches:
-            rows = []
-            for s in gram_sets(b.column("text"), words):
-                rows.append((len(s), *(_digest(s) if len(s) else (None, None))))
-                seen += np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) if len(s) > 20_000 else 0
-                if 0 < len(s) <= 20_000:
-                    np.add.at(seen, (s & np.uint64(SKETCH - 1)).astype(np.int64), 1)
-            n, hi, lo = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.record_batch([pa.array([False] * len(rows)), b.column("doc_id"), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64())], names=["sketch", "doc_id", "n", "hi", "lo"])
-        k = np.flatnonzero(seen)
-        none = pa.nulls(len(k), pa.int64())
-        yield pa.record_batch([pa.array([True] * len(k)), pa.array(k), pa.array(seen[k]), none, none], names=["sketch", "doc_id", "n", "hi", "lo"])
-
-    scanned = written(texts.mapInArrow(scan, "sketch boolean, doc_id long, n long, hi long, lo long"), "gram-sets")
-    rows = scanned.filter("not sketch").drop("sketch")
-    counts = np.ones(SKETCH)
-    for k, n in scanned.filter("sketch").groupBy("doc_id").agg(F.sum("n")).collect():  # a row for each bucket at most
-        counts[k] += n
-    rank = spark.sparkContext.broadcast(np.clip(6 * np.log2(counts / counts.mean() * 16), 0, 127).astype(np.uint8))
+            each = [s for s, _ in gram_sets(b.column("text"), words, seen=of_words)]
+            if each:
+                of_grams += np.bincount(_slot(np.concatenate(each)), minlength=SKETCH)
+            hi, lo = zip(*(_digest(s) if len(s) else (None, None) for s in each), strict=True) if each else ((), ())
+            yield pa.record_batch([pa.array(np.zeros(len(each), np.int32)), b.column("doc_id"), pa.array([len(s) for s in each], pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64())], names=names)
+        for kind, counts in ((1, of_grams), (2, of_words)):
+            k = np.flatnonzero(counts)
+            yield pa.record_batch([pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(counts[k]), pa.nulls(len(k), pa.int64()), pa.nulls(len(k), pa.int64())], names=names)
+
+    scanned = written(texts.mapInArrow(scan, "kind int, doc_id long, n long, hi long, lo long"), "gram-sets")
+    rows = scanned.filter("kind = 0").drop("kind")
+    sketch = np.zeros((2, SKETCH))
+    summed = scanned.filter("kind > 0").groupBy("kind", "doc_id").agg(F.sum("n").alias("n")).toArrow()  # a row for each bucket of the two sketches at most
+    sketch[summed.column("kind").to_numpy() - 1, summed.column("doc_id").to_numpy()] = summed.column("n").to_numpy()
+    of_grams, of_words = sketch + 1
+    often = np.where(of_grams > 2 * of_grams.mean(), np.clip(64 + 6 * np.log2(of_grams / of_grams.mean()), 64, 127), 0).astype(np.uint64)
+    rarity = (np.log2(of_words) * min(1.0, 63 / (words * np.log2(of_words.max())))).astype(np.float32)
+    order = spark.sparkContext.broadcast((rarity, often))
     sets = written(rows.filter("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "distinct-sets")
 
     def postings(batches):
+        rarity, often = order.value
         done: set[int] = set()
         for b in batches:
             token, owner, size = [], [], []
-            for s in gram_sets(b.column("text"), words):
+            for s, rare in gram_sets(b.column("text"), words, rarity):
                 n = len(s)
                 if n and den * n >= num * (n + 1):  # else no other set of any size reaches the bound
                     hi, lo = _digest(s)
@@ -122,7 +144,7 @@ def gram_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                     if len(done) < 200_000:
                         done.add(lo)
                     p = _prefix(n, num, den)
-                    token.append(_keys(s, rank.value)[:p])
+                    token.append(_keys(s, rare, often)[:p])
                     owner.append(np.full(p, lo))
                     size.append(np.full(p, n))
             pos = [np.arange(len(t)) for t in token]
@@ -138,14 +160,15 @@ def gram_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     wanted = spark.sparkContext.broadcast(bitmap_of(reps.filter("rep is not null"), slot_of(F.col("rep"))))
 
     def fetch(batches):
+        rarity, often = order.value
         for b in batches:
             b = b.filter(pa.array(bitmap_has(wanted.value, b.column("slot").to_numpy())))
             hi, lo, grams = [], [], []
-            for s in gram_sets(b.column("text"), words):
+            for s, rare in gram_sets(b.column("text"), words, rarity):
                 d = _digest(s)
                 hi.append(d[0])
                 lo.append(d[1])
-                grams.append(_keys(s, rank.value).tobytes())
+                grams.append(_keys(s, rare, often).tobytes())
             yield pa.record_batch([b.column("doc_id"), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(grams, pa.binary())], names=["doc_id", "hi", "lo", "grams"])
 
     fetched = texts.dropna(subset=["doc_id"]).withColumn("slot", slot_of(F.col("doc_id"))).mapInArrow(fetch, "doc_id long, hi long, lo long, grams binary")
