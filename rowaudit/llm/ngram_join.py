@@ -19,6 +19,10 @@ from .words import numbered, split
 SKETCH = 1 << 17
 #: A cell of the join takes at most about so many sets and so many n-grams.
 CELL_SETS, CELL_GRAMS = 96, 1 << 20
+#: Two sets that link share so many prefix n-grams at least (their prefixes are longer by as many less one).
+LEAST = 4
+#: Members of a prefix n-gram that are compared with each other by a plain join at most; more go to blocks of BLOCK.
+FEW, BLOCK = 16, 256
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -79,8 +83,29 @@ def _keys(grams: np.ndarray, rare: np.ndarray, often: np.ndarray) -> np.ndarray:
 
 
 def _prefix(n: int, num: int, den: int) -> int:
-    """So many first n-grams in the global order that two sets of Jaccard num/den or more must share one of them."""
-    return n - -(-num * n // den) + 1
+    """So many first n-grams in the global order that two sets of Jaccard num/den or more must share ``LEAST`` of them (or all that a small set has)."""
+    overlap = -(-num * n // den)
+    return n - overlap + min(LEAST, overlap)
+
+
+def parity(grams: np.ndarray) -> bytes:
+    """One bit for each bucket of n-grams: whether the set has an odd number there. As many buckets as n-grams, a power of two."""
+    size = max(256, 1 << (len(grams) - 1).bit_length())
+    return np.packbits((np.bincount((grams >> np.uint64(20)).astype(np.int64) & (size - 1), minlength=size) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(a: np.ndarray, size: int) -> np.ndarray:
+    while a.shape[-1] > size:
+        half = a.shape[-1] // 2
+        a = a[..., :half] ^ a[..., half:]
+    return a
+
+
+def differ_at_least(a: bytes, b: bytes) -> int:
+    """A lower bound of how many n-grams two sets don't share: each bucket whose parity differs holds one at least."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    size = min(len(x), len(y))
+    return int(np.bitwise_count(_folded(x, size) ^ _folded(y, size)).sum())
 
 
 def gram_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, num: int = 9, den: int = 10) -> DataFrame:
@@ -91,13 +116,16 @@ def gram_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
     1. One pass gives each row a 128-bit digest of its set, and sketches of word and n-gram frequencies over all rows. Rows
        of one digest are one set from here on, so copies cost nothing more, however many.
-    2. The global order puts n-grams of rare words first and those that many texts share last. A set's prefix is so long that two sets which link share an n-gram of
-       their prefixes; prefix n-grams that one set alone has are dropped, the others name each set's *leader* there.
+    2. The global order puts n-grams of rare words first and those that many texts share last. A set's prefix is so long
+       that two sets which link share ``LEAST`` n-grams of their prefixes; prefix n-grams that one set alone has are
+       dropped, the others name each set's *leader* there. Pairs of a set and its leader go on if they share enough,
+       if their sizes allow a link, and if their parity bits don't rule it out.
     3. The members of a leader, in cells of bounded size, are stored in a prefix tree in the global order; walking a set
        through it shares the overlaps of common paths and leaves a subtree as soon as what remains can't reach the
        bound. A cell hands on a spanning forest of its links, not all pairs.
-    4. Components of these links. Sets that share a prefix n-gram, but lie in different components and were not compared
-       yet, are compared in a second round; after it no pair is open.
+    4. Components of these links. Sets that share prefix n-grams, but lie in different components and were not compared
+       yet, pass the same filters (in blocks, where many sets share one) and are compared in a second round; after it
+       no pair is open.
 
     A null text counts as empty; a text without words has no n-grams and links with nothing (its component is its own
     id). Rows with a null id take part and are never the smallest id. Repeated rows are one set. Other columns of
@@ -108,18 +136,18 @@ def gram_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
     def scan(batches):
         of_grams, of_words = np.zeros(SKETCH, np.int64), np.zeros(SKETCH, np.int64)
-        names = ["kind", "doc_id", "n", "hi", "lo"]
+        names = ["kind", "doc_id", "n", "hi", "lo", "sig"]
         for b in batches:
             each = [s for s, _ in gram_sets(b.column("text"), words, seen=of_words)]
             if each:
                 of_grams += np.bincount(_slot(np.concatenate(each)), minlength=SKETCH)
             hi, lo = zip(*(_digest(s) if len(s) else (None, None) for s in each), strict=True) if each else ((), ())
-            yield pa.record_batch([pa.array(np.zeros(len(each), np.int32)), b.column("doc_id"), pa.array([len(s) for s in each], pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64())], names=names)
+            yield pa.record_batch([pa.array(np.zeros(len(each), np.int32)), b.column("doc_id"), pa.array([len(s) for s in each], pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array([parity(s) if len(s) else None for s in each], pa.binary())], names=names)
         for kind, counts in ((1, of_grams), (2, of_words)):
             k = np.flatnonzero(counts)
-            yield pa.record_batch([pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(counts[k]), pa.nulls(len(k), pa.int64()), pa.nulls(len(k), pa.int64())], names=names)
+            yield pa.record_batch([pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(counts[k]), pa.nulls(len(k), pa.int64()), pa.nulls(len(k), pa.int64()), pa.nulls(len(k), pa.binary())], names=names)
 
-    scanned = written(texts.mapInArrow(scan, "kind int, doc_id long, n long, hi long, lo long"), "gram-sets")
+    scanned = written(texts.mapInArrow(scan, "kind int, doc_id long, n long, hi long, lo long, sig binary"), "gram-sets")
     rows = scanned.filter("kind = 0").drop("kind")
     sketch = np.zeros((2, SKETCH))
     summed = scanned.filter("kind > 0").groupBy("kind", "doc_id").agg(F.sum("n").alias("n")).toArrow()  # a row for each bucket of the two sketches at most
@@ -128,7 +156,7 @@ def gram_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     often = np.where(of_grams > 2 * of_grams.mean(), np.clip(64 + 6 * np.log2(of_grams / of_grams.mean()), 64, 127), 0).astype(np.uint64)
     rarity = (np.log2(of_words) * min(1.0, 63 / (words * np.log2(of_words.max())))).astype(np.float32)
     order = spark.sparkContext.broadcast((rarity, often))
-    sets = written(rows.filter("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "distinct-sets")
+    sets = written(rows.filter("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n").cast("int").alias("n"), F.first("sig").alias("sig")), "distinct-sets")
 
     def postings(batches):
         rarity, often = order.value
@@ -152,29 +180,36 @@ def gram_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                 yield pa.record_batch([pa.array(np.concatenate(token)), pa.array(np.concatenate(owner)), pa.array(np.concatenate(size).astype(np.int32)), pa.array(np.concatenate(pos).astype(np.int32))], names=["token", "lo", "n", "pos"])
 
     posted = written(texts.mapInArrow(postings, "token long, lo long, n int, pos int"), "gram-prefixes")
-    live = written(posted.groupBy("token").agg(F.min("lo").alias("leader"), F.max("lo").alias("last")).filter("leader <> last").select("token", "leader"), "gram-live")
+    live = posted.groupBy("token").agg(F.min("lo").alias("leader"), F.max("lo").alias("last"), F.min_by("n", "lo").alias("leader_n"), F.count(F.lit(1)).alias("size"))
+    live = written(live.filter("leader <> last").drop("last"), "gram-live")
     shared = written(posted.join(live, "token"), "gram-shared")
-    first = written(shared.filter("lo <> leader").groupBy("leader", "lo").agg(F.first("n").alias("n")), "gram-pairs")
-    reps = sets.join(first.select("lo").union(first.select("leader")).distinct(), "lo", "left_semi")
-    reps = written(reps, "gram-candidates")
-    wanted = spark.sparkContext.broadcast(bitmap_of(reps.filter("rep is not null"), slot_of(F.col("rep"))))
-
-    def fetch(batches):
-        rarity, often = order.value
-        for b in batches:
-            b = b.filter(pa.array(bitmap_has(wanted.value, b.column("slot").to_numpy())))
-            hi, lo, grams = [], [], []
-            for s, rare in gram_sets(b.column("text"), words, rarity):
-                d = _digest(s)
-                hi.append(d[0])
-                lo.append(d[1])
-                grams.append(_keys(s, rare, often).tobytes())
-            yield pa.record_batch([b.column("doc_id"), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(grams, pa.binary())], names=["doc_id", "hi", "lo", "grams"])
-
-    fetched = texts.dropna(subset=["doc_id"]).withColumn("slot", slot_of(F.col("doc_id"))).mapInArrow(fetch, "doc_id long, hi long, lo long, grams binary")
-    whole = written(fetched.join(reps.select(F.col("rep").alias("doc_id"), "hi", "lo"), ["doc_id", "hi", "lo"], "left_semi").dropDuplicates(["hi", "lo"]), "gram-whole")
-    near = written(_cell_links(first, whole, num, den), "gram-links")
-    near = near.union(_open_pairs(shared, whole, reps, near, num, den))
+    hits = shared.filter("lo <> leader").groupBy("leader", "lo", "leader_n", "n").agg(F.count(F.lit(1)).alias("hits"))
+    first = written(_plausible(hits.select("leader", "lo", F.col("leader_n").alias("na"), F.col("n").alias("nb"), "hits"), sets, num, den), "gram-pairs")
+
+    def fetched(pairs: DataFrame) -> DataFrame:
+        """The whole sets of all members of pairs, from the texts; only texts that may be wanted are hashed and shuffled."""
+        reps = written(sets.join(pairs.select("lo").union(pairs.select(F.col("leader").alias("lo"))).distinct(), "lo", "left_semi").select("hi", "lo", "rep"), "gram-candidates")
+        wanted = spark.sparkContext.broadcast(bitmap_of(reps.filter("rep is not null"), slot_of(F.col("rep"))))
+
+        def fetch(batches):
+            rarity, often = order.value
+            for b in batches:
+                b = b.filter(pa.array(bitmap_has(wanted.value, b.column("slot").to_numpy())))
+                hi, lo, grams = [], [], []
+                for s, rare in gram_sets(b.column("text"), words, rarity):
+                    d = _digest(s)
+                    hi.append(d[0])
+                    lo.append(d[1])
+                    grams.append(_keys(s, rare, often).tobytes())
+                yield pa.record_batch([b.column("doc_id"), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(grams, pa.binary())], names=["doc_id", "hi", "lo", "grams"])
+
+        rows = texts.dropna(subset=["doc_id"]).withColumn("slot", slot_of(F.col("doc_id"))).mapInArrow(fetch, "doc_id long, hi long, lo long, grams binary")
+        return written(rows.join(reps.select(F.col("rep").alias("doc_id"), "hi", "lo"), ["doc_id", "hi", "lo"], "left_semi").dropDuplicates(["hi", "lo"]), "gram-whole")
+
+    near = written(_cell_links(first, fetched(first), num, den), "gram-links")
+    more = _open_pairs(shared, sets, first, near, num, den)
+    if more.limit(1).count():
+        near = near.union(written(_cell_links(more, fetched(more), num, den), "gram-more-links"))
     labels = components(near)
     known = written(
         sets.join(labels, F.col("rep") == F.col("node"), "left").select("hi", "lo", F.coalesce("component", "rep").alias("component_id")), "gram-components"
@@ -265,23 +300,79 @@ def tree_links(ids: list[int], sets: list[np.ndarray], num: int, den: int) -> li
     return links
 
 
-def _open_pairs(shared: DataFrame, whole: DataFrame, reps: DataFrame, near: DataFrame, num: int, den: int) -> DataFrame:
-    """Links between sets that share a prefix n-gram but are neither in one component yet nor were compared."""
+def _required(na: F.Column, nb: F.Column, num: int, den: int) -> F.Column:
+    return F.least(F.lit(LEAST), F.ceil(F.least(na, nb) * num / den))
+
+
+def _fits(na: F.Column, nb: F.Column, num: int, den: int) -> F.Column:
+    return F.least(na, nb) * den >= F.greatest(na, nb) * num
+
+
+def _plausible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Of ``(leader, lo, na, nb, hits)``, the pairs whose sizes, shared prefix n-grams and parity bits allow a link; ``(leader, lo, n)``."""
+    a, b = F.col("na"), F.col("nb")
+    likely = pairs.filter(_fits(a, b, num, den) & (F.col("hits") >= _required(a, b, num, den)))
+    sig = sets.select("lo", "sig").dropDuplicates(["lo"])
+    both = likely.join(sig.withColumnRenamed("sig", "sb"), "lo").join(sig.select(F.col("lo").alias("leader"), F.col("sig").alias("sa")), "leader")
+
+    def kept(batches):
+        for b in batches:
+            most = [(den - num) * (x + y) // (den + num) for x, y in zip(b.column("na").to_pylist(), b.column("nb").to_pylist(), strict=True)]
+            ok = [differ_at_least(x, y) <= m for x, y, m in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist(), most, strict=True)]
+            yield b.select(["leader", "lo", "nb"]).rename_columns(["leader", "lo", "n"]).filter(pa.array(ok, pa.bool_()))
+
+    return both.mapInArrow(kept, "leader long, lo long, n int")
+
+
+def _open_pairs(shared: DataFrame, sets: DataFrame, tested: DataFrame, near: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of sets that may link, lie in different components of ``near`` and were not compared yet; ``(leader, lo, n)``.
+
+    A prefix n-gram that few sets have is joined with itself. Where many have it, its members are dealt to blocks; each
+    pair of blocks compares sizes and parity bits by itself and hands on the pairs that are left."""
     labels = components(near)
-    where = written(reps.join(labels, F.col("rep") == F.col("node"), "left").select("lo", F.coalesce("component", "rep").alias("comp")), "gram-where")
-    placed = shared.join(where, "lo")
-    mixed = placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("size")).filter("x <> y and size > 2").select("token")
-    rest = written(placed.join(mixed, "token", "left_semi"), "gram-open")
-    a, b = (rest.select("token", "leader", *(F.col(c).alias(c + s) for c in ("lo", "n", "pos", "comp"))) for s in "ab")
-    most = F.least("posa", "posb") + 1 + F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb")) - 1
-    pairs = (
-        a.join(b.drop("leader"), "token")
-        .filter((F.col("compa") < F.col("compb")) & (F.col("loa") != F.col("leader")) & (F.col("lob") != F.col("leader")))
-        .filter((F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & (most * (num + den) >= (F.col("na") + F.col("nb")) * num))
-        .groupBy(F.col("loa").alias("leader"), F.col("lob").alias("lo"))
-        .agg(F.first("nb").alias("n"))
-    )
-    return written(_cell_links(written(pairs, "gram-open-pairs"), whole, num, den), "gram-more-links")
+    members = sets.select("lo", "rep").dropDuplicates(["lo"])
+    where = members.join(labels, F.col("rep") == F.col("node"), "left").select("lo", F.coalesce("component", F.col("rep"), "lo").alias("comp"))
+    placed = written(shared.select("token", "lo", "n", "size").join(where, "lo"), "gram-placed")
+    mixed = placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token")
+    rest = written(placed.join(written(mixed, "gram-mixed"), "token", "left_semi"), "gram-open")
+    few = rest.filter(F.col("size") <= FEW)
+    a, b = (few.select("token", *(F.col(c).alias(c + s) for c in ("lo", "n", "comp"))) for s in "ab")
+    near_by = a.join(b, "token").filter((F.col("loa") < F.col("lob")) & (F.col("compa") != F.col("compb")) & _fits(F.col("na"), F.col("nb"), num, den))
+    crowd = rest.filter(F.col("size") > FEW).join(sets.select("lo", "sig").dropDuplicates(["lo"]), "lo")
+    crowd = crowd.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("lo"), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("k")
+    dealt = crowd.select("token", "own", "lo", "n", "comp", "sig", other).select("token", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "own", "lo", "n", "comp", "sig")
+
+    def block(key: tuple, table: pa.Table) -> pa.Table:
+        i, j = key[1].as_py(), key[2].as_py()
+        own, lo, n, comp = (table.column(c).to_numpy() for c in ("own", "lo", "n", "comp"))
+        lo, at = np.unique(lo, return_index=True)
+        own, n, comp = own[at], n[at].astype(np.int64), comp[at]
+        sig = table.column("sig").take(pa.array(at)).to_pylist()
+        out = []
+        for size in np.unique([len(x) for x in sig]).tolist():
+            # sets whose sizes allow a link have as many buckets, or twice as many: compare each class with itself and the next
+            small = np.array([k for k, x in enumerate(sig) if len(x) == size])
+            large = np.array([k for k, x in enumerate(sig) if len(x) == 2 * size], np.int64)
+            bits = np.array([np.frombuffer(sig[k], np.uint64) for k in small])
+            wide = np.concatenate([bits, _folded(np.array([np.frombuffer(sig[k], np.uint64) for k in large]).reshape(len(large), -1), bits.shape[1]).reshape(len(large), bits.shape[1])]) if len(large) else bits
+            every = np.concatenate([small, large])
+            for p, k in enumerate(small):
+                ok = (comp[every] != comp[k]) & ((own[k] == i) & (own[every] == j) | (own[k] == j) & (own[every] == i))
+                ok &= np.minimum(n[every], n[k]) * den >= np.maximum(n[every], n[k]) * num
+                ok = np.flatnonzero(ok)
+                ok = ok[np.bitwise_count(wide[ok] ^ bits[p]).sum(axis=1) * (den + num) <= (den - num) * (n[every[ok]] + n[k])]
+                out += [(min(int(lo[k]), int(lo[q])), max(int(lo[k]), int(lo[q]))) for q in every[ok]]
+        out = sorted(set(out))
+        return pa.table({"loa": pa.array([x for x, _ in out], pa.int64()), "lob": pa.array([y for _, y in out], pa.int64())})
+
+    crowded = dealt.groupBy("token", "i", "j").applyInArrow(block, "loa long, lob long")
+    size = members.join(sets.select("lo", "n").dropDuplicates(["lo"]), "lo").select("lo", "n")
+    crowded = crowded.join(size.select(F.col("lo").alias("loa"), F.col("n").alias("na")), "loa").join(size.select(F.col("lo").alias("lob"), F.col("n").alias("nb")), "lob")
+    hits = near_by.select("loa", "lob", "na", "nb").unionByName(crowded).groupBy("loa", "lob", "na", "nb").agg(F.count(F.lit(1)).alias("hits"))
+    pairs = _plausible(hits.select(F.col("loa").alias("leader"), F.col("lob").alias("lo"), "na", "nb", "hits"), sets, num, den)
+    done = tested.select(F.least("leader", "lo").alias("leader"), F.greatest("leader", "lo").alias("lo"))
+    return written(pairs.join(done, ["leader", "lo"], "left_anti"), "gram-open-pairs")
 
 
 def one_of_each_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 8, den: int = 10) -> DataFrame:

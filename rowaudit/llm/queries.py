@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, class_lm, exact_dedup, ngram_join, packing, pii, token_counts, toxicity, vector_join
+from . import bpe, class_lm, exact_dedup, ngram_join, packing, pii, secret_scan, token_counts, toxicity, vector_join
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,10 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_lm.class_scores(_table(spark, sf_dir, "documents"), _remainder(5) == 1)
 
 
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets(_table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"), keep="max")
 
@@ -64,6 +68,7 @@ QUERIES = {
     "op5_bpe_encode_decode": op5_bpe_encode_decode,
     "op6_token_counts": op6_token_counts,
     "op7_lm_scoring": op7_lm_scoring,
+    "op8_secret_scans": op8_secret_scans,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_pii": op10_pii,
 }
