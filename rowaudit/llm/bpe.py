@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from . import words
 
+#: Encodings that a worker keeps from one part of its texts to the next at most.
+KEPT_WORDS = 1 << 17
 #: Words whose encodings are shared with all tasks at most: about 20 MB, whatever the corpus holds.
 SHARED_WORDS = 1 << 17
 
@@ -19,7 +21,7 @@ def word_counts(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """``(word, n)``: every distinct word ``[^\\x20\\x09-\\x0D]+`` of all texts and how often it occurs; each task folds its own words first."""
 
     def counted(batches):
-        for b in batches:
+        for b in words.slices(batches):
             flat, _ = words.split(b.column(0), lower=False)
             if len(flat):
                 v = flat.value_counts()
@@ -40,7 +42,7 @@ def frequent_words(counts: DataFrame, most: int = SHARED_WORDS) -> DataFrame:
 
 
 class WordCodec:
-    """Ids of words, each encoded once for each worker's batch at most, and pieces of ids."""
+    """Ids of words, and pieces of ids; a word is encoded once for each part of the texts that holds it at most."""
 
     def __init__(self, tokenizer: str, shared: dict[str, tuple[int, str, str]] | None = None) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -51,6 +53,7 @@ class WordCodec:
         self.encoder.no_padding()
         self.pieces = [self.encoder.id_to_token(i) for i in range(self.encoder.get_vocab_size(with_added_tokens=True))]
         self.shared = shared or {}
+        self.kept: dict[str, tuple[int, str, str]] = {}
 
     def encode(self, distinct: list[str]) -> list[list[int]]:
         out: list[list[int]] = []
@@ -60,11 +63,15 @@ class WordCodec:
 
     def entries(self, distinct: list[str]) -> list[tuple[int, str, str]]:
         """For each word: number of ids, the ids, their pieces (joined through the id-to-piece table); each text ends in a blank."""
-        known = [self.shared.get(w) for w in distinct]
+        known = [self.shared.get(w) or self.kept.get(w) for w in distinct]
         new = [w for w, e in zip(distinct, known, strict=True) if e is None]
         pieces = self.pieces
-        fresh = iter([(len(ids), "".join(f"{i} " for i in ids), "".join(pieces[i] + " " for i in ids)) for ids in self.encode(new)])
-        return [e or next(fresh) for e in known]
+        fresh = [(len(ids), "".join(f"{i} " for i in ids), "".join(pieces[i] + " " for i in ids)) for ids in self.encode(new)]
+        if len(self.kept) + len(new) > KEPT_WORDS:
+            self.kept = {}
+        self.kept.update(zip(new[:KEPT_WORDS], fresh, strict=False))
+        each = iter(fresh)
+        return [e or next(each) for e in known]
 
 
 def _sha(parts: list[str]) -> str:
@@ -97,7 +104,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", te
 
     def joined(batches):
         codec = WordCodec(tokenizer, shared.value)
-        for b in batches:
+        for b in words.slices(batches):
             flat, ends = words.split(b.column("text"), lower=False)
             at, distinct = words.numbered(flat)
             entries = codec.entries(distinct.to_pylist())

@@ -81,7 +81,7 @@ def _blocks(texts: DataFrame) -> DataFrame:
             n = len(number)
             return pa.record_batch([pa.array(np.full(n, first + block)), none(n, pa.int64()), none(n, pa.bool_()), none(n, pa.binary()), pa.array(np.arange(n)), pa.array(list(number), pa.string()), pa.array(counts[:n])], names=names)
 
-        for b in batches:
+        for b in words.slices(batches):
             flat, ends = words.split(b.column("text"))
             at, distinct = words.numbered(flat)
             held = b.column("held_out").to_numpy(zero_copy_only=False)
@@ -167,7 +167,7 @@ def class_scores(docs: DataFrame, held_out: F.Column, *, id_col: str = "doc_id",
 
     def bigrams(batches):
         seen = np.zeros(wide * wide, np.int64)
-        for b in batches:
+        for b in words.slices(batches):
             symbols, *_ = _contexts(b, shared.value, other, end)
             if len(symbols):
                 seen += np.bincount(np.concatenate([[end], symbols[:-1]]) * wide + symbols, minlength=wide * wide)
@@ -189,7 +189,7 @@ def class_scores(docs: DataFrame, held_out: F.Column, *, id_col: str = "doc_id",
 
     def votes(batches):
         cls_of, behind, before = model.value
-        for b in batches:
+        for b in words.slices(batches):
             symbols, where, distinct, at, _ = _contexts(b, shared.value, other, end)
             if not len(at):
                 continue

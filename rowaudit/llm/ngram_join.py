@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .components import _Forest, components
 from .scratch import bitmap_has, bitmap_of, slot_of, written
-from .words import numbered, split
+from .words import numbered, slices, split
 
 #: Buckets of each of the two frequency sketches that order the n-grams: a megabyte each on the driver, whatever the corpus holds.
 SKETCH = 1 << 17
@@ -137,7 +137,7 @@ def gram_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     def scan(batches):
         of_grams, of_words = np.zeros(SKETCH, np.int64), np.zeros(SKETCH, np.int64)
         names = ["kind", "doc_id", "n", "hi", "lo", "sig"]
-        for b in batches:
+        for b in slices(batches):
             each = [s for s, _ in gram_sets(b.column("text"), words, seen=of_words)]
             if each:
                 of_grams += np.bincount(_slot(np.concatenate(each)), minlength=SKETCH)
@@ -161,7 +161,7 @@ def gram_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     def postings(batches):
         rarity, often = order.value
         done: set[int] = set()
-        for b in batches:
+        for b in slices(batches):
             token, owner, size = [], [], []
             for s, rare in gram_sets(b.column("text"), words, rarity):
                 n = len(s)
@@ -193,7 +193,7 @@ def gram_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
         def fetch(batches):
             rarity, often = order.value
-            for b in batches:
+            for b in slices(batches):
                 b = b.filter(pa.array(bitmap_has(wanted.value, b.column("slot").to_numpy())))
                 hi, lo, grams = [], [], []
                 for s, rare in gram_sets(b.column("text"), words, rarity):

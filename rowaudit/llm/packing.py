@@ -63,7 +63,7 @@ def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     top = max(lengths)
 
     def measured(batches):
-        for b in batches:
+        for b in words.slices(batches):
             _, ends = words.split(b.column("text"), lower=False)
             yield pa.record_batch([b.column("doc_id"), b.column("key"), pa.array(np.diff(ends) + 1)], names=["doc_id", "key", "n"])
 

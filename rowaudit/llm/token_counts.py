@@ -98,7 +98,7 @@ def token_counts(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
 
     def counted(batches):
         count = shared.value.count
-        for b in batches:
+        for b in words.slices(batches):
             flat, ends = words.split(b.column("text"))
             at, distinct = words.numbered(flat)
             n = np.fromiter((count(w.encode()) for w in distinct.to_pylist()), np.int64, len(distinct))

@@ -81,7 +81,8 @@ class Model:
 
 
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], used: np.ndarray, prior: float, *, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> Model:
-    """Minimises the class-prior-corrected risk ``prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))`` with the logistic loss.
+    """Minimises the class-prior-corrected risk ``prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))`` with the sigmoid loss, whose
+    bound keeps a few texts of great scores from outweighing the rest.
 
     ``positive`` and ``unlabelled`` hold the distinct slots of each text, of ``used`` only. Where the estimate of the
     negatives' risk turns negative, the step goes the other way on that part alone, so the classifier cannot fit the
@@ -112,8 +113,9 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], used: np.ndarr
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for step in range(1, steps + 1):
         zp, zu = value(xp, w, b), value(xu, w, b)
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        g_pos, g_neg_p, g_neg_u = -sigmoid(-zp) * prior / n_p, -sigmoid(zp) * prior / n_p, sigmoid(zu) / n_u
+        sp, su = sigmoid(zp), sigmoid(zu)
+        negative = su.mean() - prior * sp.mean()
+        g_pos, g_neg_p, g_neg_u = -sp * (1 - sp) * prior / n_p, -sp * (1 - sp) * prior / n_p, su * (1 - su) / n_u
         if negative >= 0:
             gp, gu = g_pos + g_neg_p, g_neg_u
         else:
@@ -130,7 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     """Fits on about ``most_positive`` rows that ``labels`` confirms as toxic and ``most_unlabelled`` rows of ``docs`` taken as unlabelled.
 
     Both are drawn by a hash of the id, so the same rows at any partitioning; exact copies count once. The class prior
-    is the share of toxic rows among the labelled ones. Features enter when they are commoner among the positives, or
+    is the share of toxic rows among the labelled ones, or less where fewer of the unlabelled show any sign of them. Features enter when they are commoner among the positives, or
     rarer, than chance explains; at most ``USED``. Rows with a null id or label take no part as positives."""
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label")).dropna().groupBy("_id").agg(F.max("_label").alias("_label"))
     n_toxic, n_known = known.agg(F.count_if(F.col("_label") == 1), F.count(F.lit(1))).first()
@@ -145,8 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     def featured(batches):
         for b in batches:
-            for k in range(0, b.num_rows, 1000):
-                part = b.slice(k, 1000)
+            for part in words.slices([b], size=4 << 20):
                 row, slot = text_features(part.column("text"))
                 ends = np.searchsorted(row, np.arange(part.num_rows + 1))
                 slots = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(slot.astype(np.int32)))
@@ -187,10 +188,16 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             ends = slots.offsets.to_numpy() - slots.offsets[0].as_py()
             yield pa.record_batch([b.column("toxic"), b.column("sig"), pa.ListArray.from_arrays(pa.array(kept[ends]), pa.array(flat[mask[flat]]))], names=["toxic", "sig", "slots"])
 
+    # What share of the unlabelled texts shows a sign of the positives bounds the prior from above.
     table = sample.mapInArrow(told, "toxic boolean, sig long, slots array<int>").orderBy("toxic", "sig").toArrow()
     is_toxic = table.column("toxic").to_pylist()
     sets = [np.array(x, np.int64) for x in table.column("slots").to_pylist()]
-    return fit([s for s, t in zip(sets, is_toxic, strict=True) if t], [s for s, t in zip(sets, is_toxic, strict=True) if not t], used, n_toxic / n_known)
+    positive, unlabelled = ([s for s, t in zip(sets, is_toxic, strict=True) if t == side] for side in (True, False))
+    df_p, df_u = (np.bincount(np.concatenate(x), minlength=SLOTS) / len(x) for x in (positive, unlabelled))
+    sign = df_p > 3 * df_u
+    shown_p, shown_u = (np.mean([bool(sign[s].any()) for s in x]) for x in (positive, unlabelled))
+    prior = min(n_toxic / n_known, 0.9 * shown_u / shown_p) if shown_p > 0.1 else n_toxic / n_known
+    return fit(positive, unlabelled, used, prior)
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", into: str = "score") -> DataFrame:
@@ -199,7 +206,7 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", into: str =
     at, schema = docs.columns.index(text_col), docs.drop(into).schema.add(into, "double", False)
 
     def scored(batches):
-        for b in batches:
+        for b in words.slices(batches, text_col):
             kept = [i for i, name in enumerate(b.schema.names) if name != into]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), pa.array(shared.value.scores(b.column(at)))], names=[*(b.schema.names[i] for i in kept), into])
 

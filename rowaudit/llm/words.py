@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -28,3 +30,22 @@ def numbered(flat: pa.Array) -> tuple[np.ndarray, pa.Array]:
         return np.zeros(0, np.int64), pa.array([], pa.string())
     d = flat.dictionary_encode()
     return d.indices.to_numpy(zero_copy_only=False), d.dictionary
+
+
+#: Bytes of text that a task works on at once, about.
+SLICE = 8 << 20
+
+
+def slices(batches: Iterable[pa.RecordBatch], column: str = "text", size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about ``size`` bytes of text, so memory depends on neither the batch nor the texts' lengths; a longer text comes alone."""
+    for b in batches:
+        if not b.num_rows:
+            yield b
+            continue
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < b.num_rows:
+            upto = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, upto + size, "right")))
+            yield b.slice(start, stop - start)
+            start = stop
