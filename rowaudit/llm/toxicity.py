@@ -143,7 +143,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     text = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), lot.alias("lot"))
     drawn = text.filter(F.col("lot") < math.ceil(min(1.0, most_unlabelled / n_docs) * (1 << 20))).select("text", F.lit(False).alias("toxic"))
     toxic = known.filter("_label = 1").filter(F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(1 << 20)) < math.ceil(min(1.0, most_positive / n_toxic) * (1 << 20)))
-    named = text.join(toxic.select("_id"), "_id", "left_semi").select("text", F.lit(True).alias("toxic"))
+    # The ids drawn are bounded by ``most_positive``, so they go to all tasks and no text is shuffled for them.
+    named = text.join(F.broadcast(toxic.select("_id")), "_id", "left_semi").select("text", F.lit(True).alias("toxic"))
 
     def featured(batches):
         for b in batches:
