@@ -1 +1,6 @@
 """The registered queries, with their SQL for the other engine."""
+
+from . import data_audit
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "data_audit"]
