@@ -58,3 +58,28 @@ def first_names(df: DataFrame, by: list[str], name: str, n: int) -> DataFrame:
 def issue_counts(issues: DataFrame, by: str, severities: tuple[str, ...] = ("Critical", "Error", "Warning", "Info")) -> DataFrame:
     """Issues by type and severity, a column for each severity."""
     return issues.groupBy(by).agg(F.count(F.lit(1)).alias("total"), *(F.count_if(F.col("severity") == s).alias(s.lower()) for s in severities))
+
+
+def order_keys(catalog: DataFrame, cap: int = 6) -> DataFrame:
+    """The columns to order a table by, at most ``cap``, from a catalog with ``is_key``: all that can be, if they are few enough; else key columns, then numbers and times, then the rest, each by name."""
+    from .fingerprint import is_lob, is_numeric_or_time, is_orderable
+
+    kind, name = F.col("data_type"), F.col("column_name")
+    able = catalog.filter(is_orderable(kind) & ~is_lob(name, kind))
+    table = W.partitionBy("schema_name", "table_name")
+    rank = F.when(F.count(F.lit(1)).over(table) <= cap, 0).when(F.col("is_key"), 0).when(is_numeric_or_time(kind), 1).otherwise(2)
+    placed = able.withColumn("_rank", rank).withColumn("place", F.row_number().over(table.orderBy("_rank", F.lower(name))))
+    return placed.filter(F.col("place") <= cap).select("schema_name", "table_name", "column_name", "place")
+
+
+def order_keys_by_stats(stats: DataFrame, target: int = 6) -> DataFrame:
+    """The same by statistics (``n_distinct``, ``n_null``): first numbers and times, at most half (three at least), times and keys and many values first; then the others by many values and few nulls."""
+    from .fingerprint import is_lob, is_numeric_or_time, is_orderable
+
+    kind, name = F.col("data_type"), F.col("column_name")
+    able = stats.filter(is_orderable(kind) & ~is_lob(name, kind)).withColumns({"_number": is_numeric_or_time(kind), "_time": F.upper(kind).contains("TIMESTAMP") | (F.upper(kind) == "DATE")})
+    table = W.partitionBy("schema_name", "table_name")
+    first = F.row_number().over(W.partitionBy("schema_name", "table_name", "_number").orderBy(F.desc("_time"), F.desc("is_key"), F.desc("n_distinct"), F.lower(name)))
+    ranked = able.withColumn("_first", F.when(F.col("_number"), first)).withColumn("_later", ~F.coalesce(F.col("_first") <= max(target // 2, 3), F.lit(False)))
+    placed = ranked.withColumn("place", F.row_number().over(table.orderBy("_later", F.when(~F.col("_later"), F.col("_first")), F.desc("n_distinct"), "n_null", F.lower(name))))
+    return placed.filter(F.col("place") <= target).select("schema_name", "table_name", "column_name", "place")
