@@ -19,7 +19,7 @@ _T = "cast((p_partkey - p_partkey % 40) / 40 as bigint)"
 _C = "cast(((p_partkey % 40) - (p_partkey % 5)) / 5 as bigint)"
 _P = "case when p_partkey % 11 = 0 then cast(p_size % 18 + 1 as int) when p_partkey % 11 = 1 then 15 else null end"
 _SC = "case when p_partkey % 11 = 0 then 0 when p_partkey % 11 = 1 then cast(p_size % 4 as int) else null end"
-_TNUM = "cast(substring(table_name, 2, 9) as bigint)"
+_TNUM = "try_cast(substring(table_name, 2, 9) as bigint)"
 
 SQL: dict[str, str] = {
     "orders_src": """
@@ -112,7 +112,7 @@ SQL: dict[str, str] = {
     "cons_tgt": """
         select lower(schema_name) as schema_name, lower(table_name) as table_name, lower(constraint_name) as constraint_name, kind, lower(ref_table) as ref_table,
                case when t8 = 1 then 'CASCADE' else on_delete end as on_delete, true as is_enabled, condition
-        from (select *, cast(substring(table_name, 2, 9) as bigint) as t, cast(substring(table_name, 2, 9) as bigint) % 8 as t8 from {cons_src}) as c
+        from (select *, try_cast(substring(table_name, 2, 9) as bigint) as t, try_cast(substring(table_name, 2, 9) as bigint) % 8 as t8 from {cons_src}) as c
         where (kind = 'P' and is_enabled and t % 10 <> 7) or (kind = 'F' and is_enabled and t % 12 <> 3) or (kind = 'U' and t % 25 <> 6) or kind = 'C'
         union all
         select lower(schema_name) as schema_name, lower(table_name) as table_name, concat('pk_', lower(table_name), '_rowid') as constraint_name, 'P' as kind, cast(null as varchar(20)) as ref_table, cast(null as varchar(20)) as on_delete, true as is_enabled, cast(null as varchar(40)) as condition
@@ -128,13 +128,13 @@ SQL: dict[str, str] = {
         select schema_name, table_name, constraint_name, kind, 1 as position, case kind when 'P' then 'C0' when 'F' then 'C1' when 'U' then 'C2' else 'C3' end as column_name, 'C0' as ref_column from {cons_src}
         union all
         select schema_name, table_name, constraint_name, kind, 2 as position, case kind when 'P' then 'C1' else 'C4' end as column_name, 'C1' as ref_column from {cons_src}
-        where kind in ('P', 'F') and cast(substring(table_name, 2, 9) as bigint) % 3 = 0) as two""",
+        where kind in ('P', 'F') and try_cast(substring(table_name, 2, 9) as bigint) % 3 = 0) as two""",
     "cons_cols_tgt": """
         select schema_name, table_name, constraint_name, kind, 1 as position,
                case when constraint_name like '%rowid' then 'rowid' when kind = 'P' then 'c0' when kind = 'F' then 'c1' when kind = 'U' then 'c2' else 'c3' end as column_name from {cons_tgt}
         union all
         select schema_name, table_name, constraint_name, kind, 2 as position, 'c1' as column_name from {cons_tgt}
-        where kind = 'P' and constraint_name not like '%rowid' and table_name not like '%p%' and cast(substring(table_name, 2, 9) as bigint) % 3 = 0 and cast(substring(table_name, 2, 9) as bigint) % 2 = 1""",
+        where kind = 'P' and constraint_name not like '%rowid' and table_name not like '%p%' and try_cast(substring(table_name, 2, 9) as bigint) % 3 = 0 and try_cast(substring(table_name, 2, 9) as bigint) % 2 = 1""",
     "idx_src": """
         select schema_name, table_name, concat('IDX_', table_name, '_C2') as index_name, case when t % 7 = 3 then 'BITMAP' else 'NORMAL' end as kind, false as is_unique, 'C2' as columns from {tables_src} where t >= 0 and t % 3 = 0
         union all
@@ -143,7 +143,7 @@ SQL: dict[str, str] = {
         select schema_name, table_name, constraint_name as index_name, 'NORMAL' as kind, true as is_unique, 'C0' as columns from {cons_src} where kind in ('P', 'U')""",
     "idx_tgt": """
         select lower(schema_name) as schema_name, lower(table_name) as table_name, lower(index_name) as index_name, 'btree' as kind, is_unique, lower(columns) as columns from {idx_src}
-        where is_unique or cast(substring(table_name, 2, 9) as bigint) % 12 <> 6
+        where is_unique or try_cast(substring(table_name, 2, 9) as bigint) % 12 <> 6
         union all
         select lower(schema_name) as schema_name, lower(table_name) as table_name, concat('idx_', lower(table_name), '_rowid') as index_name, 'btree' as kind, false as is_unique, 'rowid' as columns from {tables_src} where t >= 0 and t % 9 = 4
         union all
@@ -158,7 +158,7 @@ SQL: dict[str, str] = {
         union all select schema_name, 'materialized_view' as kind, concat('MV_', table_name) as object_name, table_name from {tables_src} where t >= 0 and t % 10 = 2
         union all select schema_name, 'trigger' as kind, concat('TR_', table_name) as object_name, table_name from {tables_src} where t >= 0 and t % 5 = 4""",
     "objects_tgt": """
-        select lower(schema_name) as schema_name, kind, lower(object_name) as object_name, lower(table_name) as table_name from {objects_src} where cast(substring(table_name, 2, 9) as bigint) % 14 <> 5
+        select lower(schema_name) as schema_name, kind, lower(object_name) as object_name, lower(table_name) as table_name from {objects_src} where try_cast(substring(table_name, 2, 9) as bigint) % 14 <> 5
         union all
         select lower(schema_name) as schema_name, 'sequence' as kind, concat(lower(table_name), '_rowid_seq') as object_name, lower(table_name) as table_name from {tables_src} where t >= 0 and t % 9 = 4""",
     "runs": """
