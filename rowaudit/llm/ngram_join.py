@@ -206,11 +206,12 @@ def gram_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         rows = texts.dropna(subset=["doc_id"]).withColumn("slot", slot_of(F.col("doc_id"))).mapInArrow(fetch, "doc_id long, hi long, lo long, grams binary")
         return written(rows.join(reps.select(F.col("rep").alias("doc_id"), "hi", "lo"), ["doc_id", "hi", "lo"], "left_semi").dropDuplicates(["hi", "lo"]), "gram-whole")
 
-    near = written(_cell_links(first, fetched(first), num, den), "gram-links")
-    more = _open_pairs(shared, sets, first, near, num, den)
+    labels = components(_cell_links(first, fetched(first), num, den))
+    more = _open_pairs(shared, sets, first, labels, num, den)
     if more.limit(1).count():
-        near = near.union(written(_cell_links(more, fetched(more), num, den), "gram-more-links"))
-    labels = components(near)
+        late = written(_cell_links(more, fetched(more), num, den), "gram-more-links")
+        if late.limit(1).count():
+            labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(late))
     known = written(
         sets.join(labels, F.col("rep") == F.col("node"), "left").select("hi", "lo", F.coalesce("component", "rep").alias("component_id")), "gram-components"
     )
@@ -324,12 +325,11 @@ def _plausible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
     return both.mapInArrow(kept, "leader long, lo long, n int")
 
 
-def _open_pairs(shared: DataFrame, sets: DataFrame, tested: DataFrame, near: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of sets that may link, lie in different components of ``near`` and were not compared yet; ``(leader, lo, n)``.
+def _open_pairs(shared: DataFrame, sets: DataFrame, tested: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of sets that may link, lie in different components by ``labels`` and were not compared yet; ``(leader, lo, n)``.
 
     A prefix n-gram that few sets have is joined with itself. Where many have it, its members are dealt to blocks; each
     pair of blocks compares sizes and parity bits by itself and hands on the pairs that are left."""
-    labels = components(near)
     members = sets.select("lo", "rep").dropDuplicates(["lo"])
     where = members.join(labels, F.col("rep") == F.col("node"), "left").select("lo", F.coalesce("component", F.col("rep"), "lo").alias("comp"))
     placed = written(shared.select("token", "lo", "n", "size").join(where, "lo"), "gram-placed")
