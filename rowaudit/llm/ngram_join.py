@@ -332,16 +332,18 @@ def _open_pairs(shared: DataFrame, sets: DataFrame, tested: DataFrame, labels: D
     pair of blocks compares sizes and parity bits by itself and hands on the pairs that are left."""
     members = sets.select("lo", "rep").dropDuplicates(["lo"])
     where = members.join(labels, F.col("rep") == F.col("node"), "left").select("lo", F.coalesce("component", F.col("rep"), "lo").alias("comp"))
-    placed = written(shared.select("token", "lo", "n", "size").join(where, "lo"), "gram-placed")
+    placed = written(shared.select("token", "leader", "lo", "n", "size").join(where, "lo"), "gram-placed")
     mixed = placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token")
     rest = written(placed.join(written(mixed, "gram-mixed"), "token", "left_semi"), "gram-open")
     few = rest.filter(F.col("size") <= FEW)
     a, b = (few.select("token", *(F.col(c).alias(c + s) for c in ("lo", "n", "comp"))) for s in "ab")
     near_by = a.join(b, "token").filter((F.col("loa") < F.col("lob")) & (F.col("compa") != F.col("compb")) & _fits(F.col("na"), F.col("nb"), num, den))
-    crowd = rest.filter(F.col("size") > FEW).join(sets.select("lo", "sig").dropDuplicates(["lo"]), "lo")
-    crowd = crowd.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("lo"), F.col("blocks")))
+    # Many n-grams of one family of sets have the same leader: its members meet once, not once for each n-gram.
+    crowd = written(rest.filter(F.col("size") > FEW).select("leader", "lo", "n", "comp").distinct(), "gram-crowd")
+    blocks = crowd.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    crowd = crowd.join(blocks, "leader").join(sets.select("lo", "sig").dropDuplicates(["lo"]), "lo").withColumn("own", F.pmod(F.xxhash64("lo"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("k")
-    dealt = crowd.select("token", "own", "lo", "n", "comp", "sig", other).select("token", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "own", "lo", "n", "comp", "sig")
+    dealt = crowd.select("leader", "own", "lo", "n", "comp", "sig", other).select("leader", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "own", "lo", "n", "comp", "sig")
 
     def block(key: tuple, table: pa.Table) -> pa.Table:
         i, j = key[1].as_py(), key[2].as_py()
@@ -362,14 +364,12 @@ def _open_pairs(shared: DataFrame, sets: DataFrame, tested: DataFrame, labels: D
                 ok &= np.minimum(n[every], n[k]) * den >= np.maximum(n[every], n[k]) * num
                 ok = np.flatnonzero(ok)
                 ok = ok[np.bitwise_count(wide[ok] ^ bits[p]).sum(axis=1) * (den + num) <= (den - num) * (n[every[ok]] + n[k])]
-                out += [(min(int(lo[k]), int(lo[q])), max(int(lo[k]), int(lo[q]))) for q in every[ok]]
-        out = sorted(set(out))
-        return pa.table({"loa": pa.array([x for x, _ in out], pa.int64()), "lob": pa.array([y for _, y in out], pa.int64())})
-
-    crowded = dealt.groupBy("token", "i", "j").applyInArrow(block, "loa long, lob long")
-    size = members.join(sets.select("lo", "n").dropDuplicates(["lo"]), "lo").select("lo", "n")
-    crowded = crowded.join(size.select(F.col("lo").alias("loa"), F.col("n").alias("na")), "loa").join(size.select(F.col("lo").alias("lob"), F.col("n").alias("nb")), "lob")
-    hits = near_by.select("loa", "lob", "na", "nb").unionByName(crowded).groupBy("loa", "lob", "na", "nb").agg(F.count(F.lit(1)).alias("hits"))
+                out += [(k, q) if lo[k] < lo[q] else (q, k) for q in every[ok].tolist()]
+        x, y = np.array(sorted({(int(k), int(q)) for k, q in out}), np.int64).reshape(-1, 2).T
+        return pa.table({"loa": pa.array(lo[x]), "lob": pa.array(lo[y]), "na": pa.array(n[x].astype(np.int32)), "nb": pa.array(n[y].astype(np.int32))})
+
+    crowded = dealt.groupBy("leader", "i", "j").applyInArrow(block, "loa long, lob long, na int, nb int").withColumn("hits", F.lit(LEAST))
+    hits = near_by.select("loa", "lob", "na", "nb", F.lit(1).alias("hits")).unionByName(crowded).groupBy("loa", "lob", "na", "nb").agg(F.sum("hits").alias("hits"))
     pairs = _plausible(hits.select(F.col("loa").alias("leader"), F.col("lob").alias("lo"), "na", "nb", "hits"), sets, num, den)
     done = tested.select(F.least("leader", "lo").alias("leader"), F.greatest("leader", "lo").alias("lo"))
     return written(pairs.join(done, ["leader", "lo"], "left_anti"), "gram-open-pairs")
