@@ -131,7 +131,7 @@ def text_of(name: str, kind: T.DataType, *, skip_binary: bool = False, xml: bool
     elif isinstance(kind, T.DecimalType):
         out = decimal_text(c, kind.scale)
     elif isinstance(kind, (T.DoubleType, T.FloatType)):
-        out = g17(c.cast("double")) if parity else c.cast("string")
+        out = F.when(F.isnan(c), F.lit("NaN")).otherwise(g17(c.cast("double"))) if parity else c.cast("string")
     elif isinstance(kind, (T.TimestampNTZType, T.TimestampType, T.DateType)):
         out = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
     elif isinstance(kind, T.DayTimeIntervalType):
