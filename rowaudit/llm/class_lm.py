@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .scratch import written
+from .scratch import tidy, written
 
 #: Words that the exchange moves (the most frequent ones; model capacity), classes, and distinct words of a block.
 EXCHANGED, CLASSES, BLOCK_WORDS = 1024, 32, 400_000
@@ -134,6 +134,7 @@ def _contexts(b: pa.RecordBatch, number: dict[str, int], other: int, end: int) -
     return symbols, where, distinct, at, ends
 
 
+@tidy
 def class_scores(docs: DataFrame, held_out: F.Column, *, id_col: str = "doc_id", text_col: str = "text", exchanged: int = EXCHANGED, classes: int = CLASSES) -> DataFrame:
     """One row per input row: ``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``.
 

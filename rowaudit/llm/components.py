@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import tidy, written
 
 
 class _Forest:
@@ -34,6 +34,7 @@ class _Forest:
         return True
 
 
+@tidy
 def components(edges: DataFrame, a: str = "a", b: str = "b", *, rounds: int = 60) -> DataFrame:
     """``(node, component)`` for every node of ``edges`` (longs): the smallest node reachable, itself included.
 
@@ -63,4 +64,4 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", *, rounds: int = 60
         raise RuntimeError(f"components: not settled after {rounds} rounds")
     roots = star.select(F.col("v").alias("node")).distinct()
     labels = star.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component")))
-    return written(labels.union(loops.join(labels, "node", "left_anti").select("node", F.col("node").alias("component"))), "components")
+    return labels.union(loops.join(labels, "node", "left_anti").select("node", F.col("node").alias("component")))

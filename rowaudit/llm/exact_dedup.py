@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import tidy, written
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -15,6 +15,7 @@ def ascii_lower(text: F.Column) -> F.Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
 
 
+@tidy
 def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
     """One row per input row: its id, ``keep_id`` (the smallest id of its group, or the largest with ``keep="max"``),
     ``group_size``, ``kept`` and ``text_sha256`` of the normalised text.

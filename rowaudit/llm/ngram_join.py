@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import _Forest, components
-from .scratch import bitmap_has, bitmap_of, slot_of, written
+from .scratch import bitmap_has, bitmap_of, slot_of, tidy, written
 from .words import numbered, slices, split
 
 #: Buckets of each of the two frequency sketches that order the n-grams: a megabyte each on the driver, whatever the corpus holds.
@@ -108,6 +108,7 @@ def differ_at_least(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(_folded(x, size) ^ _folded(y, size)).sum())
 
 
+@tidy
 def gram_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, num: int = 9, den: int = 10) -> DataFrame:
     """One row per input row: ``doc_id``, ``n_shingles`` and ``component_id``, the smallest id that links reach.
 
@@ -154,7 +155,7 @@ def gram_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     sketch[summed.column("kind").to_numpy() - 1, summed.column("doc_id").to_numpy()] = summed.column("n").to_numpy()
     of_grams, of_words = sketch + 1
     often = np.where(of_grams > 2 * of_grams.mean(), np.clip(64 + 6 * np.log2(of_grams / of_grams.mean()), 64, 127), 0).astype(np.uint64)
-    rarity = (np.log2(of_words) * min(1.0, 63 / (words * np.log2(of_words.max())))).astype(np.float32)
+    rarity = (np.log2(of_words) * min(1.0, 63 / (words * max(1.0, np.log2(of_words.max()))))).astype(np.float32)
     order = spark.sparkContext.broadcast((rarity, often))
     sets = written(rows.filter("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n").cast("int").alias("n"), F.first("sig").alias("sig")), "distinct-sets")
 

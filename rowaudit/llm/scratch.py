@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+_OPEN: list[list[str]] = [[]]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,9 +30,37 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _OPEN[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for p in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def tidy(f: Callable) -> Callable:
+    """The tables that ``f`` writes go when it returns; a DataFrame it returns is written first."""
+
+    @functools.wraps(f)
+    def run(*args, **kwargs):
+        _OPEN.append([])
+        try:
+            out = f(*args, **kwargs)
+        except BaseException:
+            _OPEN.pop()
+            raise
+        mine = _OPEN.pop()
+        spark = args[0].sparkSession
+        if isinstance(out, DataFrame):
+            out = written(out, f.__name__)
+        _delete(spark, mine)
+        return out
+
+    return run
+
+
 #: Slots of the bitmap below: 4 MB, whatever the corpus holds.
 BITMAP_SLOTS = 1 << 25
 _PAGE = 8 * 4096

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .scratch import written
+from .scratch import tidy, written
 
 #: Labelled findings that the forest is fitted on at most, of each label; dictionary words; hashed neighbouring words.
 MOST_LABELLED, DICTIONARY, NEIGHBOURS = 10_000, 20_000, 16
@@ -154,6 +154,7 @@ def fit_forest(labelled: DataFrame, *, trees: int = 20, depth: int = 6, most: in
     return RandomForestClassifier(featuresCol="v", labelCol="label", numTrees=trees, maxDepth=depth, maxBins=64, seed=7, subsamplingRate=0.8).fit(rows)
 
 
+@tidy
 def secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, hold_out: int = 5) -> DataFrame:
     """One row per candidate: ``doc_id``, ``start``, ``end`` (code points, end exclusive), ``label``, ``held_out``, ``score`` and ``is_secret``.
 

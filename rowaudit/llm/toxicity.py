@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .scratch import written
+from .scratch import tidy, written
 
 #: Hashed features; features that the classifier may use; rows it is fitted on at most (confirmed toxic, unlabelled).
 SLOTS, USED, MOST_POSITIVE, MOST_UNLABELLED = 1 << 20, 4096, 20_000, 20_000
@@ -128,6 +128,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], used: np.ndarr
     return Model(b, weights)
 
 
+@tidy
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> Model:
     """Fits on about ``most_positive`` rows that ``labels`` confirms as toxic and ``most_unlabelled`` rows of ``docs`` taken as unlabelled.
 

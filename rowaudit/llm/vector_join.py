@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import written
+from .scratch import tidy, written
 
 #: Vectors that the pivots are chosen from, pivots of cells and of balls at most, vectors in a block.
 SAMPLE, MOST_CELLS, MOST_BALLS, BLOCK = 2048, 512, 64, 4096
@@ -46,6 +46,7 @@ def choose_pivots(unit: np.ndarray, cells: int, radius: float) -> tuple[np.ndarr
     return unit[picked], unit[balls].reshape(-1, unit.shape[1])
 
 
+@tidy
 def vector_links(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9) -> DataFrame:
     """One row per input row: ``vec_id``, ``n_links`` (other rows of cosine ``cosine`` or more), ``component_id`` (the smallest id that links reach) and ``kept``.
 
