@@ -129,8 +129,9 @@ def gram_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
        no pair is open.
 
     A null text counts as empty; a text without words has no n-grams and links with nothing (its component is its own
-    id). Rows with a null id take part and are never the smallest id. Repeated rows are one set. Other columns of
-    ``docs`` are not read. An empty table gives an empty result.
+    id). Rows with a null id share the component of rows with the same set and are never the smallest id; a set that
+    only rows with null ids have links with no other set, and its component is null. Repeated rows are one set.
+    ``num / den`` is a half or more. Other columns of ``docs`` are not read. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -159,6 +160,8 @@ def gram_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     order = spark.sparkContext.broadcast((rarity, often))
     sets = written(rows.filter("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n").cast("int").alias("n"), F.first("sig").alias("sig")), "distinct-sets")
 
+    by_lo = written(sets.dropDuplicates(["lo"]).select("lo", "rep", "sig"), "gram-signatures")
+
     def postings(batches):
         rarity, often = order.value
         done: set[int] = set()
@@ -185,7 +188,7 @@ def gram_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     live = written(live.filter("leader <> last").drop("last"), "gram-live")
     shared = written(posted.join(live, "token"), "gram-shared")
     hits = shared.filter("lo <> leader").groupBy("leader", "lo", "leader_n", "n").agg(F.count(F.lit(1)).alias("hits"))
-    first = written(_plausible(hits.select("leader", "lo", F.col("leader_n").alias("na"), F.col("n").alias("nb"), "hits"), sets, num, den), "gram-pairs")
+    first = written(_plausible(hits.select("leader", "lo", F.col("leader_n").alias("na"), F.col("n").alias("nb"), "hits"), by_lo, num, den), "gram-pairs")
 
     def fetched(pairs: DataFrame) -> DataFrame:
         """The whole sets of all members of pairs, from the texts; only texts that may be wanted are hashed and shuffled."""
@@ -208,7 +211,7 @@ def gram_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         return written(rows.join(reps.select(F.col("rep").alias("doc_id"), "hi", "lo"), ["doc_id", "hi", "lo"], "left_semi").dropDuplicates(["hi", "lo"]), "gram-whole")
 
     labels = components(_cell_links(first, fetched(first), num, den))
-    more = _open_pairs(shared, sets, first, labels, num, den)
+    more = _open_pairs(shared, by_lo, first, labels, num, den)
     if more.limit(1).count():
         late = written(_cell_links(more, fetched(more), num, den), "gram-more-links")
         if late.limit(1).count():
@@ -310,11 +313,11 @@ def _fits(na: F.Column, nb: F.Column, num: int, den: int) -> F.Column:
     return F.least(na, nb) * den >= F.greatest(na, nb) * num
 
 
-def _plausible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _plausible(pairs: DataFrame, by_lo: DataFrame, num: int, den: int) -> DataFrame:
     """Of ``(leader, lo, na, nb, hits)``, the pairs whose sizes, shared prefix n-grams and parity bits allow a link; ``(leader, lo, n)``."""
     a, b = F.col("na"), F.col("nb")
     likely = pairs.filter(_fits(a, b, num, den) & (F.col("hits") >= _required(a, b, num, den)))
-    sig = sets.select("lo", "sig").dropDuplicates(["lo"])
+    sig = by_lo.select("lo", "sig")
     both = likely.join(sig.withColumnRenamed("sig", "sb"), "lo").join(sig.select(F.col("lo").alias("leader"), F.col("sig").alias("sa")), "leader")
 
     def kept(batches):
@@ -326,12 +329,12 @@ def _plausible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
     return both.mapInArrow(kept, "leader long, lo long, n int")
 
 
-def _open_pairs(shared: DataFrame, sets: DataFrame, tested: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
+def _open_pairs(shared: DataFrame, by_lo: DataFrame, tested: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of sets that may link, lie in different components by ``labels`` and were not compared yet; ``(leader, lo, n)``.
 
     A prefix n-gram that few sets have is joined with itself. Where many have it, its members are dealt to blocks; each
     pair of blocks compares sizes and parity bits by itself and hands on the pairs that are left."""
-    members = sets.select("lo", "rep").dropDuplicates(["lo"])
+    members = by_lo.select("lo", "rep")
     where = members.join(labels, F.col("rep") == F.col("node"), "left").select("lo", F.coalesce("component", F.col("rep"), "lo").alias("comp"))
     placed = written(shared.select("token", "leader", "lo", "n", "size").join(where, "lo"), "gram-placed")
     mixed = placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token")
@@ -342,7 +345,7 @@ def _open_pairs(shared: DataFrame, sets: DataFrame, tested: DataFrame, labels: D
     # Many n-grams of one family of sets have the same leader: its members meet once, not once for each n-gram.
     crowd = written(rest.filter(F.col("size") > FEW).select("leader", "lo", "n", "comp").distinct(), "gram-crowd")
     blocks = crowd.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    crowd = crowd.join(blocks, "leader").join(sets.select("lo", "sig").dropDuplicates(["lo"]), "lo").withColumn("own", F.pmod(F.xxhash64("lo"), F.col("blocks")))
+    crowd = crowd.join(blocks, "leader").join(by_lo.select("lo", "sig"), "lo").withColumn("own", F.pmod(F.xxhash64("lo"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("k")
     dealt = crowd.select("leader", "own", "lo", "n", "comp", "sig", other).select("leader", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "own", "lo", "n", "comp", "sig")
 
@@ -371,7 +374,7 @@ def _open_pairs(shared: DataFrame, sets: DataFrame, tested: DataFrame, labels: D
 
     crowded = dealt.groupBy("leader", "i", "j").applyInArrow(block, "loa long, lob long, na int, nb int").withColumn("hits", F.lit(LEAST))
     hits = near_by.select("loa", "lob", "na", "nb", F.lit(1).alias("hits")).unionByName(crowded).groupBy("loa", "lob", "na", "nb").agg(F.sum("hits").alias("hits"))
-    pairs = _plausible(hits.select(F.col("loa").alias("leader"), F.col("lob").alias("lo"), "na", "nb", "hits"), sets, num, den)
+    pairs = _plausible(hits.select(F.col("loa").alias("leader"), F.col("lob").alias("lo"), "na", "nb", "hits"), by_lo, num, den)
     done = tested.select(F.least("leader", "lo").alias("leader"), F.greatest("leader", "lo").alias("lo"))
     return written(pairs.join(done, ["leader", "lo"], "left_anti"), "gram-open-pairs")
 
