@@ -83,3 +83,9 @@ def order_keys_by_stats(stats: DataFrame, target: int = 6) -> DataFrame:
     ranked = able.withColumn("_first", F.when(F.col("_number"), first)).withColumn("_later", ~F.coalesce(F.col("_first") <= max(target // 2, 3), F.lit(False)))
     placed = ranked.withColumn("place", F.row_number().over(table.orderBy("_later", F.when(~F.col("_later"), F.col("_first")), F.desc("n_distinct"), "n_null", F.lower(name))))
     return placed.filter(F.col("place") <= target).select("schema_name", "table_name", "column_name", "place")
+
+
+def listing(issues: DataFrame, severities: tuple[str, ...] = ("Critical", "Error", "Warning", "Info")) -> DataFrame:
+    """Findings in reading order: the gravest first, then by table and column."""
+    rank = F.array_position(F.array(*map(F.lit, severities)), F.col("severity"))
+    return issues.orderBy(rank, *(c for c in ("schema_name", "table_name", "column_name") if c in issues.columns))

@@ -93,3 +93,16 @@ def test_hashes_are_written_as_csv(spark, tmp_path):
     assert tuple(back.first()) == ("1", "ab", "2")
     a, b = tables.read_pair(spark, {"format": "csv", "path": str(tmp_path / "h"), "options": {"header": True}}, {"format": "csv", "path": str(tmp_path / "h"), "options": {"header": True}})
     assert a.count() == b.count() == 1
+
+
+def test_findings_are_listed_gravest_first(spark):
+    from rowaudit.operators import summary
+
+    df = spark.createDataFrame([("Info", "a"), ("Critical", "b"), ("Warning", "a"), ("Critical", "a")], "severity string, table_name string")
+    assert [tuple(r) for r in summary.listing(df).collect()] == [("Critical", "a"), ("Critical", "b"), ("Warning", "a"), ("Info", "a")]
+
+
+def test_results_are_written_by_schema(spark, tmp_path):
+    df = spark.createDataFrame([("s1", 1), ("s2", 2)], "schema_name string, n int")
+    tables.write_results(df, str(tmp_path / "r"))
+    assert sorted(p.name for p in (tmp_path / "r").glob("schema_name=*")) == ["schema_name=s1", "schema_name=s2"]
