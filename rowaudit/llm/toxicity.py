@@ -86,7 +86,8 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], used: np.ndarr
 
     ``positive`` and ``unlabelled`` hold the distinct slots of each text, of ``used`` only. Where the estimate of the
     negatives' risk turns negative, the step goes the other way on that part alone, so the classifier cannot fit the
-    positives by calling everything else negative."""
+    positives by calling everything else negative. Features are signs of the positives, so no weight is negative: a sign
+    that a text shows can't be outweighed by others."""
     weights = np.zeros(SLOTS)
     if not positive or not unlabelled or not 0 < prior < 1:
         return Model(math.log(max(prior, 1e-6) / max(1 - prior, 1e-6)), weights)
@@ -123,7 +124,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], used: np.ndarr
         g = np.append(pull(xp, gp) + pull(xu, gu) + decay * w, gp.sum() + gu.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
-        w, b = w - move[:-1], b - move[-1]
+        w, b = np.maximum(w - move[:-1], 0), b - move[-1]
     weights[used] = w
     return Model(b, weights)
 
@@ -133,8 +134,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     """Fits on about ``most_positive`` rows that ``labels`` confirms as toxic and ``most_unlabelled`` rows of ``docs`` taken as unlabelled.
 
     Both are drawn by a hash of the id, so the same rows at any partitioning; exact copies count once. The class prior
-    is the share of toxic rows among the labelled ones, or less where fewer of the unlabelled show any sign of them. Features enter when they are commoner among the positives, or
-    rarer, than chance explains; at most ``USED``. Rows with a null id or label take no part as positives."""
+    is the share of toxic rows among the labelled ones, or less where fewer of the unlabelled show any sign of them. Features enter when they are commoner among the positives
+    than chance explains; at most ``USED``. Rows with a null id or label take no part as positives."""
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label")).dropna().groupBy("_id").agg(F.max("_label").alias("_label"))
     n_toxic, n_known = known.agg(F.count_if(F.col("_label") == 1), F.count(F.lit(1))).first()
     n_docs = docs.count()
@@ -173,7 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     shares = sample.mapInArrow(frequencies, "slot long, p long, u long").groupBy("slot").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
     both = (F.col("p") + F.col("u") + 1) / (n_p + n_u + 2)
-    z = F.abs(F.col("p") / max(1, n_p) - F.col("u") / max(1, n_u)) / F.sqrt(both * (1 - both) * (1 / max(1, n_p) + 1 / max(1, n_u)))
+    z = (F.col("p") / max(1, n_p) - F.col("u") / max(1, n_u)) / F.sqrt(both * (1 - both) * (1 / max(1, n_p) + 1 / max(1, n_u)))
     strong = shares.filter((F.col("p") + F.col("u") >= 5) & (F.col("p") >= 0.005 * n_p)).withColumn("z", z).filter("z > 5")
     used = np.array(sorted(r[0] for r in strong.orderBy(F.desc("z"), "slot").limit(USED).select("slot").collect()), np.int64)
     if not n_p or not n_u:
