@@ -39,15 +39,17 @@ def letter_pairs(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
     def counted(batches):
         seen = np.zeros(128 * 128, np.int64)
-        for b in batches:
-            data = b.column(0).fill_null("").cast(pa.large_string()).buffers()[2]
-            if data is not None:
-                c = np.minimum(np.frombuffer(data, np.uint8), 127).astype(np.int64)
-                seen += np.bincount(c[:-1] * 128 + c[1:], minlength=128 * 128)
+        for b in words.slices(batches):
+            text = b.column("text").fill_null("").cast(pa.large_string())
+            _, ends, data = text.buffers()
+            if data is not None and len(text):
+                ends = np.frombuffer(ends, np.int64)[text.offset : text.offset + len(text) + 1]
+                c = np.minimum(np.frombuffer(data, np.uint8)[ends[0] : ends[-1]], 127).astype(np.uint16)
+                seen += np.bincount(c[:-1] * np.uint16(128) + c[1:], minlength=128 * 128)
         k = np.flatnonzero(seen)
         yield pa.record_batch([pa.array(k), pa.array(seen[k])], names=["k", "n"])
 
-    table = docs.select(F.col(text_col)).mapInArrow(counted, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()  # 128 x 128 rows at most
+    table = docs.select(F.col(text_col).alias("text")).mapInArrow(counted, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()  # 128 x 128 rows at most
     n = np.zeros(128 * 128)
     n[table.column("k").to_numpy()] = table.column("n").to_numpy()
     n = n.reshape(128, 128) + 0.5
@@ -130,7 +132,7 @@ def candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     shared = spark.sparkContext.broadcast((letter_pairs(docs, text_col), dictionary(docs, text_col)))
 
     def found(batches):
-        for b in batches:
+        for b in words.slices(batches):
             rows = []
             for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 for a, e in _spans(text) if text else ():
