@@ -19,7 +19,8 @@ def query(name: str, needs: str = "", sql: str | None = None) -> Callable[[Calla
 
     def register(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(*(fixture(spark, sf_dir, n) for n in names))
+            made: dict[str, DataFrame] = {}
+            return f(*(fixture(spark, sf_dir, n, made) for n in names))
 
         QUERIES[name] = run
         if sql is not None:

@@ -10,7 +10,7 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .tables import table
+from .tables import table, written
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
@@ -184,13 +184,20 @@ def _order(name: str) -> tuple[str, ...]:
     return (*out, name)
 
 
-def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+#: Catalogs that many others are derived from: written once for each query, so plans stay small.
+_CUT = {"tables_src", "partitions_tgt", "cons_src", "cons_tgt", "idx_src", "objects_src"}
+
+
+def fixture(spark: SparkSession, sf_dir: str, name: str, made: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A given table or a fixture; ``made`` holds what one query has derived already."""
     if name not in SQL:
         return table(spark, sf_dir, name)
-    made: dict[str, DataFrame] = {}
+    made = {} if made is None else made
     for n in _order(name):
-        needs = {x: made[x] if x in made else table(spark, sf_dir, x) for x in dict.fromkeys(_needs(n))}
-        made[n] = spark.sql(SQL[n], **needs)
+        if n not in made:
+            needs = {x: made[x] if x in made else table(spark, sf_dir, x) for x in dict.fromkeys(_needs(n))}
+            df = spark.sql(SQL[n], **needs)
+            made[n] = written(df, n) if n in _CUT else df
     return made[name]
 
 
