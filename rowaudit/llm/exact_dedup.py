@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .scratch import tidy, written
@@ -53,6 +54,13 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_exact_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
-    """``docs`` without the rows that repeat another row's text; all columns stay as they are."""
-    gone = exact_groups(docs, id_col=id_col, text_col=text_col, keep=keep).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    """``docs`` without the rows that repeat another row's text; all columns stay as they are.
+
+    Each group of equal texts, as in ``exact_groups``, keeps one row: that of the smallest or largest id, one without an id
+    only where all ids are null, any one where several rows have the id. Rows are told apart by their texts, never by
+    their ids. Spark ranks within each task first, so a hot text reaches the shuffle once a task."""
+    norm = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
+    hashed = docs.withColumn("_norm", norm).withColumn("_md5", F.unhex(F.md5(F.encode("_norm", "UTF-8"))))
+    order = F.asc_nulls_last(id_col) if keep == "min" else F.desc_nulls_last(id_col)
+    ranked = hashed.withColumn("_rank", F.row_number().over(W.partitionBy("_md5", "_norm").orderBy(order)))
+    return ranked.filter("_rank = 1").select(docs.columns)

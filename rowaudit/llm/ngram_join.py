@@ -379,10 +379,17 @@ def _open_pairs(shared: DataFrame, by_lo: DataFrame, tested: DataFrame, labels:
     return written(pairs.join(done, ["leader", "lo"], "left_anti"), "gram-open-pairs")
 
 
+@tidy
 def one_of_each_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """``docs`` with one row of each group of near duplicates, the one of the smallest id; all columns stay as they are.
 
-    Rows with a null id stay when they have no words; otherwise they go with their group, whose row with an id stays.
-    Groups without any id stay whole."""
-    gone = gram_links(docs, id_col=id_col, text_col=text_col, words=words, num=num, den=den).filter("doc_id <> component_id or (doc_id is null and component_id is not null)")
-    return docs.join(gone.select(F.col("doc_id").alias("_gone")).distinct(), F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    Rows are numbered first and linked by these numbers, so rows with null or repeated ids are rows like others: a row goes
+    only if its own group keeps another. A row with a null id stays where its group has no id at all, one of them. Of rows
+    that repeat both id and text of the row that stays, each is kept."""
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "gram-rows")
+    labels = gram_links(rows, id_col="_row", text_col=text_col, words=words, num=num, den=den).select(F.col("doc_id").alias("_row"), "component_id")
+    of_row = rows.select("_row", F.col(id_col).cast("long").alias("id"), F.unhex(F.md5(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"))).alias("hash"))
+    members = labels.join(of_row, "_row").select("_row", "component_id", "hash", F.col("id").isNull().alias("no_id"), F.coalesce("id", "_row").alias("id"))
+    first = members.groupBy("component_id").agg(F.min(F.struct("no_id", "id", "hash")).alias("x")).select("component_id", "x.*")
+    gone = members.join(first, ["component_id", "no_id", "id", "hash"], "left_anti")
+    return rows.join(gone.select("_row"), "_row", "left_anti").select(docs.columns)

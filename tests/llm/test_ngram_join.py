@@ -82,6 +82,18 @@ def test_odd_rows(spark):
     assert ngram_join.gram_links(df.limit(0)).count() == 0
 
 
+def test_near_copies_go_by_row(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcd")
+    rows = [(None, a), (2, a + " tail"), (None, b), (None, b + " tail"), (None, b), (None, c), (2, d), (1, d + " tail"), (2, "2 is here for once"), (None, "no id, no copy at all"), (None, ""), (None, None), (1, c + " c"), (1, c + " d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r["doc_id"], r["text"]) for r in ngram_join.one_of_each_group(df).collect()]
+    single = [(2, a + " tail"), (1, d + " tail"), (2, "2 is here for once"), (None, "no id, no copy at all"), (None, ""), (None, None)]
+    assert sorted((r for r in got if r in single), key=repr) == sorted(single, key=repr)
+    assert len(got) == len(single) + 2
+    assert sum(i is None and (t or "").startswith("b0") for i, t in got) == 1
+    assert sum(i == 1 and (t or "").startswith("c0") for i, t in got) == 1
+
+
 def test_tree_finds_the_components_of_all_links():
     r = random.Random(3)
     sets = []

@@ -46,6 +46,16 @@ def test_exact_dedup_odd_rows(odd):
     assert exact_dedup.drop_exact_copies(odd.filter("doc_id is not null"), keep="min").columns == odd.columns
 
 
+NULL_AND_REPEATED_IDS = [(None, "one of a kind"), (None, "Copied text"), (None, "copied text"), (5, "with an id"), (None, "with an id"), (5, "also five"), (3, "With an id"), (3, "third"), (8, "eight"), (8, "eight"), (None, None), (None, "")]
+
+
+@pytest.mark.parametrize(("keep", "kept"), [("min", 3), ("max", 5)])
+def test_exact_copies_go_by_row(spark, keep, kept):
+    df = spark.createDataFrame(NULL_AND_REPEATED_IDS, "doc_id long, text string").repartition(5)
+    got = sorted(((r["doc_id"], (r["text"] or "").lower()) for r in exact_dedup.drop_exact_copies(df, keep=keep).collect()), key=repr)
+    assert got == sorted([(None, "one of a kind"), (None, "copied text"), (kept, "with an id"), (5, "also five"), (3, "third"), (8, "eight"), (None, "")], key=repr)
+
+
 def test_exact_dedup_of_hot_copies_and_case(spark):
     df = spark.range(3000).selectExpr("id as doc_id", "if(id % 3 = 0, if(id % 2 = 0, 'Same Text É', 'same text É'), concat('t', id)) as text")
     got = exact_dedup.exact_groups(df, keep="max")

@@ -42,3 +42,13 @@ def test_stages(spark, sf):
 def test_run_equals_the_stages(spark, sf):
     got = corpus_pipeline.run(spark, sf)
     assert got.count() == len({(r["doc_id"], r["piece"]) for r in got.collect()})
+
+
+def test_dedup_stages_decide_by_row(spark, sf):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(None, text), (None, text.upper()), (None, "alone, no id"), (4, text + " near"), (4, "alone, id 4"), (3, text + " near it"), (None, "no id here either")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    two = corpus_pipeline.without_exact_copies(spark, docs, sf).persist()
+    assert two.count() == 6
+    three = corpus_pipeline.without_near_copies(spark, two, sf)
+    assert sorted(((r["doc_id"], r["text"]) for r in three.collect()), key=repr) == sorted([(None, "alone, no id"), (4, "alone, id 4"), (3, text + " near it"), (None, "no id here either")], key=repr)
