@@ -133,11 +133,12 @@ def find(text: str) -> list[tuple[str, int, int]]:
 
 
 def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
-    """The text with each span replaced by its kind in brackets; of spans that overlap, the one that starts first, the longer if they start together."""
+    """The text with each span replaced by its kind in brackets; of spans that overlap, the one that starts first, the longer
+    if they start together, and then what is left of the others. No character of any span stays."""
     out, at = [], 0
     for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
-        if a >= at:
-            out += [text[at:a], f"[{kind.upper()}]"]
+        if b > at:
+            out += [text[at:a], f"[{kind.upper()}]"]  # nothing lies between spans that overlap
             at = b
     return "".join([*out, text[at:]])
 

@@ -250,6 +250,15 @@ def test_pii_added_spans_and_redaction():
     assert pii.redact("mail a@b.c now", pii.find("mail a@b.c now")) == "mail [EMAIL] now"
 
 
+@pytest.mark.parametrize("text", [*PII, "host 10.0.0.0 4111111111111111", "a@1.2.3.4.5 +1 555 123 4567 4111 1111 1111 1111"])
+def test_redaction_leaves_no_character_of_a_span(text):
+    spans = pii.find(text)
+    hidden = {k for _, a, b in spans for k in range(a, b)}
+    kept = re.sub(r"\[(?:" + "|".join(k.upper() for k in pii.KINDS) + r")\]", "", pii.redact(text, spans))
+    assert kept == "".join(c for k, c in enumerate(text) if k not in hidden)
+    assert pii.redact("host 10.0.0.0 4111111111111111", pii.find("host 10.0.0.0 4111111111111111")) == "host [IP][CARD]"
+
+
 def test_pii_whole_table_and_odd_rows(spark, sf, odd):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(odd.select("doc_id", "text"))
     got = sorted(((r["doc_id"], r["n_email"], r["n_ip"], r["n_card"], r["n_phone"], r["base_sha256"]) for r in pii.scan(docs).collect()), key=repr)
