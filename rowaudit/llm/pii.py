@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("url", "masked_email", "iban", "account", "ipv6")
 KINDS = BASE + ADDED
-#: Words that announce an identifier (fixed values).
+#: Words that announce an identifier (fixed values), in lower case; A-Z in texts match as well.
 ACCOUNT_CUES = ("account", "acct", "routing", "ssn", "passport", "konto", "cuenta", "compte", "tax id", "member id")
 AT_CUES = ("(at)", "[at]", "{at}")
 
@@ -24,7 +24,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*\Z")
 _URL_REST = re.compile(r"[^\s<>\"'`|\\^{}\[\]]+")
-_MASKED_HOST = re.compile(r"\s?([A-Za-z0-9-]+)((?:\s?(?:\.|\(dot\)|\[dot\]|\{dot\})\s?[A-Za-z0-9-]+)+)")
+_MASKED_HOST = re.compile(r"\s?([A-Za-z0-9-]+)((?:\s?(?:\.|\((?i:dot)\)|\[(?i:dot)\]|\{(?i:dot)\})\s?[A-Za-z0-9-]+)+)")
 _IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?: ?[A-Za-z0-9]{2,4}){3,8}")
 _NUMBER = re.compile(r"(?:\s?(?:number|no\.?|nr\.?|#|:|=|is))*\s?([A-Za-z]{0,2}[0-9](?:[ -]?[0-9]){5,19})(?![0-9A-Za-z])", re.I)
 _IPV6 = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])")
@@ -34,7 +34,7 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 def _automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     cues = {"@": "@", "+": "+", "://": "/"} | {c: "0" for c in "0123456789"} | {c: "a" for c in AT_CUES}
-    cues |= {form: kind for kind, names in (("i", ("iban",)), ("n", ACCOUNT_CUES)) for c in names for form in (c, c.upper(), c.capitalize())}
+    cues |= {c: kind for kind, names in (("i", ("iban",)), ("n", ACCOUNT_CUES)) for c in names}
     for cue, kind in cues.items():
         found.add_word(cue, (kind, len(cue)))
     found.make_automaton()
@@ -58,6 +58,11 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def _lowered(text: str) -> str:
+    """A-Z in lower case and nothing else, so places stay the same."""
+    return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
 def _local_start(text: str, at: int, least: int) -> int:
     while at > least and text[at - 1] in _LOCAL:
         at -= 1
@@ -87,7 +92,7 @@ def find(text: str) -> list[tuple[str, int, int]]:
             if ok(m):
                 found[kind].append((at, m.end()))
 
-    for end, (cue, size) in _ANCHORS[0].iter(text):
+    for end, (cue, size) in _ANCHORS[0].iter(_lowered(text)):
         start = end - size + 1
         if cue == "0":
             if start != last_digit + 1:  # the first digit of a run

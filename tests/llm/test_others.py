@@ -250,6 +250,18 @@ def test_pii_added_spans_and_redaction():
     assert pii.redact("mail a@b.c now", pii.find("mail a@b.c now")) == "mail [EMAIL] now"
 
 
+@pytest.mark.parametrize("cue", ["Tax ID", "Member ID:", "TAX id", "tAX iD", "MEMBER ID", "Account No.", "ACCT #", "PassPort", "İ é Konto"])
+def test_account_cues_in_any_case(cue):
+    text = f"{cue} 12345678"
+    assert [(k, text[a:b]) for k, a, b in pii.find(text)] == [("account", "12345678")]
+    assert pii.redact(text, pii.find(text)) == f"{cue} [ACCOUNT]"
+
+
+def test_other_cues_in_any_case():
+    text = "İ bob (AT) host [Dot] org, iBan DE89 3704 0044 0532 0130 00"
+    assert {k: text[a:b] for k, a, b in pii.find(text)} == {"masked_email": "bob (AT) host [Dot] org", "iban": "DE89 3704 0044 0532 0130 00"}
+
+
 @pytest.mark.parametrize("text", [*PII, "host 10.0.0.0 4111111111111111", "a@1.2.3.4.5 +1 555 123 4567 4111 1111 1111 1111"])
 def test_redaction_leaves_no_character_of_a_span(text):
     spans = pii.find(text)
