@@ -176,6 +176,12 @@ def keys_exist(source: DataFrame, target: DataFrame) -> DataFrame:
     return diff.keys_exist(target, source.filter("l_orderkey % 7 = 0"), ["l_orderkey", "l_linenumber"])
 
 
+@query("keys_exist_all", "lineitem_src lineitem_tgt", "select distinct l_orderkey, l_linenumber from lineitem_src s where exists (select 1 from lineitem_tgt t where t.l_orderkey = s.l_orderkey and t.l_linenumber = s.l_linenumber)")
+def keys_exist_all(source: DataFrame, target: DataFrame) -> DataFrame:
+    """Which composite keys of the whole source table the target holds; ``keys_exist`` asks for a list of them."""
+    return diff.keys_exist(target, source, ["l_orderkey", "l_linenumber"])
+
+
 @query("duplicate_keys", "lineitem_src", "select l_orderkey, l_linenumber, count(*) as n_rows from lineitem_src group by 1, 2 having count(*) > 1")
 def duplicate_keys(lines: DataFrame) -> DataFrame:
     return diff.duplicate_keys(lines, ["l_orderkey", "l_linenumber"])

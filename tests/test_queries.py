@@ -21,6 +21,13 @@ def test_query_matches_its_sql(spark, sf, name):
     assert rows(got) == rows(want)
 
 
+def test_every_source_key_is_looked_up(spark, sf):
+    got = jobs.QUERIES["keys_exist_all"](spark, sf).toPandas()
+    source, target = (set(map(tuple, jobs.registry.fixture(spark, sf, f"lineitem_{x}", {}).select("l_orderkey", "l_linenumber").toPandas().to_numpy().tolist())) for x in ("src", "tgt"))
+    assert {k for k, _ in source if k % 7}
+    assert sorted(map(tuple, got[["l_orderkey", "l_linenumber"]].to_numpy().tolist())) == sorted(source & target)
+
+
 def test_entry(spark):
     df = __spark_entry__.entry(spark)
     row = df.first()
