@@ -127,6 +127,26 @@ def tz_to_utc(orders: DataFrame) -> DataFrame:
     return there.select("o_orderkey", "local_time", canonical.local_to_utc(F.col("local_time")).alias("utc_time"))
 
 
+def _sunday(month: int, day: int) -> str:
+    """The first Sunday from a day of the year of ``local_time`` on, in SQL."""
+    d = f"make_date(year(local_time), {month}, {day})"
+    return f"({d} + cast((7 - dayofweek({d})) % 7 as integer))"
+
+
+@query(
+    "tz_to_utc_all", "orders_src",
+    f"""select o_orderkey, local_time,
+               case when cast(local_time as date) >= case when year(local_time) < 2007 then {_sunday(4, 1)} else {_sunday(3, 8)} end
+                         and cast(local_time as date) < case when year(local_time) < 2007 then {_sunday(10, 25)} else {_sunday(11, 1)} end
+                    then local_time + interval 4 hour else local_time + interval 5 hour end as utc_time
+        from (select o_orderkey, o_orderdate + interval 12 hour as local_time from orders_src) as x""",
+)
+def tz_to_utc_all(orders: DataFrame) -> DataFrame:
+    """All orders, the days of the changeovers too; the SQL has the rules from 1987 on. ``tz_to_utc`` leaves the months of the changeovers out."""
+    local = orders.select("o_orderkey", (F.col("o_orderdate") + F.expr("interval 12 hours")).alias("local_time"))
+    return local.select("o_orderkey", "local_time", canonical.local_to_utc(F.col("local_time")).alias("utc_time"))
+
+
 @query("fingerprint_skip_columns", "orders_tgt", f"select o_orderkey, sha256({ORDER_TEXT_NO_PRICE}) as row_hash from orders_tgt")
 def fingerprint_skip_columns(orders: DataFrame) -> DataFrame:
     seen = fingerprint.skip_columns(orders.withColumn("ROWID", F.lit(1)), ["O_TOTALPRICE"], target=True)

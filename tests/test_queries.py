@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from zoneinfo import ZoneInfo
+
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from rowaudit import jobs
+from rowaudit.functions import canonical
 
 from .compare import duck, rows
 
@@ -28,6 +33,27 @@ def test_every_source_key_is_looked_up(spark, sf):
     assert sorted(map(tuple, got[["l_orderkey", "l_linenumber"]].to_numpy().tolist())) == sorted(source & target)
 
 
+def _to_utc(local: dt.datetime) -> dt.datetime:
+    there = local.replace(tzinfo=ZoneInfo("America/New_York"), fold=1)  # shown twice: standard time
+    plain = there.astimezone(dt.UTC)
+    skipped = plain.astimezone(there.tzinfo).replace(tzinfo=None) != local
+    return local if skipped else plain.replace(tzinfo=None)
+
+
+def test_all_orders_become_utc(spark, sf):
+    got = {r["o_orderkey"]: (r["local_time"], r["utc_time"]) for r in jobs.QUERIES["tz_to_utc_all"](spark, sf).collect()}
+    orders = jobs.registry.fixture(spark, sf, "orders_src", {}).selectExpr("o_orderkey", "cast(o_orderdate as timestamp_ntz) + interval 12 hours as t").collect()
+    assert got == {r["o_orderkey"]: (r["t"], _to_utc(r["t"])) for r in orders}
+    assert {r["t"].month for r in orders} == set(range(1, 13))
+
+
+def test_every_quarter_hour_around_the_changeovers(spark):
+    days = [dt.datetime(y, m, d) for y in (1995, 2001, 2006, 2007, 2024) for m, r in ((3, range(7, 16)), (4, range(1, 9)), (10, range(24, 32)), (11, range(1, 9))) for d in r]
+    times = [d + dt.timedelta(minutes=15 * k) for d in days for k in range(96)]
+    df = spark.createDataFrame([(t,) for t in times], "t timestamp_ntz").select("t", canonical.local_to_utc(F.col("t")).alias("u"))
+    assert [(r["t"], r["u"]) for r in df.collect() if r["u"] != _to_utc(r["t"])] == []
+
+
 def test_entry(spark):
     df = __spark_entry__.entry(spark)
     row = df.first()
