@@ -122,7 +122,7 @@ def all_table_names(source: DataFrame, target: DataFrame) -> DataFrame:
     """select distinct schema_name, upper(schema_name || '.' || table_name) as source, case when t % 2 = 0 then lower('db.' || table_name) else lower(schema_name || '.' || table_name) end as target from tables_src where t >= 0""",
 )
 def parse_mapping(tables: DataFrame) -> DataFrame:
-    """A mapping text of each schema's tables, taken apart again."""
+    """Mapping texts of at most 100 of a schema's tables each, by their number, taken apart again."""
     full = F.concat_ws(".", "schema_name", "table_name")
-    text = tables.filter("t >= 0").groupBy("schema_name").agg(F.array_join(F.sort_array(F.collect_list(F.when(F.col("t") % 2 == 0, F.concat(full, F.lit(" = DB."), F.col("table_name"))).otherwise(full))), ", ").alias("text"))
+    text = tables.filter("t >= 0").groupBy("schema_name", F.expr("t div 100").alias("part")).agg(F.array_join(F.sort_array(F.collect_list(F.when(F.col("t") % 2 == 0, F.concat(full, F.lit(" = DB."), F.col("table_name"))).otherwise(full))), ", ").alias("text"))
     return text.select("schema_name", F.explode(filters.parse_mapping(F.col("text"))).alias("x")).select("schema_name", "x.source", "x.target")

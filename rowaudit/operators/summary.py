@@ -50,9 +50,11 @@ def column_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 def first_names(df: DataFrame, by: list[str], name: str, n: int) -> DataFrame:
     """The first ``n`` names of each group, and how many more there are."""
-    w = W.partitionBy(*by).orderBy(name)
-    ranked = df.withColumn("rank", F.row_number().over(w)).withColumn("more", F.greatest(F.count(F.lit(1)).over(W.partitionBy(*by)) - n, F.lit(0)))
-    return ranked.filter(F.col("rank") <= n)
+    first = df.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(name))).filter(F.col("rank") <= n)
+    # Sizes come from counts that each task folds first: a count over the window would keep Spark from cutting ranks before the shuffle.
+    sizes = df.groupBy(*(F.col(c).alias(f"_{c}") for c in by)).agg(F.greatest(F.count(F.lit(1)) - n, F.lit(0)).alias("more"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    return first.join(sizes, same).drop(*(f"_{c}" for c in by))
 
 
 def issue_counts(issues: DataFrame, by: str, severities: tuple[str, ...] = ("Critical", "Error", "Warning", "Info")) -> DataFrame:

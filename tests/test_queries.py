@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from rowaudit import jobs
 from rowaudit.functions import canonical
+from rowaudit.jobs import count_audit
+from rowaudit.operators import filters, summary
 
 from .compare import duck, rows
 
@@ -54,6 +56,25 @@ def test_every_quarter_hour_around_the_changeovers(spark):
     assert [(r["t"], r["u"]) for r in df.collect() if r["u"] != _to_utc(r["t"])] == []
 
 
+def test_first_names_are_cut_before_the_shuffle(spark):
+    df = spark.range(2000).selectExpr("if(id % 3 = 0, null, id % 3) as side", "lpad(id, 5, '0') as name")
+    got = summary.first_names(df, ["side"], "name", 10)
+    assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
+    assert got.columns == ["side", "name", "rank", "more"]
+    want = {(s, f"{3 * k + (s or 0):05d}", k + 1, (657 if s is None or s == 1 else 656)) for s in (None, 1, 2) for k in range(10)}
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_mapping_texts_are_bounded(spark, monkeypatch):
+    whole = filters.parse_mapping
+    monkeypatch.setattr(filters, "parse_mapping", lambda c: F.array(F.struct(c.alias("source"), c.alias("target"))))
+    tables = spark.range(1000).selectExpr("'S' as schema_name", "concat('T', id) as table_name", "id as t")
+    texts = [r["source"] for r in count_audit.parse_mapping(tables).collect()]
+    assert len(texts) == 10 and max(len(x.split(",")) for x in texts) == 100
+    monkeypatch.setattr(filters, "parse_mapping", whole)
+    assert count_audit.parse_mapping(tables).select("source").distinct().count() == 1000
+
+
 def test_entry(spark):
     df = __spark_entry__.entry(spark)
     row = df.first()
