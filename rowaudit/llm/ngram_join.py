@@ -21,8 +21,8 @@ SKETCH = 1 << 17
 CELL_SETS, CELL_GRAMS = 96, 1 << 20
 #: Two sets that link share so many prefix n-grams at least (their prefixes are longer by as many less one).
 LEAST = 4
-#: Members of a prefix n-gram that are compared with each other by a plain join at most; more go to blocks of BLOCK.
-FEW, BLOCK = 16, 256
+#: Members of a prefix n-gram that are compared with each other by a plain join at most; more go to blocks of about BLOCK.
+FEW, BLOCK = 16, 512
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -73,6 +73,34 @@ def _digest(grams: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
+def _key(digest: tuple[int, int], moved: dict[tuple[int, int], int], bits: int) -> int:
+    """What joins know a set by: half of its digest, or the key it got instead. ``bits`` is less than 64 in tests only."""
+    return moved.get(digest, digest[1] & ((1 << bits) - 1) if bits < 64 else digest[1])
+
+
+def _with_keys(sets: DataFrame, bits: int) -> tuple[DataFrame, dict[tuple[int, int], int]]:
+    """``sets`` with a ``key`` that no two of them share, and the keys that differ from the digest's half.
+
+    With 64 bits, ten billion sets have about three such pairs, so these are few and go to the driver."""
+    half = F.col("lo") if bits == 64 else F.col("lo").bitwiseAND((1 << bits) - 1)
+    sets = sets.withColumn("key", half)
+    twins = written(sets.groupBy("key").agg(F.min(F.struct("hi", "lo")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "gram-twins")
+    late = twins.join(sets, "key").filter(F.struct("hi", "lo") != F.col("first")).select("hi", "lo").collect() if twins.limit(1).count() else []
+    moved: dict[tuple[int, int], int] = {}
+    salt = 0
+    while late:
+        salt += 1
+        named = {(r["hi"], r["lo"]): xxhash.xxh3_64_intdigest(f"{r['hi']} {r['lo']}", seed=salt) - (1 << 63) for r in late}
+        taken = {r[0] for r in sets.filter(F.col("key").isin(list(named.values()))).select("key").collect()} | set(moved.values())
+        fresh = {d: k for d, k in named.items() if k not in taken and list(named.values()).count(k) == 1}
+        moved |= fresh
+        late = [r for r in late if (r["hi"], r["lo"]) not in fresh]
+    if moved:
+        table = sets.sparkSession.createDataFrame([(*d, k) for d, k in moved.items()], "hi long, lo long, other long")
+        sets = written(sets.join(F.broadcast(table), ["hi", "lo"], "left").withColumn("key", F.coalesce("other", "key")).drop("other"), "distinct-sets")
+    return sets, moved
+
+
 def _keys(grams: np.ndarray, rare: np.ndarray, often: np.ndarray) -> np.ndarray:
     """The n-grams as sorted integers whose order is the global one: first those of rare words, last those that many texts share, then by hash.
 
@@ -109,7 +137,7 @@ def differ_at_least(a: bytes, b: bytes) -> int:
 
 
 @tidy
-def gram_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, num: int = 9, den: int = 10) -> DataFrame:
+def gram_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, num: int = 9, den: int = 10, key_bits: int = 64) -> DataFrame:
     """One row per input row: ``doc_id``, ``n_shingles`` and ``component_id``, the smallest id that links reach.
 
     Two rows link when ``den * |A and B| >= num * |A or B|`` for their sets of distinct word ``words``-grams (a text with
@@ -125,12 +153,15 @@ def gram_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
        through it shares the overlaps of common paths and leaves a subtree as soon as what remains can't reach the
        bound. A cell hands on a spanning forest of its links, not all pairs.
     4. Components of these links. Sets that share prefix n-grams, but lie in different components and were not compared
-       yet, pass the same filters (in blocks, where many sets share one) and are compared in a second round; after it
-       no pair is open.
+       yet, are compared in a second round; after it no pair is open. Where few sets share an n-gram, pairs pass the same
+       filters. The family of a leader with many goes to pairs of bounded blocks instead: a pair of blocks tells which of
+       its members parity bits don't rule out against every member of another component, then only these meet in a
+       tree. So no pair of a family is ever a row: its rows are its members times its blocks.
 
     A null text counts as empty; a text without words has no n-grams and links with nothing (its component is its own
     id). Rows with a null id share the component of rows with the same set and are never the smallest id; a set that
-    only rows with null ids have links with no other set, and its component is null. Repeated rows are one set.
+    only rows with null ids have links with no other set, and its component is null. Repeated rows are one set. Sets are
+    known by 128 bits; joins use 64 of them, and sets that share those get new ones first.
     ``num / den`` is a half or more. Other columns of ``docs`` are not read. An empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -160,7 +191,9 @@ def gram_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     order = spark.sparkContext.broadcast((rarity, often))
     sets = written(rows.filter("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n").cast("int").alias("n"), F.first("sig").alias("sig")), "distinct-sets")
 
-    by_lo = written(sets.dropDuplicates(["lo"]).select("lo", "rep", "sig"), "gram-signatures")
+    sets, moved = _with_keys(sets, key_bits)
+    renamed = spark.sparkContext.broadcast(moved)
+    by_lo = written(sets.select(F.col("key").alias("lo"), "rep", "sig"), "gram-signatures")
 
     def postings(batches):
         rarity, often = order.value
@@ -170,7 +203,7 @@ def gram_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
             for s, rare in gram_sets(b.column("text"), words, rarity):
                 n = len(s)
                 if n and den * n >= num * (n + 1):  # else no other set of any size reaches the bound
-                    hi, lo = _digest(s)
+                    lo = _key(_digest(s), renamed.value, key_bits)
                     if lo in done:
                         continue
                     if len(done) < 200_000:
@@ -192,28 +225,28 @@ def gram_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
     def fetched(pairs: DataFrame) -> DataFrame:
         """The whole sets of all members of pairs, from the texts; only texts that may be wanted are hashed and shuffled."""
-        reps = written(sets.join(pairs.select("lo").union(pairs.select(F.col("leader").alias("lo"))).distinct(), "lo", "left_semi").select("hi", "lo", "rep"), "gram-candidates")
+        named = pairs.select("lo").union(pairs.select(F.col("leader").alias("lo"))).distinct()
+        reps = written(sets.join(named, F.col("key") == named["lo"], "left_semi").select("key", "rep"), "gram-candidates")
         wanted = spark.sparkContext.broadcast(bitmap_of(reps.filter("rep is not null"), slot_of(F.col("rep"))))
 
         def fetch(batches):
             rarity, often = order.value
             for b in slices(batches):
                 b = b.filter(pa.array(bitmap_has(wanted.value, b.column("slot").to_numpy())))
-                hi, lo, grams = [], [], []
+                lo, grams = [], []
                 for s, rare in gram_sets(b.column("text"), words, rarity):
-                    d = _digest(s)
-                    hi.append(d[0])
-                    lo.append(d[1])
+                    lo.append(_key(_digest(s), renamed.value, key_bits))
                     grams.append(_keys(s, rare, often).tobytes())
-                yield pa.record_batch([b.column("doc_id"), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(grams, pa.binary())], names=["doc_id", "hi", "lo", "grams"])
+                yield pa.record_batch([b.column("doc_id"), pa.array(lo, pa.int64()), pa.array(grams, pa.binary())], names=["doc_id", "lo", "grams"])
 
-        rows = texts.dropna(subset=["doc_id"]).withColumn("slot", slot_of(F.col("doc_id"))).mapInArrow(fetch, "doc_id long, hi long, lo long, grams binary")
-        return written(rows.join(reps.select(F.col("rep").alias("doc_id"), "hi", "lo"), ["doc_id", "hi", "lo"], "left_semi").dropDuplicates(["hi", "lo"]), "gram-whole")
+        rows = texts.dropna(subset=["doc_id"]).withColumn("slot", slot_of(F.col("doc_id"))).mapInArrow(fetch, "doc_id long, lo long, grams binary")
+        return written(rows.join(reps.select(F.col("rep").alias("doc_id"), F.col("key").alias("lo")), ["doc_id", "lo"], "left_semi").dropDuplicates(["lo"]), "gram-whole")
 
     labels = components(_cell_links(first, fetched(first), num, den))
-    more = _open_pairs(shared, by_lo, first, labels, num, den)
-    if more.limit(1).count():
-        late = written(_cell_links(more, fetched(more), num, den), "gram-more-links")
+    pairs, families = _open(shared, by_lo, first, labels, num, den)
+    if pairs.limit(1).count() or families.limit(1).count():
+        whole = fetched(pairs.select("leader", "lo").union(families.select("lo", "lo")))
+        late = written(_cell_links(pairs, whole, num, den).union(_family_links(families, whole, num, den)), "gram-more-links")
         if late.limit(1).count():
             labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(late))
     known = written(
@@ -251,57 +284,78 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int(off[0]) if len(off) else k
 
 
-def tree_links(ids: list[int], sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+def _insert(root: _Node, x: np.ndarray, i: int) -> None:
+    n, node, rest = len(x), root, x
+    while True:
+        node.short, node.long = min(node.short, n), max(node.long, n)
+        if not len(rest):
+            node.ends.append((n, i))
+            return
+        child = node.below.get(int(rest[0]))
+        if child is None:
+            child = _Node(rest)
+            child.short = child.long = n
+            child.ends.append((n, i))
+            node.below[int(rest[0])] = child
+            return
+        k = _common(child.path, rest)
+        if k < len(child.path):
+            upper = _Node(child.path[:k])
+            upper.short, upper.long = child.short, child.long
+            child.path = child.path[k:]
+            upper.below[int(child.path[0])] = child
+            node.below[int(rest[0])] = upper
+            child = upper
+        node, rest = child, rest[k:]
+
+
+def _walk(root: _Node, x: np.ndarray, has: np.ndarray, num: int, den: int) -> Iterator[int]:
+    """The sets below ``root`` that link with ``x``; ``has`` marks its n-grams."""
+    n = len(x)
+    stack = [(child, 0, 0) for child in root.below.values()]
+    while stack:
+        node, depth, got = stack.pop()
+        if node.long * den < num * n or node.short * num > den * n:
+            continue
+        run = node.path
+        got += int(np.count_nonzero(has[run]))
+        depth += len(run)
+        for m, j in node.ends:
+            if (num + den) * got >= num * (n + m):
+                yield j
+        least = num * (n + node.short)
+        if node.below and (num + den) * (got + node.long - depth) >= least and (num + den) * (got + n - int(np.searchsorted(x, run[-1], "right"))) >= least:
+            stack.extend((child, depth, got) for child in node.below.values())
+
+
+def tree_links(ids: list[int], sets: list[np.ndarray], num: int, den: int, *, block: list[int] | None = None, known: list[int] | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the links among sets that are sorted in one global order.
 
     The sets go one by one, short ones first, into a tree whose nodes hold runs of n-grams and the least and greatest
     size below them. Before a set goes in, it walks the tree: the overlap with a node's run is found once for all sets
     below, and a subtree is left when its sizes are out of bounds, or when overlap so far plus the most that can still
-    come (what is left of the walker after the run's last n-gram, or of the longest set below) misses the bound."""
-    order = sorted(range(len(ids)), key=lambda i: len(sets[i]))
+    come (what is left of the walker after the run's last n-gram, or of the longest set below) misses the bound.
+
+    With two values of ``block``, only sets of different blocks are compared: the first block is stored, the second walks.
+    Sets of one value of ``known`` are connected already; links among them are left out."""
     root, forest, links = _Node(np.zeros(0, np.int64)), _Forest(), []
-    for i in order:
-        x = sets[i]
-        n = len(x)
-        stack = [(child, 0, 0, 0) for child in root.below.values()]
-        while stack:
-            node, depth, used, got = stack.pop()
-            if node.long * den < num * n:
-                continue
-            run = node.path
-            at = np.searchsorted(x, run)
-            hit = at < n
-            got += int(np.count_nonzero(x[at[hit]] == run[hit]))
-            used = int(np.searchsorted(x, run[-1], "right"))
-            depth += len(run)
-            for m, j in node.ends:
-                if (num + den) * got >= num * (n + m) and forest.join(ids[i], ids[j]):
-                    links.append((ids[i], ids[j]))
-            most = got + min(n - used, node.long - depth)
-            if (num + den) * most >= num * (n + node.short):
-                stack.extend((child, depth, used, got) for child in node.below.values())
-        node, rest = root, x
-        while True:
-            node.short, node.long = min(node.short, n), max(node.long, n)
-            if not len(rest):
-                node.ends.append((n, i))
-                break
-            child = node.below.get(int(rest[0]))
-            if child is None:
-                child = _Node(rest)
-                child.short = child.long = n
-                child.ends.append((n, i))
-                node.below[int(rest[0])] = child
-                break
-            k = _common(child.path, rest)
-            if k < len(child.path):
-                upper = _Node(child.path[:k])
-                upper.short, upper.long = child.short, child.long
-                child.path = child.path[k:]
-                upper.below[int(child.path[0])] = child
-                node.below[int(rest[0])] = upper
-                child = upper
-            node, rest = child, rest[k:]
+    least: dict[int, int] = {}
+    for i, c in zip(ids, known or ids, strict=True):
+        forest.join(least.setdefault(c, i), i)
+    bounds = np.cumsum([0, *map(len, sets)])
+    grams, local = np.unique(np.concatenate([*sets, np.zeros(0, np.int64)]), return_inverse=True)
+    sets = [local[i:j] for i, j in zip(bounds[:-1], bounds[1:], strict=True)]  # numbers in the same order
+    has = np.zeros(len(grams), bool)
+    block = block or [0] * len(ids)
+    both = len(set(block)) < 2
+    stored = min(block, default=0)
+    for i in sorted(range(len(ids)), key=lambda i: (block[i], len(sets[i]))):
+        if both or block[i] != stored:
+            has[sets[i]] = True
+            links += [(ids[i], ids[j]) for j in _walk(root, sets[i], has, num, den) if forest.join(ids[i], ids[j])]
+            has[sets[i]] = False
+        if block[i] == stored:
+            _insert(root, sets[i], i)
     return links
 
 
@@ -329,11 +383,9 @@ def _plausible(pairs: DataFrame, by_lo: DataFrame, num: int, den: int) -> DataFr
     return both.mapInArrow(kept, "leader long, lo long, n int")
 
 
-def _open_pairs(shared: DataFrame, by_lo: DataFrame, tested: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of sets that may link, lie in different components by ``labels`` and were not compared yet; ``(leader, lo, n)``.
-
-    A prefix n-gram that few sets have is joined with itself. Where many have it, its members are dealt to blocks; each
-    pair of blocks compares sizes and parity bits by itself and hands on the pairs that are left."""
+def _open(shared: DataFrame, by_lo: DataFrame, tested: DataFrame, labels: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """What may still link two components of ``labels``: pairs ``(leader, lo, n)`` that were not compared yet, from prefix
+    n-grams that few sets have, and members of families ``(leader, i, j, own, lo, comp)`` by pairs of blocks."""
     members = by_lo.select("lo", "rep")
     where = members.join(labels, F.col("rep") == F.col("node"), "left").select("lo", F.coalesce("component", F.col("rep"), "lo").alias("comp"))
     placed = written(shared.select("token", "leader", "lo", "n", "size").join(where, "lo"), "gram-placed")
@@ -342,41 +394,60 @@ def _open_pairs(shared: DataFrame, by_lo: DataFrame, tested: DataFrame, labels:
     few = rest.filter(F.col("size") <= FEW)
     a, b = (few.select("token", *(F.col(c).alias(c + s) for c in ("lo", "n", "comp"))) for s in "ab")
     near_by = a.join(b, "token").filter((F.col("loa") < F.col("lob")) & (F.col("compa") != F.col("compb")) & _fits(F.col("na"), F.col("nb"), num, den))
+    hits = near_by.groupBy("loa", "lob", "na", "nb").agg(F.count(F.lit(1)).alias("hits"))
+    pairs = _plausible(hits.select(F.col("loa").alias("leader"), F.col("lob").alias("lo"), "na", "nb", "hits"), by_lo, num, den)
+    done = tested.select(F.least("leader", "lo").alias("leader"), F.greatest("leader", "lo").alias("lo"))
+    pairs = written(pairs.join(done, ["leader", "lo"], "left_anti"), "gram-open-pairs")
+
     # Many n-grams of one family of sets have the same leader: its members meet once, not once for each n-gram.
     crowd = written(rest.filter(F.col("size") > FEW).select("leader", "lo", "n", "comp").distinct(), "gram-crowd")
-    blocks = crowd.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    crowd = crowd.join(blocks, "leader").join(by_lo.select("lo", "sig"), "lo").withColumn("own", F.pmod(F.xxhash64("lo"), F.col("blocks")))
+    blocks = crowd.groupBy("leader").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / CELL_GRAMS)).alias("blocks"), F.min("comp").alias("x"), F.max("comp").alias("y"))
+    crowd = crowd.join(blocks.filter("x <> y").select("leader", "blocks"), "leader").join(by_lo.select("lo", "sig"), "lo").withColumn("own", F.pmod(F.xxhash64("lo"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("k")
     dealt = crowd.select("leader", "own", "lo", "n", "comp", "sig", other).select("leader", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "own", "lo", "n", "comp", "sig")
 
-    def block(key: tuple, table: pa.Table) -> pa.Table:
-        i, j = key[1].as_py(), key[2].as_py()
-        own, lo, n, comp = (table.column(c).to_numpy() for c in ("own", "lo", "n", "comp"))
-        lo, at = np.unique(lo, return_index=True)
-        own, n, comp = own[at], n[at].astype(np.int64), comp[at]
-        sig = table.column("sig").take(pa.array(at)).to_pylist()
-        out = []
-        for size in np.unique([len(x) for x in sig]).tolist():
-            # sets whose sizes allow a link have as many buckets, or twice as many: compare each class with itself and the next
-            small = np.array([k for k, x in enumerate(sig) if len(x) == size])
-            large = np.array([k for k, x in enumerate(sig) if len(x) == 2 * size], np.int64)
-            bits = np.array([np.frombuffer(sig[k], np.uint64) for k in small])
-            wide = np.concatenate([bits, _folded(np.array([np.frombuffer(sig[k], np.uint64) for k in large]).reshape(len(large), -1), bits.shape[1]).reshape(len(large), bits.shape[1])]) if len(large) else bits
-            every = np.concatenate([small, large])
-            for p, k in enumerate(small):
-                ok = (comp[every] != comp[k]) & ((own[k] == i) & (own[every] == j) | (own[k] == j) & (own[every] == i))
-                ok &= np.minimum(n[every], n[k]) * den >= np.maximum(n[every], n[k]) * num
-                ok = np.flatnonzero(ok)
+    def block(table: pa.Table) -> pa.Table:
+        own, n, comp = (table.column(c).to_numpy() for c in ("own", "n", "comp"))
+        sig = table.column("sig").to_pylist()
+        return table.select(["leader", "i", "j", "own", "lo", "comp"]).filter(pa.array(_undecided(own, n.astype(np.int64), comp, sig, num, den)))
+
+    families = dealt.groupBy("leader", "i", "j").applyInArrow(block, "leader long, i long, j long, own long, lo long, comp long")
+    return pairs, written(families, "gram-families")
+
+
+def _undecided(own: np.ndarray, n: np.ndarray, comp: np.ndarray, sig: list[bytes], num: int, den: int) -> np.ndarray:
+    """For each set of a pair of blocks (or of one block), whether sizes and parity bits leave it a partner of another component, of the other block if there are two."""
+    kept = np.zeros(len(sig), bool)
+    two = len(np.unique(own)) > 1
+    buckets = np.array([len(x) for x in sig])
+    for size in np.unique(buckets).tolist():
+        # sets whose sizes allow a link have as many buckets, or twice as many: compare each class with itself and the next
+        small, large = np.flatnonzero(buckets == size), np.flatnonzero(buckets == 2 * size)
+        bits = np.array([np.frombuffer(sig[k], np.uint64) for k in small])
+        every = np.concatenate([small, large])
+        wide = np.concatenate([bits, _folded(np.array([np.frombuffer(sig[k], np.uint64) for k in large]), bits.shape[1])]) if len(large) else bits
+        for p, k in enumerate(small):
+            ok = comp[every] != comp[k]
+            if two:
+                ok &= own[every] != own[k]
+            ok &= np.minimum(n[every], n[k]) * den >= np.maximum(n[every], n[k]) * num
+            ok = np.flatnonzero(ok)
+            if len(ok):
                 ok = ok[np.bitwise_count(wide[ok] ^ bits[p]).sum(axis=1) * (den + num) <= (den - num) * (n[every[ok]] + n[k])]
-                out += [(k, q) if lo[k] < lo[q] else (q, k) for q in every[ok].tolist()]
-        x, y = np.array(sorted({(int(k), int(q)) for k, q in out}), np.int64).reshape(-1, 2).T
-        return pa.table({"loa": pa.array(lo[x]), "lob": pa.array(lo[y]), "na": pa.array(n[x].astype(np.int32)), "nb": pa.array(n[y].astype(np.int32))})
+                kept[every[ok]] = True
+                kept[k] |= bool(len(ok))
+    return kept
 
-    crowded = dealt.groupBy("leader", "i", "j").applyInArrow(block, "loa long, lob long, na int, nb int").withColumn("hits", F.lit(LEAST))
-    hits = near_by.select("loa", "lob", "na", "nb", F.lit(1).alias("hits")).unionByName(crowded).groupBy("loa", "lob", "na", "nb").agg(F.sum("hits").alias("hits"))
-    pairs = _plausible(hits.select(F.col("loa").alias("leader"), F.col("lob").alias("lo"), "na", "nb", "hits"), by_lo, num, den)
-    done = tested.select(F.least("leader", "lo").alias("leader"), F.greatest("leader", "lo").alias("lo"))
-    return written(pairs.join(done, ["leader", "lo"], "left_anti"), "gram-open-pairs")
+
+def _family_links(families: DataFrame, whole: DataFrame, num: int, den: int) -> DataFrame:
+    """Links ``(a, b)`` between components among the members of each pair of blocks; a spanning forest of each."""
+
+    def cell(table: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(x, np.int64) for x in table.column("grams").to_pylist()]
+        edges = tree_links(table.column("doc_id").to_pylist(), sets, num, den, block=table.column("own").to_pylist(), known=table.column("comp").to_pylist())
+        return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
+
+    return families.join(whole, "lo").select("leader", "i", "j", "own", "comp", "doc_id", "grams").groupBy("leader", "i", "j").applyInArrow(cell, "a long, b long")
 
 
 @tidy

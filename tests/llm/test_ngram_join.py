@@ -121,3 +121,37 @@ def test_parity_bits_never_exceed_the_difference():
         a = np.unique(r.integers(0, 1 << 63, r.integers(1, 900)).astype(np.uint64))
         b = np.unique(np.concatenate([a[r.random(len(a)) < 0.8], r.integers(0, 1 << 63, r.integers(1, 90)).astype(np.uint64)]))
         assert ngram_join.differ_at_least(ngram_join.parity(a), ngram_join.parity(b)) <= len(np.setxor1d(a, b))
+
+
+def test_one_family_of_thousands_across_components(spark, monkeypatch):
+    """Near copies of one text, each with its own edits: most lie just beyond the bound of each other, many in small components."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 300)
+    r = random.Random(11)
+    base = [f"v{k}" for k in range(60)]
+    docs, stems = [], []
+    for i in range(2400):
+        words = list(r.choice(stems)) if stems and r.random() < 0.5 else list(base)
+        for _ in range(r.choice([0, 1, 1, 2, 3])):
+            words[r.randrange(60)] = f"x{r.randrange(4000)}"
+        stems.append(words)
+        docs.append((i, " ".join(words)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in ngram_join.gram_links(df).collect()}
+    grams = [frozenset(zip(t.split(), t.split()[1:], t.split()[2:], strict=False)) for _, t in docs]
+    number = {g: k for k, g in enumerate(sorted(set().union(*grams)))}
+    hot = np.zeros((len(docs), len(number)), np.float32)
+    for i, g in enumerate(grams):
+        hot[i, [number[x] for x in g]] = 1
+    both, size = hot @ hot.T, hot.sum(axis=1)
+    forest = ngram_join._Forest()
+    for a, b in zip(*np.nonzero(10 * both >= 9 * (size[:, None] + size[None, :] - both)), strict=True):
+        forest.join(int(a), int(b))
+    assert got == {i: (len(grams[i]), forest.find(i)) for i in range(len(docs))}
+    assert 50 < len({c for _, c in got.values()}) < 2350
+
+
+def test_sets_that_share_half_of_their_digest(spark):
+    docs = _corpus(4, 120)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.gram_links(df, key_bits=5).collect()}
+    assert got == _brute(docs, 3, 9, 10)
