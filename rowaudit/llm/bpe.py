@@ -5,118 +5,95 @@ from __future__ import annotations
 import hashlib
 import os
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import words
+from . import blocks
+from .scratch import tidy
 
-#: Encodings that a worker keeps from one part of its texts to the next at most.
-KEPT_WORDS = 1 << 17
-#: Words whose encodings are shared with all tasks at most: about 20 MB, whatever the corpus holds.
-SHARED_WORDS = 1 << 17
 
+def _encoder(tokenizer: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
-def word_counts(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """``(word, n)``: every distinct word ``[^\\x20\\x09-\\x0D]+`` of all texts and how often it occurs; each task folds its own words first."""
+    encoder = Tokenizer.from_file(tokenizer)
+    encoder.no_truncation()
+    encoder.no_padding()
+    return encoder
 
-    def counted(batches):
-        for b in words.slices(batches):
-            flat, _ = words.split(b.column(0), lower=False)
-            if len(flat):
-                v = flat.value_counts()
-                yield pa.record_batch([v.field("values"), v.field("counts")], names=["word", "n"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def encoded_words(encoder, distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """How many ids each word has, and all ids in turn."""
+    sizes, ids = [], []
+    for k in range(0, len(distinct), 5000):
+        for e in encoder.encode_batch(distinct[k : k + 5000], add_special_tokens=False):
+            own = e.ids
+            sizes.append(len(own))
+            ids += own
+    return np.array(sizes, np.uint32), np.array(ids, np.uint32)
 
 
-def frequent_words(counts: DataFrame, most: int = SHARED_WORDS) -> DataFrame:
-    """The words of ``counts`` above the least frequency that leaves at most ``most`` of them."""
-    left, least = most, None
-    by_n = counts.filter("n > 1").groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count(F.lit(1)).alias("w")).orderBy(F.desc("n"))
-    for n, w in by_n.collect():  # a row for each frequency, 100,000 at most
-        if w > left:
-            break
-        left, least = left - w, n
-    return counts.filter(F.col("n") >= least) if least is not None else counts.limit(0)
-
-
-class WordCodec:
-    """Ids of words, and pieces of ids; a word is encoded once for each part of the texts that holds it at most."""
-
-    def __init__(self, tokenizer: str, shared: dict[str, tuple[int, str, str]] | None = None) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.encoder = Tokenizer.from_file(tokenizer)
-        self.encoder.no_truncation()
-        self.encoder.no_padding()
-        self.pieces = [self.encoder.id_to_token(i) for i in range(self.encoder.get_vocab_size(with_added_tokens=True))]
-        self.shared = shared or {}
-        self.kept: dict[str, tuple[int, str, str]] = {}
-
-    def encode(self, distinct: list[str]) -> list[list[int]]:
-        out: list[list[int]] = []
-        for k in range(0, len(distinct), 5000):
-            out += [e.ids for e in self.encoder.encode_batch(distinct[k : k + 5000], add_special_tokens=False)]
-        return out
-
-    def entries(self, distinct: list[str]) -> list[tuple[int, str, str]]:
-        """For each word: number of ids, the ids, their pieces (joined through the id-to-piece table); each text ends in a blank."""
-        known = [self.shared.get(w) or self.kept.get(w) for w in distinct]
-        new = [w for w, e in zip(distinct, known, strict=True) if e is None]
-        pieces = self.pieces
-        fresh = [(len(ids), "".join(f"{i} " for i in ids), "".join(pieces[i] + " " for i in ids)) for ids in self.encode(new)]
-        if len(self.kept) + len(new) > KEPT_WORDS:
-            self.kept = {}
-        self.kept.update(zip(new[:KEPT_WORDS], fresh, strict=False))
-        each = iter(fresh)
-        return [e or next(each) for e in known]
+def _taken(ends: np.ndarray, values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of lists that stand in turn in ``values``, those at ``at``: their sizes and values."""
+    size = (ends[1:] - ends[:-1])[at]
+    upto = np.cumsum(size)
+    return size, values[np.repeat(ends[at] - (upto - size), size) + np.arange(upto[-1] if len(upto) else 0)]
 
 
 def _sha(parts: list[str]) -> str:
     return hashlib.sha256("".join(parts)[:-1].encode()).hexdigest()
 
 
-def encode_decode(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", shared_words: int = SHARED_WORDS) -> DataFrame:
+@tidy
+def encode_decode(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id``, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of the text's ids and of their decoding.
 
     For a tokenizer that drops white space before it looks for pieces, and decodes by joining pieces with blanks, a
-    text's ids are those of its words in turn. So words are split and counted in Spark; the frequent ones (at most
-    ``shared_words``, a bound and not a share of the corpus) are encoded once, by many tasks, and sent to all of them;
-    every other word is encoded once for each batch of rows that holds it, which is once in all for most of them. Ids go
-    back to the words' positions by the words' numbers, and pieces are looked up by id; texts never cross the shuffle.
+    text's ids are those of its words in turn.
+
+    1. Words are split in Spark; a block of texts keeps its distinct words and the texts as numbers of these.
+    2. The blocks' words meet by hash bucket, so all occurrences of a word in all blocks are in one bucket. There each
+       distinct word of the corpus is encoded once, whether frequent or not.
+    3. The ids go back to the blocks and join the words by position. Ids join the table of pieces (id, piece), which
+       every task holds as it has the vocabulary's size, once for each distinct word of a block; texts are put together.
 
     ``tokenizer`` is the path of its file on every machine. A null text counts as empty: no tokens, and both digests of
-    the empty string. Ids may be null or repeat; other columns are not read.
+    the empty string. Ids may be null or repeat; other columns are not read; very long texts are a block of their own.
+    An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-
-    def encoded(batches):
-        codec = WordCodec(tokenizer)
-        for b in batches:
-            n, ids, text = zip(*codec.entries(b.column(0).to_pylist()), strict=True) if b.num_rows else ((), (), ())
-            yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], names=["word", "n", "ids", "text"])
-
-    common = frequent_words(word_counts(docs, text_col=text_col), shared_words)
-    table = common.select("word").mapInArrow(encoded, "word string, n long, ids string, text string").toArrow().to_pydict()
-    shared = spark.sparkContext.broadcast(dict(zip(table["word"], zip(table["n"], table["ids"], table["text"], strict=True), strict=True)))
-
-    def joined(batches):
-        codec = WordCodec(tokenizer, shared.value)
-        for b in words.slices(batches):
-            flat, ends = words.split(b.column("text"), lower=False)
-            at, distinct = words.numbered(flat)
-            entries = codec.entries(distinct.to_pylist())
-            n, ids, text = ([e[k] for e in entries] for k in range(3))
-            at, ends = at.tolist(), ends.tolist()
-            count, id_sha, text_sha = [], [], []
-            for i, j in zip(ends[:-1], ends[1:], strict=True):
-                own = at[i:j]
-                count.append(sum([n[k] for k in own]))
-                id_sha.append(_sha([ids[k] for k in own]))
-                text_sha.append(_sha([text[k] for k in own]))
-            yield pa.record_batch([b.column("doc_id"), pa.array(count, pa.int64()), pa.array(id_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(joined, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(0).alias("flag"), F.col(text_col).alias("text"))
+    whole, buckets = blocks.text_blocks(texts, lower=False)
+
+    def encoded(table: pa.Table) -> pa.Table:
+        seen = blocks.WordRows(table)
+        sizes, ids = encoded_words(_encoder(tokenizer), seen.distinct)
+        ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        answers = [blocks.squeezed(*(x.astype(np.uint32) for x in _taken(ends, ids, at))) for at in seen.places]
+        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "data": pa.array(answers, pa.binary())})
+
+    answers = whole.filter(F.col("bucket") != blocks.TEXTS).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(encoded, blocks.SCHEMA)
+
+    def joined(table: pa.Table) -> pa.Table:
+        block, data = blocks.blocks_of(table)
+        each = [blocks.unsqueezed(d, np.uint32, np.uint32) for d in data]
+        sizes, ids = (np.concatenate([x[k] for x in each]) if each else np.zeros(0, np.uint32) for k in range(2))
+        place = block.by_number(np.arange(len(sizes)))  # of each word by number, among those by bucket
+        size, ids = _taken(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), ids, place)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
+        encoder = _encoder(tokenizer)
+        pieces = pa.array([f"{encoder.id_to_token(i)} " for i in range(encoder.get_vocab_size(with_added_tokens=True))])
+        numbers = pa.array([f"{i} " for i in range(len(pieces))])
+        shown = [pc.binary_join(pa.ListArray.from_arrays(offsets, x.take(pa.array(ids))), "").to_pylist() for x in (numbers, pieces)]
+        tokens = np.concatenate([[0], np.cumsum(size[block.at])])[block.ends]
+        sha: tuple[list[str], list[str]] = ([], [])
+        for i, j in zip(block.ends[:-1].tolist(), block.ends[1:].tolist(), strict=True):
+            own = block.at[i:j].tolist()
+            for out, text in zip(sha, shown, strict=True):
+                out.append(_sha([text[k] for k in own]))
+        return pa.table({"doc_id": block.doc_id, "n_tokens": pa.array(np.diff(tokens)), "ids_sha256": pa.array(sha[0], pa.string()), "decoded_sha256": pa.array(sha[1], pa.string())})
+
+    both = whole.filter(F.col("bucket") == blocks.TEXTS).union(answers)
+    return both.repartition(buckets, "block").groupBy("block").applyInArrow(joined, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -6,18 +6,18 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import words
+from . import blocks
 from .scratch import tidy, written
 
-#: Words that the exchange moves (the most frequent ones; model capacity), classes, and distinct words of a block.
-EXCHANGED, CLASSES, BLOCK_WORDS = 1024, 32, 400_000
+#: The most frequent words, which are exchanged one by one on the driver at first; classes; sweeps over all words after that.
+CORE, CLASSES, SWEEPS = 1024, 32, 2
 #: Class codes beyond the classes: a word not seen in training, and the end of a text. A word seen once has ONCE added.
 UNSEEN, END, ONCE = 126, 127, 128
+#: Neighbours of a word: its class (the end of a text behind all classes), and 64 more if it stands behind the word.
+BEHIND = 64
 
 
 def exchange(pairs: np.ndarray, n_words: int, classes: int, sweeps: int = 12) -> np.ndarray:
@@ -67,186 +67,262 @@ def exchange(pairs: np.ndarray, n_words: int, classes: int, sweeps: int = 12) ->
     return cls[:n_words]
 
 
-def _blocks(texts: DataFrame) -> DataFrame:
-    """Texts as word numbers within blocks, and each block's distinct words with their training counts; one table, ``word`` is null in rows of texts."""
-
-    def blocked(batches):
-        first = TaskContext.get().partitionId() << 24
-        number: dict[str, int] = {}
-        counts, block = np.zeros(0, np.int64), 0
-        none = lambda n, kind: pa.nulls(n, kind)
-        names = ["block", "doc_id", "held_out", "at", "k", "word", "n"]
-
-        def flush():
-            n = len(number)
-            return pa.record_batch([pa.array(np.full(n, first + block)), none(n, pa.int64()), none(n, pa.bool_()), none(n, pa.binary()), pa.array(np.arange(n)), pa.array(list(number), pa.string()), pa.array(counts[:n])], names=names)
-
-        for b in words.slices(batches):
-            flat, ends = words.split(b.column("text"))
-            at, distinct = words.numbered(flat)
-            held = b.column("held_out").to_numpy(zero_copy_only=False)
-            place = np.fromiter((number.setdefault(w, len(number)) for w in distinct.to_pylist()), np.int64, len(distinct))
-            at = place[at].astype(np.uint32)
-            if len(counts) < len(number):
-                counts = np.concatenate([counts, np.zeros(len(number) * 2 - len(counts), np.int64)])
-            train = np.repeat(~held.astype(bool), np.diff(ends))
-            counts += np.bincount(at[train], minlength=len(counts))
-            halves = at.view(np.uint16).reshape(-1, 2)
-            packed = [np.ascontiguousarray(halves[i:j].T).tobytes() for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            n = b.num_rows
-            yield pa.record_batch([pa.array(np.full(n, first + block)), b.column("doc_id"), b.column("held_out"), pa.array(packed, pa.binary()), none(n, pa.int64()), none(n, pa.string()), none(n, pa.int64())], names=names)
-            if len(number) > BLOCK_WORDS:
-                yield flush()
-                number, counts, block = {}, np.zeros(0, np.int64), block + 1
-        if number:
-            yield flush()
-
-    return written(texts.mapInArrow(blocked, "block long, doc_id long, held_out boolean, at binary, k long, word string, n long"), "lm-blocks")
-
-
-def _unpacked(at: bytes) -> np.ndarray:
-    halves = np.frombuffer(at, np.uint16).reshape(2, -1)
-    return halves[0].astype(np.int64) | halves[1].astype(np.int64) << 16
-
-
-def _most_frequent(counts: DataFrame, most: int) -> list[str]:
-    """The words above the least count that leaves at most ``most``, most frequent first."""
-    left, least = most, None
-    by_n = counts.groupBy(F.least("c", F.lit(1_000_000)).alias("c")).agg(F.count(F.lit(1)).alias("w")).orderBy(F.desc("c")).limit(most)
-    for n, w in by_n.collect():
-        if w > left:
-            break
-        left, least = left - w, n
-    if least is None:
-        return [r[0] for r in counts.orderBy(F.desc("c"), "word").limit(most).select("word").collect()]
-    return [r[0] for r in counts.filter(F.col("c") >= least).orderBy(F.desc("c"), "word").select("word").collect()]
-
-
-def _contexts(b: pa.RecordBatch, number: dict[str, int], other: int, end: int) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray, np.ndarray]:
-    """Over a batch of training texts: each token's symbol with an ``end`` behind each text, the words' places in the distinct words, these, and the texts' bounds."""
-    flat, ends = words.split(b.column("text"))
-    at, distinct = words.numbered(flat)
-    known = np.fromiter((number.get(w, other) for w in distinct.to_pylist()), np.int64, len(distinct))
-    row = np.repeat(np.arange(b.num_rows), np.diff(ends))
-    symbols = np.full(len(at) + b.num_rows, end)
-    where = np.arange(len(at)) + row  # each text before has one end
-    symbols[where] = known[at]
-    return symbols, where, distinct, at, ends
+def _g(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-12))
+
+
+def _contexts(codes: np.ndarray, ends: np.ndarray, flag: np.ndarray, at: np.ndarray, end: int, none: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(word, neighbour, count)`` over texts that aren't flagged, sorted; and the codes of these texts with ``end`` before, between and behind them.
+    ``codes`` are the words' by number; a neighbour of code ``none`` is left out."""
+    train = np.repeat(flag == 0, np.diff(ends))
+    size = np.diff(ends)[flag == 0]
+    own = at[train].astype(np.int64)
+    row = np.repeat(np.arange(len(size)), size)
+    symbols = np.full(len(own) + len(size) + 1, end, np.int64)
+    where = np.arange(len(own)) + row + 1  # one end before each text
+    symbols[where] = codes[own]
+    before, behind = symbols[where - 1], symbols[where + 1]
+    keys = np.concatenate([(own * 128 + before)[before != none], (own * 128 + BEHIND + behind)[behind != none]])
+    keys, n = np.unique(keys, return_counts=True)
+    return keys // 128, keys % 128, n, symbols
+
+
+def best_classes(word: np.ndarray, neighbour: np.ndarray, n: np.ndarray, cls: np.ndarray, joint: np.ndarray) -> np.ndarray:
+    """The class for each word that gains most likelihood of the class bigram model, from its counts of neighbours.
+
+    ``(word, neighbour, n)`` is sorted by word; ``cls`` is each word's class, or the number of classes where it has none
+    yet; ``joint`` counts class bigrams, the end of a text last. A word's own counts are taken out of its class first.
+    All words are moved at once against one matrix."""
+    classes, words = len(joint) - 1, len(cls)
+    gain = np.zeros((words, classes))
+    if not len(word):
+        return cls.copy()
+    to = joint[:classes].astype(np.float64)  # class, class behind it
+    sides = np.stack([joint[:, :classes].T.astype(np.float64), to])  # side, own class, neighbour's class
+    side, c = neighbour // BEHIND, neighbour % BEHIND
+    starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+    for i in range(0, len(starts), 4096):
+        lo, hi = starts[i], starts[i + 4096] if i + 4096 < len(starts) else len(word)
+        s, k, m, w = side[lo:hi], c[lo:hi], n[lo:hi].astype(np.float64), word[lo:hi]
+        there = sides[s, :, k]
+        each = _g(there + m[:, None]) - _g(there)
+        a = cls[w]
+        own = np.flatnonzero(a < classes)
+        held = there[own, a[own]]
+        each[own, a[own]] = _g(held) - _g(np.maximum(held - m[own], 0))
+        gain[w[np.concatenate([[True], w[1:] != w[:-1]])]] = np.add.reduceat(each, starts[i : i + 4096] - lo, axis=0)
+    for s in (0, 1):
+        margin = sides[s].sum(axis=1)
+        total = np.bincount(word[side == s], n[side == s], minlength=words)
+        kinds, kind = np.unique(total, return_inverse=True)
+        gain -= (_g(margin + kinds[:, None]) - _g(margin))[kind]
+        own = np.flatnonzero(cls < classes)
+        gain[own, cls[own]] += (_g(margin + kinds[:, None]) - _g(margin))[kind[own], cls[own]]
+        gain[own, cls[own]] -= _g(margin[cls[own]]) - _g(np.maximum(margin[cls[own]] - total[own], 0))
+    best = gain.argmax(axis=1)
+    own = np.flatnonzero(cls < classes)
+    stay = gain[own, best[own]] <= gain[own, cls[own]] + 1e-9
+    best[own[stay]] = cls[own[stay]]
+    return best
+
+
+def _by_number(block: blocks.BlockTexts, answers: list[bytes], *kinds: type) -> list[np.ndarray]:
+    each = [blocks.unsqueezed(d, *kinds) for d in answers]
+    return [block.by_number(np.concatenate([x[k] for x in each])) if each else np.zeros(0, kinds[k]) for k in range(len(kinds))]
 
 
 @tidy
-def class_scores(docs: DataFrame, held_out: F.Column, *, id_col: str = "doc_id", text_col: str = "text", exchanged: int = EXCHANGED, classes: int = CLASSES) -> DataFrame:
+def class_scores(docs: DataFrame, held_out: F.Column, *, id_col: str = "doc_id", text_col: str = "text", core: int = CORE, classes: int = CLASSES, sweeps: int = SWEEPS) -> DataFrame:
     """One row per input row: ``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``.
 
     Tokens are the words of a text after lower-casing A-Z, and one end. The model learns from all rows where ``held_out``
     is false: log10 P(text) is the sum over tokens of log10 P(class | class before) * P(word | class).
 
-    1. Words become numbers within blocks of texts; each block keeps its distinct words, whose counts are summed over all.
-    2. The ``exchanged`` most frequent words are clustered by exchange on their bigram counts. Every other word gets the
-       class that its neighbours among those words make likeliest, by votes of all its occurrences.
-    3. Counts and classes of all words go back to the blocks by a join on the word, so no task or driver ever holds the
-       whole vocabulary. There texts become strings of class codes.
+    1. Texts become word numbers in blocks, whose words meet by hash bucket (``blocks``): there every word of the corpus
+       has its count. Neither driver nor task ever holds the whole vocabulary.
+    2. The ``core``, the most frequent words, is clustered by exchange on its bigram counts, a word at a time, to
+       convergence. That gives the first classes.
+    3. Exchange sweeps over all words: blocks count each word's neighbours by class, buckets sum these over the whole
+       corpus and move each word to the class that gains most, against the matrix of class bigrams; then the classes go
+       back to the blocks and the matrix is counted anew. In the first sweep only core words and ends have a class to be
+       counted by. ``sweeps`` bounds the work: each one moves every word once.
     4. Class transitions are counted over all training texts. A word not seen in training is one more event; its
        probability behind a class is the share of words seen once there (Good and Turing), and it is followed as those are.
 
-    ``base_score`` is the sum of log10((c + 0.5) / (N + 0.5 (V + 1))). A null text counts as empty: its end alone. Null
-    ids and repeated rows are scored each. A null ``held_out`` counts as held out. Without any training text every class is
-    equally likely. Other columns are not read. An empty table gives an empty result.
+    All counts are sums of whole numbers and all ties fall to the lower class, so scores depend neither on partitions nor
+    on the order of rows. ``base_score`` is the sum of log10((c + 0.5) / (N + 0.5 (V + 1))). A null text counts as empty:
+    its end alone. Null ids and repeated rows are scored each. A null ``held_out`` counts as held out. Without any
+    training text every class is equally likely. Other columns are not read. An empty table gives an empty result.
     """
+    if not 0 < classes < BEHIND - 2:
+        raise ValueError(f"classes lie between 1 and {BEHIND - 3}")
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(True)).alias("held_out"), F.col(text_col).alias("text"))
-    blocks = _blocks(texts)
-    in_texts, in_words = blocks.filter("word is null"), blocks.filter("word is not null")
-    training = texts.filter("not held_out").select("text")
-    ends = in_texts.filter("not held_out").count()
-
-    counts = written(in_words.groupBy("word").agg(F.sum("n").alias("c")).filter("c > 0"), "lm-counts")
-    frequent = _most_frequent(counts, exchanged)
-    number = {w: k for k, w in enumerate(frequent)}
+    flag = F.coalesce(held_out, F.lit(True)).cast("int")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), flag.alias("flag"), F.col(text_col).alias("text"))
+    whole, buckets = blocks.text_blocks(texts, lower=True)
+    of_texts = whole.filter(F.col("bucket") == blocks.TEXTS)
+    ends = texts.filter("flag = 0").count()
+
+    def per_bucket(df: DataFrame, f, schema: str) -> DataFrame:
+        return df.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(f, schema)
+
+    def per_block(answers: DataFrame, f, schema: str) -> DataFrame:
+        return of_texts.unionByName(answers.select("block", "bucket", "data")).repartition(buckets, "block").groupBy("block").applyInArrow(f, schema)
+
+    # rows of a bucket: kind 0 its words with counts and classes, 1 the places of a block's words in them, 2 a block's counts of neighbours, 3 answers to a block
+    rows = "kind int, block long, bucket long, data binary"
+
+    def table(kind: list[int], block: list[int], bucket: int, data: list[bytes]) -> pa.Table:
+        return pa.table({"kind": pa.array(kind, pa.int32()), "block": pa.array(block, pa.int64()), "bucket": pa.array([bucket] * len(kind), pa.int64()), "data": pa.array(data, pa.binary())})
+
+    def counted(part: pa.Table) -> pa.Table:
+        seen = blocks.WordRows(part)
+        c = np.zeros(len(seen.distinct), np.uint64)
+        for at, n in zip(seen.places, seen.trained, strict=True):
+            c[at] += n
+        cls = np.full(len(c), classes, np.uint8)
+        data = [blocks.squeezed(blocks.packed_words(pa.array(seen.distinct, pa.string())), c, cls), *(blocks.squeezed(at) for at in seen.places)]
+        return table([0] + [1] * len(seen.block), [-1, *seen.block], part.column("bucket")[0].as_py(), data)
+
+    lexicon = written(per_bucket(whole.filter(F.col("bucket") != blocks.TEXTS), counted, rows), "lm-lexicon")
+    places = lexicon.filter("kind = 1")
+    lexicon = lexicon.filter("kind = 0")
+
+    def most_frequent(batches):
+        for b in batches:
+            for data in b.column(0).to_pylist():
+                words, c, _ = blocks.unsqueezed(data, np.uint8, np.uint64, np.uint8)
+                words = blocks.unpacked_words(words)
+                top = np.argsort(-c.astype(np.int64), kind="stable")[:core]  # words stand in order
+                top = top[c[top] > 0]
+                yield pa.record_batch([pa.array([words[k] for k in top], pa.string()), pa.array(c[top].astype(np.int64))], names=["word", "c"])
+
+    first = lexicon.select("data").mapInArrow(most_frequent, "word string, c long").orderBy(F.desc("c"), "word").limit(core)
+    number = {r["word"]: k for k, r in enumerate(first.collect())}
     other, end, wide = len(number), len(number) + 1, len(number) + 2
     shared = spark.sparkContext.broadcast(number)
 
-    def bigrams(batches):
-        seen = np.zeros(wide * wide, np.int64)
-        for b in words.slices(batches):
-            symbols, *_ = _contexts(b, shared.value, other, end)
-            if len(symbols):
-                seen += np.bincount(np.concatenate([[end], symbols[:-1]]) * wide + symbols, minlength=wide * wide)
-        k = np.flatnonzero(seen)
-        yield pa.record_batch([pa.array(k), pa.array(seen[k])], names=["k", "n"])
+    def numbers(part: pa.Table) -> pa.Table:
+        kind, block, data = (part.column(c).to_pylist() for c in ("kind", "block", "data"))
+        words, *_ = blocks.unsqueezed(data[kind.index(0)], np.uint8, np.uint64, np.uint8)
+        own = np.array([shared.value.get(w, other) for w in blocks.unpacked_words(words)], np.uint16)
+        rest = [k for k, x in enumerate(kind) if x == 1]
+        return table([3] * len(rest), [block[k] for k in rest], part.column("bucket")[0].as_py(), [blocks.squeezed(own[blocks.unsqueezed(data[k], np.uint32)[0]]) for k in rest])
+
+    named = written(per_bucket(lexicon.union(places), numbers, rows), "lm-numbers")
+
+    def bigrams(part: pa.Table) -> pa.Table:
+        block, answers = blocks.blocks_of(part)
+        (codes,) = _by_number(block, answers, np.uint16)
+        *_, symbols = _contexts(codes, block.ends, block.flag, block.at, end, -1)
+        seen, n = np.unique(symbols[:-1] * wide + symbols[1:], return_counts=True)
+        return pa.table({"k": pa.array(seen), "n": pa.array(n)})
 
-    table = training.mapInArrow(bigrams, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    found = per_block(named, bigrams, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()  # a row for each pair of core words at most
     pairs = np.zeros(wide * wide)
-    pairs[table.column("k").to_numpy()] = table.column("n").to_numpy()
+    pairs[found.column("k").to_numpy()] = found.column("n").to_numpy()
     pairs = pairs.reshape(wide, wide)
     cls = exchange(pairs, len(number), classes) if number else np.zeros(0, np.int64)
-    hot = np.zeros((wide, classes + 2))
-    hot[np.arange(wide), np.concatenate([cls, [classes, classes + 1]])] = 1
-    joint = hot.T @ pairs @ hot
-    behind = np.log((joint[:, :classes] + 0.5) / (joint[:, :classes] + 0.5).sum(axis=1, keepdims=True))
-    before = np.log((joint[:classes].T + 0.5) / (joint[:classes].T + 0.5).sum(axis=1, keepdims=True))
-    behind[classes], before[classes] = 0, 0  # a neighbour without a class of its own says nothing
-    model = spark.sparkContext.broadcast((np.concatenate([cls, [classes, classes + 1]]), behind, before))
-
-    def votes(batches):
-        cls_of, behind, before = model.value
-        for b in words.slices(batches):
-            symbols, where, distinct, at, _ = _contexts(b, shared.value, other, end)
-            if not len(at):
-                continue
-            c = cls_of[symbols]
-            prev, then = np.concatenate([[classes + 1], c[:-1]])[where], c[where + 1]
-            own = np.full(len(distinct), -1)
-            own[at] = c[where]
-            fixed = own < classes
-            best = np.where(fixed, own, 0)
-            loose = np.flatnonzero(~fixed)
-            if len(loose):
-                place = np.full(len(distinct), -1)
-                place[loose] = np.arange(len(loose))
-                free = place[at] >= 0
-                who = place[at[free]]
-                told = np.bincount((who[:, None] * (classes + 2) + prev[free, None]).ravel(), minlength=len(loose) * (classes + 2)).reshape(len(loose), -1) @ behind
-                told += np.bincount((who[:, None] * (classes + 2) + then[free, None]).ravel(), minlength=len(loose) * (classes + 2)).reshape(len(loose), -1) @ before
-                best[loose] = told.argmax(axis=1)
-            n = np.bincount(at, minlength=len(distinct))
-            yield pa.record_batch([distinct, pa.array(best.astype(np.int32)), pa.array(n)], names=["word", "cls", "n"])
-
-    voted = training.mapInArrow(votes, "word string, cls int, n long").repartition("word").groupBy("word", "cls").agg(F.sum("n").alias("n"))
-    lexicon = written(voted.groupBy("word").agg(F.sum("n").alias("c"), F.max(F.struct("n", "cls")).getField("cls").alias("cls")), "lm-lexicon")
-    totals = np.zeros(classes)
-    kinds = 0
-    for k, n, v in lexicon.groupBy("cls").agg(F.sum("c"), F.count(F.lit(1))).collect():  # a row for each class
+    of_number = np.concatenate([cls, [BEHIND - 1, classes]])  # of a core word, of all others, of an end
+    kept = [*range(classes), classes]
+    joint = np.zeros((BEHIND, BEHIND))
+    np.add.at(joint, (of_number[:, None], of_number[None, :]), pairs)
+    joint = joint[np.ix_(kept, kept)]
+
+    def neighbours(part: pa.Table) -> pa.Table:
+        block, answers = blocks.blocks_of(part)
+        (codes,) = _by_number(block, answers, np.uint16)
+        return around(part, block, model.value[codes])
+
+    def neighbours_again(part: pa.Table) -> pa.Table:
+        block, answers = blocks.blocks_of(part)
+        (codes,) = _by_number(block, answers, np.uint8)
+        return around(part, block, np.where(codes < classes, codes, BEHIND - 1))
+
+    def around(part: pa.Table, block: blocks.BlockTexts, codes: np.ndarray) -> pa.Table:
+        word, neighbour, n, symbols = _contexts(codes, block.ends, block.flag, block.at, classes, BEHIND - 1)
+        size = np.bincount(word, minlength=len(block.order))
+        start = np.concatenate([[0], np.cumsum(size)])
+        data, bucket = [], []
+        for b, own in block.by_bucket(np.arange(len(size))):
+            each = size[own]
+            upto = np.cumsum(each)
+            at = np.repeat(start[own] - (upto - each), each) + np.arange(upto[-1])
+            data.append(blocks.squeezed(each.astype(np.uint32), neighbour[at].astype(np.uint8), n[at].astype(np.uint32)))
+            bucket.append(b)
+        seen, many = np.unique(symbols[:-1] * BEHIND + symbols[1:], return_counts=True)
+        none = pa.nulls(len(seen), pa.binary())
+        return pa.table(
+            {
+                "kind": pa.array([2] * len(data) + [4] * len(seen), pa.int32()), "block": pa.array([part.column("block")[0].as_py()] * len(data) + many.tolist(), pa.int64()),
+                "bucket": pa.array(bucket + seen.tolist(), pa.int64()), "data": pa.chunked_array([pa.array(data, pa.binary()), none]),
+            }
+        )
+
+    def moved(part: pa.Table) -> pa.Table:
+        kind, block, data = (part.column(c).to_pylist() for c in ("kind", "block", "data"))
+        words, c, cls = blocks.unsqueezed(data[kind.index(0)], np.uint8, np.uint64, np.uint8)
+        at = {block[k]: blocks.unsqueezed(data[k], np.uint32)[0] for k, x in enumerate(kind) if x == 1}
+        keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k, x in enumerate(kind):
+            if x == 2:
+                size, neighbour, n = blocks.unsqueezed(data[k], np.uint32, np.uint8, np.uint32)
+                keys.append(np.repeat(at[block[k]], size).astype(np.int64) * 128 + neighbour)
+                counts.append(n.astype(np.int64))
+        keys, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.bincount(inverse, np.concatenate(counts), minlength=len(keys)).astype(np.int64)
+        new = best_classes(keys // 128, keys % 128, n, cls.astype(np.int64), matrix.value)
+        new = np.where(c > 0, np.minimum(new, classes - 1), classes).astype(np.uint8)
+        code = np.where(c > 0, new, UNSEEN).astype(np.uint8)
+        out = [blocks.squeezed(words, c, new), *(blocks.squeezed(code[own], np.minimum(c[own], 0xFFFFFFFF).astype(np.uint32)) if last else blocks.squeezed(code[own]) for own in at.values())]
+        return table([0] + [3] * len(at), [-1, *at], part.column("bucket")[0].as_py(), out)
+
+    answers = named
+    for k in range(max(1, sweeps)):
+        last = k == max(1, sweeps) - 1
+        model = spark.sparkContext.broadcast(of_number)
+        seen = written(per_block(answers, neighbours_again if k else neighbours, rows), "lm-neighbours")
+        if k:
+            joint = np.zeros((BEHIND, BEHIND))
+            for pair, n in seen.filter("kind = 4").groupBy("bucket").agg(F.sum("block")).collect():  # a row for each pair of classes
+                joint[pair // BEHIND, pair % BEHIND] = n
+            joint = joint[np.ix_(kept, kept)]
+        matrix = spark.sparkContext.broadcast(joint)
+        state = written(per_bucket(lexicon.union(places).union(seen.filter("kind = 2")), moved, rows), "lm-classes")
+        lexicon, answers = state.filter("kind = 0"), state.filter("kind = 3")
+
+    def summed(batches):
+        for b in batches:
+            for data in b.column(0).to_pylist():
+                _, c, cls = blocks.unsqueezed(data, np.uint8, np.uint64, np.uint8)
+                n, v = np.bincount(cls, c, minlength=classes + 1), np.bincount(cls, minlength=classes + 1)
+                yield pa.record_batch([pa.array(np.arange(classes)), pa.array(n[:classes].astype(np.int64)), pa.array(v[:classes])], names=["cls", "n", "v"])
+
+    totals, kinds = np.zeros(classes), 0
+    for k, n, v in lexicon.select("data").mapInArrow(summed, "cls long, n long, v long").groupBy("cls").agg(F.sum("n"), F.sum("v")).collect():  # a row for each class
         totals[k], kinds = n, kinds + v
     tokens, kinds = int(totals.sum()) + ends, kinds + (ends > 0)
     floor = math.log10(tokens + 0.5 * (kinds + 1))
 
-    def classified(left: pa.Table, right: pa.Table) -> pa.Table:
-        k = right.column("k").to_numpy()
-        size = int(k.max()) + 1 if len(k) else 0
-        c, kind = np.zeros(size), np.full(size, UNSEEN, np.uint8)
-        c[k] = pc.fill_null(right.column("c"), 0).to_numpy()
-        kind[k] = pc.fill_null(right.column("cls"), UNSEEN).to_numpy().astype(np.uint8)
+    def classified(part: pa.Table) -> pa.Table:
+        block, answers = blocks.blocks_of(part)
+        kind, c = _by_number(block, answers, np.uint8, np.uint32)
+        c = c.astype(np.float64)
         base = np.log10(c + 0.5) - floor
         emit = np.where(c > 0, np.log10(np.maximum(c, 1)) - np.log10(np.maximum(totals, 1))[np.minimum(kind, classes - 1)], 0.0)
         code = kind + np.where(c == 1, ONCE, 0).astype(np.uint8)
         out = {"n_tokens": [], "n_known": [], "base": [], "emitted": [], "codes": []}
-        for at in left.column("at").to_pylist():
-            at = _unpacked(at)
+        for i, j in zip(block.ends[:-1].tolist(), block.ends[1:].tolist(), strict=True):
+            at = block.at[i:j]
             out["n_tokens"].append(len(at) + 1)
             out["n_known"].append(int(np.count_nonzero(c[at])) + (ends > 0))
             out["base"].append(float(base[at].sum()) + math.log10(ends + 0.5) - floor)
             out["emitted"].append(float(emit[at].sum()))
             out["codes"].append(code[at].tobytes())
         kinds_of = {"n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "emitted": pa.float64(), "codes": pa.binary()}
-        return pa.table({"doc_id": left.column("doc_id"), "held_out": left.column("held_out"), **{n: pa.array(v, kinds_of[n]) for n, v in out.items()}})
+        return pa.table({"doc_id": block.doc_id, "held_out": pa.array(block.flag > 0), **{n: pa.array(v, kinds_of[n]) for n, v in out.items()}})
 
-    looked_up = in_words.select(F.col("block").alias("of_block"), "k", "word").join(lexicon, "word", "left").select("of_block", "k", "c", "cls")
-    coded = (
-        in_texts.select("block", "doc_id", "held_out", "at").groupBy("block").cogroup(looked_up.groupBy("of_block"))
-        .applyInArrow(classified, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, emitted double, codes binary")
-    )
-    coded = written(coded, "lm-coded")
+    coded = written(per_block(answers, classified, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, emitted double, codes binary"), "lm-coded")
 
     def steps(codes: bytes) -> np.ndarray:
         s = np.empty(len(codes) + 2, np.int64)
@@ -267,13 +343,12 @@ def class_scores(docs: DataFrame, held_out: F.Column, *, id_col: str = "doc_id",
     seen = np.zeros((256, 256))
     for k, n in coded.filter("not held_out").select("codes").mapInArrow(transitions, "k long, n long").groupBy("k").agg(F.sum("n")).collect():  # a row for each pair of codes
         seen[k // 256, k % 256] = n
-    table = spark.sparkContext.broadcast(_transition_table(seen, classes))
+    steps_of = spark.sparkContext.broadcast(_transition_table(seen, classes))
 
     def scored(batches):
         for b in batches:
-            moved = [float(table.value[steps(codes)].sum()) for codes in b.column("codes").to_pylist()]
-            score = pc.add(b.column("emitted"), pa.array(moved, pa.float64()))
-            yield pa.record_batch([b.column("doc_id"), b.column("held_out"), b.column("n_tokens"), b.column("n_known"), pa.array(np.full(b.num_rows, tokens)), b.column("base"), score], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            score = [e + float(steps_of.value[steps(codes)].sum()) for e, codes in zip(b.column("emitted").to_pylist(), b.column("codes").to_pylist(), strict=True)]
+            yield pa.record_batch([b.column("doc_id"), b.column("held_out"), b.column("n_tokens"), b.column("n_known"), pa.array(np.full(b.num_rows, tokens)), b.column("base"), pa.array(score, pa.float64())], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return coded.mapInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 

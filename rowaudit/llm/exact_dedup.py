@@ -16,51 +16,69 @@ def ascii_lower(text: F.Column) -> F.Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
 
 
+def content_hash(norm: F.Column) -> F.Column:
+    """128 bits of a normalised text."""
+    return F.unhex(F.md5(F.encode(norm, "UTF-8")))
+
+
+def _fresh(taken: list[str], name: str) -> str:
+    while name in {c.lower() for c in taken}:
+        name = f"_{name}"
+    return name
+
+
 @tidy
-def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
+def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", hash_of=content_hash) -> DataFrame:
     """One row per input row: its id, ``keep_id`` (the smallest id of its group, or the largest with ``keep="max"``),
     ``group_size``, ``kept`` and ``text_sha256`` of the normalised text.
 
-    Texts are equal when identical after lower-casing A-Z. Rows are grouped by MD5 **and** the text itself, so two texts
-    with one hash stay two groups: this grouping is the byte comparison. Each task first folds its own copies, so a text
-    that holds a third of all rows reaches the shuffle once a task. The groups, without their texts, are written and
-    joined back on (MD5, SHA-256); Spark can split that join where a hash is hot. Should two texts ever share both
-    hashes, their rows are joined on the text as well.
+    Texts are equal when identical after lower-casing A-Z.
+
+    1. Each row becomes its id and hashes; rows are grouped by the 128-bit hash, each task folding its own copies first.
+    2. Of groups of more than one row, and of no others, the texts are fetched and compared byte by byte: they are grouped
+       by hash and whole text, again folded in each task, so a text that holds a third of all rows is shuffled once a task.
+    3. Where a hash has two texts, its rows are grouped by their texts; no such case is known, and tests force it.
+
+    Unique texts are never shuffled. Which side of a join Spark sends to all tasks, it decides by the size of the written
+    tables; it can split a hot hash in the others.
 
     A null text counts as empty. A row with a null id is in its group but is never the one that stays, unless all ids of
     the group are null: then ``keep_id`` is null and ``kept`` false. Of rows that repeat the id that stays, each is kept.
-    An empty table gives an empty result.
+    Other columns are not read. An empty table gives an empty result.
     """
-    norm = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    base = docs.select(F.col(id_col).alias("doc_id"), norm.alias("_norm"))
-    hashed = base.select("doc_id", "_norm", F.unhex(F.md5(F.encode("_norm", "UTF-8"))).alias("_md5"))
     pick = F.min if keep == "min" else F.max
-    groups = written(
-        hashed.groupBy("_md5", "_norm")
-        .agg(pick("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .select("_md5", F.unhex(F.sha2(F.encode("_norm", "UTF-8"), 256)).alias("_sha"), "keep_id", "group_size"),
-        "exact-groups",
-    )
-    rows = hashed.select("doc_id", "_md5", F.unhex(F.sha2(F.encode("_norm", "UTF-8"), 256)).alias("_sha"))
-    clash = groups.groupBy("_md5", "_sha").count().filter("count > 1").limit(1).count()
-    if clash:
-        whole = hashed.groupBy("_md5", "_norm").agg(pick("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        joined = hashed.join(whole, ["_md5", "_norm"]).withColumn("_sha", F.unhex(F.sha2(F.encode("_norm", "UTF-8"), 256)))
-    else:
-        joined = rows.join(groups, ["_md5", "_sha"])
+    norm = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
+    base = docs.select(F.col(id_col).alias("doc_id"), norm.alias("norm"))
+    sha = F.unhex(F.sha2(F.encode("norm", "UTF-8"), 256)).alias("sha")
+    hashed = written(base.select("doc_id", hash_of(F.col("norm")).alias("hash"), sha), "exact-hashes")
+    groups = written(hashed.groupBy("hash").agg(pick("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "exact-groups")
+    texts = base.withColumn("hash", hash_of(F.col("norm"))).join(groups.filter("group_size > 1").select("hash"), "hash", "left_semi")
+    compared = texts.groupBy("hash", "norm").agg(pick("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    clashes = written(compared.groupBy("hash").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("hash"), "exact-clashes")
+    joined = hashed.join(groups, "hash")
+    if clashes.limit(1).count():
+        apart = base.withColumn("hash", hash_of(F.col("norm"))).join(clashes, "hash", "left_semi").select("doc_id", "hash", "norm", sha)
+        joined = joined.join(clashes, "hash", "left_anti").unionByName(apart.join(compared.join(clashes, "hash", "left_semi"), ["hash", "norm"]).drop("norm"))
     return joined.select(
-        "doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), F.lower(F.hex("_sha")).alias("text_sha256")
+        "doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
     )
 
 
+@tidy
 def drop_exact_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
     """``docs`` without the rows that repeat another row's text; all columns stay as they are.
 
     Each group of equal texts, as in ``exact_groups``, keeps one row: that of the smallest or largest id, one without an id
     only where all ids are null, any one where several rows have the id. Rows are told apart by their texts, never by
-    their ids. Spark ranks within each task first, so a hot text reaches the shuffle once a task."""
+    their ids. Null texts count as empty and are copies of each other. Helper columns take names that ``docs`` doesn't have.
+    An empty table gives an empty result.
+
+    Rows whose hash is theirs alone pass without a shuffle of their own; the others are ranked by hash and whole text, in
+    each task first, so a hot text reaches the shuffle once a task."""
+    text, digest, rank = (_fresh(docs.columns, n) for n in ("norm", "hash", "rank"))
     norm = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    hashed = docs.withColumn("_norm", norm).withColumn("_md5", F.unhex(F.md5(F.encode("_norm", "UTF-8"))))
+    hashed = docs.withColumn(digest, content_hash(norm))
+    shared = written(hashed.groupBy(digest).agg(F.count(F.lit(1)).alias(rank)).filter(F.col(rank) > 1).select(digest), "exact-shared")
     order = F.asc_nulls_last(id_col) if keep == "min" else F.desc_nulls_last(id_col)
-    ranked = hashed.withColumn("_rank", F.row_number().over(W.partitionBy("_md5", "_norm").orderBy(order)))
-    return ranked.filter("_rank = 1").select(docs.columns)
+    ranked = hashed.join(shared, digest, "left_semi").withColumn(text, norm).withColumn(rank, F.row_number().over(W.partitionBy(digest, text).orderBy(order)))
+    return hashed.join(shared, digest, "left_anti").select(docs.columns).unionByName(ranked.filter(F.col(rank) == 1).select(docs.columns))

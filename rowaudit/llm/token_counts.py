@@ -86,6 +86,26 @@ def pieces_of(tokenizer: str, suffix: str = "</w>") -> list[tuple[int, ...]]:
     return out
 
 
+def word_tokens(text: pa.Array, automaton: Automaton) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The place of each word in the distinct words, the texts' bounds, and each word's pieces (-1 if it can't be spelled); each distinct word is counted once."""
+    flat, ends = words.split(text)
+    at, distinct = words.numbered(flat)
+    n = np.fromiter((automaton.count(w.encode()) for w in distinct.to_pylist()), np.int64, len(distinct))
+    return at, ends, n[at]
+
+
+def _per_text(each: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    run = np.zeros(len(each) + 1, np.int64)
+    np.cumsum(each, out=run[1:])
+    return run[ends[1:]] - run[ends[:-1]]
+
+
+def text_tokens(text: pa.Array, automaton: Automaton) -> np.ndarray:
+    """The pieces of each text; a word that can't be spelled is one."""
+    _, ends, n = word_tokens(text, automaton)
+    return _per_text(np.abs(n), ends)
+
+
 def token_counts(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id``, ``n_words``, ``n_pieces`` and ``n_unknown``.
 
@@ -97,17 +117,9 @@ def token_counts(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
     shared = docs.sparkSession.sparkContext.broadcast(Automaton(pieces_of(tokenizer)))
 
     def counted(batches):
-        count = shared.value.count
         for b in words.slices(batches):
-            flat, ends = words.split(b.column("text"))
-            at, distinct = words.numbered(flat)
-            n = np.fromiter((count(w.encode()) for w in distinct.to_pylist()), np.int64, len(distinct))
-            totals = []
-            for each in (np.abs(n), (n < 0).astype(np.int64)):
-                run = np.zeros(len(at) + 1, np.int64)
-                np.cumsum(each[at], out=run[1:])
-                totals.append(pa.array(run[ends[1:]] - run[ends[:-1]]))
-            yield pa.record_batch([b.column("doc_id"), pa.array(np.diff(ends)), *totals], names=["doc_id", "n_words", "n_pieces", "n_unknown"])
+            _, ends, n = word_tokens(b.column("text"), shared.value)
+            yield pa.record_batch([b.column("doc_id"), pa.array(np.diff(ends)), *(pa.array(_per_text(x, ends)) for x in (np.abs(n), (n < 0).astype(np.int64)))], names=["doc_id", "n_words", "n_pieces", "n_unknown"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(counted, "doc_id long, n_words long, n_pieces long, n_unknown long")

@@ -14,7 +14,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from rowaudit.llm import bpe, class_lm, components, exact_dedup, packing, pii, queries, secret_scan, token_counts, toxicity, vector_join
+from rowaudit.llm import blocks, bpe, class_lm, components, exact_dedup, packing, pii, queries, secret_scan, token_counts, toxicity, vector_join
 
 from ..compare import duck, rows
 
@@ -56,6 +56,20 @@ def test_exact_copies_go_by_row(spark, keep, kept):
     assert got == sorted([(None, "one of a kind"), (None, "copied text"), (kept, "with an id"), (5, "also five"), (3, "third"), (8, "eight"), (None, "")], key=repr)
 
 
+def test_exact_dedup_compares_bytes_where_hashes_collide(spark):
+    docs = [(k, f"Text {k % 37}" if k % 3 else None) for k in range(200)] + [(None, "text 5"), (None, "alone")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    plain, weak = (sorted((tuple(r) for r in exact_dedup.exact_groups(df, hash_of=h).collect()), key=repr) for h in (exact_dedup.content_hash, lambda norm: F.unhex(F.substring(F.md5(norm), 1, 1))))
+    assert weak == plain
+    assert len(plain) == 202
+
+
+def test_helper_names_may_clash(spark):
+    df = spark.createDataFrame([(1, "a", "x", 5, "p"), (2, "A", "y", 6, "q")], "doc_id long, text string, norm string, rank int, hash string")
+    got = exact_dedup.drop_exact_copies(df, keep="min").collect()
+    assert [tuple(r) for r in got] == [(1, "a", "x", 5, "p")]
+
+
 def test_exact_dedup_of_hot_copies_and_case(spark):
     df = spark.range(3000).selectExpr("id as doc_id", "if(id % 3 = 0, if(id % 2 = 0, 'Same Text É', 'same text É'), concat('t', id)) as text")
     got = exact_dedup.exact_groups(df, keep="max")
@@ -138,12 +152,31 @@ def _encoded(text):
     return len(ids), sha(" ".join(map(str, ids))), sha(t.decode(ids, skip_special_tokens=False))
 
 
-@pytest.mark.parametrize("shared", [0, 50, 1 << 17])
-def test_bpe_equals_the_library(spark, sf, odd, shared):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(odd.select("doc_id", "text"))
+@pytest.mark.parametrize(("partitions", "bucket"), [(1, 4 << 20), (9, 5000)])
+def test_bpe_equals_the_library(spark, sf, odd, monkeypatch, partitions, bucket):
+    monkeypatch.setattr(blocks, "BUCKET_BYTES", bucket)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(odd.select("doc_id", "text")).repartition(partitions)
     want = sorted(((r["doc_id"], *_encoded(r["text"])) for r in docs.collect()), key=repr)
-    got = sorted((tuple(r) for r in bpe.encode_decode(docs, TOKENIZER, shared_words=shared).collect()), key=repr)
+    got = sorted((tuple(r) for r in bpe.encode_decode(docs, TOKENIZER).collect()), key=repr)
     assert got == want
+    assert bpe.encode_decode(docs.limit(0), TOKENIZER).count() == 0
+
+
+def test_each_distinct_word_is_in_one_bucket(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "BUCKET_BYTES", 300)
+    docs = spark.createDataFrame([(k, k % 2, " ".join(f"w{j}" for j in range(k % 13)) if k % 5 else None) for k in range(100)], "doc_id long, flag int, text string").repartition(6)
+    whole, buckets = blocks.text_blocks(docs, lower=True)
+    assert buckets > 3
+    rows_ = whole.collect()
+    where, trained = {}, Counter()
+    for r in rows_:
+        if r["bucket"] != blocks.TEXTS:
+            data, n = blocks.unsqueezed(r["data"], np.uint8, np.uint32)
+            for w, k in zip(blocks.unpacked_words(data), n.tolist(), strict=True):
+                assert where.setdefault(w, r["bucket"]) == r["bucket"]
+                trained[w] += k
+    assert trained == Counter(w for r in docs.collect() if not r["flag"] for w in (r["text"] or "").split()) | Counter({w: 0 for w in where})
+    assert sum(len(blocks.BlockTexts(r["data"]).flag) for r in rows_ if r["bucket"] == blocks.TEXTS) == 100
 
 
 def test_token_counts_equal_greedy_longest_match(spark, sf, odd):
@@ -206,6 +239,77 @@ def test_exchange_gains_likelihood():
     assert cls[0] != cls[1]
 
 
+def _class_model(texts, held, core, classes, sweeps):
+    """The class of each training word: exchange over the core, then sweeps over all words, by plain dictionaries."""
+    train = [t for t, h in zip(texts, held, strict=True) if not h]
+    c = Counter(w for t in train for w in t)
+    top = sorted(c, key=lambda w: (-c[w], w))[:core]
+    number = {w: k for k, w in enumerate(top)}
+    wide = len(top) + 2
+    pairs = np.zeros((wide, wide))
+    for t in train:
+        s = [wide - 1, *(number.get(w, wide - 2) for w in t), wide - 1]
+        for x, y in zip(s, s[1:], strict=False):
+            pairs[x, y] += 1
+    cls = dict(zip(top, class_lm.exchange(pairs, len(top), classes).tolist(), strict=True))
+    g = lambda x: x * math.log(x) if x > 0 else 0.0
+    for _ in range(sweeps):
+        joint, near = Counter(), {w: Counter() for w in c}
+        for t in train:
+            s = [classes, *(cls.get(w, -1) for w in t), classes]
+            for x, y in zip(s, s[1:], strict=False):
+                joint[x, y] += 1
+            for k, w in enumerate(t, 1):
+                near[w][0, s[k - 1]] += 1
+                near[w][1, s[k + 1]] += 1
+        row = {b: [sum(joint[x, b] for x in range(classes + 1)), sum(joint[b, x] for x in range(classes + 1))] for b in range(classes)}
+        new = {}
+        for w, around in near.items():
+            gains = []
+            for b in range(classes):
+                total, gain = [0, 0], 0.0
+                sign = -1 if cls.get(w) == b else 1
+                for (side, x), n in around.items():
+                    if x >= 0:
+                        there = joint[(x, b) if side == 0 else (b, x)]
+                        gain += sign * (g(there + sign * n) - g(there))
+                        total[side] += n
+                for side in (0, 1):
+                    gain -= sign * (g(row[b][side] + sign * total[side]) - g(row[b][side]))
+                gains.append(gain)
+            best = max(range(classes), key=lambda b: gains[b])
+            new[w] = best if w not in cls or gains[best] > gains[cls[w]] + 1e-9 else cls[w]
+        cls = new
+    return c, cls
+
+
+def test_scores_equal_a_plain_class_model_however_rows_are_dealt(spark, sf, monkeypatch):
+    monkeypatch.setattr(blocks, "BUCKET_BYTES", 40_000)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: [w.decode() for w in re.split(rb"[\x20\x09-\x0d]+", r["text"].encode().lower()) if w] for r in docs.collect()}
+    held = [zlib.crc32(str(i).encode()) % 5 == 1 for i in texts]
+    classes = 6
+    c, cls = _class_model(list(texts.values()), held, 40, classes, 2)
+    total = Counter()
+    for w, n in c.items():
+        total[cls[w]] += n
+    code = lambda w: class_lm.UNSEEN if w not in c else cls[w] + (class_lm.ONCE if c[w] == 1 else 0)
+    seen = np.zeros((256, 256))
+    steps = {i: [class_lm.END, *map(code, t), class_lm.END] for i, t in texts.items()}
+    for i, h in zip(texts, held, strict=True):
+        for x, y in zip(steps[i], steps[i][1:], strict=False):
+            seen[x, y] += not h
+    table = class_lm._transition_table(seen, classes).reshape(256, 256)
+    want = {i: sum(math.log10(c[w] / total[cls[w]]) for w in t if w in c) + sum(table[x, y] for x, y in zip(steps[i], steps[i][1:], strict=False)) for i, t in texts.items()}
+    before = None
+    for n in (1, 7, 40):
+        dealt = docs.repartition(n, "text") if n > 1 else docs.coalesce(1)
+        got = {r["doc_id"]: r["score"] for r in class_lm.class_scores(dealt, queries._remainder(5) == 1, core=40, classes=classes, sweeps=2).collect()}
+        assert got == pytest.approx(want, rel=1e-9)
+        assert before in (None, got)
+        before = got
+
+
 def test_language_model_odd_rows(odd):
     got = class_lm.class_scores(odd, F.col("doc_id") == 4).collect()
     assert len(got) == 7
@@ -306,11 +410,75 @@ def test_packing_keeps_every_token(spark, sf, odd):
     assert packing.pack_documents(odd.limit(0)).count() == 0
 
 
-def test_packing_is_best_fit():
-    where, start, size = packing.pack([6, 5, 4, 3, 2], (8, 16), lambda c: c)
-    assert len(set(where)) == len(size)
-    assert all(sum(s for s, w in zip([6, 5, 4, 3, 2], where, strict=True) if w == b) <= size[b] for b in set(where))
+def _plain_pack(sizes, lengths, cost):
+    """The same rules in the plainest form: bins as lists, every trial from scratch."""
+    left = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+    bins = []  # [capacity, items]
+    shrunk = lambda n: min(c for c in lengths if c >= n)
+    while left:
+        i = left.pop(0)
+        fits = [(b[0] - sum(sizes[k] for k in b[1]) - sizes[i], n) for n, b in enumerate(bins) if sum(sizes[k] for k in b[1]) + sizes[i] <= b[0]]
+        if fits:
+            bins[min(fits)[1]][1].append(i)
+            continue
+        trials = []
+        for c in sorted(c for c in lengths if c >= sizes[i]):
+            held = sizes[i]
+            for k in left:
+                if held + sizes[k] <= c:
+                    held += sizes[k]
+            trials.append((cost(shrunk(held)) / held, c))
+        bins.append([min(trials)[1], [i]])
+    return sorted((tuple(b[1]), shrunk(sum(sizes[k] for k in b[1]))) for b in bins)
+
+
+def _least_cost(sizes, lengths, cost):
+    """The least cost of any packing, over all partitions of the items."""
+    best = math.inf
+
+    def go(k, bins):
+        nonlocal best
+        if k == len(sizes):
+            best = min(best, sum(cost(min(c for c in lengths if c >= b)) for b in bins))
+            return
+        for n, b in enumerate(bins):
+            if b + sizes[k] <= max(lengths):
+                go(k + 1, [*bins[:n], b + sizes[k], *bins[n + 1 :]])
+        go(k + 1, [*bins, sizes[k]])
+
+    go(0, [])
+    return best
+
+
+def test_packing_is_best_fit_with_the_least_cost_length():
+    r = np.random.default_rng(8)
+    paid = least = 0.0
+    for _ in range(60):
+        lengths = tuple(sorted(r.choice(np.arange(8, 65), 3, replace=False).tolist()))
+        cost = lambda c: packing.bin_cost(c, fixed=5.0, square=1 / 64)
+        sizes = r.integers(1, lengths[-1] + 1, r.integers(1, 8)).tolist()
+        where, start, size = packing.pack(sizes, lengths, cost)
+        got = {}
+        for i, (b, at) in enumerate(zip(where, start, strict=True)):
+            got.setdefault(b, []).append((at, i))
+        assert sorted((tuple(i for _, i in sorted(x)), size[b]) for b, x in got.items()) == _plain_pack(sizes, lengths, cost)
+        paid, least = paid + sum(map(cost, size)), least + _least_cost(sizes, lengths, cost)
+    assert paid <= 1.05 * least
+    many = r.integers(1, 60, 400).tolist()
+    where, _, size = packing.pack(many, (16, 32, 64), lambda c: c)
+    assert sum(size) <= 1.03 * sum(many)
     assert packing.pack([3], (4, 16), lambda c: c)[2] == [4]
+    assert packing.pack([]) == ([], [], [])
+
+
+def test_packing_counts_pieces_not_documents(spark):
+    docs = spark.createDataFrame([(k, "w " * 300) for k in range(40)], "doc_id long, text string")
+    got = packing.pack_documents(docs, lengths=(4, 8), shard=100)
+    assert got.count() == 40 * 38
+    assert got.selectExpr("count(distinct bin_id >> 32)").first()[0] == 16
+    tokens = packing.pack_documents(docs.limit(2), tokenizer=TOKENIZER).groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()
+    counted = {r["doc_id"]: r["n_pieces"] + 1 for r in token_counts.token_counts(docs.limit(2), TOKENIZER).collect()}
+    assert {r["doc_id"]: r["n"] for r in tokens} == counted
 
 
 def test_secrets_on_held_out_documents(spark, sf):
