@@ -8,7 +8,7 @@ in a fixed order; a bucket answers with one row, values in the same order.
 from __future__ import annotations
 
 import io
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .scratch import written
+from .scratch import bucketed
 
 #: A block ends behind the text that brings it to so many bytes or distinct words; bytes of all texts for each bucket.
 BLOCK_BYTES, BLOCK_WORDS, BUCKET_BYTES = 12 << 20, 400_000, 4 << 20
+#: Parts that the blocks' texts are stored in at most.
+MOST_PARTS = 50_000
 #: The bucket of rows that hold a block's texts.
 TEXTS = -1
 SCHEMA = "block long, bucket long, data binary"
@@ -99,12 +101,13 @@ class _Block:
         return pa.record_batch([pa.array(np.full(len(data), block)), pa.array(np.append([TEXTS], named).astype(np.int64)), pa.array(data, pa.binary())], names=["block", "bucket", "data"])
 
 
-def text_blocks(texts: DataFrame, *, lower: bool) -> tuple[DataFrame, int]:
-    """``(block, bucket, data)`` of texts ``(doc_id, flag, text)``, written, and the number of buckets.
+def text_blocks(texts: DataFrame, *, lower: bool) -> tuple[DataFrame, DataFrame, int]:
+    """Texts and words ``(block, bucket, data)`` of texts ``(doc_id, flag, text)``, written, and the number of buckets.
 
-    For each block: a row of its texts (``BlockTexts`` reads it) in bucket ``TEXTS``, and for each bucket a row of its
-    words and how often they occur in texts that aren't flagged (``WordRows`` reads it). Buckets grow in number with the
-    input, not in size. Results must not depend on which texts share a block: that follows the input's partitions."""
+    For each block: a row of its texts (``BlockTexts`` reads it), and for each bucket a row of its words and how often
+    they occur in texts that aren't flagged (``WordRows`` reads it). Buckets grow in number with the input, not in size.
+    The texts are stored by block, so what is learnt about their words joins them without moving them. Results must not
+    depend on which texts share a block: that follows the input's partitions."""
     total = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = 1 + total // BUCKET_BYTES
 
@@ -119,13 +122,27 @@ def text_blocks(texts: DataFrame, *, lower: bool) -> tuple[DataFrame, int]:
         if now.ids:
             yield now.rows(block, buckets)
 
-    return written(texts.mapInArrow(cut, SCHEMA), "blocks"), buckets
+    whole = texts.mapInArrow(cut, SCHEMA).withColumn("is_text", F.col("bucket") == TEXTS)
+    whole = bucketed(whole, "blocks", "block", min(MOST_PARTS, 1 + total // BLOCK_BYTES), apart="is_text")
+    return whole.filter("is_text").drop("is_text"), whole.filter("not is_text").drop("is_text"), buckets
+
+
+def per_block(texts: DataFrame, answers: DataFrame, f: Callable[[BlockTexts, list[bytes]], pa.Table], schema: str) -> DataFrame:
+    """``f`` of each block's texts and the answers of its buckets; only the answers are shuffled."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        by = np.argsort(right.column("bucket").to_numpy(), kind="stable")
+        data = right.column("data")
+        return f(BlockTexts(left.column("data")[0].as_py(), left.column("block")[0].as_py()), [data[int(k)].as_py() for k in by])
+
+    return texts.groupBy("block").cogroup(answers.select("block", "bucket", "data").groupBy("block")).applyInArrow(run, schema)
 
 
 class BlockTexts:
-    """A block's texts: ``doc_id`` (Arrow), ``flag``, ``ends`` of the texts in ``at``, the words' numbers."""
+    """A block's texts: its ``id``, ``doc_id`` (Arrow), ``flag``, ``ends`` of the texts in ``at``, the words' numbers."""
 
-    def __init__(self, data: bytes) -> None:
+    def __init__(self, data: bytes, block: int = 0) -> None:
+        self.id = block
         known, null, self.flag, size, self.at, self.order, self.named, self.counts = unsqueezed(data, np.int64, np.uint8, np.uint8, np.int64, np.uint32, np.uint32, np.int64, np.uint32)
         self.doc_id = pa.array(known, pa.int64(), mask=null.astype(bool))
         self.ends = np.concatenate([[0], np.cumsum(size)])
@@ -144,14 +161,6 @@ class BlockTexts:
             yield b, values[i:j]
 
 
-def blocks_of(table: pa.Table) -> tuple[BlockTexts, list[bytes]]:
-    """A block's texts and the answers of its buckets, in their order."""
-    bucket = table.column("bucket").to_numpy()
-    data = table.column("data").to_pylist()
-    by = np.argsort(bucket, kind="stable").tolist()
-    return BlockTexts(data[by[0]]), [data[k] for k in by[1:]]
-
-
 class WordRows:
     """All rows of words of one bucket: the distinct words, and for each row its block and the places of its words in them."""
 

@@ -57,7 +57,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", te
     1. Words are split in Spark; a block of texts keeps its distinct words and the texts as numbers of these.
     2. The blocks' words meet by hash bucket, so all occurrences of a word in all blocks are in one bucket. There each
        distinct word of the corpus is encoded once, whether frequent or not.
-    3. The ids go back to the blocks and join the words by position. Ids join the table of pieces (id, piece), which
+    3. The ids go back to the blocks, which stay where they are stored, and join the words by position. Ids join the table of pieces (id, piece), which
        every task holds as it has the vocabulary's size, once for each distinct word of a block; texts are put together.
 
     ``tokenizer`` is the path of its file on every machine. A null text counts as empty: no tokens, and both digests of
@@ -65,7 +65,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", te
     An empty table gives an empty result.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(0).alias("flag"), F.col(text_col).alias("text"))
-    whole, buckets = blocks.text_blocks(texts, lower=False)
+    of_texts, of_words, buckets = blocks.text_blocks(texts, lower=False)
 
     def encoded(table: pa.Table) -> pa.Table:
         seen = blocks.WordRows(table)
@@ -74,10 +74,9 @@ def encode_decode(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", te
         answers = [blocks.squeezed(*(x.astype(np.uint32) for x in _taken(ends, ids, at))) for at in seen.places]
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "data": pa.array(answers, pa.binary())})
 
-    answers = whole.filter(F.col("bucket") != blocks.TEXTS).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(encoded, blocks.SCHEMA)
+    answers = of_words.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(encoded, blocks.SCHEMA)
 
-    def joined(table: pa.Table) -> pa.Table:
-        block, data = blocks.blocks_of(table)
+    def joined(block: blocks.BlockTexts, data: list[bytes]) -> pa.Table:
         each = [blocks.unsqueezed(d, np.uint32, np.uint32) for d in data]
         sizes, ids = (np.concatenate([x[k] for x in each]) if each else np.zeros(0, np.uint32) for k in range(2))
         place = block.by_number(np.arange(len(sizes)))  # of each word by number, among those by bucket
@@ -95,5 +94,4 @@ def encode_decode(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", te
                 out.append(_sha([text[k] for k in own]))
         return pa.table({"doc_id": block.doc_id, "n_tokens": pa.array(np.diff(tokens)), "ids_sha256": pa.array(sha[0], pa.string()), "decoded_sha256": pa.array(sha[1], pa.string())})
 
-    both = whole.filter(F.col("bucket") == blocks.TEXTS).union(answers)
-    return both.repartition(buckets, "block").groupBy("block").applyInArrow(joined, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return blocks.per_block(of_texts, answers, joined, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

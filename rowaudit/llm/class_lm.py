@@ -159,15 +159,14 @@ def class_scores(docs: DataFrame, held_out: F.Column, *, id_col: str = "doc_id",
     spark = docs.sparkSession
     flag = F.coalesce(held_out, F.lit(True)).cast("int")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), flag.alias("flag"), F.col(text_col).alias("text"))
-    whole, buckets = blocks.text_blocks(texts, lower=True)
-    of_texts = whole.filter(F.col("bucket") == blocks.TEXTS)
+    of_texts, of_words, buckets = blocks.text_blocks(texts, lower=True)
     ends = texts.filter("flag = 0").count()
 
     def per_bucket(df: DataFrame, f, schema: str) -> DataFrame:
         return df.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(f, schema)
 
     def per_block(answers: DataFrame, f, schema: str) -> DataFrame:
-        return of_texts.unionByName(answers.select("block", "bucket", "data")).repartition(buckets, "block").groupBy("block").applyInArrow(f, schema)
+        return blocks.per_block(of_texts, answers, f, schema)
 
     # rows of a bucket: kind 0 its words with counts and classes, 1 the places of a block's words in them, 2 a block's counts of neighbours, 3 answers to a block
     rows = "kind int, block long, bucket long, data binary"
@@ -184,7 +183,7 @@ def class_scores(docs: DataFrame, held_out: F.Column, *, id_col: str = "doc_id",
         data = [blocks.squeezed(blocks.packed_words(pa.array(seen.distinct, pa.string())), c, cls), *(blocks.squeezed(at) for at in seen.places)]
         return table([0] + [1] * len(seen.block), [-1, *seen.block], part.column("bucket")[0].as_py(), data)
 
-    lexicon = written(per_bucket(whole.filter(F.col("bucket") != blocks.TEXTS), counted, rows), "lm-lexicon")
+    lexicon = written(per_bucket(of_words, counted, rows), "lm-lexicon")
     places = lexicon.filter("kind = 1")
     lexicon = lexicon.filter("kind = 0")
 
@@ -211,8 +210,7 @@ def class_scores(docs: DataFrame, held_out: F.Column, *, id_col: str = "doc_id",
 
     named = written(per_bucket(lexicon.union(places), numbers, rows), "lm-numbers")
 
-    def bigrams(part: pa.Table) -> pa.Table:
-        block, answers = blocks.blocks_of(part)
+    def bigrams(block: blocks.BlockTexts, answers: list[bytes]) -> pa.Table:
         (codes,) = _by_number(block, answers, np.uint16)
         *_, symbols = _contexts(codes, block.ends, block.flag, block.at, end, -1)
         seen, n = np.unique(symbols[:-1] * wide + symbols[1:], return_counts=True)
@@ -229,17 +227,15 @@ def class_scores(docs: DataFrame, held_out: F.Column, *, id_col: str = "doc_id",
     np.add.at(joint, (of_number[:, None], of_number[None, :]), pairs)
     joint = joint[np.ix_(kept, kept)]
 
-    def neighbours(part: pa.Table) -> pa.Table:
-        block, answers = blocks.blocks_of(part)
+    def neighbours(block: blocks.BlockTexts, answers: list[bytes]) -> pa.Table:
         (codes,) = _by_number(block, answers, np.uint16)
-        return around(part, block, model.value[codes])
+        return around(block, model.value[codes])
 
-    def neighbours_again(part: pa.Table) -> pa.Table:
-        block, answers = blocks.blocks_of(part)
+    def neighbours_again(block: blocks.BlockTexts, answers: list[bytes]) -> pa.Table:
         (codes,) = _by_number(block, answers, np.uint8)
-        return around(part, block, np.where(codes < classes, codes, BEHIND - 1))
+        return around(block, np.where(codes < classes, codes, BEHIND - 1))
 
-    def around(part: pa.Table, block: blocks.BlockTexts, codes: np.ndarray) -> pa.Table:
+    def around(block: blocks.BlockTexts, codes: np.ndarray) -> pa.Table:
         word, neighbour, n, symbols = _contexts(codes, block.ends, block.flag, block.at, classes, BEHIND - 1)
         size = np.bincount(word, minlength=len(block.order))
         start = np.concatenate([[0], np.cumsum(size)])
@@ -254,7 +250,7 @@ def class_scores(docs: DataFrame, held_out: F.Column, *, id_col: str = "doc_id",
         none = pa.nulls(len(seen), pa.binary())
         return pa.table(
             {
-                "kind": pa.array([2] * len(data) + [4] * len(seen), pa.int32()), "block": pa.array([part.column("block")[0].as_py()] * len(data) + many.tolist(), pa.int64()),
+                "kind": pa.array([2] * len(data) + [4] * len(seen), pa.int32()), "block": pa.array([block.id] * len(data) + many.tolist(), pa.int64()),
                 "bucket": pa.array(bucket + seen.tolist(), pa.int64()), "data": pa.chunked_array([pa.array(data, pa.binary()), none]),
             }
         )
@@ -304,8 +300,7 @@ def class_scores(docs: DataFrame, held_out: F.Column, *, id_col: str = "doc_id",
     tokens, kinds = int(totals.sum()) + ends, kinds + (ends > 0)
     floor = math.log10(tokens + 0.5 * (kinds + 1))
 
-    def classified(part: pa.Table) -> pa.Table:
-        block, answers = blocks.blocks_of(part)
+    def classified(block: blocks.BlockTexts, answers: list[bytes]) -> pa.Table:
         kind, c = _by_number(block, answers, np.uint8, np.uint32)
         c = c.astype(np.float64)
         base = np.log10(c + 0.5) - floor

@@ -52,7 +52,8 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     sha = F.unhex(F.sha2(F.encode("norm", "UTF-8"), 256)).alias("sha")
     hashed = written(base.select("doc_id", hash_of(F.col("norm")).alias("hash"), sha), "exact-hashes")
     groups = written(hashed.groupBy("hash").agg(pick("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "exact-groups")
-    texts = base.withColumn("hash", hash_of(F.col("norm"))).join(groups.filter("group_size > 1").select("hash"), "hash", "left_semi")
+    shared = written(groups.filter("group_size > 1").select("hash"), "exact-shared")
+    texts = base.withColumn("hash", hash_of(F.col("norm"))).join(shared, "hash", "left_semi")
     compared = texts.groupBy("hash", "norm").agg(pick("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     clashes = written(compared.groupBy("hash").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("hash"), "exact-clashes")
     joined = hashed.join(groups, "hash")

@@ -15,6 +15,8 @@ from .components import _Forest, components
 from .scratch import bitmap_has, bitmap_of, slot_of, tidy, written
 from .words import numbered, slices, split
 
+#: Bytes of text that a task hashes at once, about.
+PART = 4 << 20
 #: Buckets of each of the two frequency sketches that order the n-grams: a megabyte each on the driver, whatever the corpus holds.
 SKETCH = 1 << 17
 #: A cell of the join takes at most about so many sets and so many n-grams.
@@ -170,7 +172,7 @@ def gram_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     def scan(batches):
         of_grams, of_words = np.zeros(SKETCH, np.int64), np.zeros(SKETCH, np.int64)
         names = ["kind", "doc_id", "n", "hi", "lo", "sig"]
-        for b in slices(batches):
+        for b in slices(batches, size=PART):
             each = [s for s, _ in gram_sets(b.column("text"), words, seen=of_words)]
             if each:
                 of_grams += np.bincount(_slot(np.concatenate(each)), minlength=SKETCH)
@@ -198,7 +200,7 @@ def gram_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     def postings(batches):
         rarity, often = order.value
         done: set[int] = set()
-        for b in slices(batches):
+        for b in slices(batches, size=PART):
             token, owner, size = [], [], []
             for s, rare in gram_sets(b.column("text"), words, rarity):
                 n = len(s)
@@ -231,7 +233,7 @@ def gram_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
         def fetch(batches):
             rarity, often = order.value
-            for b in slices(batches):
+            for b in slices(batches, size=PART):
                 b = b.filter(pa.array(bitmap_has(wanted.value, b.column("slot").to_numpy())))
                 lo, grams = [], []
                 for s, rare in gram_sets(b.column("text"), words, rarity):
@@ -456,11 +458,15 @@ def one_of_each_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     Rows are numbered first and linked by these numbers, so rows with null or repeated ids are rows like others: a row goes
     only if its own group keeps another. A row with a null id stays where its group has no id at all, one of them. Of rows
-    that repeat both id and text of the row that stays, each is kept."""
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "gram-rows")
-    labels = gram_links(rows, id_col="_row", text_col=text_col, words=words, num=num, den=den).select(F.col("doc_id").alias("_row"), "component_id")
-    of_row = rows.select("_row", F.col(id_col).cast("long").alias("id"), F.unhex(F.md5(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"))).alias("hash"))
+    that repeat both id and text of the row that stays, each is kept. Texts without words link with nothing and all stay. The
+    helper column takes a name that ``docs`` doesn't have. An empty table gives an empty one."""
+    row = "_row"
+    while row in {c.lower() for c in docs.columns}:
+        row = f"_{row}"
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "gram-rows")
+    labels = gram_links(rows, id_col=row, text_col=text_col, words=words, num=num, den=den).select(F.col("doc_id").alias("_row"), "component_id")
+    of_row = rows.select(F.col(row).alias("_row"), F.col(id_col).cast("long").alias("id"), F.unhex(F.md5(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"))).alias("hash"))
     members = labels.join(of_row, "_row").select("_row", "component_id", "hash", F.col("id").isNull().alias("no_id"), F.coalesce("id", "_row").alias("id"))
     first = members.groupBy("component_id").agg(F.min(F.struct("no_id", "id", "hash")).alias("x")).select("component_id", "x.*")
     gone = members.join(first, ["component_id", "no_id", "id", "hash"], "left_anti")
-    return rows.join(gone.select("_row"), "_row", "left_anti").select(docs.columns)
+    return rows.join(gone.select(F.col("_row").alias(row)), row, "left_anti").select(docs.columns)

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import words
+
 #: Kinds in the order of every listing: the four base kinds, then what the cues add.
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("url", "masked_email", "iban", "account", "ipv6")
@@ -22,13 +24,14 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*\Z")
 _URL_REST = re.compile(r"[^\s<>\"'`|\\^{}\[\]]+")
 _MASKED_HOST = re.compile(r"\s?([A-Za-z0-9-]+)((?:\s?(?:\.|\((?i:dot)\)|\[(?i:dot)\]|\{(?i:dot)\})\s?[A-Za-z0-9-]+)+)")
 _IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?: ?[A-Za-z0-9]{2,4}){3,8}")
 _NUMBER = re.compile(r"(?:\s?(?:number|no\.?|nr\.?|#|:|=|is))*\s?([A-Za-z]{0,2}[0-9](?:[ -]?[0-9]){5,19})(?![0-9A-Za-z])", re.I)
 _IPV6 = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])")
-_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+_SCHEME = _LETTERS | frozenset("0123456789+.-")
+_LOCAL = _LETTERS | frozenset("0123456789._%+-")
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -63,8 +66,8 @@ def _lowered(text: str) -> str:
     return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
-def _local_start(text: str, at: int, least: int) -> int:
-    while at > least and text[at - 1] in _LOCAL:
+def _run_start(text: str, at: int, least: int, of: frozenset[str]) -> int:
+    while at > least and text[at - 1] in of:
         at -= 1
     return at
 
@@ -100,24 +103,26 @@ def find(text: str) -> list[tuple[str, int, int]]:
                 expand("card", _CARD, start, lambda m: 16 <= len(d := _digits(m[0])) <= 19 and _luhn(d))
             last_digit = start
         elif cue == "@":
-            first = _local_start(text, start, behind["email"])
+            first = _run_start(text, start, behind["email"], _LOCAL)
             if first < start and (m := _DOMAIN.match(text, start + 1)):
                 found["email"].append((first, m.end()))
                 behind["email"] = m.end()
         elif cue == "+":
             expand("phone", _PHONE, start, lambda m: 8 <= len(_digits(m[0])) <= 15)
         elif cue == "/":
-            m = _SCHEME.search(text, max(behind["url"], start - 24), start)
+            first = _run_start(text, start, behind["url"], _SCHEME)
+            while first < start and text[first] not in _LETTERS:
+                first += 1
             rest = _URL_REST.match(text, end + 1)
-            if m and rest and start >= behind["url"]:
+            if first < start and rest:
                 stop = rest.end()
                 while stop > rest.start() + 1 and text[stop - 1] in ".,;:!?)":
                     stop -= 1
-                found["url"].append((m.start(), stop))
+                found["url"].append((first, stop))
                 behind["url"] = rest.end()
         elif cue == "a":
             stop = start - 1 if start and text[start - 1] == " " else start
-            first = _local_start(text, stop, behind["masked_email"])
+            first = _run_start(text, stop, behind["masked_email"], _LOCAL)
             if first < stop and (m := _MASKED_HOST.match(text, end + 1)):
                 found["masked_email"].append((first, m.end()))
                 behind["masked_email"] = m.end()
@@ -155,10 +160,11 @@ def _listed(spans) -> str:
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: the id, a count for each base kind, ``base_sha256`` and ``spans``. A null or empty text has no spans.
 
-    Work is local to a row, so nothing is shuffled; null ids, repeated rows and very long texts need no care."""
+    Work is local to a row, so nothing is shuffled; null ids, repeated rows and very long texts need no care (texts go through
+    a task in parts of a bounded size). Other columns are not read. An empty table gives an empty result."""
 
     def scanned(batches):
-        for b in batches:
+        for b in words.slices(batches):
             every = [find(t) if t else [] for t in b.column("text").to_pylist()]
             counts = {f"n_{k}": pa.array([sum(s[0] == k for s in spans) for spans in every], pa.int64()) for k in BASE}
             base = pa.array([hashlib.sha256(_listed(s for s in spans if s[0] in BASE).encode()).hexdigest() for spans in every], pa.string())
@@ -169,11 +175,12 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def redacted(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with each span of personal data replaced by its kind; all other columns as they are. A null text stays null."""
+    """``docs`` with each span of personal data replaced by its kind; all other columns as they are, whatever their names.
+    A null text stays null, an empty one empty; an empty table gives an empty one."""
     at = docs.columns.index(text_col)
 
     def cleaned(batches):
-        for b in batches:
+        for b in words.slices(batches, text_col):
             text = pa.array([redact(t, find(t)) if t else t for t in b.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([text if i == at else c for i, c in enumerate(b.columns)], names=b.schema.names)
 

@@ -165,9 +165,9 @@ def test_bpe_equals_the_library(spark, sf, odd, monkeypatch, partitions, bucket)
 def test_each_distinct_word_is_in_one_bucket(spark, monkeypatch):
     monkeypatch.setattr(blocks, "BUCKET_BYTES", 300)
     docs = spark.createDataFrame([(k, k % 2, " ".join(f"w{j}" for j in range(k % 13)) if k % 5 else None) for k in range(100)], "doc_id long, flag int, text string").repartition(6)
-    whole, buckets = blocks.text_blocks(docs, lower=True)
+    of_texts, of_words, buckets = blocks.text_blocks(docs, lower=True)
     assert buckets > 3
-    rows_ = whole.collect()
+    rows_ = of_texts.union(of_words).collect()
     where, trained = {}, Counter()
     for r in rows_:
         if r["bucket"] != blocks.TEXTS:
@@ -493,3 +493,11 @@ def test_secrets_on_held_out_documents(spark, sf):
 def test_secret_odd_rows(odd):
     assert {r["doc_id"] for r in secret_scan.secrets(odd).collect()} <= {4}
     assert secret_scan.secrets(odd.limit(0)).count() == 0
+
+
+def test_a_long_scheme_belongs_to_its_url():
+    scheme = "very-long-scheme." * 4 + "x"
+    text = f"see {scheme}://host.example/path?q=1, and 9+http://a.b"
+    spans = [s for s in pii.find(text) if s[0] == "url"]
+    assert [text[a:b] for _, a, b in spans] == [f"{scheme}://host.example/path?q=1", "http://a.b"]
+    assert "scheme" not in pii.redact(text, spans)
