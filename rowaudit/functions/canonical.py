@@ -112,9 +112,18 @@ def _g17(v: float) -> str:
     return s
 
 
+def double_text(c: Column) -> Column:
+    """A double as ``decimal_text`` prints the same number: without a point if integral, without an exponent from 1e-5 to 1e15."""
+    size, whole = F.abs(c), c == F.floor(c)
+    small = F.when((size < 1e-5) & (size >= 1e-20), decimal_text(c.cast("decimal(38,37)"), 37))
+    usual = F.when((size >= 1e-5) & (size < 1e15), decimal_text(c.cast("decimal(38,17)"), 17))
+    return F.when(F.isnan(c), F.lit("NaN")).when(whole & (size < 9.2e18), c.cast("bigint").cast("string")).otherwise(F.coalesce(small, usual, c.cast("string")))
+
+
 def interval_text(c: Column) -> Column:
     """A day-time interval as ``[-][d.]hh:mm:ss[.fffffff]``."""
-    micros = F.expr("cast(0 as bigint)") + (F.extract(F.lit("DAY"), c) * 86_400 + F.extract(F.lit("HOUR"), c) * 3600 + F.extract(F.lit("MINUTE"), c) * 60) * 1_000_000 + (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("bigint")
+    part = lambda field, scale: (F.extract(F.lit(field), c).cast("decimal(20,6)") * scale).cast("bigint")
+    micros = part("DAY", 86_400_000_000) + part("HOUR", 3_600_000_000) + part("MINUTE", 60_000_000) + part("SECOND", 1_000_000)
     size = F.abs(micros)
     days, rest = F.floor(size / 86_400_000_000), size % 86_400_000_000
     clock = F.format_string("%02d:%02d:%02d", F.floor(rest / 3_600_000_000), F.floor(rest / 60_000_000) % 60, F.floor(rest / 1_000_000) % 60)
@@ -124,14 +133,15 @@ def interval_text(c: Column) -> Column:
 
 def text_of(name: str, kind: T.DataType, *, skip_binary: bool = False, xml: bool = False, parity: bool = False, empty_as_null: bool = False) -> Column:
     """The canonical text of a column, by its type. ``xml`` sends text that looks like XML through the XML form; ``parity``
-    prints floats with 17 digits in Python, else Spark's own shortest text is used on both sides."""
+    prints floats with 17 digits in Python; else a float has the text of its shortest decimal form, so equal numbers have
+    one text whether they are integers, decimals or floats."""
     c = F.col(f"`{name}`")
     if isinstance(kind, T.BinaryType):
         out = F.lit(SKIPPED) if skip_binary else F.lower(F.hex(c))
     elif isinstance(kind, T.DecimalType):
         out = decimal_text(c, kind.scale)
     elif isinstance(kind, (T.DoubleType, T.FloatType)):
-        out = F.when(F.isnan(c), F.lit("NaN")).otherwise(g17(c.cast("double"))) if parity else c.cast("string")
+        out = F.when(F.isnan(c), F.lit("NaN")).otherwise(g17(c.cast("double"))) if parity else double_text(c.cast("string").cast("double") if isinstance(kind, T.FloatType) else c)
     elif isinstance(kind, (T.TimestampNTZType, T.TimestampType, T.DateType)):
         out = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
     elif isinstance(kind, T.DayTimeIntervalType):
@@ -160,7 +170,10 @@ def row_text(df: DataFrame, columns: list[str] | None = None, *, safe: bool = Fa
     texts = [text_of(n, kinds[n], **options) for n in names]
     if safe:
         return F.concat(*(F.concat(F.length(t).cast("string"), F.lit(":"), t, F.lit("|")) for t in texts))
-    return F.aggregate(F.array(*texts), F.lit(""), lambda a, x: F.when(a == "", x).otherwise(F.concat(a, F.lit("|"), x)))
+    leading = F.lit(len(texts))
+    for k in reversed(range(len(texts))):
+        leading = F.when(texts[k] != "", F.lit(k)).otherwise(leading)
+    return F.substring(F.concat_ws("|", *texts), leading + 1, F.lit(2**31 - 1))
 
 
 def parse_timestamp(c: Column) -> Column:
@@ -177,10 +190,10 @@ def _month_case(c: Column) -> Column:
 
 
 def local_to_utc(c: Column, zone: str = "America/New_York") -> Column:
-    """Local time to UTC: a time that the clocks skip stays as it is, one that they show twice counts as standard time."""
+    """Local time to UTC, whatever the session's zone: a time that the clocks skip stays as it is, one that they show twice counts as standard time."""
     local = c.cast("timestamp_ntz")
-    plain = F.to_utc_timestamp(local.cast("timestamp"), zone)
-    there = F.from_utc_timestamp(plain, zone)
+    plain = F.convert_timezone(F.lit(zone), F.lit("UTC"), local)
+    there = F.convert_timezone(F.lit("UTC"), F.lit(zone), plain)
     later = plain + F.expr("interval 1 hour")
-    twice = F.from_utc_timestamp(later, zone) == local.cast("timestamp")
-    return F.when(there != local.cast("timestamp"), local).when(twice, later.cast("timestamp_ntz")).otherwise(plain.cast("timestamp_ntz"))
+    twice = F.convert_timezone(F.lit("UTC"), F.lit(zone), later) == local
+    return F.when(there != local, local).when(twice, later).otherwise(plain)

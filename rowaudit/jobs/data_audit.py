@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import canonical
-from ..operators import diff, fingerprint, numbering, summary
+from ..operators import audit, diff, fingerprint, numbering, summary
 from .registry import query
 
 #: Canonical row text of the two fixtures, for the other engine.
@@ -111,39 +111,41 @@ def parse_timestamps(orders: DataFrame) -> DataFrame:
     return orders.select("o_orderkey", text.alias("x")).select("o_orderkey", canonical.parse_timestamp(F.col("x")).alias("parsed"))
 
 
-_NY = "(t at time zone 'America/New_York')"
+def _sunday(month: int, day: int) -> str:
+    """The first Sunday from a day of the year of ``local_time`` on, in SQL."""
+    d = f"make_date(year(local_time), {month}, {day})"
+    return f"({d} + cast((7 - dayofweek({d})) % 7 as integer))"
 
 
-@query(
-    "tz_to_utc", "orders_src",
-    """select o_orderkey, local_time,
-              case when month(local_time) between 4 and 10 then local_time + interval 4 hour else local_time + interval 5 hour end as utc_time
-       from (select o_orderkey, o_orderdate + interval 12 hour as local_time from orders_src where month(o_orderdate) not in (3, 11) and not (month(o_orderdate) = 4 and day(o_orderdate) < 8) and not (month(o_orderdate) = 10 and day(o_orderdate) > 24)) as x""",
-)
+_UTC = f"""select o_orderkey, local_time,
+               case when cast(local_time as date) >= case when year(local_time) < 2007 then {_sunday(4, 1)} else {_sunday(3, 8)} end
+                         and cast(local_time as date) < case when year(local_time) < 2007 then {_sunday(10, 25)} else {_sunday(11, 1)} end
+                    then local_time + interval 4 hour else local_time + interval 5 hour end as utc_time
+        from (select o_orderkey, o_orderdate + interval 12 hour as local_time from orders_src) as x"""
+
+
+@query("tz_to_utc", "orders_src", _UTC)
 def tz_to_utc(orders: DataFrame) -> DataFrame:
-    """Days on which the offset is the same under the rules of every year; the edges are in the tests."""
-    m, d = F.month("o_orderdate"), F.dayofmonth("o_orderdate")
-    there = orders.filter(~m.isin(3, 11) & ~((m == 4) & (d < 8)) & ~((m == 10) & (d > 24))).select("o_orderkey", (F.col("o_orderdate") + F.expr("interval 12 hours")).alias("local_time"))
-    return there.select("o_orderkey", "local_time", canonical.local_to_utc(F.col("local_time")).alias("utc_time"))
+    """All orders at noon, the days of the changeovers too; the SQL has the rules from 1987 on."""
+    local = orders.select("o_orderkey", (F.col("o_orderdate") + F.expr("interval 12 hours")).alias("local_time"))
+    return local.select("o_orderkey", "local_time", canonical.local_to_utc(F.col("local_time")).alias("utc_time"))
 
 
-def _sunday(month: int, day: int) -> str:
-    """The first Sunday from a day of the year of ``local_time`` on, in SQL."""
-    d = f"make_date(year(local_time), {month}, {day})"
-    return f"({d} + cast((7 - dayofweek({d})) % 7 as integer))"
+_SPRING = f"(case when year(local_time) < 2007 then {_sunday(4, 1)} else {_sunday(3, 8)} end)"
+_AUTUMN = f"(case when year(local_time) < 2007 then {_sunday(10, 25)} else {_sunday(11, 1)} end)"
 
 
 @query(
     "tz_to_utc_all", "orders_src",
     f"""select o_orderkey, local_time,
-               case when cast(local_time as date) >= case when year(local_time) < 2007 then {_sunday(4, 1)} else {_sunday(3, 8)} end
-                         and cast(local_time as date) < case when year(local_time) < 2007 then {_sunday(10, 25)} else {_sunday(11, 1)} end
-                    then local_time + interval 4 hour else local_time + interval 5 hour end as utc_time
-        from (select o_orderkey, o_orderdate + interval 12 hour as local_time from orders_src) as x""",
+               case when local_time >= {_SPRING} + interval 2 hour and local_time < {_SPRING} + interval 3 hour then local_time
+                    when local_time >= {_SPRING} + interval 3 hour and local_time < {_AUTUMN} + interval 1 hour then local_time + interval 4 hour else local_time + interval 5 hour end as utc_time
+        from (select o_orderkey, date_trunc('day', o_orderdate) + to_minutes(cast((o_orderkey % 8) * 30 as integer)) as local_time from orders_src) as x""",
 )
 def tz_to_utc_all(orders: DataFrame) -> DataFrame:
-    """All orders, the days of the changeovers too; the SQL has the rules from 1987 on. ``tz_to_utc`` leaves the months of the changeovers out."""
-    local = orders.select("o_orderkey", (F.col("o_orderdate") + F.expr("interval 12 hours")).alias("local_time"))
+    """All orders at half hours from midnight to 3:30, so the skipped hour and the doubled one occur on the days of the changeovers."""
+    half = F.expr("make_dt_interval(0, 0, cast((o_orderkey % 8) * 30 as int), 0)")
+    local = orders.select("o_orderkey", (F.date_trunc("day", "o_orderdate").cast("timestamp_ntz") + half).alias("local_time"))
     return local.select("o_orderkey", "local_time", canonical.local_to_utc(F.col("local_time")).alias("utc_time"))
 
 
@@ -190,16 +192,16 @@ def extra_keys(source: DataFrame, target: DataFrame) -> DataFrame:
     return diff.missing_keys(target, source, KEYS)
 
 
-@query("keys_exist", "lineitem_src lineitem_tgt", "select distinct l_orderkey, l_linenumber from lineitem_src s where l_orderkey % 7 = 0 and exists (select 1 from lineitem_tgt t where t.l_orderkey = s.l_orderkey and t.l_linenumber = s.l_linenumber)")
+@query("keys_exist", "lineitem_src lineitem_tgt", "select distinct l_orderkey, l_linenumber from lineitem_src s where exists (select 1 from lineitem_tgt t where t.l_orderkey = s.l_orderkey and t.l_linenumber = s.l_linenumber)")
 def keys_exist(source: DataFrame, target: DataFrame) -> DataFrame:
-    """Which composite keys of a list (every seventh order's) the target holds."""
-    return diff.keys_exist(target, source.filter("l_orderkey % 7 = 0"), ["l_orderkey", "l_linenumber"])
+    """Which composite keys of the source the target holds."""
+    return diff.keys_exist(target, source, ["l_orderkey", "l_linenumber"])
 
 
-@query("keys_exist_all", "lineitem_src lineitem_tgt", "select distinct l_orderkey, l_linenumber from lineitem_src s where exists (select 1 from lineitem_tgt t where t.l_orderkey = s.l_orderkey and t.l_linenumber = s.l_linenumber)")
+@query("keys_exist_all", "lineitem_src lineitem_tgt", "select distinct l_orderkey, l_linenumber from lineitem_tgt s where exists (select 1 from lineitem_src t where t.l_orderkey = s.l_orderkey and t.l_linenumber = s.l_linenumber)")
 def keys_exist_all(source: DataFrame, target: DataFrame) -> DataFrame:
-    """Which composite keys of the whole source table the target holds; ``keys_exist`` asks for a list of them."""
-    return diff.keys_exist(target, source, ["l_orderkey", "l_linenumber"])
+    """The other direction: which composite keys of the target the source holds."""
+    return diff.keys_exist(source, target, ["l_orderkey", "l_linenumber"])
 
 
 @query("duplicate_keys", "lineitem_src", "select l_orderkey, l_linenumber, count(*) as n_rows from lineitem_src group by 1, 2 having count(*) > 1")
@@ -261,13 +263,58 @@ _DIFFER = "case when {a} <> {b} then 1 else 0 end"
 
 @query(
     "column_level_diff", "orders_src orders_tgt",
-    f"""select s.o_orderkey, 1 as n_differing, 'o_totalprice' as differing, 0 as source_nulls, 0 as target_nulls, false as ordering_problem
+    f"""select s.o_orderkey, 1 as n_differing, 'o_totalprice' as differing, 0 as source_nulls, 0 as target_nulls, false as ordering_problem, '' as absent
         from orders_src s join orders_tgt t on s.o_orderkey = t.o_orderkey where s.o_totalprice <> t.o_totalprice""",
 )
 def column_level_diff(source: DataFrame, target: DataFrame) -> DataFrame:
     return diff.column_diff(source, target, KEYS)
 
 
+@query(
+    "column_diff_of_types", "orders_src",
+    """select case when o_orderkey % 50 = 0 then null else o_orderkey end as k, 1 as n_differing, case when o_orderkey % 3 = 0 then 'n' else 'x' end as differing,
+              0 as source_nulls, case when o_orderkey % 3 = 0 then 0 else 1 end as target_nulls, false as ordering_problem, 'only_here,only_there' as absent
+       from orders_src where (o_orderkey % 50 <> 0 or o_orderkey = (select min(o_orderkey) from orders_src where o_orderkey % 50 = 0)) and (o_orderkey % 3 = 0 or o_orderkey % 7 = 0 and o_orderkey % 3 = 1)""",
+)
+def column_diff_of_types(orders: DataFrame) -> DataFrame:
+    """Decimals and integers against doubles, a null key on both sides, a column that each side lacks."""
+    key = F.when(F.col("o_orderkey") % 50 != 0, F.col("o_orderkey")).alias("k")
+    one = orders.agg(F.min(F.when(F.col("o_orderkey") % 50 == 0, F.col("o_orderkey"))).alias("one"))
+    rows = orders.join(F.broadcast(one), (F.col("o_orderkey") % 50 != 0) | (F.col("o_orderkey") == F.col("one")))
+    source = rows.select(key, F.col("o_totalprice").alias("x"), F.col("o_custkey").cast("long").alias("n"), F.lit(1).alias("only_here"))
+    n, x = F.col("o_custkey").cast("double"), F.col("o_totalprice").cast("double")
+    target = rows.select(
+        key, F.when(~((F.col("o_orderkey") % 7 == 0) & (F.col("o_orderkey") % 3 == 1)), x).alias("x"), F.when(F.col("o_orderkey") % 3 == 0, n + 0.5).otherwise(n).alias("N"), F.lit(2).alias("only_there")
+    )
+    return diff.column_diff(source, target, ["k"])
+
+
+@query(
+    "numbers_of_types", "orders_src",
+    f"""select o_orderkey, {_DEC.format(c="o_totalprice")} as as_decimal, {_DEC.format(c="o_totalprice")} as as_double, cast(o_custkey as varchar) as as_long, cast(o_custkey as varchar) as as_float,
+               case when o_orderkey % 4 = 0 then 'NULL' when o_orderkey % 4 = 1 then 'NaN' when o_orderkey % 4 = 2 then '0' else '0.5' end as odd,
+               case when o_custkey >= 1440 then cast(o_custkey // 1440 as varchar) || '.' else '' end || lpad(cast((o_custkey // 60) % 24 as varchar), 2, '0') || ':' || lpad(cast(o_custkey % 60 as varchar), 2, '0') || ':00' as span from orders_src""",
+)
+def numbers_of_types(orders: DataFrame) -> DataFrame:
+    """The same numbers as decimals, integers and floats, nulls, not-a-number, negative zero, and intervals of minutes."""
+    k = F.col("o_orderkey") % 4
+    odd = F.when(k == 1, F.lit(float("nan"))).when(k == 2, F.lit(-0.0)).when(k == 3, F.lit(0.5))
+    df = orders.select(
+        "o_orderkey", F.col("o_totalprice").alias("as_decimal"), F.col("o_totalprice").cast("double").alias("as_double"), F.col("o_custkey").cast("long").alias("as_long"), F.col("o_custkey").cast("float").alias("as_float"),
+        odd.alias("odd"), F.expr("make_dt_interval(0, 0, cast(o_custkey as int), 0)").alias("span"),
+    )
+    return df.select("o_orderkey", *(canonical.text_of(f.name, f.dataType).alias(f.name) for f in df.schema.fields[1:]))
+
+
+@query(
+    "positional_column_diff", "orders_src",
+    """select row_number() over (order by o_orderkey) as row_id, 1 as n_differing, 'o_totalprice' as differing, 0 as source_nulls, 0 as target_nulls, false as ordering_problem, '' as absent, o_orderkey % 89 = 3 as changed from orders_src qualify changed""",
+)
+def positional_column_diff(orders: DataFrame) -> DataFrame:
+    changed = orders.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 89 == 3, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")).cast("decimal(18,2)"))
+    return diff.positional_column_diff(orders, changed, KEYS).withColumn("changed", F.lit(True))
+
+
 @query(
     "diff_samples", "orders_src orders_tgt",
     f"""with {_KEYED}, r as (select o_orderkey, category, source_hash, target_hash, cast(row_number() over (partition by category order by o_orderkey) as int) as rank from d where category <> 'matching')
@@ -350,3 +397,47 @@ def probe_ordered(orders: DataFrame) -> DataFrame:
 def probe_sample(orders: DataFrame) -> DataFrame:
     """Any rows: which ones isn't fixed, so only their number is checked."""
     return orders.limit(100)
+
+
+def _pairs(source: DataFrame, target: DataFrame, lines: DataFrame, lines_target: DataFrame) -> list[audit.Pair]:
+    """Two keyed tables, one without a key, a view, and a table that can't be read."""
+    view = lambda df: lambda: df.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+    return [
+        audit.Pair("S1", "ORDERS", lambda: source, lambda: target, ("o_orderkey",)), audit.Pair("S1", "SAME", lambda: source, lambda: source, ("o_orderkey",)), audit.Pair("S2", "LINES", lambda: lines, lambda: lines_target),
+        audit.Pair("S2", "BY_STATUS", view(source), view(source), ("o_orderstatus",), "View"), audit.Pair("S2", "GONE", lambda: source, lambda: source.sparkSession.read.parquet("/nowhere/at/all.parquet"), ("o_orderkey",)),
+    ]
+
+
+_MANY = f"""{_KEYED}, {_MULTI.strip()}, many as (
+    select 'S1' as schema_name, 'ORDERS' as table_name, 'Table' as object_type, count(*) filter (category <> 'extra') as source_rows, count(*) filter (category <> 'missing') as target_rows, count(*) filter (category = 'matching') as matching,
+           count(*) filter (category = 'mismatched') as mismatched, count(*) filter (category = 'missing') as missing, count(*) filter (category = 'extra') as extra, cast(null as varchar) as error from d
+    union all select 'S1', 'SAME', 'Table', count(*), count(*), count(*), 0, 0, 0, null from orders_src
+    union all select 'S2', 'LINES', 'Table', sum(n_source), sum(n_target), sum(least(n_source, n_target)), 0, sum(greatest(n_source - n_target, 0)), sum(greatest(n_target - n_source, 0)), null from m
+    union all select 'S2', 'BY_STATUS', 'View', count(distinct o_orderstatus), count(distinct o_orderstatus), count(distinct o_orderstatus), 0, 0, 0, null from orders_src
+    union all select 'S2', 'GONE', 'Table', 0, 0, 0, 0, 0, 0, 'PATH_NOT_FOUND')"""
+_LONGS = ", ".join(f"cast({c} as bigint) as {c}" for c in audit.TOTALS)
+_FOUR = "orders_src orders_tgt lineitem_src lineitem_tgt"
+
+
+@query("audit_pairs", _FOUR, f"with {_MANY} select schema_name, table_name, object_type, {_LONGS}, error from many")
+def audit_pairs(*sides: DataFrame) -> DataFrame:
+    return audit.audit_pairs(sides[0].sparkSession, _pairs(*sides))
+
+
+@query(
+    "audit_pairs_summary", _FOUR,
+    f"""with {_MANY} select count(*) filter (object_type = 'Table') as tables, count(*) filter (object_type = 'View') as views, count(*) as objects, count(*) filter (error is null and mismatched + missing + extra = 0) as passed,
+            count(*) filter (error is null and mismatched + missing + extra > 0) as failed, count(error) as errors, {", ".join(f"cast(sum({c}) as bigint) as {c}" for c in audit.TOTALS)}, cast(sum(matching) as double) * 100.0 / cast(sum(source_rows) as double) as match_percent from many""",
+)
+def audit_pairs_summary(*sides: DataFrame) -> DataFrame:
+    return summary.executive_summary(audit.audit_pairs(sides[0].sparkSession, _pairs(*sides)))
+
+
+@query(
+    "count_drill_down", _FOUR,
+    """select 'S1' as schema_name, 'ORDERS' as table_name, 'missing' as side, cast(o_orderkey as varchar) as key_text from orders_src s where not exists (select 1 from orders_tgt t where t.o_orderkey = s.o_orderkey)
+       union all select 'S1', 'ORDERS', 'extra', cast(o_orderkey as varchar) from orders_tgt t where not exists (select 1 from orders_src s where t.o_orderkey = s.o_orderkey)""",
+)
+def count_drill_down(*sides: DataFrame) -> DataFrame:
+    """From counts that differ to the keys behind them; equal counts and the table that can't be counted are left alone."""
+    return audit.count_drill_down(sides[0].sparkSession, _pairs(*sides))[1]

@@ -2,22 +2,37 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FAILED = -1
 ERRORS = ("Query Error", "Source Query Error", "Target Query Error")
 
 
-def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """``table_name``, ``row_count`` for many tables in one job; Parquet serves plain counts from its footers."""
-    each = [df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("table_name"), "row_count") for name, df in tables.items()]
-    out = each[0]
-    for df in each[1:]:
-        out = out.unionByName(df)
-    return out
+def row_counts(tables: Mapping[str, DataFrame | Callable[[], DataFrame]]) -> DataFrame:
+    """``table_name``, ``row_count`` for many tables; Parquet serves plain counts from its footers. A table that can't be read
+    counts ``FAILED``: all are counted in one job first, and only if that fails, each on its own (a number for each comes to the driver)."""
+
+    def one(name: str, table: DataFrame | Callable[[], DataFrame]) -> DataFrame:
+        df = table() if callable(table) else table
+        return df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("table_name"), "row_count")
+
+    spark = SparkSession.getActiveSession()
+    try:
+        out = reduce(DataFrame.unionByName, (one(n, t) for n, t in tables.items()))
+        return spark.createDataFrame([(r["table_name"], r["row_count"]) for r in out.collect()], "table_name string, row_count long")
+    except PySparkException:
+        found = []
+        for name, table in tables.items():
+            try:
+                found.append((name, one(name, table).first()["row_count"]))
+            except PySparkException:
+                found.append((name, FAILED))
+        return spark.createDataFrame(found, "table_name string, row_count long")
 
 
 def partition_counts(df: DataFrame, partition: Column, name: str = "partition_name") -> DataFrame:

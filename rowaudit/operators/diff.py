@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.canonical import text_of
+from ..functions.canonical import row_text, text_of
 from ..sources.tables import written
 from .fingerprint import fingerprint, hash_of, is_lob  # noqa: F401
 from .numbering import numbered
@@ -98,28 +98,46 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def column_diff(source: DataFrame, target: DataFrame, keys: list[str], *, first: int = 10, share: float = 0.8) -> DataFrame:
-    """One row per mismatched row: keys, ``n_differing``, ``differing`` (the first names), null counts of both sides and
-    ``ordering_problem``: one side nearly all null while the other has none."""
-    kinds = {f.name: f.dataType for f in source.schema.fields}
-    names = sorted((c for c in source.columns if c not in keys), key=str.lower)
-    bad = keyed_diff(source, target, keys).filter("category = 'mismatched'").select(*keys)
-    s, t = source.join(bad, keys, "left_semi").alias("s"), target.join(bad, keys, "left_semi").alias("t")
-
-    def texts(df: DataFrame, to: str) -> DataFrame:
-        return df.select(*keys, F.array(*(text_of(n, kinds[n]) for n in names)).alias(to), F.array(*(F.col(n).isNull() for n in names)).alias(f"{to}_null"))
-
-    both = texts(s, "a").join(texts(t, "b"), keys)
-    pairs = F.arrays_zip(F.array(*map(F.lit, names)).alias("name"), F.col("a"), F.col("b"))
+    """One row per mismatched row: keys, ``n_differing``, ``differing`` (the first names), null counts of both sides,
+    ``ordering_problem`` (one side nearly all null while the other has none) and ``absent`` (columns that one side lacks).
+
+    Null keys pair with null keys. Each side's values are printed by its own types; columns are paired by name in any
+    case, and those of one side only aren't compared but listed."""
+    kinds = [{f.name.lower(): f for f in df.schema.fields} for df in (source, target)]
+    of_key = {k.lower() for k in keys}
+    names = sorted(c for c in kinds[0] if c in kinds[1] and c not in of_key)
+    absent = sorted(c for c in {*kinds[0], *kinds[1]} if (c in kinds[0]) != (c in kinds[1]))
+    there = lambda df: [F.col(c) for c in df.columns if c.lower() not in absent]
+    found = keyed_diff(source.select(*there(source)), target.select(*there(target)), keys)
+    bad = found.filter("category = 'mismatched'").select(*(F.col(k).alias(f"_{k}") for k in keys))
+
+    def texts(df: DataFrame, side: int, to: str) -> DataFrame:
+        own = df.join(bad, _all_equal([df[k] for k in keys], [bad[f"_{k}"] for k in keys]), "left_semi")
+        fields = [kinds[side][n] for n in names]
+        return own.select(*(F.col(k).alias(f"{to}_{k}") for k in keys), F.array(*(text_of(f.name, f.dataType) for f in fields)).alias(to), F.array(*(F.col(f"`{f.name}`").isNull() for f in fields)).alias(f"{to}_null"))
+
+    a, b = texts(source, 0, "a"), texts(target, 1, "b")
+    both = a.join(b, _all_equal([a[f"a_{k}"] for k in keys], [b[f"b_{k}"] for k in keys]))
+    pairs = F.arrays_zip(F.array(*(F.lit(kinds[0][n].name) for n in names)).alias("name"), F.col("a"), F.col("b"))
     off = F.filter(pairs, lambda x: x["a"] != x["b"])
     nulls = lambda c: F.size(F.filter(c, lambda x: x))
     out = both.withColumns({"_off": off, "source_nulls": nulls("a_null"), "target_nulls": nulls("b_null")})
     mostly = lambda a, b: (F.col(a) >= share * len(names)) & (F.col(b) == 0)
     return out.select(
-        *keys, F.size("_off").alias("n_differing"), F.array_join(F.transform(F.slice("_off", 1, first), lambda x: x["name"]), ",").alias("differing"), "source_nulls", "target_nulls",
-        (mostly("source_nulls", "target_nulls") | mostly("target_nulls", "source_nulls")).alias("ordering_problem"),
+        *(F.col(f"a_{k}").alias(k) for k in keys), F.size("_off").alias("n_differing"), F.array_join(F.transform(F.slice("_off", 1, first), lambda x: x["name"]), ",").alias("differing"), "source_nulls", "target_nulls",
+        (mostly("source_nulls", "target_nulls") | mostly("target_nulls", "source_nulls")).alias("ordering_problem"), F.lit(",".join(absent)).alias("absent"),
     )
 
 
+def positional_column_diff(source: DataFrame, target: DataFrame, order: list[str], **options) -> DataFrame:
+    """``column_diff`` of rows paired by their place in the order of ``order``, then of their hash: keyed by ``row_id``."""
+
+    def side(df: DataFrame) -> DataFrame:
+        return numbered(df, [*(F.col(c) for c in order), hash_of(row_text(df))])
+
+    return column_diff(side(source), side(target), ["row_id"], **options)
+
+
 def diff_totals(diff: DataFrame, *by: str) -> DataFrame:
     """Counts by category, ``match_percent`` (of source rows; 0 if there are none) and ``is_match``."""
     n = lambda c: F.count_if(F.col("category") == c).alias(c)

@@ -10,23 +10,23 @@ from ..sources.tables import written
 
 
 def numbered(df: DataFrame, order: list[Column], *, into: str = "row_id", partitions: int | None = None) -> DataFrame:
-    """``df`` with row numbers from 1 over ``order``, which must be total: equal rows get numbers in any order.
+    """``df`` with row numbers from 1 over ``order``; equal rows get numbers in any order.
 
-    Rows are dealt by ranges of the order and written, so the ranges are fixed; each range counts itself, the counts
-    before it (a row for each range on the driver) are added to the numbers within. Sorting is never in one task."""
+    Rows are written with their order first, so that sampling for the ranges doesn't compute them again, then dealt by
+    ranges of the order and written, so the ranges are fixed. A number of each row breaks ties: equal rows spread over
+    ranges like others. Each range counts itself, the counts before it (a row for each range on the driver) are added to
+    the numbers within. Sorting is never in one task."""
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    names = [f"_o{k}" for k in range(len(order))]
-    dealt = written(df.withColumns(dict(zip(names, (_plain(c) for c in order), strict=True))).repartitionByRange(n, *(F.asc_nulls_first(x) for x in names)).withColumn("_range", F.spark_partition_id()), "ranges")
+    names = [f"_o{k}" for k in range(len(order))] + ["_tie"]
+    base = written(df.withColumns(dict(zip(names, [*order, F.monotonically_increasing_id()], strict=True))), "rows")
+    by = [F.asc_nulls_first(x) for x in names]
+    dealt = written(base.repartitionByRange(n, *by).withColumn("_range", F.spark_partition_id()), "ranges")
     sizes = sorted((r[0], r[1]) for r in dealt.groupBy("_range").count().collect())
     before, starts = 0, []
     for k, size in sizes:
         starts.append((k, before))
         before += size
     offsets = F.broadcast(spark.createDataFrame(starts, "_range int, _before long"))
-    within = F.row_number().over(W.partitionBy("_range").orderBy(*(F.asc_nulls_first(x) for x in names)))
+    within = F.row_number().over(W.partitionBy("_range").orderBy(*by))
     return dealt.join(offsets, "_range").withColumn(into, F.col("_before") + within).drop("_range", "_before", *names)
-
-
-def _plain(c: Column) -> Column:
-    return c

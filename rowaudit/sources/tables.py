@@ -34,10 +34,12 @@ def write_results(results: DataFrame, path: str, *, by: str = "schema_name") ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; only where that is unset, one of our own."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; only where that is unset and all run on one machine, one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     return _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="rowaudit-"))
 
 

@@ -106,3 +106,25 @@ def test_results_are_written_by_schema(spark, tmp_path):
     df = spark.createDataFrame([("s1", 1), ("s2", 2)], "schema_name string, n int")
     tables.write_results(df, str(tmp_path / "r"))
     assert sorted(p.name for p in (tmp_path / "r").glob("schema_name=*")) == ["schema_name=s1", "schema_name=s2"]
+
+
+def test_equal_numbers_of_all_types_match(spark):
+    rows = [(k, x) for k, x in enumerate([0.0, -0.0, 100.0, 0.1, 1.5, 12345678.5, 1e-5, 2.5e-7, 99999999999.25, None])]
+    source = spark.createDataFrame(rows, "k long, x double").selectExpr("k", "x", "cast(x as long) as n")
+    target = source.selectExpr("k", "cast(x as decimal(30,10)) as x", "cast(n as double) as n")
+    assert {r["category"] for r in diff.keyed_diff(source, target, ["k"]).collect()} == {"matching"}
+
+
+def test_column_diff_of_null_keys_and_absent_columns(spark):
+    source = spark.createDataFrame([(None, "a", 1), (1, "b", 2), (2, "c", 3)], "k int, v string, mine int")
+    target = spark.createDataFrame([(None, "x", 1.0), (1, "b", 2.0), (2, "y", 3.0)], "k int, V string, theirs double")
+    got = sorted(tuple(r) for r in diff.column_diff(source, target, ["k"]).select(F.coalesce("k", F.lit(-1)), "n_differing", "differing", "absent").collect())
+    assert got == [(-1, 1, "v", "mine,theirs"), (2, 1, "v", "mine,theirs")]
+    assert diff.column_diff(source.limit(0), target, ["k"]).count() == 0
+
+
+def test_numbers_over_equal_rows(spark):
+    df = spark.range(500).selectExpr("id % 2 as x")
+    got = numbering.numbered(df, [F.col("x")], partitions=7)
+    assert sorted(r["row_id"] for r in got.collect()) == list(range(1, 501))
+    assert got.filter("x = 0").agg(F.max("row_id")).first()[0] == 250

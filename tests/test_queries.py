@@ -12,7 +12,7 @@ import __spark_entry__
 from rowaudit import jobs
 from rowaudit.functions import canonical
 from rowaudit.jobs import count_audit
-from rowaudit.operators import filters, summary
+from rowaudit.operators import counts, filters, summary
 
 from .compare import duck, rows
 
@@ -43,13 +43,23 @@ def _to_utc(local: dt.datetime) -> dt.datetime:
 
 
 def test_all_orders_become_utc(spark, sf):
-    got = {r["o_orderkey"]: (r["local_time"], r["utc_time"]) for r in jobs.QUERIES["tz_to_utc_all"](spark, sf).collect()}
+    got = {r["o_orderkey"]: (r["local_time"], r["utc_time"]) for r in jobs.QUERIES["tz_to_utc"](spark, sf).collect()}
     orders = jobs.registry.fixture(spark, sf, "orders_src", {}).selectExpr("o_orderkey", "cast(o_orderdate as timestamp_ntz) + interval 12 hours as t").collect()
     assert got == {r["o_orderkey"]: (r["t"], _to_utc(r["t"])) for r in orders}
     assert {r["t"].month for r in orders} == set(range(1, 13))
 
 
-def test_every_quarter_hour_around_the_changeovers(spark):
+@pytest.mark.parametrize("zone", ["UTC", "Europe/Berlin", "Asia/Kolkata"])
+def test_every_quarter_hour_around_the_changeovers(spark, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        _changeovers(spark)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def _changeovers(spark):
     days = [dt.datetime(y, m, d) for y in (1995, 2001, 2006, 2007, 2024) for m, r in ((3, range(7, 16)), (4, range(1, 9)), (10, range(24, 32)), (11, range(1, 9))) for d in r]
     times = [d + dt.timedelta(minutes=15 * k) for d in days for k in range(96)]
     df = spark.createDataFrame([(t,) for t in times], "t timestamp_ntz").select("t", canonical.local_to_utc(F.col("t")).alias("u"))
@@ -84,3 +94,24 @@ def test_entry(spark):
 
 def test_every_sql_has_a_query():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_unreadable_tables_count_minus_one(spark):
+    tables = {"there": spark.range(7), "gone": lambda: spark.read.parquet("/nowhere/at/all.parquet"), "also there": lambda: spark.range(3)}
+    assert {r["table_name"]: r["row_count"] for r in counts.row_counts(tables).collect()} == {"there": 7, "gone": -1, "also there": 3}
+
+
+def test_entry_leaves_out_only_what_was_taken_out(monkeypatch):
+    real = __spark_entry__.importlib.import_module
+
+    def without(name):
+        if name.startswith(("rowaudit.llm", "corpus_pipeline")):
+            raise ModuleNotFoundError(name=missing)
+        return real(name)
+
+    monkeypatch.setattr(__spark_entry__.importlib, "import_module", without)
+    missing = "rowaudit.llm"
+    assert set(__spark_entry__.queries()) == set(jobs.QUERIES)
+    missing = "numpy"
+    with pytest.raises(ModuleNotFoundError):
+        __spark_entry__.queries()
