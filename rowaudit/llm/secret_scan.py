@@ -56,10 +56,32 @@ def letter_pairs(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return np.log2(n / n.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
+def word_counts(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """``(word, n)``: every distinct word of all texts and how often it occurs; each task folds its own words first."""
+
+    def counted(batches):
+        for b in words.slices(batches):
+            flat, _ = words.split(b.column(0), lower=False)
+            if len(flat):
+                v = flat.value_counts()
+                yield pa.record_batch([v.field("values"), v.field("counts")], names=["word", "n"])
+
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def frequent_words(counts: DataFrame, most: int) -> DataFrame:
+    """The words of ``counts`` above the least frequency that leaves at most ``most`` of them."""
+    left, least = most, None
+    by_n = counts.filter("n > 1").groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count(F.lit(1)).alias("w")).orderBy(F.desc("n"))
+    for n, w in by_n.collect():  # a row for each frequency, 100,000 at most
+        if w > left:
+            break
+        left, least = left - w, n
+    return counts.filter(F.col("n") >= least) if least is not None else counts.limit(0)
+
+
 def dictionary(docs: DataFrame, text_col: str = "text", most: int = DICTIONARY) -> frozenset[str]:
     """The most frequent words of letters over all texts, four letters or more."""
-    from .bpe import frequent_words, word_counts
-
     counts = word_counts(docs.select(F.lower(F.col(text_col)).alias("text"))).filter(F.col("word").rlike("^[a-z]{4,13}$"))
     return frozenset(r[0] for r in frequent_words(written(counts, "secret-words"), most).select("word").collect())
 
