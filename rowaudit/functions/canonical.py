@@ -15,8 +15,9 @@ ISO_STYLE = tuple(f"yyyy-MM-dd{t}" for t in (" HH:mm:ss.SSSSSS", " HH:mm:ss.SSSS
 
 
 def rtrim_unicode(c: Column) -> Column:
-    """Without white space of any kind at the right end; ``rtrim`` alone takes blanks only."""
-    return F.regexp_replace(c, r"(?U)\s+$", "")
+    """Without white space of any kind at the right end; ``rtrim`` alone takes blanks only. Text that ends in a printable
+    ASCII character, as nearly all does, needs no pattern."""
+    return F.when(F.ascii(F.right(c, F.lit(1))).between(33, 126), c).otherwise(F.regexp_replace(c, r"(?U)\s+$", ""))
 
 
 def looks_like_guid(c: Column) -> Column:
@@ -83,7 +84,9 @@ def decimal_text(c: Column, scale: int) -> Column:
     """Integral values without a point, others without trailing zeros; below 1e-5 with an exponent."""
     text = c.cast("string")
     if scale <= 0:
-        return F.format_string("%s", c.cast("decimal(38,0)").cast("string"))
+        return c.cast("decimal(38,0)").cast("string")
+    if scale <= 5:  # never an exponent, always a point
+        return F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))
     plain = F.when(text.contains("E"), F.format_number(c, scale)).otherwise(text)
     plain = F.regexp_replace(plain, ",", "")
     whole = F.regexp_replace(plain, r"\.?0+$", "")
