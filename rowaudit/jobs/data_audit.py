@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import canonical
 from ..operators import audit, diff, fingerprint, numbering, summary
+from ..sources import tables
 from .registry import query
 
 #: Canonical row text of the two fixtures, for the other engine.
@@ -441,3 +444,29 @@ def audit_pairs_summary(*sides: DataFrame) -> DataFrame:
 def count_drill_down(*sides: DataFrame) -> DataFrame:
     """From counts that differ to the keys behind them; equal counts and the table that can't be counted are left alone."""
     return audit.count_drill_down(sides[0].sparkSession, _pairs(*sides))[1]
+
+
+@query("read_pair_diff", "orders_src orders_tgt", f"with {_KEYED} select category, count(*) as n from d group by 1")
+def read_pair_diff(source: DataFrame, target: DataFrame) -> DataFrame:
+    """Both sides as files of two formats, read as a pair and compared by key."""
+    paths = [f"{tables.shared_dir(source.sparkSession)}/pair-{uuid.uuid4().hex}" for _ in range(2)]
+    source.write.parquet(paths[0])
+    target.write.orc(paths[1])
+    pair = tables.read_pair(source.sparkSession, {"path": paths[0]}, {"format": "orc", "path": paths[1]})
+    return diff.keyed_diff(*pair, KEYS).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "fallback_keys", "orders_src",
+    f"""select 'declared' as rule, cast(o_orderkey as varchar) as key_text from orders_src
+        union all select 'ends in id', cast(o_custkey as varchar) || '|' || cast(o_orderkey as varchar) from orders_src
+        union all select 'orderable', {ORDER_TEXT} from orders_src""",
+)
+def fallback_keys(orders: DataFrame) -> DataFrame:
+    """The text of each row's key where it is declared, where only names tell it, and where nothing does."""
+
+    def keyed(rule: str, df: DataFrame, declared: tuple[str, ...] = ()) -> DataFrame:
+        return df.select(F.lit(rule).alias("rule"), canonical.row_text(df, fingerprint.key_columns(df, declared)).alias("key_text"))
+
+    named = orders.withColumnsRenamed({"o_custkey": "cust_id", "o_orderkey": "order_id"})
+    return keyed("declared", orders, ("O_ORDERKEY",)).union(keyed("ends in id", named)).union(keyed("orderable", orders))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import fingerprint, summary, types
+from ..sources import tables
 from .registry import query
 
 _PAIR = """
@@ -72,6 +75,20 @@ def type_issues(source: DataFrame, target: DataFrame) -> DataFrame:
     return types.type_issues(source, target)
 
 
+@query("issue_listing", _CATS, f"with {_ISSUES} select * from i")
+def issue_listing(source: DataFrame, target: DataFrame) -> DataFrame:
+    return summary.listing(types.type_issues(source, target))
+
+
+@query("written_issues", _CATS, f"with {_ISSUES} select * from i")
+def written_issues(source: DataFrame, target: DataFrame) -> DataFrame:
+    """Issues written by schema, and read again."""
+    issues = types.type_issues(source, target)
+    path = f"{tables.shared_dir(source.sparkSession)}/issues-{uuid.uuid4().hex}"
+    tables.write_results(issues, path)
+    return source.sparkSession.read.schema(issues.schema).parquet(path)
+
+
 @query("format_types", _CATS, f"with {_PAIR} select schema_name, table_name, column_name, source_type, target_type, tn as normal_target from q")
 def format_types(source: DataFrame, target: DataFrame) -> DataFrame:
     p = types.pair_columns(source, target)

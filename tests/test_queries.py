@@ -85,6 +85,11 @@ def test_mapping_texts_are_bounded(spark, monkeypatch):
     assert count_audit.parse_mapping(tables).select("source").distinct().count() == 1000
 
 
+def test_issues_are_listed_gravest_first(spark, sf):
+    got = [(("Critical", "Error", "Warning", "Info").index(r["severity"]), r["schema_name"], r["table_name"], r["column_name"]) for r in jobs.QUERIES["issue_listing"](spark, sf).collect()]
+    assert got == sorted(got) and len({g[0] for g in got}) > 1
+
+
 def test_entry(spark):
     df = __spark_entry__.entry(spark)
     row = df.first()
