@@ -32,6 +32,8 @@ for _k, _set in enumerate(("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUV
         _CHARS[ord(_c)] = _k
 
 FEATURES = 22 + NEIGHBOURS
+#: Places of the features that read what the labelling rules read beside a value's characters: what assigns it, cues, placeholders, neighbouring words.
+RULED = (15, 18, 19, 20, *range(22, FEATURES))
 
 
 def letter_pairs(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -179,19 +181,22 @@ def fit_forest(labelled: DataFrame, *, trees: int = 20, depth: int = 6, most: in
 
 
 @tidy
-def secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, hold_out: int = 5) -> DataFrame:
+def secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, hold_out: int = 5, ruled: bool = True) -> DataFrame:
     """One row per candidate: ``doc_id``, ``start``, ``end`` (code points, end exclusive), ``label``, ``held_out``, ``score`` and ``is_secret``.
 
     Candidates are all runs of 14 or more key characters in all texts. Features: length, character transitions (against
     those of the whole corpus), classes and entropy, dictionary coverage, whether it lies in a path, what assigns it and
     the neighbouring words. The forest learns from findings that rules can label (known formats, values assigned to a
     cue; placeholders, plain words) of documents whose id's CRC is not 0 modulo ``hold_out``, and scores every candidate.
-    Where a known rule says 0 or 1 is for the reader to compare; the score is the forest's alone.
+    Where a known rule says 0 or 1 is for the reader to compare; the score is the forest's alone. With ``ruled=False``
+    the forest doesn't see the features that the rules read (``RULED``), so agreement with the labels is not the rule again.
 
     A null or empty text has no candidates; null ids and repeated rows are scanned each. With no labelled findings of
     either kind, the score is 0. Other columns are not read. An empty table gives an empty result.
     """
     rows = written(candidates(docs, id_col=id_col, text_col=text_col).withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % hold_out == 0, F.lit(False))), "secret-candidates")
+    if not ruled:
+        rows = rows.withColumn("features", F.transform("features", lambda x, i: F.when(i.isin(*RULED), 0.0).otherwise(x)))
     model = fit_forest(rows.filter("label is not null and not held_out"))
     if model is None:
         scored = rows.withColumn("score", F.lit(0.0))

@@ -490,6 +490,20 @@ def test_secrets_on_held_out_documents(spark, sf):
     assert any(r["is_secret"] for r in got)
 
 
+def test_values_tell_secrets_without_what_the_rules_read(spark, sf):
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
+    known = [r for r in secret_scan.secrets(docs, ruled=False).collect() if r["held_out"] and r["label"] is not None]
+    assert sum(r["is_secret"] == (r["label"] == 1) for r in known) >= 0.9 * len(known)
+
+
+def test_ruled_features_are_named_by_their_places():
+    pairs = np.zeros((128, 128), np.float32)
+    plain, cued = (secret_scan._features(t, t.index("Zq1"), len(t), pairs, frozenset()) for t in ("see  Zq1x8example4", "token: Zq1x8example4"))
+    assert len(plain) == secret_scan.FEATURES
+    assert {i for i, (a, b) in enumerate(zip(plain, cued, strict=True)) if a != b} <= set(secret_scan.RULED)
+    assert {15, 18, 19} <= {i for i, (a, b) in enumerate(zip(plain, cued, strict=True)) if a != b}
+
+
 def test_secret_odd_rows(odd):
     assert {r["doc_id"] for r in secret_scan.secrets(odd).collect()} <= {4}
     assert secret_scan.secrets(odd.limit(0)).count() == 0
