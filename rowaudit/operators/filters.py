@@ -8,10 +8,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Names of dropped tables start so; prefixes and suffixes that name a table's sequence or procedure (fixed values).
+#: Names of dropped tables start so; what the names of a table's sequences and procedures start with, or hold besides (fixed values).
 DROPPED = "BIN$"
-SEQUENCE_PARTS = ("SEQ_", "_SEQ", "_ID")
-PROCEDURE_PARTS = ("SP_", "FN_", "PROC_", "FUNC_", "_INSERT", "_UPDATE", "_DELETE", "_PROC", "_FUNC")
+SEQUENCE_PREFIXES, SEQUENCE_PARTS = ("SEQ_",), ("_SEQ", "_ID")
+PROCEDURE_PREFIXES = ("PROC_", "SP_", "FN_", "PKG_")
+PROCEDURE_PARTS = ("_PROC", "_SP", "_FN", "_PKG", "_INSERT", "_UPDATE", "_DELETE", "_SELECT", "_GET", "_SET")
 
 
 def name_contains(name: Column, schema: Column, patterns: Iterable[str]) -> Column:
@@ -42,16 +43,19 @@ def logical_tables(tables: DataFrame, partitions: DataFrame) -> DataFrame:
     return tables.join(child, (F.upper("schema_name") == F.col("_s")) & (F.upper("table_name") == F.col("_p")), "left_anti")
 
 
-def drop_derived(objects: DataFrame, excluded: DataFrame) -> DataFrame:
-    """Without sequences, procedures and functions whose name, less the usual prefixes and suffixes, is an excluded table's."""
+def drop_derived(objects: DataFrame, excluded: DataFrame, patterns: Iterable[str] = ()) -> DataFrame:
+    """Without sequences, procedures and functions named after an excluded table: less one prefix at the start, or less all
+    suffixes, the name is an excluded table's or holds one of the ``patterns`` that exclude tables."""
 
-    def stems(name: Column, parts: tuple[str, ...]) -> Column:
-        each = [F.replace(name, F.lit(p), F.lit("")) for p in parts]
-        both = [F.replace(F.replace(name, F.lit(p), F.lit("")), F.lit(q), F.lit("")) for p in parts for q in parts if p != q]
-        return F.array_distinct(F.array(name, *each, *both))
+    def stems(name: Column, prefixes: tuple[str, ...], parts: tuple[str, ...]) -> Column:
+        begun = reduce(lambda rest, p: F.when(name.startswith(p), F.substr(name, F.lit(len(p) + 1))).otherwise(rest), reversed(prefixes), name)
+        bare = reduce(lambda n, p: F.replace(n, F.lit(p), F.lit("")), parts, name)
+        return F.filter(F.array_distinct(F.array(begun, bare)), lambda n: n != "")
 
     upper = F.upper("object_name")
-    stem = F.when(F.col("kind") == "sequence", stems(upper, SEQUENCE_PARTS)).when(F.col("kind").isin("procedure", "function"), stems(upper, PROCEDURE_PARTS)).otherwise(F.array(F.lit(None).cast("string")))
+    stem = F.when(F.col("kind") == "sequence", stems(upper, SEQUENCE_PREFIXES, SEQUENCE_PARTS)).when(F.col("kind").isin("procedure", "function"), stems(upper, PROCEDURE_PREFIXES, PROCEDURE_PARTS)).otherwise(F.array(F.lit(None).cast("string")))
+    held = F.exists(stem, lambda n: name_contains(n, F.col("schema_name"), patterns))
+    objects = objects.filter(~F.coalesce(held, F.lit(False)))
     names = excluded.select(F.upper("schema_name").alias("_s"), F.upper("table_name").alias("_t")).distinct()
     made = objects.select("schema_name", "kind", "object_name", F.explode(stem).alias("_stem"))
     gone = made.join(names, (F.upper("schema_name") == F.col("_s")) & (F.col("_stem") == F.col("_t")), "left_semi").select("schema_name", "kind", "object_name").distinct()

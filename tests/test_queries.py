@@ -90,6 +90,13 @@ def test_issues_are_listed_gravest_first(spark, sf):
     assert got == sorted(got) and len({g[0] for g in got}) > 1
 
 
+def test_derived_names_lose_a_prefix_at_the_start_only(spark):
+    made = [("sequence", "SEQ_EMP"), ("sequence", "EMP_ID_SEQ"), ("sequence", "XSEQ_EMP"), ("sequence", "TMP_LOG_SEQ"), ("procedure", "SP_EMP"), ("procedure", "EMP_INSERT"), ("function", "FN_DEPT"), ("procedure", "_GET"), ("trigger", "SEQ_EMP")]
+    objects = spark.createDataFrame([("S", *m) for m in made], "schema_name string, kind string, object_name string")
+    kept = filters.drop_derived(objects, spark.createDataFrame([("s", "emp")], "schema_name string, table_name string"), ["tmp_"])
+    assert {tuple(r)[1:] for r in kept.collect()} == {("sequence", "XSEQ_EMP"), ("function", "FN_DEPT"), ("procedure", "_GET"), ("trigger", "SEQ_EMP")}
+
+
 def test_entry(spark):
     df = __spark_entry__.entry(spark)
     row = df.first()
