@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +18,16 @@ from .scratch import tidy, written
 
 #: Labelled findings that the forest is fitted on at most, of each label; dictionary words; hashed neighbouring words.
 MOST_LABELLED, DICTIONARY, NEIGHBOURS = 10_000, 20_000, 16
+#: Key characters that a run has at least to be a candidate: by itself, and where a cue assigns it.
+LONG, SHORT = 14, 6
 #: Words before a value that name it a secret (fixed values).
 CUES = ("token", "secret", "password", "passwd", "pwd", "api_key", "apikey", "api-key", "access_key", "auth", "bearer", "private_key", "credential")
 #: Placeholders that look like values (fixed values).
 PLACEHOLDERS = ("example", "changeme", "placeholder", "your_", "xxxx", "dummy", "sample", "redacted")
 
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/=_.~-]{14,}")
+_CANDIDATE = re.compile(rf"[A-Za-z0-9+/=_.~-]{{{LONG},}}")
+_ASSIGNED = re.compile(rf"[=:]\s*[\"']?([A-Za-z0-9+/_.~-][A-Za-z0-9+/=_.~-]{{{SHORT - 1},}})")
+_CUED = re.compile(rf"(?:{'|'.join(map(re.escape, CUES))})[\"']?\s*$", re.I)
 #: Formats that are secrets by their shape alone (fixed values).
 _KNOWN = re.compile(r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*|sk_live_[0-9A-Za-z]{16,}")
 _WORDLIKE = re.compile(r"[A-Za-z]+(?:[-/_.][A-Za-z]+)*[-/_.]*")
@@ -143,15 +148,28 @@ def _spans(text: str) -> list[tuple[int, int]]:
         a, b = m.span()
         head = re.match(rf"(?:{'|'.join(map(re.escape, CUES))})=+", text[a:b], re.I)  # key=value in one run
         a += head.end() if head else 0
-        while b > a and text[b - 1] in ".-~":
-            b -= 1
-        if b - a >= 14:
+        b = _ended(text, a, b)
+        if b - a >= LONG:
             out.append((a, b))
-    return out
+    last = [(-1, 0), *out]
+    for m in _ASSIGNED.finditer(text):
+        a, b = m.start(1), _ended(text, *m.span(1))
+        if SHORT <= b - a < LONG and _CUED.search(text, max(0, m.start() - 40), m.start()):
+            k = bisect_left(last, (b, 0)) - 1  # the last long run that starts before the end
+            if last[k][1] <= a:
+                out.append((a, b))
+    return sorted(out)
+
+
+def _ended(text: str, a: int, b: int) -> int:
+    while b > a and text[b - 1] in ".-~":
+        b -= 1
+    return b
 
 
 def candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, start, end, value, label, features)`` of every run of 14 or more key characters; ``label`` is null where no rule knows it."""
+    """``(doc_id, start, end, value, label, features)`` of every run of ``LONG`` or more key characters, and of ``SHORT`` or more
+    that a cue assigns; ``label`` is null where no rule knows it."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((letter_pairs(docs, text_col), dictionary(docs, text_col)))
 
@@ -184,9 +202,9 @@ def fit_forest(labelled: DataFrame, *, trees: int = 20, depth: int = 6, most: in
 def secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, hold_out: int = 5, ruled: bool = True) -> DataFrame:
     """One row per candidate: ``doc_id``, ``start``, ``end`` (code points, end exclusive), ``label``, ``held_out``, ``score`` and ``is_secret``.
 
-    Candidates are all runs of 14 or more key characters in all texts. Features: length, character transitions (against
-    those of the whole corpus), classes and entropy, dictionary coverage, whether it lies in a path, what assigns it and
-    the neighbouring words. The forest learns from findings that rules can label (known formats, values assigned to a
+    Candidates are all runs of 14 or more key characters in all texts, and runs of 6 or more that a cue assigns, such as a
+    password. Features: length, character transitions (against those of the whole corpus), classes and entropy, dictionary
+    coverage, whether it lies in a path, what assigns it and the neighbouring words. The forest learns from findings that rules can label (known formats, values assigned to a
     cue; placeholders, plain words) of documents whose id's CRC is not 0 modulo ``hold_out``, and scores every candidate.
     Where a known rule says 0 or 1 is for the reader to compare; the score is the forest's alone. With ``ruled=False``
     the forest doesn't see the features that the rules read (``RULED``), so agreement with the labels is not the rule again.

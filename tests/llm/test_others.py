@@ -504,6 +504,15 @@ def test_ruled_features_are_named_by_their_places():
     assert {15, 18, 19} <= {i for i, (a, b) in enumerate(zip(plain, cued, strict=True)) if a != b}
 
 
+def test_short_values_that_a_cue_assigns():
+    text = "password=hunter22, pwd : 'abc-123.' and Api_Key: x9/y8=; token: short, colour: 'crimson1', mytoken=abcdef1 auth=0123456789abcdef"
+    spans = secret_scan._spans(text)
+    assert [text[a:b] for a, b in spans] == ["hunter22", "abc-123", "x9/y8=", "mytoken=abcdef1", "0123456789abcdef"]
+    assert [secret_scan._label(text, *s) for s in spans[:3]] == [1, 1, 1]
+    assert secret_scan._spans("token=") == secret_scan._spans("") == []
+    assert secret_scan._spans("a" * 50_000 + " token:" + " " * 50_000 + "q1w2e3") == [(0, 50_000), (100_007, 100_013)]
+
+
 def test_secret_odd_rows(odd):
     assert {r["doc_id"] for r in secret_scan.secrets(odd).collect()} <= {4}
     assert secret_scan.secrets(odd.limit(0)).count() == 0
