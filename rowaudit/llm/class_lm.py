@@ -13,7 +13,7 @@ from . import blocks
 from .scratch import tidy, written
 
 #: The most frequent words, which are exchanged one by one on the driver at first; classes; sweeps over all words after that.
-CORE, CLASSES, SWEEPS = 1024, 32, 2
+CORE, CLASSES, SWEEPS = 1024, 60, 2
 #: Class codes beyond the classes: a word not seen in training, and the end of a text. A word seen once has ONCE added.
 UNSEEN, END, ONCE = 126, 127, 128
 #: Neighbours of a word: its class (the end of a text behind all classes), and 64 more if it stands behind the word.
@@ -270,7 +270,7 @@ def class_scores(docs: DataFrame, held_out: F.Column, *, id_col: str = "doc_id",
         new = best_classes(keys // 128, keys % 128, n, cls.astype(np.int64), matrix.value)
         new = np.where(c > 0, np.minimum(new, classes - 1), classes).astype(np.uint8)
         code = np.where(c > 0, new, UNSEEN).astype(np.uint8)
-        out = [blocks.squeezed(words, c, new), *(blocks.squeezed(code[own], np.minimum(c[own], 0xFFFFFFFF).astype(np.uint32)) if last else blocks.squeezed(code[own]) for own in at.values())]
+        out = [blocks.squeezed(words, c, new), *(blocks.squeezed(code[own], c[own]) if last else blocks.squeezed(code[own]) for own in at.values())]
         return table([0] + [3] * len(at), [-1, *at], part.column("bucket")[0].as_py(), out)
 
     answers = named
@@ -301,7 +301,7 @@ def class_scores(docs: DataFrame, held_out: F.Column, *, id_col: str = "doc_id",
     floor = math.log10(tokens + 0.5 * (kinds + 1))
 
     def classified(block: blocks.BlockTexts, answers: list[bytes]) -> pa.Table:
-        kind, c = _by_number(block, answers, np.uint8, np.uint32)
+        kind, c = _by_number(block, answers, np.uint8, np.uint64)
         c = c.astype(np.float64)
         base = np.log10(c + 0.5) - floor
         emit = np.where(c > 0, np.log10(np.maximum(c, 1)) - np.log10(np.maximum(totals, 1))[np.minimum(kind, classes - 1)], 0.0)

@@ -64,6 +64,28 @@ def test_exact_dedup_compares_bytes_where_hashes_collide(spark):
     assert len(plain) == 202
 
 
+def _shuffled(spark) -> int:
+    """Bytes that all stages so far have written to shuffles."""
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+@pytest.mark.parametrize("job", [exact_dedup.exact_groups, exact_dedup.drop_exact_copies])
+def test_unique_texts_are_not_shuffled_without_broadcast(spark, tmp_path, job):
+    r = np.random.default_rng(0)
+    docs = [(k, bytes(r.integers(97, 122, 30_000, np.uint8)).decode()) for k in range(300)]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(docs + [(1000 + k, docs[k % 3][1]) for k in range(12)], "doc_id long, text string").repartition(4).write.parquet(path)
+    before, limit = _shuffled(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = job(spark.read.parquet(path))
+        assert got.count() == (312 if job is exact_dedup.exact_groups else 300)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert _shuffled(spark) - before < 1_500_000  # the unique texts have 9 MB
+
+
 def test_helper_names_may_clash(spark):
     df = spark.createDataFrame([(1, "a", "x", 5, "p"), (2, "A", "y", 6, "q")], "doc_id long, text string, norm string, rank int, hash string")
     got = exact_dedup.drop_exact_copies(df, keep="min").collect()
@@ -135,6 +157,15 @@ def test_toxicity_odd_rows(spark, odd):
     assert toxicity.score(odd.limit(0), toxicity.train(odd.limit(0), spark.createDataFrame([], "doc_id long, toxic int"))).count() == 0
 
 
+def test_counts_beyond_32_bits_reach_the_blocks():
+    class Block:
+        by_number = staticmethod(lambda x: x)
+
+    c = np.array([1, 2**32 - 1, 2**32, 5 * 2**40], np.uint64)
+    kind, n = class_lm._by_number(Block, [blocks.squeezed(np.zeros(4, np.uint8), c)], np.uint8, np.uint64)
+    assert n.tolist() == c.tolist()
+
+
 @cache
 def _tokenizer():
     from tokenizers import Tokenizer
