@@ -116,11 +116,21 @@ def _g17(v: float) -> str:
 
 
 def double_text(c: Column) -> Column:
-    """A double as ``decimal_text`` prints the same number: without a point if integral, without an exponent from 1e-5 to 1e15."""
-    size, whole = F.abs(c), c == F.floor(c)
-    small = F.when((size < 1e-5) & (size >= 1e-20), decimal_text(c.cast("decimal(38,37)"), 37))
-    usual = F.when((size >= 1e-5) & (size < 1e15), decimal_text(c.cast("decimal(38,17)"), 17))
-    return F.when(F.isnan(c), F.lit("NaN")).when(whole & (size < 9.2e18), c.cast("bigint").cast("string")).otherwise(F.coalesce(small, usual, c.cast("string")))
+    """A double as ``decimal_text`` prints the same number: without a point if integral, without an exponent from 1e-5 on.
+
+    Integers that a long can hold are exact; all others have the digits of the double's shortest text, with the zeros
+    that its exponent stands for."""
+    text = c.cast("string")
+    part = lambda k: F.regexp_extract(text, r"^-?(\d)\.(\d+)E(-?\d+)$", k)
+    sign = F.when(c < 0, F.lit("-")).otherwise(F.lit(""))
+    digits, power = F.concat(part(1), F.rtrim(part(2), F.lit("0"))), part(3).cast("int")
+    large = F.when(F.length(digits) > power + 1, F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, F.lit(99)))).otherwise(F.rpad(digits, power + 1, "0"))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    tiny = F.concat(F.substring(digits, 1, 1), F.when(F.length(digits) > 1, F.concat(F.lit("."), F.substring(digits, 2, 99))).otherwise(F.lit("")), F.lit("E-"), F.lpad((-power).cast("string"), F.greatest(F.lit(2), F.length((-power).cast("string"))), "0"))
+    scaled = F.concat(sign, F.when(power >= 0, large).when(power >= -5, small).otherwise(tiny))
+    plain = F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))
+    whole = (c == F.floor(c)) & (F.abs(c) < 9.2e18)
+    return F.when(F.isnan(c), F.lit("NaN")).when(whole, c.cast("bigint").cast("string")).when(text.contains("E"), scaled).when(text.contains("."), plain).otherwise(text)
 
 
 def interval_text(c: Column) -> Column:
@@ -135,7 +145,8 @@ def interval_text(c: Column) -> Column:
 
 
 def text_of(name: str, kind: T.DataType, *, skip_binary: bool = False, xml: bool = False, parity: bool = False, empty_as_null: bool = False) -> Column:
-    """The canonical text of a column, by its type. ``xml`` sends text that looks like XML through the XML form; ``parity``
+    """The canonical text of a column, by its type. An instant (timestamp with zone) prints in the session's zone, as a local
+    time there, so set ``spark.sql.session.timeZone`` to that of the side without zones. ``xml`` sends text that looks like XML through the XML form; ``parity``
     prints floats with 17 digits in Python; else a float has the text of its shortest decimal form, so equal numbers have
     one text whether they are integers, decimals or floats."""
     c = F.col(f"`{name}`")
@@ -163,6 +174,19 @@ def text_of(name: str, kind: T.DataType, *, skip_binary: bool = False, xml: bool
     return F.coalesce(out, F.lit(NULL))
 
 
+def comparable(source: DataFrame, target: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides, with exact numbers as doubles where the other side's column of that name, in any case, is a float: so
+    numbers match that are equal as far as the float goes, whatever their size. Columns of one kind on both sides stay exact."""
+    floats, exact = (T.FloatType, T.DoubleType), (T.DecimalType, T.IntegralType)
+    kinds = [{f.name.lower(): f.dataType for f in df.schema.fields} for df in (source, target)]
+
+    def side(df: DataFrame, own: dict, other: dict) -> DataFrame:
+        names = [c for c in df.columns if isinstance(own[c.lower()], exact) and isinstance(other.get(c.lower()), floats)]
+        return df.withColumns({c: F.col(f"`{c}`").cast("double") for c in names}) if names else df
+
+    return side(source, *kinds), side(target, *kinds[::-1])
+
+
 def row_text(df: DataFrame, columns: list[str] | None = None, *, safe: bool = False, **options) -> Column:
     """All values of a row, by lower-cased column name, joined by ``|``.
 

@@ -403,26 +403,49 @@ def probe_sample(orders: DataFrame) -> DataFrame:
 
 
 def _pairs(source: DataFrame, target: DataFrame, lines: DataFrame, lines_target: DataFrame) -> list[audit.Pair]:
-    """Two keyed tables, one without a key, a view, and a table that can't be read."""
+    """Tables with and without a key, one whose key repeats, one whose sides have other keys, a view, names with dots, and all that can
+    fail: no file, a file that is no Parquet, no driver, no such key, other columns, and a callback that raises."""
+    spark = source.sparkSession
     view = lambda df: lambda: df.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+    broken = tables.new_folder(spark, "broken")
+    source.limit(1).select(F.lit("no Parquet")).write.text(broken)
+
+    def fails() -> DataFrame:
+        raise ValueError("a callback that raises")
+
+    key, whole = ("o_orderkey",), lambda: source
     return [
-        audit.Pair("S1", "ORDERS", lambda: source, lambda: target, ("o_orderkey",)), audit.Pair("S1", "SAME", lambda: source, lambda: source, ("o_orderkey",)), audit.Pair("S2", "LINES", lambda: lines, lambda: lines_target),
-        audit.Pair("S2", "BY_STATUS", view(source), view(source), ("o_orderstatus",), "View"), audit.Pair("S2", "GONE", lambda: source, lambda: source.sparkSession.read.parquet("/nowhere/at/all.parquet"), ("o_orderkey",)),
+        audit.Pair("S1", "ORDERS", whole, lambda: target, key), audit.Pair("S1", "SAME", whole, whole, key), audit.Pair("S2", "LINES", lambda: lines, lambda: lines_target),
+        audit.Pair("S2", "BY_STATUS", view(source), view(source), ("o_orderstatus",), "View"), audit.Pair("S.3", "A.B", whole, lambda: target, key), audit.Pair("S.3", "A.C", whole, whole, key),
+        audit.Pair("S3", "LINES_BY_KEY", lambda: lines, lambda: lines_target, ("l_orderkey", "l_linenumber")), audit.Pair("S3", "OTHER_KEY", whole, lambda: target, key, target_keys=("o_custkey", "o_orderkey")),
+        audit.Pair("S4", "GONE", whole, lambda: spark.read.parquet("/nowhere/at/all.parquet"), key), audit.Pair("S4", "BROKEN", whole, lambda: spark.read.schema(source.schema).parquet(broken), key),
+        audit.Pair("S4", "NO_DRIVER", whole, lambda: spark.read.format("jdbc").option("url", "jdbc:nowhere:x").option("dbtable", "t").load(), key), audit.Pair("S4", "NO_KEY", whole, whole, ("nowhere",)),
+        audit.Pair("S4", "OTHER_COLUMNS", whole, lambda: target.drop("o_custkey"), key), audit.Pair("S4", "RAISES", fails, whole, key),
     ]
 
 
-_MANY = f"""{_KEYED}, {_MULTI.strip()}, many as (
-    select 'S1' as schema_name, 'ORDERS' as table_name, 'Table' as object_type, count(*) filter (category <> 'extra') as source_rows, count(*) filter (category <> 'missing') as target_rows, count(*) filter (category = 'matching') as matching,
-           count(*) filter (category = 'mismatched') as mismatched, count(*) filter (category = 'missing') as missing, count(*) filter (category = 'extra') as extra, cast(null as varchar) as error from d
-    union all select 'S1', 'SAME', 'Table', count(*), count(*), count(*), 0, 0, 0, null from orders_src
-    union all select 'S2', 'LINES', 'Table', sum(n_source), sum(n_target), sum(least(n_source, n_target)), 0, sum(greatest(n_source - n_target, 0)), sum(greatest(n_target - n_source, 0)), null from m
-    union all select 'S2', 'BY_STATUS', 'View', count(distinct o_orderstatus), count(distinct o_orderstatus), count(distinct o_orderstatus), 0, 0, 0, null from orders_src
-    union all select 'S2', 'GONE', 'Table', 0, 0, 0, 0, 0, 0, 'PATH_NOT_FOUND')"""
-_LONGS = ", ".join(f"cast({c} as bigint) as {c}" for c in audit.TOTALS)
+_BY_KEY = "count(*) filter (category <> 'extra'), count(*) filter (category <> 'missing'), count(*) filter (category = 'matching'), count(*) filter (category = 'mismatched'), count(*) filter (category = 'missing'), count(*) filter (category = 'extra'), 0, null from d"
+_AS_ROWS = "sum(n_source), sum(n_target), sum(least(n_source, n_target)), 0, sum(greatest(n_source - n_target, 0)), sum(greatest(n_target - n_source, 0))"
+_LINE_KEYS = """lk as (select l_orderkey, l_linenumber, count(*) filter (side = 1) as s, count(*) filter (side = 0) as t
+        from (select l_orderkey, l_linenumber, 1 as side from lineitem_src union all select l_orderkey, l_linenumber, 0 from lineitem_tgt) as x group by 1, 2)"""
+_ERRORS = {"GONE": "PATH_NOT_FOUND", "BROKEN": "RuntimeException", "NO_DRIVER": "SQLException", "NO_KEY": "KEY_NOT_FOUND", "OTHER_COLUMNS": "COLUMNS_DIFFER", "RAISES": "ValueError"}
+_MANY = f"""{_KEYED}, {_MULTI.strip()}, {_LINE_KEYS},
+    om as (select h as row_hash, sum(s) as n_source, sum(t) as n_target from (select sha256({ORDER_TEXT}) as h, 1 as s, 0 as t from orders_src union all select sha256({ORDER_TEXT}), 0, 1 from orders_tgt) as x group by h), many as (
+    select 'S1' as schema_name, 'ORDERS' as table_name, 'Table' as object_type, 'keys' as compared_by, count(*) filter (category <> 'extra') as source_rows, count(*) filter (category <> 'missing') as target_rows, count(*) filter (category = 'matching') as matching,
+           count(*) filter (category = 'mismatched') as mismatched, count(*) filter (category = 'missing') as missing, count(*) filter (category = 'extra') as extra, 0 as duplicate_keys, cast(null as varchar) as error from d
+    union all select 'S.3', 'A.B', 'Table', 'keys', {_BY_KEY}
+    union all select 'S1', 'SAME', 'Table', 'keys', count(*), count(*), count(*), 0, 0, 0, 0, null from orders_src
+    union all select 'S.3', 'A.C', 'Table', 'keys', count(*), count(*), count(*), 0, 0, 0, 0, null from orders_src
+    union all select 'S2', 'LINES', 'Table', 'rows', {_AS_ROWS}, 0, null from m
+    union all select 'S3', 'OTHER_KEY', 'Table', 'rows', {_AS_ROWS}, 0, null from om
+    union all select 'S3', 'LINES_BY_KEY', 'Table', (select case when count(*) filter (greatest(s, t) > 1) > 0 then 'rows' else 'keys' end from lk), {_AS_ROWS}, (select count(*) filter (greatest(s, t) > 1) from lk), null from m
+    union all select 'S2', 'BY_STATUS', 'View', 'keys', count(distinct o_orderstatus), count(distinct o_orderstatus), count(distinct o_orderstatus), 0, 0, 0, 0, null from orders_src
+    {" ".join(f"union all select 'S4', '{t}', 'Table', null, 0, 0, 0, 0, 0, 0, 0, '{e}'" for t, e in _ERRORS.items())})"""
+_LONGS = ", ".join(f"cast({c} as bigint) as {c}" for c in (*audit.TOTALS, "duplicate_keys"))
 _FOUR = "orders_src orders_tgt lineitem_src lineitem_tgt"
 
 
-@query("audit_pairs", _FOUR, f"with {_MANY} select schema_name, table_name, object_type, {_LONGS}, error from many")
+@query("audit_pairs", _FOUR, f"with {_MANY} select schema_name, table_name, object_type, compared_by, {_LONGS}, error from many")
 def audit_pairs(*sides: DataFrame) -> DataFrame:
     return audit.audit_pairs(sides[0].sparkSession, _pairs(*sides))
 
@@ -436,16 +459,71 @@ def audit_pairs_summary(*sides: DataFrame) -> DataFrame:
     return summary.executive_summary(audit.audit_pairs(sides[0].sparkSession, _pairs(*sides)))
 
 
+def _drilled(schema: str, table: str) -> str:
+    return f"""select '{schema}' as schema_name, '{table}' as table_name, case category when 'missing' then 'missing' else 'extra' end as side, cast(o_orderkey as varchar) as key_text from d
+               where category in ('missing', 'extra') and (select count(*) from orders_src) <> (select count(*) from orders_tgt)"""
+
+
 @query(
     "count_drill_down", _FOUR,
-    """select 'S1' as schema_name, 'ORDERS' as table_name, 'missing' as side, cast(o_orderkey as varchar) as key_text from orders_src s where not exists (select 1 from orders_tgt t where t.o_orderkey = s.o_orderkey)
-       union all select 'S1', 'ORDERS', 'extra', cast(o_orderkey as varchar) from orders_tgt t where not exists (select 1 from orders_src s where t.o_orderkey = s.o_orderkey)""",
+    f"""with {_KEYED}, {_LINE_KEYS}, sides as (select unnest(['missing', 'extra', 'duplicate']) as side)
+        {_drilled('S1', 'ORDERS')} union all {_drilled('S.3', 'A.B')}
+        union all select 'S3', 'LINES_BY_KEY', side, cast(l_orderkey as varchar) || '|' || cast(l_linenumber as varchar) from lk, sides
+        where (side = 'missing' and t = 0 or side = 'extra' and s = 0 or side = 'duplicate' and greatest(s, t) > 1) and (select count(*) from lineitem_src) <> (select count(*) from lineitem_tgt)""",
 )
 def count_drill_down(*sides: DataFrame) -> DataFrame:
-    """From counts that differ to the keys behind them; equal counts and the table that can't be counted are left alone."""
+    """From counts that differ to the keys behind them; equal counts, other key lists and tables that can't be counted are left alone."""
     return audit.count_drill_down(sides[0].sparkSession, _pairs(*sides))[1]
 
 
+@query(
+    "pair_samples", _FOUR,
+    f"""with {_KEYED}, {_LINE_KEYS},
+        lh as (select s.l_orderkey, s.l_linenumber, s.h <> t.h as differs from (select *, sha256({LINE_TEXT}) as h from lineitem_src) as s join (select *, sha256({LINE_TEXT}) as h from lineitem_tgt) as t on s.l_orderkey = t.l_orderkey and s.l_linenumber = t.l_linenumber),
+        e as (
+            select schema_name, table_name, category, cast(o_orderkey as varchar) as key_text from d, (select 'S1' as schema_name, 'ORDERS' as table_name union all select 'S.3', 'A.B') as n where category <> 'matching'
+            union all select 'S3', 'LINES_BY_KEY', case when t = 0 then 'missing' when s = 0 then 'extra' else 'mismatched' end, cast(l_orderkey as varchar) || '|' || cast(l_linenumber as varchar)
+            from lk where s <= 1 and t <= 1 and (s <> t or exists (select 1 from lh where lh.differs and lh.l_orderkey = lk.l_orderkey and lh.l_linenumber = lk.l_linenumber))
+        ),
+        r as (select *, cast(row_number() over (partition by schema_name, table_name, category order by key_text) as int) as rank from e)
+        select schema_name, table_name, category, rank, key_text from r where rank <= 5""",
+)
+def pair_samples(*sides: DataFrame) -> DataFrame:
+    """The first differences of every pair that has keys; those that can't be read are left out."""
+    return audit.pair_samples(sides[0].sparkSession, _pairs(*sides))
+
+
+_TABLES = 200
+
+
+def _estate(source: DataFrame, target: DataFrame) -> list[audit.Pair]:
+    """All orders of both sides dealt over 200 tables by their keys, each a folder that is read on its own."""
+    spark, schema, number = source.sparkSession, source.schema, F.pmod(F.col("o_orderkey"), F.lit(_TABLES))
+
+    def folder(df: DataFrame, name: str) -> str:
+        path = tables.new_folder(spark, name)
+        df.withColumn("n", number).repartition("n").write.partitionBy("n").parquet(path)
+        return path
+
+    sides = folder(source, "estate-source"), folder(target, "estate-target")
+    one = lambda path, k: lambda: spark.read.schema(schema).parquet(f"{path}/n={k}")
+    return [audit.Pair(f"S{k % 7}", f"T{k}", one(sides[0], k), one(sides[1], k), ("o_orderkey",)) for k in range(_TABLES)]
+
+
+@query(
+    "audit_estate", "orders_src orders_tgt",
+    f"""with {_KEYED}, n as (select cast(o_orderkey % {_TABLES} as integer) as k, category from d), g as (select unnest(generate_series(0, {_TABLES - 1})) as k),
+        c as (select g.k, count(*) filter (category in ('matching', 'mismatched', 'missing')) as source_rows, count(*) filter (category in ('matching', 'mismatched', 'extra')) as target_rows, count(*) filter (category = 'matching') as matching, count(*) filter (category = 'mismatched') as mismatched,
+                     count(*) filter (category = 'missing') as missing, count(*) filter (category = 'extra') as extra from g left join n on n.k = g.k group by g.k),
+        e as (select *, source_rows = 0 or target_rows = 0 as gone from c)
+        select 'S' || cast(k % 7 as varchar) as schema_name, 'T' || cast(k as varchar) as table_name, 'Table' as object_type, case when not gone then 'keys' end as compared_by,
+               {", ".join(f"cast(case when gone then 0 else {c} end as bigint) as {c}" for c in audit.TOTALS)}, cast(0 as bigint) as duplicate_keys, case when gone then 'PATH_NOT_FOUND' end as error from e""",
+)
+def audit_estate(source: DataFrame, target: DataFrame) -> DataFrame:
+    """Two hundred pairs in one job; a table that one side lacks is a row with its error."""
+    return audit.audit_pairs(source.sparkSession, _estate(source, target))
+
+
 @query("read_pair_diff", "orders_src orders_tgt", f"with {_KEYED} select category, count(*) as n from d group by 1")
 def read_pair_diff(source: DataFrame, target: DataFrame) -> DataFrame:
     """Both sides as files of two formats, read as a pair and compared by key."""

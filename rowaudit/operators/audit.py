@@ -1,23 +1,33 @@
-"""Audits of many table pairs in one call; what can't be read becomes a row, not a stop."""
+"""Audits of many table pairs at once; what can't be read becomes a row, not a stop."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import counts, diff
+from ..functions.canonical import comparable, text_of
+from ..sources.tables import tidy, written
+from . import counts
+from .failures import reason, stacked, together
 
 TOTALS = ("source_rows", "target_rows", "matching", "mismatched", "missing", "extra")
-RESULT = "schema_name string, table_name string, object_type string, source_rows long, target_rows long, matching long, mismatched long, missing long, extra long, error string"
+RESULT = (
+    "schema_name string, table_name string, object_type string, compared_by string, source_rows long, target_rows long, matching long, mismatched long, missing long, extra long, "
+    "duplicate_keys long, error string"
+)
+#: Reasons of pairs that are read but can't be compared.
+NO_KEY, OTHER_COLUMNS = "KEY_NOT_FOUND", "COLUMNS_DIFFER"
 
 
 @dataclass(frozen=True)
 class Pair:
-    """A table or view on both sides. Without ``keys``, rows are compared as multisets."""
+    """A table or view on both sides. Without ``keys``, rows are compared as multisets; so they are where the target's own
+    key, ``target_keys``, is another list (in any case), or where a key occurs twice on a side."""
 
     schema_name: str
     table_name: str
@@ -25,43 +35,166 @@ class Pair:
     target: Callable[[], DataFrame]
     keys: tuple[str, ...] = ()
     object_type: str = "Table"
+    target_keys: tuple[str, ...] | None = None
 
+    def keyed(self) -> bool:
+        return bool(self.keys) and (self.target_keys is None or [k.lower() for k in self.keys] == [k.lower() for k in self.target_keys])
 
-def _totals(pair: Pair) -> DataFrame:
-    source, target = pair.source(), pair.target()
-    if pair.keys:
-        return diff.diff_totals(diff.keyed_diff(source, target, list(pair.keys))).select(*TOTALS)
-    each = diff.multiset_diff(source, target)
-    n = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    return each.agg(n("n_source").alias("source_rows"), n("n_target").alias("target_rows"), n("matching").alias("matching"), F.lit(0).cast("long").alias("mismatched"), n("missing").alias("missing"), n("extra").alias("extra"))
+
+@dataclass(frozen=True)
+class _Open:
+    """A pair whose sides could be opened; ``number`` is its place in the list."""
+
+    number: int
+    source: DataFrame
+    target: DataFrame
+    keys: tuple[str, ...]
+
+
+def _opened(number: int, pair: Pair) -> _Open | str:
+    """The pair's sides, or why they can't be compared. Nothing but names, types and keys is looked at; no row is read."""
+    try:
+        source, target = comparable(pair.source(), pair.target())
+        mine, other = ({c.lower() for c in df.columns} for df in (source, target))
+    except Exception as e:  # noqa: BLE001 - callbacks and drivers raise what they like
+        return reason(e)
+    if mine != other:
+        return OTHER_COLUMNS
+    if not {k.lower() for k in pair.keys} <= mine:
+        return NO_KEY
+    return _Open(number, source, target, pair.keys if pair.keyed() else ())
+
+
+def _framed(texts: list[Column]) -> Column:
+    """Texts as one, each behind its length, so no two lists give the same."""
+    return F.concat(*(F.concat(F.length(x).cast("string"), F.lit(":"), x) for x in texts))
+
+
+def _two(name: str, into: str) -> list[Column]:
+    """128 bits of a text in two longs, which Spark's hash aggregation can keep in place."""
+    return [F.xxhash64(F.lit(k), F.col(name)).alias(f"{into}{k}") for k in (1, 2)]
+
+
+def _tagged(opened: list[_Open]) -> DataFrame:
+    """Both sides of all pairs as one stream: the pair's number, whether it has no key (``as_rows``), a 1 for the side that a row
+    is of in ``s`` or ``t``, the hashes ``k1, k2`` of its key, or of the row if it has none, ``h1, h2`` of the row, and the key's text.
+
+    Tables of the same columns and keys are put together first and hashed by one projection. It reads the partition's number,
+    which keeps it above the union: below it, code would be made and compiled for each table. Tables small and large share
+    the shuffle that follows: it deals rows by pair and key, so small tables lie together in a partition and large ones
+    are spread over all."""
+    alike: dict[tuple, list[DataFrame]] = {}
+    for p in opened:
+        for s, df in ((1, p.source), (0, p.target)):
+            fields = sorted(df.schema.fields, key=lambda f: f.name.lower())
+            at = [f.name.lower() for f in fields]
+            kind = (tuple((n, f.dataType) for n, f in zip(at, fields, strict=True)), tuple(at.index(k.lower()) for k in p.keys))
+            quoted = (f.name.replace("`", "``") for f in fields)
+            alike.setdefault(kind, []).append(df.selectExpr(f"{p.number} as pair", f"{s}L as s", *(f"`{c}` as c{i}" for i, c in enumerate(quoted))))
+    streams = []
+    for (fields, keys), frames in alike.items():
+        n = range(len(fields))
+        texts = stacked(frames).select(F.when(F.spark_partition_id() >= 0, F.col("pair")).alias("pair"), "s", *(text_of(f"c{i}", fields[i][1]).alias(f"c{i}") for i in n))
+        framed = texts.select("pair", "s", _framed([F.col(f"c{i}") for i in n]).alias("row"), *([_framed([F.col(f"c{i}") for i in keys]).alias("key")] if keys else []), F.concat_ws("|", *(F.col(f"c{i}") for i in keys)).alias("key_text"))
+        streams.append(framed.select("pair", F.lit(not keys).alias("as_rows"), "s", (1 - F.col("s")).alias("t"), *_two("key" if keys else "row", "k"), *_two("row", "h"), "key_text"))
+    return stacked(streams)
+
+
+def _compared(opened: list[_Open]) -> dict[int, tuple]:
+    """By pair the totals and how many keys occur twice on a side: all pairs in one job.
+
+    Rows are folded by pair and key in each task first, so a key or a row that makes up a third of a table is a few rows
+    in the shuffle. Hashes of a key fold by exclusive or: of two rows with one key they are equal just if nothing is left."""
+    by_key = _tagged(opened).groupBy("pair", "as_rows", "k1", "k2").agg(F.sum("s").alias("s"), F.sum("t").alias("t"), F.bit_xor("h1").alias("h1"), F.bit_xor("h2").alias("h2"))
+    s, t, rows = F.col("s"), F.col("t"), F.col("as_rows")
+    once = ~rows & (s == 1) & (t == 1)
+    same = (F.col("h1") == 0) & (F.col("h2") == 0)
+    n = lambda which, value: F.coalesce(F.sum(F.when(which, value)), F.lit(0))
+    one = F.lit(1)
+    out = by_key.groupBy("pair").agg(
+        F.sum("s").alias("source_rows"), F.sum("t").alias("target_rows"), (n(rows, F.least("s", "t")) + n(once & same, one)).alias("matching"), n(once & ~same, one).alias("mismatched"),
+        (n(rows & (s > t), s - t) + n(~rows & (t == 0), s)).alias("missing"), (n(rows & (t > s), t - s) + n(~rows & (s == 0), t)).alias("extra"), n(~rows & (F.greatest("s", "t") > 1), one).alias("duplicate_keys"),
+    )
+    found = {r["pair"]: tuple(r)[1:] for r in out.collect()}  # a row for each pair
+    return {p.number: found.get(p.number, (0,) * 7) for p in opened}
 
 
 def audit_pairs(spark: SparkSession, pairs: Iterable[Pair]) -> DataFrame:
-    """One row for each pair: totals, and ``error``, the kind of failure of a pair that couldn't be read or compared.
+    """One row for each pair: how it was compared (``keys`` or ``rows``), its totals, how many keys occur more than once on a
+    side, and ``error``, the reason why it couldn't be read or compared (its totals are 0 then).
 
-    Each pair is its own Spark job, so one that fails leaves the others alone; a row for each pair is all that comes back."""
+    1. Each pair's sides are opened alone: a missing path, driver, key or column, or a callback that raises, is its error.
+    2. All pairs that are left are compared in one job. If it fails on rows (a broken file, a lost connection), it is done
+       again by halves until the pairs that fail stand alone.
+    3. Pairs with keys that occur twice are compared once more, all in one job, as multisets of rows.
+
+    So the number of jobs doesn't grow with the number of pairs, and the driver gets a row for each. No pairs give no rows."""
+    pairs = list(pairs)
+    tried = [_opened(k, p) for k, p in enumerate(pairs)]
+    errors = {k: x for k, x in enumerate(tried) if isinstance(x, str)}
+    opened = [x for x in tried if isinstance(x, _Open)]
+    found, failed = together(_compared, opened)
+    twice = [_Open(p.number, p.source, p.target, ()) for p in opened if found.get(p.number, (0,) * 7)[-1]]
+    again, too = together(_compared, twice)
+    errors |= {opened[k].number: why for k, why in failed.items()} | {twice[k].number: why for k, why in too.items()}
+    keyed = {p.number for p in opened if p.keys} - {p.number for p in twice}
     rows = []
-    for p in pairs:
-        head = (p.schema_name, p.table_name, p.object_type)
-        try:
-            rows.append((*head, *_totals(p).first(), None))
-        except PySparkException as e:
-            rows.append((*head, *[0] * len(TOTALS), e.getCondition() or type(e).__name__))
+    for k, p in enumerate(pairs):
+        *totals, duplicates = (0,) * 7 if k in errors else (*again[k][:6], found[k][6]) if k in again else found[k]
+        rows.append((p.schema_name, p.table_name, p.object_type, None if k in errors else "keys" if k in keyed else "rows", *totals, duplicates, errors.get(k)))
     return spark.createDataFrame(rows, RESULT)
 
 
+def _named(spark: SparkSession, pairs: list[Pair], numbers: Iterable[int]) -> DataFrame:
+    """Names of pairs by number; the list of pairs is the caller's, so it is sent to all tasks."""
+    return F.broadcast(spark.createDataFrame([(k, pairs[k].schema_name, pairs[k].table_name) for k in numbers], "pair int, schema_name string, table_name string"))
+
+
+def _written_parts(opened: list[_Open], plan: Callable[[list[_Open]], DataFrame], name: str) -> tuple[list[DataFrame], dict[int, str]]:
+    """What ``plan`` gives for all pairs, written in one job, or in a few where some fail; and the reasons, by place."""
+    parts, failed = together(lambda some: {tuple(p.number for p in some): written(plan(some), name)}, opened)
+    return list(parts.values()), failed
+
+
+@tidy
 def count_drill_down(spark: SparkSession, pairs: Iterable[Pair]) -> tuple[DataFrame, DataFrame]:
-    """Row counts of all pairs as findings, then for each pair that has keys and was counted on both sides with different
-    results, its missing and extra keys: ``(schema_name, table_name, side, key_text)``. Failed counts are not looked into."""
+    """Row counts of all pairs as findings, then for each pair that has one key on both sides and was counted with different
+    results, its keys that are ``missing`` or ``extra``, or a ``duplicate`` on a side: ``(schema_name, table_name, side, key_text)``.
+
+    Both counts of all pairs are one job, and so are the keys of all pairs that are looked into. Failed counts, other key
+    lists and keys that can't be read are not looked into. Names may hold dots."""
     pairs = list(pairs)
-    name = lambda p: f"{p.schema_name}.{p.table_name}"
-    split = lambda df: df.select(F.split_part("table_name", F.lit("."), F.lit(1)).alias("schema_name"), F.split_part("table_name", F.lit("."), F.lit(2)).alias("table_name"), "row_count")
-    found = counts.compare_counts(split(counts.row_counts({name(p): p.source for p in pairs})), split(counts.row_counts({name(p): p.target for p in pairs})))
+    sides = [counts.counted(spark, [(p.schema_name, p.table_name, side(p)) for p in pairs]) for side in (lambda p: p.source, lambda p: p.target)]
+    found = counts.compare_counts(*sides)
     off = {(r["schema_name"], r["table_name"]) for r in found.filter("issue_type = 'Row Count Mismatch'").collect()}  # names of tables
-    keys = spark.createDataFrame([], "schema_name string, table_name string, side string, key_text string")
-    for p in pairs:
-        if p.keys and (p.schema_name.upper(), p.table_name.upper()) in off:
-            for side, a, b in (("missing", p.source(), p.target()), ("extra", p.target(), p.source())):
-                own = diff.missing_keys(a, b, list(p.keys)).select(F.lit(p.schema_name).alias("schema_name"), F.lit(p.table_name).alias("table_name"), F.lit(side).alias("side"), "key_text")
-                keys = keys.unionByName(own)
-    return found, keys
+    tried = [_opened(k, p) for k, p in enumerate(pairs) if p.keyed() and (p.schema_name.upper(), p.table_name.upper()) in off]
+    opened = [x for x in tried if isinstance(x, _Open)]
+
+    def keys_of(some: list[_Open]) -> DataFrame:
+        n = _tagged(some).groupBy("pair", "k1", "k2", "key_text").agg(F.sum("s").alias("s"), F.sum("t").alias("t"))
+        side = F.array_compact(F.array(F.when(F.col("t") == 0, "missing"), F.when(F.col("s") == 0, "extra"), F.when(F.greatest("s", "t") > 1, "duplicate")))
+        return n.filter("s <> 1 or t <> 1").select("pair", F.explode(side).alias("side"), "key_text")
+
+    parts, _ = _written_parts(opened, keys_of, "keys")
+    none = spark.createDataFrame([], "pair int, side string, key_text string")
+    keys = reduce(DataFrame.union, parts, none).join(_named(spark, pairs, [p.number for p in opened]), "pair")
+    return found, keys.select("schema_name", "table_name", "side", "key_text")
+
+
+@tidy
+def pair_samples(spark: SparkSession, pairs: Iterable[Pair], n: int = 5) -> DataFrame:
+    """For each pair that is compared by keys, the first ``n`` keys, by text, of each kind of difference: ``(schema_name, table_name,
+    category, rank, key_text)``; all pairs in one job. Keys that occur twice on a side are in no category."""
+    pairs = list(pairs)
+    opened = [x for k, p in enumerate(pairs) if p.keyed() and isinstance(x := _opened(k, p), _Open)]
+
+    def first(some: list[_Open]) -> DataFrame:
+        both = _tagged(some).groupBy("pair", "k1", "k2", "key_text")
+        each = both.agg(F.sum("s").alias("s"), F.sum("t").alias("t"), F.bit_xor("h1").alias("h1"), F.bit_xor("h2").alias("h2")).filter("s <= 1 and t <= 1 and (s <> t or h1 <> 0 or h2 <> 0)")
+        kind = F.when(F.col("t") == 0, "missing").when(F.col("s") == 0, "extra").otherwise("mismatched")
+        order = W.partitionBy("pair", "category").orderBy("key_text", "k1", "k2")
+        return each.select("pair", kind.alias("category"), "key_text", "k1", "k2").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).select("pair", "category", "rank", "key_text")
+
+    parts, _ = _written_parts(opened, first, "samples")
+    none = spark.createDataFrame([], "pair int, category string, rank int, key_text string")
+    return reduce(DataFrame.union, parts, none).join(_named(spark, pairs, [p.number for p in opened]), "pair").select("schema_name", "table_name", "category", "rank", "key_text")

@@ -2,37 +2,42 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
-from functools import reduce
+from collections.abc import Callable, Iterable, Mapping
 
-from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .failures import stacked, together
+
 FAILED = -1
 ERRORS = ("Query Error", "Source Query Error", "Target Query Error")
 
 
+def counted(spark: SparkSession, tables: Iterable[tuple[str, str, DataFrame | Callable[[], DataFrame]]]) -> DataFrame:
+    """``schema_name``, ``table_name``, ``row_count`` of many tables ``(schema, table, DataFrame or callback)``; Parquet serves plain
+    counts from its footers. A table that can't be opened or read, for whatever reason, counts ``FAILED``: those that open
+    are counted in one job, and only if it fails, again by halves (a number for each comes to the driver). No tables give no rows."""
+    tables = list(tables)
+    opened, numbers = [], {}
+    for k, (_, _, table) in enumerate(tables):
+        try:
+            opened.append((k, table() if callable(table) else table))
+        except Exception:  # noqa: BLE001 - callbacks and drivers raise what they like
+            numbers[k] = FAILED
+
+    def count(some: list[tuple[int, DataFrame]]) -> dict[int, int]:
+        each = [df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(k).alias("k"), "row_count") for k, df in some]
+        return {r["k"]: r["row_count"] for r in stacked(each).collect()}
+
+    found, failed = together(count, opened)
+    numbers |= found | {opened[k][0]: FAILED for k in failed}
+    return spark.createDataFrame([(s, t, numbers[k]) for k, (s, t, _) in enumerate(tables)], "schema_name string, table_name string, row_count long")
+
+
 def row_counts(tables: Mapping[str, DataFrame | Callable[[], DataFrame]]) -> DataFrame:
-    """``table_name``, ``row_count`` for many tables; Parquet serves plain counts from its footers. A table that can't be read
-    counts ``FAILED``: all are counted in one job first, and only if that fails, each on its own (a number for each comes to the driver)."""
-
-    def one(name: str, table: DataFrame | Callable[[], DataFrame]) -> DataFrame:
-        df = table() if callable(table) else table
-        return df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("table_name"), "row_count")
-
-    spark = SparkSession.getActiveSession()
-    try:
-        out = reduce(DataFrame.unionByName, (one(n, t) for n, t in tables.items()))
-        return spark.createDataFrame([(r["table_name"], r["row_count"]) for r in out.collect()], "table_name string, row_count long")
-    except PySparkException:
-        found = []
-        for name, table in tables.items():
-            try:
-                found.append((name, one(name, table).first()["row_count"]))
-            except PySparkException:
-                found.append((name, FAILED))
-        return spark.createDataFrame(found, "table_name string, row_count long")
+    """``table_name``, ``row_count`` of tables by name; see ``counted``."""
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    return counted(spark, [("", n, t) for n, t in tables.items()]).drop("schema_name")
 
 
 def partition_counts(df: DataFrame, partition: Column, name: str = "partition_name") -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.canonical import row_text, text_of
-from ..sources.tables import written
+from ..functions.canonical import comparable, row_text, text_of
+from ..functions.names import fresh
+from ..sources.tables import tidy, written
 from .fingerprint import fingerprint, hash_of, is_lob  # noqa: F401
 from .numbering import numbered
 
@@ -25,29 +26,34 @@ def category(source_hash: Column, target_hash: Column, in_source: Column, in_tar
 def keyed_diff(source: DataFrame, target: DataFrame, keys: list[str], **options) -> DataFrame:
     """Pairs rows by key: the keys, ``category`` (matching, mismatched, missing, extra), ``source_hash``, ``target_hash``.
 
-    Only keys and hashes are shuffled, once a side; null keys pair with null keys. Keys should be unique (``duplicate_keys``)."""
-    s = fingerprint(source, keys, **options).withColumnRenamed("row_hash", "source_hash").withColumn("_s", F.lit(True))
-    t = fingerprint(target, keys, **options).withColumnRenamed("row_hash", "target_hash").withColumn("_t", F.lit(True))
-    t = t.withColumnsRenamed({k: f"_{k}" for k in keys})
-    on = _all_equal([s[k] for k in keys], [t[f"_{k}"] for k in keys])
-    both = s.join(t, on, "full_outer")
-    in_s, in_t = F.col("_s").isNotNull(), F.col("_t").isNotNull()
-    return both.select(*(F.when(in_s, F.col(k)).otherwise(F.col(f"_{k}")).alias(k) for k in keys), category(F.col("source_hash"), F.col("target_hash"), in_s, in_t).alias("category"), "source_hash", "target_hash")
+    Only keys and hashes are shuffled, once a side; null keys pair with null keys. Keys should be unique (``duplicate_keys``).
+    A key that is named like one of the three other columns gets an underscore before its name."""
 
+    def side(df: DataFrame, key: str, hash_name: str, there: str) -> DataFrame:
+        return df.select(*(F.col(f"`{c}`").alias(f"{key}{i}") for i, c in enumerate(keys)), hash_of(row_text(df, columns, **options), algorithm).alias(hash_name), F.lit(True).alias(there))
 
+    algorithm, columns = options.pop("algorithm", "SHA256"), options.pop("columns", None)
+    source, target = comparable(source, target)
+    both = side(source, "s", "source_hash", "in_source").join(side(target, "t", "target_hash", "in_target"), _all_equal([F.col(f"s{i}") for i in range(len(keys))], [F.col(f"t{i}") for i in range(len(keys))]), "full_outer")
+    in_s, in_t = F.col("in_source").isNotNull(), F.col("in_target").isNotNull()
+    names = fresh(["category", "source_hash", "target_hash"], *keys)
+    return both.select(*(F.when(in_s, F.col(f"s{i}")).otherwise(F.col(f"t{i}")).alias(c) for i, c in enumerate(names)), category(F.col("source_hash"), F.col("target_hash"), in_s, in_t).alias("category"), "source_hash", "target_hash")
+
+
+@tidy
 def positional_diff(source: DataFrame, target: DataFrame, order: list[str], *, aggressive: bool = False, **options) -> DataFrame:
     """Pairs row n with row n in the order of ``order``, then of the hash: ``row_id``, ``category`` and both hashes.
 
-    ``aggressive`` orders text by its trimmed upper case."""
+    ``aggressive`` orders text by its trimmed upper case. Only the order and the hash are written and sorted."""
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        kinds = dict(df.dtypes)
-        hashed = fingerprint(df, order, **options)
-        by = [F.upper(F.trim(F.col(c))) if aggressive and kinds[c] == "string" else F.col(c) for c in order]
-        return numbered(hashed, [*by, F.col("row_hash")]).select("row_id", F.col("row_hash").alias(name))
+        kinds = {c.lower(): k for c, k in df.dtypes}
+        by = [F.upper(F.trim(F.col(f"`{c}`"))) if aggressive and kinds[c.lower()] == "string" else F.col(f"`{c}`") for c in order]
+        hashed = fingerprint(df, columns=options.get("columns"), **{k: v for k, v in options.items() if k != "columns"}, also={f"o{i}": x for i, x in enumerate(by)})
+        return numbered(hashed, [*(F.col(f"o{i}") for i in range(len(order))), F.col("row_hash")], keep=["row_hash"]).withColumnRenamed("row_hash", name)
 
-    s, t = side(source, "source_hash"), side(target, "target_hash")
-    both = s.join(t, "row_id", "full_outer")
+    source, target = comparable(source, target)
+    both = side(source, "source_hash").join(side(target, "target_hash"), "row_id", "full_outer")
     return both.select("row_id", category(F.col("source_hash"), F.col("target_hash"), F.col("source_hash").isNotNull(), F.col("target_hash").isNotNull()).alias("category"), "source_hash", "target_hash")
 
 
@@ -55,17 +61,19 @@ def multiset_diff(source: DataFrame, target: DataFrame, **options) -> DataFrame:
     """For tables without a key: each hash with ``n_source``, ``n_target``, ``matching``, ``missing`` and ``extra`` copies.
 
     Copies are folded before the shuffle, so one very common row costs no more than another."""
+    source, target = comparable(source, target)
     tagged = fingerprint(source, **options).withColumns({"s": F.lit(1), "t": F.lit(0)}).unionByName(fingerprint(target, **options).withColumns({"s": F.lit(0), "t": F.lit(1)}))
     n = tagged.groupBy("row_hash").agg(F.sum("s").alias("n_source"), F.sum("t").alias("n_target"))
     return n.select("*", F.least("n_source", "n_target").alias("matching"), F.greatest(F.col("n_source") - F.col("n_target"), F.lit(0)).alias("missing"), F.greatest(F.col("n_target") - F.col("n_source"), F.lit(0)).alias("extra"))
 
 
+@tidy
 def diff_with_retry(source: DataFrame, target: DataFrame, order: list[str], more: list[str], *, steps: tuple[int, ...] = (0, 2, 4, 6), **options) -> tuple[DataFrame, int]:
     """Positional differences; while both sides have as many rows and all differences are mismatches, again with more
     order columns. The last differences, and how many columns were added. At most ``len(steps)`` passes."""
     diff, used = None, 0
     for k in steps:
-        diff, used = written(positional_diff(source, target, order + more[:k], aggressive=k > 0, **options), "positional"), k
+        diff, used = positional_diff(source, target, order + more[:k], aggressive=k > 0, **options), k
         n = {r[0]: r[1] for r in diff.groupBy("category").count().collect()}
         if n.get("missing") or n.get("extra") or not n.get("mismatched"):
             break
@@ -74,8 +82,9 @@ def diff_with_retry(source: DataFrame, target: DataFrame, order: list[str], more
 
 def missing_keys(source: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
     """Keys of the source that the target lacks, and ``key_text``; swap the sides for extra keys. Only keys are shuffled."""
-    s, t = source.select(*keys), target.select(*(F.col(k).alias(f"_{k}") for k in keys))
-    gone = s.join(t, _all_equal([s[k] for k in keys], [t[f"_{k}"] for k in keys]), "left_anti")
+    own = fresh(keys, *(f"t{i}" for i in range(len(keys))))
+    s, t = source.select(*keys), target.select(*(F.col(k).alias(x) for k, x in zip(keys, own, strict=True)))
+    gone = s.join(t, _all_equal([F.col(k) for k in keys], [F.col(x) for x in own]), "left_anti")
     return gone.withColumn("key_text", key_text(keys))
 
 
@@ -102,40 +111,45 @@ def column_diff(source: DataFrame, target: DataFrame, keys: list[str], *, first:
     ``ordering_problem`` (one side nearly all null while the other has none) and ``absent`` (columns that one side lacks).
 
     Null keys pair with null keys. Each side's values are printed by its own types; columns are paired by name in any
-    case, and those of one side only aren't compared but listed."""
+    case, and those of one side only aren't compared but listed. Columns may have any names."""
+    source, target = comparable(source, target)
     kinds = [{f.name.lower(): f for f in df.schema.fields} for df in (source, target)]
     of_key = {k.lower() for k in keys}
     names = sorted(c for c in kinds[0] if c in kinds[1] and c not in of_key)
     absent = sorted(c for c in {*kinds[0], *kinds[1]} if (c in kinds[0]) != (c in kinds[1]))
-    there = lambda df: [F.col(c) for c in df.columns if c.lower() not in absent]
-    found = keyed_diff(source.select(*there(source)), target.select(*there(target)), keys)
-    bad = found.filter("category = 'mismatched'").select(*(F.col(k).alias(f"_{k}") for k in keys))
+    there = lambda df: [F.col(f"`{c}`") for c in df.columns if c.lower() not in absent]
+    numbers = range(len(keys))
+    found = keyed_diff(source.select(*there(source)), target.select(*there(target)), keys).filter("category = 'mismatched'")
+    bad = found.select(*(F.col(f"`{k}`").alias(f"bad{i}") for i, k in enumerate(found.columns[: len(keys)])))
 
     def texts(df: DataFrame, side: int, to: str) -> DataFrame:
-        own = df.join(bad, _all_equal([df[k] for k in keys], [bad[f"_{k}"] for k in keys]), "left_semi")
         fields = [kinds[side][n] for n in names]
-        return own.select(*(F.col(k).alias(f"{to}_{k}") for k in keys), F.array(*(text_of(f.name, f.dataType) for f in fields)).alias(to), F.array(*(F.col(f"`{f.name}`").isNull() for f in fields)).alias(f"{to}_null"))
+        own = df.select(*(F.col(f"`{k}`").alias(f"{to}{i}") for i, k in enumerate(keys)), F.array(*(text_of(f.name, f.dataType) for f in fields)).alias(to), F.array(*(F.col(f"`{f.name}`").isNull() for f in fields)).alias(f"{to}_null"))
+        return own.join(bad, _all_equal([F.col(f"{to}{i}") for i in numbers], [F.col(f"bad{i}") for i in numbers]), "left_semi")
 
-    a, b = texts(source, 0, "a"), texts(target, 1, "b")
-    both = a.join(b, _all_equal([a[f"a_{k}"] for k in keys], [b[f"b_{k}"] for k in keys]))
+    both = texts(source, 0, "a").join(texts(target, 1, "b"), _all_equal([F.col(f"a{i}") for i in numbers], [F.col(f"b{i}") for i in numbers]))
     pairs = F.arrays_zip(F.array(*(F.lit(kinds[0][n].name) for n in names)).alias("name"), F.col("a"), F.col("b"))
     off = F.filter(pairs, lambda x: x["a"] != x["b"])
     nulls = lambda c: F.size(F.filter(c, lambda x: x))
-    out = both.withColumns({"_off": off, "source_nulls": nulls("a_null"), "target_nulls": nulls("b_null")})
+    out = both.withColumns({"off": off, "source_nulls": nulls("a_null"), "target_nulls": nulls("b_null")})
     mostly = lambda a, b: (F.col(a) >= share * len(names)) & (F.col(b) == 0)
+    told = ["n_differing", "differing", "source_nulls", "target_nulls", "ordering_problem", "absent"]
     return out.select(
-        *(F.col(f"a_{k}").alias(k) for k in keys), F.size("_off").alias("n_differing"), F.array_join(F.transform(F.slice("_off", 1, first), lambda x: x["name"]), ",").alias("differing"), "source_nulls", "target_nulls",
+        *(F.col(f"a{i}").alias(k) for i, k in enumerate(fresh(told, *keys))), F.size("off").alias("n_differing"), F.array_join(F.transform(F.slice("off", 1, first), lambda x: x["name"]), ",").alias("differing"), "source_nulls", "target_nulls",
         (mostly("source_nulls", "target_nulls") | mostly("target_nulls", "source_nulls")).alias("ordering_problem"), F.lit(",".join(absent)).alias("absent"),
     )
 
 
+@tidy
 def positional_column_diff(source: DataFrame, target: DataFrame, order: list[str], **options) -> DataFrame:
     """``column_diff`` of rows paired by their place in the order of ``order``, then of their hash: keyed by ``row_id``."""
+    (place,) = fresh([*source.columns, *target.columns], "row_id")
 
     def side(df: DataFrame) -> DataFrame:
-        return numbered(df, [*(F.col(c) for c in order), hash_of(row_text(df))])
+        return numbered(df, [*(F.col(f"`{c}`") for c in order), hash_of(row_text(df))], into=place)
 
-    return column_diff(side(source), side(target), ["row_id"], **options)
+    source, target = comparable(source, target)
+    return column_diff(side(source), side(target), [place], **options).withColumnRenamed(place, "row_id")
 
 
 def diff_totals(diff: DataFrame, *by: str) -> DataFrame:

@@ -13,6 +13,8 @@ DROPPED = "BIN$"
 SEQUENCE_PREFIXES, SEQUENCE_PARTS = ("SEQ_",), ("_SEQ", "_ID")
 PROCEDURE_PREFIXES = ("PROC_", "SP_", "FN_", "PKG_")
 PROCEDURE_PARTS = ("_PROC", "_SP", "_FN", "_PKG", "_INSERT", "_UPDATE", "_DELETE", "_SELECT", "_GET", "_SET")
+#: Of these, the ones that go in a third reading of a procedure's name, for tables whose own names hold others (fixed values).
+PROCEDURE_FEW = ("_PROC", "_INSERT", "_UPDATE", "_DELETE")
 
 
 def name_contains(name: Column, schema: Column, patterns: Iterable[str]) -> Column:
@@ -44,16 +46,16 @@ def logical_tables(tables: DataFrame, partitions: DataFrame) -> DataFrame:
 
 
 def drop_derived(objects: DataFrame, excluded: DataFrame, patterns: Iterable[str] = ()) -> DataFrame:
-    """Without sequences, procedures and functions named after an excluded table: less one prefix at the start, or less all
-    suffixes, the name is an excluded table's or holds one of the ``patterns`` that exclude tables."""
+    """Without sequences, procedures and functions named after an excluded table: less one prefix at the start, less all
+    suffixes, or less the few commonest ones, the name is an excluded table's or holds one of the ``patterns`` that exclude tables."""
 
-    def stems(name: Column, prefixes: tuple[str, ...], parts: tuple[str, ...]) -> Column:
+    def stems(name: Column, prefixes: tuple[str, ...], *parts: tuple[str, ...]) -> Column:
         begun = reduce(lambda rest, p: F.when(name.startswith(p), F.substr(name, F.lit(len(p) + 1))).otherwise(rest), reversed(prefixes), name)
-        bare = reduce(lambda n, p: F.replace(n, F.lit(p), F.lit("")), parts, name)
-        return F.filter(F.array_distinct(F.array(begun, bare)), lambda n: n != "")
+        bare = [reduce(lambda n, p: F.replace(n, F.lit(p), F.lit("")), some, name) for some in parts]
+        return F.filter(F.array_distinct(F.array(begun, *bare)), lambda n: n != "")
 
     upper = F.upper("object_name")
-    stem = F.when(F.col("kind") == "sequence", stems(upper, SEQUENCE_PREFIXES, SEQUENCE_PARTS)).when(F.col("kind").isin("procedure", "function"), stems(upper, PROCEDURE_PREFIXES, PROCEDURE_PARTS)).otherwise(F.array(F.lit(None).cast("string")))
+    stem = F.when(F.col("kind") == "sequence", stems(upper, SEQUENCE_PREFIXES, SEQUENCE_PARTS)).when(F.col("kind").isin("procedure", "function"), stems(upper, PROCEDURE_PREFIXES, PROCEDURE_PARTS, PROCEDURE_FEW)).otherwise(F.array(F.lit(None).cast("string")))
     held = F.exists(stem, lambda n: name_contains(n, F.col("schema_name"), patterns))
     objects = objects.filter(~F.coalesce(held, F.lit(False)))
     names = excluded.select(F.upper("schema_name").alias("_s"), F.upper("table_name").alias("_t")).distinct()

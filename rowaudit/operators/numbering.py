@@ -3,30 +3,34 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.names import fresh
 from ..sources.tables import written
 
+#: Bits of a row's place within its range, as ``monotonically_increasing_id`` has them (fixed value).
+_WITHIN = 33
 
-def numbered(df: DataFrame, order: list[Column], *, into: str = "row_id", partitions: int | None = None) -> DataFrame:
-    """``df`` with row numbers from 1 over ``order``; equal rows get numbers in any order.
 
-    Rows are written with their order first, so that sampling for the ranges doesn't compute them again, then dealt by
-    ranges of the order and written, so the ranges are fixed. A number of each row breaks ties: equal rows spread over
-    ranges like others. Each range counts itself, the counts before it (a row for each range on the driver) are added to
-    the numbers within. Sorting is never in one task."""
+def numbered(df: DataFrame, order: list[Column], *, into: str = "row_id", keep: list[str] | None = None, partitions: int | None = None) -> DataFrame:
+    """``df``, or its columns ``keep``, with row numbers from 1 over ``order``; equal rows get numbers in any order. A column ``into`` is replaced.
+
+    Rows are written with their order first, so that sampling for the ranges doesn't compute them again. They are dealt by
+    ranges of the order, sorted once there and written with their place: the number of their range and that within it. Then
+    the order isn't needed any more. The sizes of the ranges (a row for each on the driver) give what stands before each.
+    A number of each row breaks ties, so equal rows spread over ranges like others. Sorting is never in one task."""
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    names = [f"_o{k}" for k in range(len(order))] + ["_tie"]
-    base = written(df.withColumns(dict(zip(names, [*order, F.monotonically_increasing_id()], strict=True))), "rows")
-    by = [F.asc_nulls_first(x) for x in names]
-    dealt = written(base.repartitionByRange(n, *by).withColumn("_range", F.spark_partition_id()), "ranges")
-    sizes = sorted((r[0], r[1]) for r in dealt.groupBy("_range").count().collect())
-    before, starts = 0, []
-    for k, size in sizes:
-        starts.append((k, before))
-        before += size
-    offsets = F.broadcast(spark.createDataFrame(starts, "_range int, _before long"))
-    within = F.row_number().over(W.partitionBy("_range").orderBy(*by))
-    return dealt.join(offsets, "_range").withColumn(into, F.col("_before") + within).drop("_range", "_before", *names)
+    kept = [c for c in (df.columns if keep is None else keep) if c.lower() != into.lower()]
+    *names, tie, place, of_range, before = fresh([*df.columns, into], *(f"o{k}" for k in range(len(order))), "tie", "place", "of_range", "before")
+    base = written(df.select(*(F.col(f"`{c}`") for c in kept), *(o.alias(x) for o, x in zip(order, names, strict=True)), F.monotonically_increasing_id().alias(tie)), "rows")
+    by = [F.asc_nulls_first(x) for x in (*names, tie)]
+    sorted_ = base.repartitionByRange(n, *by).sortWithinPartitions(*by).select(*(F.col(f"`{c}`") for c in kept), F.monotonically_increasing_id().alias(place))
+    dealt = written(sorted_, "ranges").withColumn(of_range, F.shiftright(place, _WITHIN))
+    upto, starts = 0, []
+    for k, size in sorted((r[0], r[1]) for r in dealt.groupBy(of_range).count().collect()):
+        starts.append((k, upto))
+        upto += size
+    offsets = F.broadcast(spark.createDataFrame(starts, f"{of_range} long, {before} long"))
+    within = F.col(place).bitwiseAND(F.lit((1 << _WITHIN) - 1))
+    return dealt.join(offsets, of_range).select(*(F.col(f"`{c}`") for c in kept), (F.col(before) + within + 1).alias(into))

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+#: Folders that the functions now running have written, innermost last; each thread has its own.
+_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("_OPEN", default=())
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,8 +48,46 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="rowaudit-"))
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has yet; it goes with its ``tidy`` function, if there is one."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _OPEN.get():
+        _OPEN.get()[-1].append(path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder, read again: what it holds is fixed and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for p in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def tidy(f: Callable) -> Callable:
+    """The folders that ``f`` writes go when it returns or fails; a DataFrame that it returns, alone or in a tuple, is
+    written first, and stays until the shared folder is cleared or the ``tidy`` function around it returns."""
+
+    @functools.wraps(f)
+    def run(*args, **kwargs):
+        spark = args[0] if isinstance(args[0], SparkSession) else args[0].sparkSession
+        mine: list[str] = []
+        before = _OPEN.set((*_OPEN.get(), mine))
+        open_ = True
+        try:
+            out = f(*args, **kwargs)
+            _OPEN.reset(before)
+            open_ = False
+            keep = lambda x: written(x, f.__name__) if isinstance(x, DataFrame) else x
+            return tuple(keep(x) for x in out) if isinstance(out, tuple) else keep(out)
+        finally:
+            if open_:
+                _OPEN.reset(before)
+            _delete(spark, mine)
+
+    return run
