@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import canonical
-from ..operators import audit, diff, fingerprint, numbering, summary
+from ..operators import alignment, audit, checksums, diff, fingerprint, numbering, summary
 from ..sources import tables
 from .registry import query
 
@@ -175,16 +175,38 @@ def fingerprint_diff_keyed(source: DataFrame, target: DataFrame) -> DataFrame:
     return diff.keyed_diff(source, target, KEYS)
 
 
-@query(
-    "fingerprint_summary", "orders_src orders_tgt",
-    f"""with {_KEYED}, n as (select count(*) filter (category = 'matching') as matching, count(*) filter (category = 'mismatched') as mismatched, count(*) filter (category = 'missing') as missing, count(*) filter (category = 'extra') as extra from d)
+_SUMMARY = f"""with {_KEYED}, n as (select count(*) filter (category = 'matching') as matching, count(*) filter (category = 'mismatched') as mismatched, count(*) filter (category = 'missing') as missing, count(*) filter (category = 'extra') as extra from d)
         select *, matching + mismatched + missing as source_rows, matching + mismatched + extra as target_rows,
-               case when matching + mismatched + missing > 0 then cast(matching as double) * 100.0 / (matching + mismatched + missing) else 0.0 end as match_percent, mismatched + missing + extra = 0 as is_match from n""",
-)
+               case when matching + mismatched + missing > 0 then cast(matching as double) * 100.0 / (matching + mismatched + missing) else 0.0 end as match_percent, mismatched + missing + extra = 0 as is_match from n"""
+
+
+@query("fingerprint_summary", "orders_src orders_tgt", _SUMMARY)
 def fingerprint_summary(source: DataFrame, target: DataFrame) -> DataFrame:
     return diff.diff_totals(diff.keyed_diff(source, target, KEYS))
 
 
+@query("checksum_diff", "orders_src orders_tgt", f"with {_KEYED} select * from d")
+def checksum_diff(source: DataFrame, target: DataFrame) -> DataFrame:
+    """The keyed difference by way of sums over ranges of keys."""
+    return checksums.checksum_diff(source, target, KEYS, by="range")
+
+
+@query("checksum_totals", "orders_src orders_tgt", _SUMMARY)
+def checksum_totals(source: DataFrame, target: DataFrame) -> DataFrame:
+    return checksums.checksum_totals(source, target, KEYS)
+
+
+@query(
+    "differing_ranges", "orders_src orders_tgt",
+    f"""with {_KEYED}, e as (select min(o_orderkey) as low, max(o_orderkey) as high from d),
+        n as (select least(cast(1048575 as double), floor((cast(o_orderkey as double) - low) / (high - low) * 1048576)) as node, category from d, e)
+        select cast(node as bigint) as node, count(*) filter (category <> 'extra') as n_source, count(*) filter (category <> 'missing') as n_target from n group by node having count(*) filter (category <> 'matching') > 0""",
+)
+def differing_ranges(source: DataFrame, target: DataFrame) -> DataFrame:
+    """Which ranges of the keys differ at all, with the rows of both sides there."""
+    return checksums.differing_ranges(source, target, KEYS)
+
+
 @query("missing_keys", "orders_src orders_tgt", "select o_orderkey, cast(o_orderkey as varchar) as key_text from orders_src s where not exists (select 1 from orders_tgt t where t.o_orderkey = s.o_orderkey)")
 def missing_keys(source: DataFrame, target: DataFrame) -> DataFrame:
     return diff.missing_keys(source, target, KEYS)
@@ -248,6 +270,28 @@ def fingerprint_diff_positional(source: DataFrame, target: DataFrame) -> DataFra
     return diff.positional_diff(source, target, ["l_orderkey", "l_linenumber", "l_partkey"])
 
 
+_ORDER_BODY = _fold("cast(o_custkey as varchar)", _TS.format(c="o_orderdate"), "cast(o_orderkey as varchar)", _TXT.format(c="o_orderpriority"), _TXT.format(c="o_orderstatus"), _DEC.format(c="o_totalprice"))
+_MOVES = "o_orderkey % 211 = 7"
+
+
+@query(
+    "aligned_diff", "orders_src orders_tgt",
+    f"""with s as (select o_orderkey as k, sha256({_ORDER_BODY}) as h, row_number() over (order by o_orderkey) as r from orders_src),
+        t as (select o_orderkey as k, sha256({_ORDER_BODY}) as h, row_number() over (order by case when {_MOVES} then o_orderkey - 1000000000 else o_orderkey end) as r, {_MOVES} as m from orders_tgt),
+        e as (select s.r as sr, t.r as tr, m from s join t on s.h = t.h),
+        sg as (select s.r, e.tr, e.m, count(e.tr) filter (not e.m) over (order by s.r) as gap from s left join e on e.sr = s.r),
+        tg as (select t.r, e.sr, e.m, count(e.sr) filter (not e.m) over (order by t.r) as gap from t left join e on e.tr = t.r),
+        sl as (select r, gap, row_number() over (partition by gap order by r) as nth from sg where tr is null), tl as (select r, gap, row_number() over (partition by gap order by r) as nth from tg where sr is null)
+        select sr as source_row, tr as target_row, case when m then 'moved' else 'matching' end as category from e
+        union all select sl.r, tl.r, case when tl.r is null then 'missing' when sl.r is null then 'extra' else 'mismatched' end from sl full outer join tl on sl.gap = tl.gap and sl.nth = tl.nth""",
+)
+def aligned_diff(source: DataFrame, target: DataFrame) -> DataFrame:
+    """Orders as a table without a key: rows are lost, changed and added, and some stand at the front on the other side."""
+    key = F.col("o_orderkey")
+    place = F.when(key % 211 == 7, key - 1_000_000_000).otherwise(key)
+    return alignment.aligned_diff(source.withColumn("place", key), target.withColumn("place", place), ["place"], columns=source.columns)
+
+
 @query(
     "fingerprint_diff_retry", "orders_src",
     f"""with o_t as (select o_orderkey, o_custkey, o_orderstatus, case when o_orderkey % 89 = 3 then cast(o_totalprice + 1 as decimal(18,2)) else o_totalprice end as o_totalprice, o_orderdate, o_orderpriority from orders_src),

@@ -152,12 +152,18 @@ def positional_column_diff(source: DataFrame, target: DataFrame, order: list[str
     return column_diff(side(source), side(target), [place], **options).withColumnRenamed(place, "row_id")
 
 
+CATEGORIES = ("matching", "mismatched", "missing", "extra")
+
+
 def diff_totals(diff: DataFrame, *by: str) -> DataFrame:
     """Counts by category, ``match_percent`` (of source rows; 0 if there are none) and ``is_match``."""
-    n = lambda c: F.count_if(F.col("category") == c).alias(c)
-    out = diff.groupBy(*by).agg(*(n(c) for c in ("matching", "mismatched", "missing", "extra")))
+    return with_totals(diff.groupBy(*by).agg(*(F.count_if(F.col("category") == c).alias(c) for c in CATEGORIES)))
+
+
+def with_totals(counts: DataFrame) -> DataFrame:
+    """Counts by category with both sides' rows, ``match_percent`` and ``is_match``."""
     source = F.col("matching") + F.col("mismatched") + F.col("missing")
-    return out.select(
+    return counts.select(
         "*", source.alias("source_rows"), (F.col("matching") + F.col("mismatched") + F.col("extra")).alias("target_rows"),
         F.when(source > 0, F.col("matching") * 100.0 / source).otherwise(0.0).cast("double").alias("match_percent"), (F.col("mismatched") + F.col("missing") + F.col("extra") == 0).alias("is_match"),
     )
