@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import os
 
@@ -15,7 +16,9 @@ from . import blocks
 from .scratch import tidy
 
 
+@functools.cache
 def _encoder(tokenizer: str):
+    """Read once in each worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -25,6 +28,24 @@ def _encoder(tokenizer: str):
     return encoder
 
 
+@functools.cache
+def _shown(tokenizer: str) -> tuple[pa.Array, pa.Array]:
+    """Each id as text and its piece, both with a blank behind them."""
+    encoder = _encoder(tokenizer)
+    n = encoder.get_vocab_size(with_added_tokens=True)
+    return pa.array([f"{i} " for i in range(n)]), pa.array([f"{encoder.id_to_token(i)} " for i in range(n)])
+
+
+def _joined(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    each = [blocks.unsqueezed(d, np.uint32, np.uint32) for d in data]
+    sizes, ids = (np.concatenate([x[k] for x in each]) if each else np.zeros(0, np.uint32) for k in range(2))
+    return np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), ids
+
+
+def _answer(values: tuple[np.ndarray, np.ndarray], at: np.ndarray) -> bytes:
+    return blocks.squeezed(*(x.astype(np.uint32) for x in _taken(*values, at)))
+
+
 def encoded_words(encoder, distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """How many ids each word has, and all ids in turn."""
     sizes, ids = [], []
@@ -65,27 +86,24 @@ def encode_decode(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", te
     An empty table gives an empty result.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(0).alias("flag"), F.col(text_col).alias("text"))
-    of_texts, of_words, buckets = blocks.text_blocks(texts, lower=False)
+    parts = blocks.text_blocks(texts, lower=False)
 
     def encoded(table: pa.Table) -> pa.Table:
         seen = blocks.WordRows(table)
         sizes, ids = encoded_words(_encoder(tokenizer), seen.distinct)
         ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-        answers = [blocks.squeezed(*(x.astype(np.uint32) for x in _taken(ends, ids, at))) for at in seen.places]
+        answers = [_answer((ends, ids), at) for at in seen.places]
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "data": pa.array(answers, pa.binary())})
 
-    answers = of_words.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(encoded, blocks.SCHEMA)
+    answers = parts.words.repartition(parts.partitions, "bucket").groupBy("bucket").applyInArrow(encoded, blocks.SCHEMA)
+    answers = parts.lowered(answers, _joined, _answer)
 
     def joined(block: blocks.BlockTexts, data: list[bytes]) -> pa.Table:
-        each = [blocks.unsqueezed(d, np.uint32, np.uint32) for d in data]
-        sizes, ids = (np.concatenate([x[k] for x in each]) if each else np.zeros(0, np.uint32) for k in range(2))
-        place = block.by_number(np.arange(len(sizes)))  # of each word by number, among those by bucket
-        size, ids = _taken(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), ids, place)
+        ends, ids = _joined(data)
+        place = block.by_number(np.arange(len(ends) - 1))  # of each word by number, among those by bucket
+        size, ids = _taken(ends, ids, place)
         offsets = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
-        encoder = _encoder(tokenizer)
-        pieces = pa.array([f"{encoder.id_to_token(i)} " for i in range(encoder.get_vocab_size(with_added_tokens=True))])
-        numbers = pa.array([f"{i} " for i in range(len(pieces))])
-        shown = [pc.binary_join(pa.ListArray.from_arrays(offsets, x.take(pa.array(ids))), "").to_pylist() for x in (numbers, pieces)]
+        shown = [pc.binary_join(pa.ListArray.from_arrays(offsets, x.take(pa.array(ids))), "").to_pylist() for x in _shown(tokenizer)]
         tokens = np.concatenate([[0], np.cumsum(size[block.at])])[block.ends]
         sha: tuple[list[str], list[str]] = ([], [])
         for i, j in zip(block.ends[:-1].tolist(), block.ends[1:].tolist(), strict=True):
@@ -94,4 +112,4 @@ def encode_decode(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", te
                 out.append(_sha([text[k] for k in own]))
         return pa.table({"doc_id": block.doc_id, "n_tokens": pa.array(np.diff(tokens)), "ids_sha256": pa.array(sha[0], pa.string()), "decoded_sha256": pa.array(sha[1], pa.string())})
 
-    return blocks.per_block(of_texts, answers, joined, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return blocks.per_block(parts.texts, answers, joined, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

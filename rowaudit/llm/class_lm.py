@@ -131,6 +131,40 @@ def _by_number(block: blocks.BlockTexts, answers: list[bytes], *kinds: type) ->
     return [block.by_number(np.concatenate([x[k] for x in each])) if each else np.zeros(0, kinds[k]) for k in range(len(kinds))]
 
 
+def _values(*kinds: type):
+    """How answers with one value of each kind for a word are put together and taken."""
+
+    def join(data: list[bytes]) -> tuple[np.ndarray, ...]:
+        each = [blocks.unsqueezed(d, *kinds) for d in data]
+        return tuple(np.concatenate([x[k] for x in each]) if each else np.zeros(0, kind) for k, kind in enumerate(kinds))
+
+    return join, lambda values, at: blocks.squeezed(*(v[at] for v in values))
+
+
+def _summed(said: list[tuple[np.ndarray, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of neighbours by word * 128 + neighbour, sorted, of several blocks whose words have places in one list."""
+    keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at, data in said:
+        size, neighbour, n = blocks.unsqueezed(data, np.uint32, np.uint8, np.uint64)
+        keys.append(np.repeat(at, size).astype(np.int64) * 128 + neighbour)
+        counts.append(n.astype(np.int64))
+    keys, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.zeros(len(keys), np.int64)
+    np.add.at(total, inverse, np.concatenate(counts))
+    return keys, total
+
+
+def _added(said: list[tuple[np.ndarray, bytes]], words: int):
+    keys, n = _summed(said)
+    upto = np.concatenate([[0], np.cumsum(np.bincount(keys // 128, minlength=words))])
+
+    def part(i: int, j: int) -> bytes:
+        a, b = upto[i], upto[j]
+        return blocks.squeezed(np.diff(upto[i : j + 1]).astype(np.uint32), (keys[a:b] % 128).astype(np.uint8), n[a:b].astype(np.uint64))
+
+    return part
+
+
 @tidy
 def class_scores(docs: DataFrame, held_out: F.Column, *, id_col: str = "doc_id", text_col: str = "text", core: int = CORE, classes: int = CLASSES, sweeps: int = SWEEPS) -> DataFrame:
     """One row per input row: ``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``.
@@ -159,14 +193,14 @@ def class_scores(docs: DataFrame, held_out: F.Column, *, id_col: str = "doc_id",
     spark = docs.sparkSession
     flag = F.coalesce(held_out, F.lit(True)).cast("int")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), flag.alias("flag"), F.col(text_col).alias("text"))
-    of_texts, of_words, buckets = blocks.text_blocks(texts, lower=True)
+    parts = blocks.text_blocks(texts, lower=True)
     ends = texts.filter("flag = 0").count()
 
     def per_bucket(df: DataFrame, f, schema: str) -> DataFrame:
-        return df.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(f, schema)
+        return df.repartition(parts.partitions, "bucket").groupBy("bucket").applyInArrow(f, schema)
 
     def per_block(answers: DataFrame, f, schema: str) -> DataFrame:
-        return blocks.per_block(of_texts, answers, f, schema)
+        return blocks.per_block(parts.texts, answers, f, schema)
 
     # rows of a bucket: kind 0 its words with counts and classes, 1 the places of a block's words in them, 2 a block's counts of neighbours, 3 answers to a block
     rows = "kind int, block long, bucket long, data binary"
@@ -176,14 +210,12 @@ def class_scores(docs: DataFrame, held_out: F.Column, *, id_col: str = "doc_id",
 
     def counted(part: pa.Table) -> pa.Table:
         seen = blocks.WordRows(part)
-        c = np.zeros(len(seen.distinct), np.uint64)
-        for at, n in zip(seen.places, seen.trained, strict=True):
-            c[at] += n
+        c = seen.counts()
         cls = np.full(len(c), classes, np.uint8)
         data = [blocks.squeezed(blocks.packed_words(pa.array(seen.distinct, pa.string())), c, cls), *(blocks.squeezed(at) for at in seen.places)]
         return table([0] + [1] * len(seen.block), [-1, *seen.block], part.column("bucket")[0].as_py(), data)
 
-    lexicon = written(per_bucket(of_words, counted, rows), "lm-lexicon")
+    lexicon = written(per_bucket(parts.words, counted, rows), "lm-lexicon")
     places = lexicon.filter("kind = 1")
     lexicon = lexicon.filter("kind = 0")
 
@@ -208,7 +240,7 @@ def class_scores(docs: DataFrame, held_out: F.Column, *, id_col: str = "doc_id",
         rest = [k for k, x in enumerate(kind) if x == 1]
         return table([3] * len(rest), [block[k] for k in rest], part.column("bucket")[0].as_py(), [blocks.squeezed(own[blocks.unsqueezed(data[k], np.uint32)[0]]) for k in rest])
 
-    named = written(per_bucket(lexicon.union(places), numbers, rows), "lm-numbers")
+    named = parts.lowered(written(per_bucket(lexicon.union(places), numbers, rows), "lm-numbers"), *_values(np.uint16))
 
     def bigrams(block: blocks.BlockTexts, answers: list[bytes]) -> pa.Table:
         (codes,) = _by_number(block, answers, np.uint16)
@@ -244,7 +276,7 @@ def class_scores(docs: DataFrame, held_out: F.Column, *, id_col: str = "doc_id",
             each = size[own]
             upto = np.cumsum(each)
             at = np.repeat(start[own] - (upto - each), each) + np.arange(upto[-1])
-            data.append(blocks.squeezed(each.astype(np.uint32), neighbour[at].astype(np.uint8), n[at].astype(np.uint32)))
+            data.append(blocks.squeezed(each.astype(np.uint32), neighbour[at].astype(np.uint8), n[at].astype(np.uint64)))
             bucket.append(b)
         seen, many = np.unique(symbols[:-1] * BEHIND + symbols[1:], return_counts=True)
         none = pa.nulls(len(seen), pa.binary())
@@ -259,14 +291,7 @@ def class_scores(docs: DataFrame, held_out: F.Column, *, id_col: str = "doc_id",
         kind, block, data = (part.column(c).to_pylist() for c in ("kind", "block", "data"))
         words, c, cls = blocks.unsqueezed(data[kind.index(0)], np.uint8, np.uint64, np.uint8)
         at = {block[k]: blocks.unsqueezed(data[k], np.uint32)[0] for k, x in enumerate(kind) if x == 1}
-        keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for k, x in enumerate(kind):
-            if x == 2:
-                size, neighbour, n = blocks.unsqueezed(data[k], np.uint32, np.uint8, np.uint32)
-                keys.append(np.repeat(at[block[k]], size).astype(np.int64) * 128 + neighbour)
-                counts.append(n.astype(np.int64))
-        keys, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        n = np.bincount(inverse, np.concatenate(counts), minlength=len(keys)).astype(np.int64)
+        keys, n = _summed([(at[block[k]], data[k]) for k, x in enumerate(kind) if x == 2])
         new = best_classes(keys // 128, keys % 128, n, cls.astype(np.int64), matrix.value)
         new = np.where(c > 0, np.minimum(new, classes - 1), classes).astype(np.uint8)
         code = np.where(c > 0, new, UNSEEN).astype(np.uint8)
@@ -284,8 +309,9 @@ def class_scores(docs: DataFrame, held_out: F.Column, *, id_col: str = "doc_id",
                 joint[pair // BEHIND, pair % BEHIND] = n
             joint = joint[np.ix_(kept, kept)]
         matrix = spark.sparkContext.broadcast(joint)
-        state = written(per_bucket(lexicon.union(places).union(seen.filter("kind = 2")), moved, rows), "lm-classes")
-        lexicon, answers = state.filter("kind = 0"), state.filter("kind = 3")
+        said = parts.raised(seen.filter("kind = 2"), _added).select(F.lit(2).alias("kind"), "block", "bucket", "data")
+        state = written(per_bucket(lexicon.union(places).union(said), moved, rows), "lm-classes")
+        lexicon, answers = state.filter("kind = 0"), parts.lowered(state.filter("kind = 3"), *_values(*((np.uint8, np.uint64) if last else (np.uint8,))))
 
     def summed(batches):
         for b in batches:

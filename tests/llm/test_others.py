@@ -183,9 +183,10 @@ def _encoded(text):
     return len(ids), sha(" ".join(map(str, ids))), sha(t.decode(ids, skip_special_tokens=False))
 
 
-@pytest.mark.parametrize(("partitions", "bucket"), [(1, 4 << 20), (9, 5000)])
-def test_bpe_equals_the_library(spark, sf, odd, monkeypatch, partitions, bucket):
-    monkeypatch.setattr(blocks, "BUCKET_BYTES", bucket)
+@pytest.mark.parametrize(("partitions", "size", "fan"), [(1, 12 << 20, 64), (9, 20_000, 3)])
+def test_bpe_equals_the_library(spark, sf, odd, monkeypatch, partitions, size, fan):
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", size)
+    monkeypatch.setattr(blocks, "FAN", fan)
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(odd.select("doc_id", "text")).repartition(partitions)
     want = sorted(((r["doc_id"], *_encoded(r["text"])) for r in docs.collect()), key=repr)
     got = sorted((tuple(r) for r in bpe.encode_decode(docs, TOKENIZER).collect()), key=repr)
@@ -193,21 +194,36 @@ def test_bpe_equals_the_library(spark, sf, odd, monkeypatch, partitions, bucket)
     assert bpe.encode_decode(docs.limit(0), TOKENIZER).count() == 0
 
 
-def test_each_distinct_word_is_in_one_bucket(spark, monkeypatch):
-    monkeypatch.setattr(blocks, "BUCKET_BYTES", 300)
+@pytest.mark.parametrize("size", [12 << 20, 300])
+def test_each_distinct_word_is_in_one_bucket(spark, monkeypatch, size):
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", size)
+    monkeypatch.setattr(blocks, "FAN", 4)
     docs = spark.createDataFrame([(k, k % 2, " ".join(f"w{j}" for j in range(k % 13)) if k % 5 else None) for k in range(100)], "doc_id long, flag int, text string").repartition(6)
-    of_texts, of_words, buckets = blocks.text_blocks(docs, lower=True)
-    assert buckets > 3
-    rows_ = of_texts.union(of_words).collect()
+    parts = blocks.text_blocks(docs, lower=True)
+    assert parts.buckets > 3 and bool(parts.levels) == (parts.blocks > 4)
     where, trained = {}, Counter()
-    for r in rows_:
-        if r["bucket"] != blocks.TEXTS:
-            data, n = blocks.unsqueezed(r["data"], np.uint8, np.uint32)
-            for w, k in zip(blocks.unpacked_words(data), n.tolist(), strict=True):
-                assert where.setdefault(w, r["bucket"]) == r["bucket"]
-                trained[w] += k
+    for r in parts.words.collect():
+        data, n = blocks.unsqueezed(r["data"], np.uint8, np.uint64)
+        for w, k in zip(blocks.unpacked_words(data), n.tolist(), strict=True):
+            assert where.setdefault(w, r["bucket"]) == r["bucket"]
+            trained[w] += k
     assert trained == Counter(w for r in docs.collect() if not r["flag"] for w in (r["text"] or "").split()) | Counter({w: 0 for w in where})
-    assert sum(len(blocks.BlockTexts(r["data"]).flag) for r in rows_ if r["bucket"] == blocks.TEXTS) == 100
+    assert sum(len(blocks.BlockTexts(r["data"]).flag) for r in parts.texts.collect()) == 100
+
+
+def test_rows_of_each_level_grow_with_the_blocks(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(blocks, "FAN", 4)
+    r = np.random.default_rng(0)
+    docs = spark.createDataFrame([(k, 0, " ".join(f"w{x}" for x in r.integers(0, 5000, 60))) for k in range(640)], "doc_id long, flag int, text string")
+
+    def rows_of(n):
+        parts = blocks.text_blocks(docs.filter(F.col("doc_id") < n).repartition(4), lower=True)
+        return parts.blocks, [level.filter("kind = 1").count() for level in parts.levels] + [parts.words.count()]
+
+    (few, small), (many, large) = rows_of(160), rows_of(640)
+    assert many >= 3 * few and len(large) == len(small) + 1 >= 3
+    assert max(small) <= 4 * 4 * few and max(large) <= 4 * 4 * many
 
 
 def test_token_counts_equal_greedy_longest_match(spark, sf, odd):
@@ -315,7 +331,8 @@ def _class_model(texts, held, core, classes, sweeps):
 
 
 def test_scores_equal_a_plain_class_model_however_rows_are_dealt(spark, sf, monkeypatch):
-    monkeypatch.setattr(blocks, "BUCKET_BYTES", 40_000)
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(blocks, "FAN", 3)
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     texts = {r["doc_id"]: [w.decode() for w in re.split(rb"[\x20\x09-\x0d]+", r["text"].encode().lower()) if w] for r in docs.collect()}
     held = [zlib.crc32(str(i).encode()) % 5 == 1 for i in texts]
