@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import canonical
-from ..operators import alignment, audit, checksums, diff, fingerprint, numbering, summary
+from ..operators import alignment, audit, checksums, diff, fingerprint, key_search, numbering, summary, value_fit
 from ..sources import tables
 from .registry import query
 
@@ -592,3 +593,79 @@ def fallback_keys(orders: DataFrame) -> DataFrame:
 
     named = orders.withColumnsRenamed({"o_custkey": "cust_id", "o_orderkey": "order_id"})
     return keyed("declared", orders, ("O_ORDERKEY",)).union(keyed("ends in id", named)).union(keyed("orderable", orders))
+
+
+#: Columns of the target's catalog: name, type, precision, scale, length.
+ORDER_TYPES = (
+    ("o_orderkey", "smallint", None, None, None), ("o_custkey", "int4", None, None, None), ("o_orderstatus", "char", None, None, 1), ("o_totalprice", "numeric", 7, 1, None), ("o_orderdate", "date", None, None, None),
+    ("o_orderpriority", "varchar", None, None, 8), ("nowhere", "text", None, None, None),
+)
+LINE_TYPES = (
+    ("l_orderkey", "bigint", None, None, None), ("l_partkey", "character varying", None, None, 3), ("l_quantity", "numeric", 3, 2, None), ("l_extendedprice", "int8", None, None, None), ("l_returnflag", "text", None, None, None),
+    ("l_shipdate", "timestamp", 0, None, None), ("l_linenumber", "real", None, None, None),
+)
+
+
+def _fit(table: str, column: str, declared: str, risk: bool = True, **faults: str) -> str:
+    n = lambda f: f"count(*) filter ({faults[f]})" if f in faults else "cast(0 as bigint)"
+    unfit = f"count(*) filter ({' or '.join(f'({x})' for x in faults.values())})" if faults else "count(*) filter (false)"
+    verdict = f"case when {unfit} > 0 then 'proven' else 'ruled out' end" if risk else "'safe'"
+    return f"select '{column}' as column_name, '{declared}' as target_type, {str(risk).lower()} as at_risk, {', '.join(f'{n(f)} as n_{f}' for f in value_fit.FAULTS)}, {unfit} as n_unfit, {verdict} as verdict from {table}"
+
+
+_PRICE, _QUANTITY = "o_totalprice", "l_quantity"
+
+
+@query(
+    "value_fit", "orders_src lineitem_src",
+    " union all ".join([
+        _fit("orders_src", "o_orderkey", "smallint", overflow="o_orderkey > 32767", rounded="false"), _fit("orders_src", "o_custkey", "int4", overflow="false", rounded="false"), _fit("orders_src", "o_orderstatus", "char(1)", truncated="length(o_orderstatus) > 1"),
+        _fit("orders_src", "o_totalprice", "numeric(7,1)", overflow="abs(o_totalprice) >= 1000000", rounded="o_totalprice * 10 <> trunc(o_totalprice * 10)"), _fit("orders_src", "o_orderdate", "date", time_lost="date_trunc('day', o_orderdate) <> o_orderdate"),
+        _fit("orders_src", "o_orderpriority", "varchar(8)", truncated="length(o_orderpriority) > 8"), _fit("lineitem_src", "l_orderkey", "bigint", overflow="false", rounded="false"), _fit("lineitem_src", "l_partkey", "character varying(3)", truncated="length(cast(l_partkey as varchar)) > 3"),
+        _fit("lineitem_src", "l_quantity", "numeric(3,2)", overflow="abs(l_quantity) >= 10", rounded="false"), _fit("lineitem_src", "l_extendedprice", "int8", overflow="false", rounded="l_extendedprice <> trunc(l_extendedprice)"),
+        _fit("lineitem_src", "l_returnflag", "text", risk=False), _fit("lineitem_src", "l_shipdate", "timestamp(0)", rounded="date_trunc('second', l_shipdate) <> l_shipdate"), _fit("lineitem_src", "l_linenumber", "real", rounded="l_linenumber > 999999"),
+    ]),
+)
+def fits(orders: DataFrame, lines: DataFrame) -> DataFrame:
+    """Which values of orders and line items wouldn't fit the target's types, by column."""
+    return value_fit.value_fit(orders, ORDER_TYPES).union(value_fit.value_fit(lines, LINE_TYPES))
+
+
+@query(
+    "value_profile", "orders_src",
+    """select column_name, count(*) as n_rows, count(*) - count(v) as n_null, cast(max(w) as bigint) as whole_digits, cast(max(s) as bigint) as scale, max(c) as chars, max(b) as bytes, cast(sum(na) as bigint) as n_not_ascii, cast(sum(p) as bigint) as n_padded,
+              cast(sum(tm) as bigint) as n_with_time, cast(max(fd) as bigint) as fraction_digits from (
+           select 'o_totalprice' as column_name, cast(o_totalprice as varchar) as v, case when abs(o_totalprice) < 1 then 0 else length(cast(cast(trunc(abs(o_totalprice)) as bigint) as varchar)) end as w, length(rtrim(split_part(cast(o_totalprice as varchar), '.', 2), '0')) as s, null as c, null as b, null as na, null as p, null as tm, null as fd from orders_src
+           union all select 'o_custkey', cast(o_custkey as varchar), case when o_custkey = 0 then 0 else length(cast(abs(o_custkey) as varchar)) end, 0, null, null, null, null, null, null from orders_src
+           union all select 'o_orderpriority', o_orderpriority, null, null, length(o_orderpriority), strlen(o_orderpriority), cast(length(o_orderpriority) <> strlen(o_orderpriority) as integer), cast(rtrim(o_orderpriority) <> o_orderpriority as integer), null, null from orders_src
+           union all select 'o_orderdate', cast(o_orderdate as varchar), null, null, null, null, null, null, cast(date_trunc('day', o_orderdate) <> o_orderdate as integer), length(rtrim(strftime(o_orderdate, '%f'), '0')) from orders_src) as x group by column_name""",
+)
+def value_profile(orders: DataFrame) -> DataFrame:
+    """What the columns' values need, from the states of five parts of the table."""
+    names = ["o_totalprice", "o_custkey", "o_orderpriority", "o_orderdate"]
+    states = [value_fit.profile(orders.filter(F.pmod(F.hash("o_orderkey"), F.lit(5)) == k), names) for k in range(5)]
+    whole = states[0]
+    for s in states[1:]:
+        whole = whole.union(s)
+    return value_fit.merged(whole)
+
+
+_COLUMNS = {
+    "region": ("r_name", "r_regionkey"), "nation": ("n_name", "n_nationkey", "n_regionkey"), "orders_src": ("o_custkey", "o_orderdate", "o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice"), "lineitem_src": ("l_linenumber", "l_orderkey", "l_partkey", "l_quantity", "l_suppkey"),
+}
+
+
+def _minimal_sql() -> str:
+    sets = [(t, s) for t, names in _COLUMNS.items() for size in (1, 2, 3) for s in combinations(names, size)]
+    one = lambda t, s: f"select '{t}' as table_name, '{','.join(s)}' as columns, {len(s)} as size, [{', '.join(repr(c) for c in s)}] as parts, (select count(*) from (select distinct {', '.join(s)} from {t}) as d) = (select count(*) from {t}) as unique_ from (select 1) as one"
+    return f"with u as materialized ({' union all '.join(one(*x) for x in sets)}) select table_name, columns, size from u where unique_ and not exists (select 1 from u v where v.table_name = u.table_name and v.unique_ and v.size < u.size and list_has_all(u.parts, v.parts))"
+
+
+@query("minimal_keys", "region nation orders_src lineitem_src", _minimal_sql())
+def minimal_keys(*tables_: DataFrame) -> DataFrame:
+    """The smallest sets of up to three columns that are keys, by the data alone."""
+    each = [key_search.minimal_keys(df, columns=list(_COLUMNS[t])).select(F.lit(t).alias("table_name"), "columns", "size") for t, df in zip(_COLUMNS, tables_, strict=True)]
+    whole = each[0]
+    for e in each[1:]:
+        whole = whole.union(e)
+    return whole

@@ -234,3 +234,46 @@ def test_intermediate_folders_go(spark, tmp_path, monkeypatch):
         diff.positional_diff(s, s, ["nowhere"])
     diff.diff_with_retry(s, s.withColumn("v", F.lit(0)), ["v"], ["id"])
     assert len(list(tmp_path.iterdir())) == 2
+
+
+def test_values_that_do_not_fit_are_counted(spark):
+    from rowaudit.operators import value_fit
+
+    df = spark.createDataFrame([(1, 40000, 1.5, "abc  ", "12"), (2, -40000, 1e300, "äöü", "x"), (3, None, float("nan"), None, None), (4, 5, 2.5e-7, "", " -3.5e2 ")], "k long, n int, x double, v string, s string")
+    df = df.selectExpr("*", "cast(n * 0.01 as decimal(20,6)) as d", "timestamp_ntz '2024-01-01 00:00:00.25' as t", "cast(9e18 as bigint) as big")
+    catalog = [("K", "bigint", None, None, None), ("n", "smallint", None, None, None), ("x", "bigint", None, None, None), ("v", "varchar", None, None, 3), ("s", "integer", None, None, None), ("d", "numeric", 4, 1, None), ("t", "timestamp", 1, None, None), ("big", "int8", None, None, None), ("gone", "text", None, None, None)]
+    got = {r["column_name"]: r for r in value_fit.value_fit(df, catalog).collect()}
+    faults = lambda c: {f: got[c][f"n_{f}"] for f in value_fit.FAULTS if got[c][f"n_{f}"]}
+    assert faults("n") == {"overflow": 2} and faults("v") == {"truncated": 1} and faults("s") == {"unparsed": 1} and faults("t") == {"rounded": 4}
+    assert faults("x") == {"overflow": 2, "rounded": 2} and faults("d") == {"rounded": 1} and faults("big") == {}
+    assert {c: got[c]["verdict"] for c in ("k", "n", "big")} == {"k": "ruled out", "n": "proven", "big": "ruled out"} and "gone" not in got
+    assert value_fit.value_fit(df, []).count() == 0
+    assert {r["verdict"] for r in value_fit.value_fit(df.limit(0), catalog).collect()} == {"ruled out"}
+
+
+def test_profiles_merge(spark):
+    from rowaudit.operators import value_fit
+
+    df = spark.createDataFrame([(1, 0.001, "é "), (None, 123.5, ""), (-1234, 2.5e-7, None), (0, float("inf"), "ab")], "n int, x double, v string").repartition(3)
+    row = {r["column_name"]: r for r in value_fit.profile(df).collect()}
+    assert [row["n"][c] for c in ("n_rows", "n_null", "whole_digits", "scale")] == [4, 1, 4, 0]
+    assert [row["x"][c] for c in ("whole_digits", "scale")] == [3, 8]
+    assert [row["v"][c] for c in ("n_null", "chars", "bytes", "n_not_ascii", "n_padded")] == [1, 2, 3, 1, 1]
+    parts = [value_fit.profile(df.filter(f"n is {x} null")) for x in ("", "not")]
+    assert sorted(map(repr, value_fit.merged(parts[0].union(parts[1])).collect())) == sorted(map(repr, value_fit.profile(df).collect()))
+
+
+def test_minimal_keys_against_all_sets(spark):
+    from itertools import combinations
+
+    from rowaudit.operators import key_search
+
+    r = random.Random(5)
+    data = [(r.randint(0, 6), r.choice("abcd"), r.randint(0, 9), None if k == 3 else k, k // 2) for k in range(60)]
+    df = spark.createDataFrame(data, "a int, b string, c int, d int, e int")
+    unique = lambda s: len({tuple(x["abcde".index(c)] for c in s) for x in data}) == len(data) and "d" not in s
+    sets = [s for n in (1, 2, 3) for s in combinations("abcde", n) if unique(s)]
+    want = {",".join(s) for s in sets if not any(set(t) < set(s) for t in sets)}
+    assert want and {x["columns"] for x in key_search.minimal_keys(df).collect()} == want
+    assert {x["columns"] for x in key_search.minimal_keys(df.limit(0)).collect()} == set("abcde")
+    assert key_search.minimal_keys(df.union(df)).count() == 0
