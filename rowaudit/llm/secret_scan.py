@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,7 @@ from .scratch import tidy, written
 
 #: Labelled findings that the forest is fitted on at most, of each label; dictionary words; hashed neighbouring words.
 MOST_LABELLED, DICTIONARY, NEIGHBOURS = 10_000, 20_000, 16
-#: Key characters that a run has at least to be a candidate: by itself, and where a cue assigns it.
+#: Characters that a candidate has at least: key characters of a run by itself, printable ones where a cue assigns the value.
 LONG, SHORT = 14, 6
 #: Words before a value that name it a secret (fixed values).
 CUES = ("token", "secret", "password", "passwd", "pwd", "api_key", "apikey", "api-key", "access_key", "auth", "bearer", "private_key", "credential")
@@ -26,8 +26,8 @@ CUES = ("token", "secret", "password", "passwd", "pwd", "api_key", "apikey", "ap
 PLACEHOLDERS = ("example", "changeme", "placeholder", "your_", "xxxx", "dummy", "sample", "redacted")
 
 _CANDIDATE = re.compile(rf"[A-Za-z0-9+/=_.~-]{{{LONG},}}")
-_ASSIGNED = re.compile(rf"[=:]\s*[\"']?([A-Za-z0-9+/_.~-][A-Za-z0-9+/=_.~-]{{{SHORT - 1},}})")
-_CUED = re.compile(rf"(?:{'|'.join(map(re.escape, CUES))})[\"']?\s*$", re.I)
+#: An assigned value goes on over all printable ASCII but blanks, quotes, commas, semicolons and round or pointed brackets.
+_ASSIGNED = re.compile(rf"(?:{'|'.join(map(re.escape, CUES))})[\"']?\s*[=:]\s*[\"']?([!#$%&*+./0-9?@A-Z\[\\\]^_a-z{{|}}~-][!#$%&*+./0-9:=?@A-Z\[\\\]^_a-z{{|}}~-]{{{SHORT - 1},}})", re.I)
 #: Formats that are secrets by their shape alone (fixed values).
 _KNOWN = re.compile(r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*|sk_live_[0-9A-Za-z]{16,}")
 _WORDLIKE = re.compile(r"[A-Za-z]+(?:[-/_.][A-Za-z]+)*[-/_.]*")
@@ -52,7 +52,10 @@ def letter_pairs(docs: DataFrame, text_col: str = "text") -> np.ndarray:
             if data is not None and len(text):
                 ends = np.frombuffer(ends, np.int64)[text.offset : text.offset + len(text) + 1]
                 c = np.minimum(np.frombuffer(data, np.uint8)[ends[0] : ends[-1]], 127).astype(np.uint16)
-                seen += np.bincount(c[:-1] * np.uint16(128) + c[1:], minlength=128 * 128)
+                inside = np.ones(max(0, len(c) - 1), bool)
+                border = ends[1:-1] - ends[0] - 1  # a text's last character and the next one's first are no pair
+                inside[border[(border >= 0) & (border < len(inside))]] = False
+                seen += np.bincount((c[:-1] * np.uint16(128) + c[1:])[inside], minlength=128 * 128)
         k = np.flatnonzero(seen)
         yield pa.record_batch([pa.array(k), pa.array(seen[k])], names=["k", "n"])
 
@@ -151,14 +154,21 @@ def _spans(text: str) -> list[tuple[int, int]]:
         b = _ended(text, a, b)
         if b - a >= LONG:
             out.append((a, b))
-    last = [(-1, 0), *out]
+    # Values that a cue assigns are whole, whatever printable characters they hold. A long run inside one gives way to it; one
+    # that starts inside a long run is part of that.
+    starts = [a for a, _ in out]
+    assigned = []
     for m in _ASSIGNED.finditer(text):
-        a, b = m.start(1), _ended(text, *m.span(1))
-        if SHORT <= b - a < LONG and _CUED.search(text, max(0, m.start() - 40), m.start()):
-            k = bisect_left(last, (b, 0)) - 1  # the last long run that starts before the end
-            if last[k][1] <= a:
-                out.append((a, b))
-    return sorted(out)
+        a, b = m.span(1)
+        if m.start() and text[m.start() - 1] in "?&":  # in a query, the next name starts there
+            b = min(x for x in (b, *(k for k in (text.find("&", a, b), text.find("#", a, b)) if k >= 0)))
+        b = _ended(text, a, b)
+        k = bisect_left(starts, a) - 1
+        if b - a >= SHORT and (k < 0 or out[k][1] <= a):
+            assigned.append((a, b))
+    ends = [b for _, b in assigned]
+    free = [s for s in out if (k := bisect_right(ends, s[0])) == len(assigned) or assigned[k][0] >= s[1]]
+    return sorted(free + assigned)
 
 
 def _ended(text: str, a: int, b: int) -> int:
@@ -168,8 +178,8 @@ def _ended(text: str, a: int, b: int) -> int:
 
 
 def candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, start, end, value, label, features)`` of every run of ``LONG`` or more key characters, and of ``SHORT`` or more
-    that a cue assigns; ``label`` is null where no rule knows it."""
+    """``(doc_id, start, end, value, label, features)`` of every run of ``LONG`` or more key characters, and of every value of
+    ``SHORT`` or more printable characters that a cue assigns; ``label`` is null where no rule knows it."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((letter_pairs(docs, text_col), dictionary(docs, text_col)))
 
@@ -199,20 +209,26 @@ def fit_forest(labelled: DataFrame, *, trees: int = 20, depth: int = 6, most: in
 
 
 @tidy
-def secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, hold_out: int = 5, ruled: bool = True) -> DataFrame:
+def secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, hold_out: int = 5, ruled: bool = True, findings: DataFrame | None = None) -> DataFrame:
     """One row per candidate: ``doc_id``, ``start``, ``end`` (code points, end exclusive), ``label``, ``held_out``, ``score`` and ``is_secret``.
 
-    Candidates are all runs of 14 or more key characters in all texts, and runs of 6 or more that a cue assigns, such as a
-    password. Features: length, character transitions (against those of the whole corpus), classes and entropy, dictionary
+    Candidates are all runs of 14 or more key characters in all texts, and values of 6 or more printable characters that a cue
+    assigns, such as a password. Features: length, character transitions (against those of the whole corpus), classes and entropy, dictionary
     coverage, whether it lies in a path, what assigns it and the neighbouring words. The forest learns from findings that rules can label (known formats, values assigned to a
     cue; placeholders, plain words) of documents whose id's CRC is not 0 modulo ``hold_out``, and scores every candidate.
     Where a known rule says 0 or 1 is for the reader to compare; the score is the forest's alone. With ``ruled=False``
     the forest doesn't see the features that the rules read (``RULED``), so agreement with the labels is not the rule again.
 
+    ``findings`` are labels from elsewhere, ``(doc_id, start, end, label)``: they replace what the rules say of a candidate, and may
+    bring in kinds of secrets that no rule knows. Of repeated ones a 1 counts; those that are no candidate are not used.
+
     A null or empty text has no candidates; null ids and repeated rows are scanned each. With no labelled findings of
     either kind, the score is 0. Other columns are not read. An empty table gives an empty result.
     """
     rows = written(candidates(docs, id_col=id_col, text_col=text_col).withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % hold_out == 0, F.lit(False))), "secret-candidates")
+    if findings is not None:
+        told = findings.filter("label is not null").groupBy("doc_id", "start", "end").agg(F.max("label").cast("int").alias("told"))
+        rows = written(rows.join(told, ["doc_id", "start", "end"], "left").withColumn("label", F.coalesce("told", "label")).select(rows.columns), "secret-labelled")
     if not ruled:
         rows = rows.withColumn("features", F.transform("features", lambda x, i: F.when(i.isin(*RULED), 0.0).otherwise(x)))
     model = fit_forest(rows.filter("label is not null and not held_out"))

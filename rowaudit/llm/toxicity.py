@@ -135,7 +135,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     Both are drawn by a hash of the id, so the same rows at any partitioning; exact copies count once. The class prior
     is the share of toxic rows among the labelled ones, or less where fewer of the unlabelled show any sign of them. Features enter when they are commoner among the positives
-    than chance explains; at most ``USED``. Rows with a null id or label take no part as positives."""
+    than chance explains; at most ``USED``. Rows with a null id or label take no part as positives. Where labels are positives alone, the prior is 1, less only where
+    few of the unlabelled texts show a sign of them; without such signs every text gets one score, so give some labels of 0 or many texts."""
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label")).dropna().groupBy("_id").agg(F.max("_label").alias("_label"))
     n_toxic, n_known = known.agg(F.count_if(F.col("_label") == 1), F.count(F.lit(1))).first()
     n_docs = docs.count()
@@ -204,7 +205,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", into: str = "score") -> DataFrame:
-    """``docs`` with a double from 0 to 1: higher, likelier toxic. A null or empty text gets the score of a text without words."""
+    """``docs`` with a double from 0 to 1: higher, likelier toxic. A null or empty text gets the score of a text without words. A column that is named
+    ``into`` is replaced; all others pass as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at, schema = docs.columns.index(text_col), docs.drop(into).schema.add(into, "double", False)
 

@@ -561,6 +561,104 @@ def test_short_values_that_a_cue_assigns():
     assert secret_scan._spans("a" * 50_000 + " token:" + " " * 50_000 + "q1w2e3") == [(0, 50_000), (100_007, 100_013)]
 
 
+def test_assigned_values_hold_other_characters():
+    cut = lambda t: [t[a:b] for a, b in secret_scan._spans(t)]
+    assert cut("password=p@ss!word99 pwd: 'Tr0ub4dor&3xyz'") == ["p@ss!word99", "Tr0ub4dor&3xyz"]
+    assert cut("http://h/?token=abc12345&x=1") == ["abc12345"] and cut('api_key="AbCdEfGhIjKlMnOp1234!x"') == ["AbCdEfGhIjKlMnOp1234!x"]
+    assert cut("passwd=ABCDEFGHIJKLMNOP!abcdefghijklmnop next") == ["ABCDEFGHIJKLMNOP!abcdefghijklmnop"]
+
+
+def test_letter_pairs_stop_at_the_texts_borders(spark):
+    texts = ["ab", "", None, "ba", "a", "a"]
+    frame = lambda n: spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1) if n == 1 else spark.createDataFrame([(t,) for t in texts], "text string").repartition(n)
+    one, many = (secret_scan.letter_pairs(frame(n)) for n in (1, 6))
+    assert np.array_equal(one, many)
+    assert one[ord("a"), ord("b")] == one[ord("b"), ord("a")] > one[ord("a"), ord("a")] == one[ord("b"), ord("b")]
+
+
+#: Findings labelled by hand, apart from the rules: secrets that no rule knows or that stand in prose, and harmless values that look like them.
+BY_HAND = [
+    (1, "deploy with Zk8#qLw2!vRt9PxM on the first host", None), (1, "the passphrase was kD93hfQ0zLmW7xTe for the vault", "kD93hfQ0zLmW7xTe"), (1, "login admin / 8fJq2LsPz0WnXc5V", "8fJq2LsPz0WnXc5V"), (1, "export KEY_B64=Q2hhbmdlVGhpc1NlY3JldEtleTEyMw==", "Q2hhbmdlVGhpc1NlY3JldEtleTEyMw=="),
+    (1, "password: Tr0ub4dor&3xyz9", "Tr0ub4dor&3xyz9"), (1, "auth_token=9f8e7d6c5b4a39281706f5e4d3c2b1a0", "9f8e7d6c5b4a39281706f5e4d3c2b1a0"), (1, "client_secret: 'mX9-vT2_kL8.qR4'", "mX9-vT2_kL8.qR4"), (1, "use ghp_a8Kd0PqLm3Zx7Vb2Nc5Wj9Rt1Ye6Uo4Is8Gh to clone", "ghp_a8Kd0PqLm3Zx7Vb2Nc5Wj9Rt1Ye6Uo4Is8Gh"),
+    (0, "commit 3f786850e387550fdab836ed7e6dc881de23001b fixed it", "3f786850e387550fdab836ed7e6dc881de23001b"), (0, "md5sum d41d8cd98f00b204e9800998ecf8427e of the empty file", "d41d8cd98f00b204e9800998ecf8427e"), (0, "id 123e4567-e89b-12d3-a456-426614174000 in the table", "123e4567-e89b-12d3-a456-426614174000"), (0, "see https://docs.host.org/guide/v2/install-notes.html for more", None),
+    (0, "password=changeme_please_1", "changeme_please_1"), (0, "api_key=your_api_key_here_123", "your_api_key_here_123"), (0, "released as package-name-2.14.0-linux-x86_64.tar.gz", "package-name-2.14.0-linux-x86_64.tar.gz"), (0, "call get_user_account_by_email_address() first", "get_user_account_by_email_address"),
+    (0, "run on 2024-03-05T12:30:45.000", None), (0, "token: example-token-value", "example-token-value"), (0, "phone 00000000000000000000 is a filler", "00000000000000000000"), (0, "path /usr/local/lib/python3/site-packages", None),
+]
+
+
+def hand_labelled(spark, docs) -> dict[str, int]:
+    """How the forest, fitted on the rules' labels of ``docs``, judges the findings labelled by hand: right and wrong of each kind."""
+    ids = [i for i in range(10**9, 10**9 + 1000) if zlib.crc32(str(i).encode()) % 5 == 0][: len(BY_HAND)]
+    texts = spark.createDataFrame([(i, t) for i, (_, t, _) in zip(ids, BY_HAND, strict=True)], "doc_id long, text string")
+    flagged = {(r["doc_id"], r["start"], r["end"]): r["is_secret"] for r in secret_scan.secrets(docs.select("doc_id", "text").union(texts)).filter(F.col("doc_id").isin(ids)).collect()}
+    out = Counter()
+    for i, (label, text, value) in zip(ids, BY_HAND, strict=True):
+        hits = [yes for (d, a, b), yes in flagged.items() if d == i and (value is None or text[a:b] == value)]
+        out["found" if any(hits) else "missed"] += label
+        out["false" if any(hits) else "left alone"] += 1 - label
+    return dict(out)
+
+
+def test_findings_labelled_by_hand(spark, sf):
+    """What the forest finds is measured, and told in the README: it has learnt from the few shapes that the tables hold."""
+    got = hand_labelled(spark, spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet"))
+    assert sum(got.values()) == len(BY_HAND) and got["left alone"] >= 9
+
+
+def test_labels_from_elsewhere_replace_the_rules(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    rules = secret_scan.secrets(docs).collect()
+    known, free = (next(r for r in rules if (r["label"] is None) == none) for none in (False, True))
+    told = [(r["doc_id"], r["start"], r["end"], label) for r, label in ((known, 1 - known["label"]), (free, 1), (free, 0))] + [(None, 0, 9, 1), (1, 0, 1, 1)]
+    got = {(r["doc_id"], r["start"], r["end"]): r["label"] for r in secret_scan.secrets(docs, findings=spark.createDataFrame(told, "doc_id long, start long, end long, label int")).collect()}
+    assert len(got) == len({(r["doc_id"], r["start"], r["end"]) for r in rules})
+    for r in rules:
+        at = (r["doc_id"], r["start"], r["end"])
+        assert got[at] == (1 - known["label"] if r is known else 1 if r is free else r["label"])
+
+
+def _plain_fit(positive, unlabelled, n, prior, steps, rate=0.05, decay=1e-4):
+    """The corrected risk and its numerical gradient, a text at a time, and the same steps along it."""
+    loss = lambda z: 1 / (1 + math.exp(z))  # noqa: E731 - of a text whose score should be positive
+    z = lambda t, w: w[-1] + sum(w[k] for k in t)
+
+    def parts(w):
+        return prior * sum(loss(z(t, w)) for t in positive) / len(positive), sum(loss(-z(t, w)) for t in unlabelled) / len(unlabelled) - prior * sum(loss(-z(t, w)) for t in positive) / len(positive)
+
+    w, m, v, seen = [0.0] * n + [math.log(prior / (1 - prior))], [0.0] * (n + 1), [0.0] * (n + 1), []
+    for step in range(1, steps + 1):
+        seen.append(parts(w)[1])
+        risk = (lambda x: sum(parts(x))) if seen[-1] >= 0 else (lambda x: -parts(x)[1])
+        g = []
+        for k in range(n + 1):
+            up, down = w.copy(), w.copy()
+            up[k] += 1e-6
+            down[k] -= 1e-6
+            g.append((risk(up) - risk(down)) / 2e-6 + (decay * w[k] if k < n else 0))
+        m, v = [0.9 * a + 0.1 * b for a, b in zip(m, g, strict=True)], [0.999 * a + 0.001 * b * b for a, b in zip(v, g, strict=True)]
+        w = [a - rate * (b / (1 - 0.9**step)) / (math.sqrt(c / (1 - 0.999**step)) + 1e-9) for a, b, c in zip(w, m, v, strict=True)]
+        w = [max(a, 0.0) for a in w[:-1]] + [w[-1]]
+    return w, seen
+
+
+def test_risk_and_gradient_equal_a_plain_version():
+    r = np.random.default_rng(8)
+    used = np.array([11, 500, 70_000, 3])
+    draw = lambda p: [[k for k in range(4) if r.random() < p[k]] for _ in range(12)]
+    positive, unlabelled = draw([0.9, 0.6, 0.2, 0.4]), draw([0.1, 0.2, 0.2, 0.3])
+    want, seen = _plain_fit(positive, unlabelled, 4, 0.6, 60)
+    m = toxicity.fit([used[t] for t in positive], [used[t] for t in unlabelled], used, 0.6, steps=60)
+    assert min(seen) < 0 < max(seen)  # both branches of the estimator
+    assert [*m.weights[used], m.bias] == pytest.approx(want, abs=2e-4)
+    assert not m.weights[np.setdiff1d(np.arange(toxicity.SLOTS), used)].any()
+
+
+def test_positives_alone_as_labels_give_one_score(spark):
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(20)], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, toxic int"))
+    assert len({r["score"] for r in toxicity.score(docs, model).collect()}) == 1
+
+
 def test_secret_odd_rows(odd):
     assert {r["doc_id"] for r in secret_scan.secrets(odd).collect()} <= {4}
     assert secret_scan.secrets(odd.limit(0)).count() == 0
