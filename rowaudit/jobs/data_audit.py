@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import canonical
-from ..operators import alignment, audit, checksums, diff, fingerprint, key_search, numbering, summary, value_fit
+from ..operators import alignment, audit, causes, checksums, diff, fingerprint, kept_hashes, key_search, numbering, summary, value_fit
 from ..sources import tables
 from .registry import query
 
@@ -669,3 +669,54 @@ def minimal_keys(*tables_: DataFrame) -> DataFrame:
     for e in each[1:]:
         whole = whole.union(e)
     return whole
+
+
+def _cause(column: str, cause: str, detail: str, k: int, differs: str) -> str:
+    return f"select '{column}' as column_name, '{cause}' as cause, {detail} as detail, count(*) as n from timed where o_orderkey % 16 = {k} and {differs} group by 3"
+
+
+@query(
+    "column_causes", "orders_src",
+    "with timed as (select *, o_orderdate + interval 37815 second + interval 250 millisecond as d from orders_src) " + " union all ".join([
+        _cause("p", "case", "''", 0, "lower(o_orderpriority) <> o_orderpriority"), _cause("p", "padding", "''", 1, "true"), _cause("p", "truncated", "'4'", 2, "length(o_orderpriority) > 4"), _cause("x", "rounded", "'1'", 3, "round(o_totalprice, 1) <> o_totalprice and round(o_totalprice, 0) <> round(o_totalprice, 1)"),
+        _cause("x", "rounded", "'0'", 3, "round(o_totalprice, 1) <> o_totalprice and round(o_totalprice, 0) = round(o_totalprice, 1)"), _cause("d", "shifted", "'300 minutes'", 4, "true"), _cause("d", "time lost", "''", 5, "true"), _cause("p", "swapped", "'q'", 6, "true"), _cause("q", "swapped", "'p'", 6, "true"),
+        _cause("x", "nulled", "''", 7, "true"), _cause("x", "scaled", "'times 10^2'", 8, "o_totalprice <> 0"), _cause("x", "unexplained", "''", 9, "true"), _cause("d", "fraction lost", "''", 10, "true"), _cause("q", "encoding", "'replaced by ?'", 11, "true"), _cause("q", "encoding", "'UTF-8 read as ISO-8859-1'", 12, "true"),
+        _cause("x", "sign", "''", 13, "o_totalprice <> 0"), _cause("p", "filled", "''", 14, "true"),
+    ]),
+)
+def column_causes(orders: DataFrame) -> DataFrame:
+    """Orders against a target where each sixteenth of the keys was changed in a way of its own."""
+    k = F.col("o_orderkey") % 16
+    base = orders.select(
+        "o_orderkey", F.when(k != 14, F.col("o_orderpriority")).alias("p"), F.concat(F.lit("Zoë Ärger "), F.col("o_orderstatus")).alias("q"), F.col("o_totalprice").cast("decimal(22,2)").alias("x"),
+        (F.col("o_orderdate").cast("timestamp_ntz") + F.expr("interval 37815.25 seconds")).alias("d"),
+    )
+    p, q, x, d = (F.col(c) for c in "pqxd")
+    target = base.select(
+        "o_orderkey",
+        F.when(k == 0, F.lower(p)).when(k == 1, F.concat(F.lit("  "), p)).when(k == 2, F.left(p, F.lit(4))).when(k == 6, q).when(k == 14, "new").otherwise(p).alias("p"),
+        F.when(k == 6, p).when(k == 11, F.regexp_replace(q, "[^\\x00-\\x7F]", "?")).when(k == 12, F.decode(F.encode(q, "UTF-8"), "ISO-8859-1")).otherwise(q).alias("q"),
+        F.when(k == 3, F.round(x, 1)).when(k == 7, F.lit(None)).when(k == 8, x * 100).when(k == 9, x * 3 + 7).when(k == 13, -x).otherwise(x).cast("decimal(22,2)").alias("x"),
+        F.when(k == 4, d + F.expr("interval 5 hours")).when(k == 5, F.date_trunc("day", d).cast("timestamp_ntz")).when(k == 10, F.date_trunc("second", d).cast("timestamp_ntz")).otherwise(d).alias("d"),
+    )
+    return causes.column_causes(base, target, KEYS)
+
+
+@query(
+    "repeated_audit", "orders_src orders_tgt",
+    f"""with now as (select * replace (case when o_orderkey % 8 = 5 then cast(o_totalprice + 2 as decimal(18,2)) else o_totalprice end as o_totalprice) from orders_src where o_orderkey % 8 <> 3
+                     union all select * replace (o_orderkey + 20000000 as o_orderkey) from orders_src where o_orderkey % 8 = 1),
+        {_KEYED.replace("from orders_src)", "from now)", 1)} select category, count(*) as n from d group by category""",
+)
+def repeated_audit(source: DataFrame, target: DataFrame) -> DataFrame:
+    """Hashes kept from a first run, then a part of the files is gone, one part changed and one added; the difference after the second run."""
+    spark, schema = source.sparkSession, source.schema
+    path, state, part = tables.new_folder(spark, "files"), tables.new_folder(spark, "kept"), F.pmod(F.col("o_orderkey"), F.lit(8))
+    for k in range(8):
+        source.filter(part == k).write.parquet(f"{path}/p{k}")
+    kept_hashes.refreshed(spark, path, state, KEYS, schema=schema)
+    source.filter(part == 5).withColumn("o_totalprice", (F.col("o_totalprice") + 2).cast("decimal(18,2)")).write.mode("overwrite").parquet(f"{path}/p5")
+    source.filter(part == 1).withColumn("o_orderkey", F.col("o_orderkey") + 20_000_000).write.parquet(f"{path}/p8")
+    source.limit(0).write.mode("overwrite").parquet(f"{path}/p3")
+    kept = kept_hashes.refreshed(spark, path, state, KEYS, schema=schema)
+    return diff.paired_hashes(kept, fingerprint.fingerprint(target, KEYS), KEYS).groupBy("category").agg(F.count(F.lit(1)).alias("n"))

@@ -29,15 +29,23 @@ def keyed_diff(source: DataFrame, target: DataFrame, keys: list[str], **options)
     Only keys and hashes are shuffled, once a side; null keys pair with null keys. Keys should be unique (``duplicate_keys``).
     A key that is named like one of the three other columns gets an underscore before its name."""
 
+    source, target = comparable(source, target)
+    algorithm, columns = options.pop("algorithm", "SHA256"), options.pop("columns", None)
+    hashed = [df.select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keys)), hash_of(row_text(df, columns, **options), algorithm).alias("row_hash")) for df in (source, target)]
+    out = paired_hashes(*hashed, [f"k{i}" for i in range(len(keys))])
+    return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(fresh(["category", "source_hash", "target_hash"], *keys))), "category", "source_hash", "target_hash")
+
+
+def paired_hashes(source: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
+    """``keyed_diff`` of rows that are hashed already: keys and ``row_hash`` on both sides."""
+
     def side(df: DataFrame, key: str, hash_name: str, there: str) -> DataFrame:
-        return df.select(*(F.col(f"`{c}`").alias(f"{key}{i}") for i, c in enumerate(keys)), hash_of(row_text(df, columns, **options), algorithm).alias(hash_name), F.lit(True).alias(there))
+        return df.select(*(F.col(f"`{c}`").alias(f"{key}{i}") for i, c in enumerate(keys)), F.col("row_hash").alias(hash_name), F.lit(True).alias(there))
 
-    algorithm, columns = options.pop("algorithm", "SHA256"), options.pop("columns", None)
-    source, target = comparable(source, target)
-    both = side(source, "s", "source_hash", "in_source").join(side(target, "t", "target_hash", "in_target"), _all_equal([F.col(f"s{i}") for i in range(len(keys))], [F.col(f"t{i}") for i in range(len(keys))]), "full_outer")
+    n = range(len(keys))
+    both = side(source, "s", "source_hash", "in_source").join(side(target, "t", "target_hash", "in_target"), _all_equal([F.col(f"s{i}") for i in n], [F.col(f"t{i}") for i in n]), "full_outer")
     in_s, in_t = F.col("in_source").isNotNull(), F.col("in_target").isNotNull()
-    names = fresh(["category", "source_hash", "target_hash"], *keys)
-    return both.select(*(F.when(in_s, F.col(f"s{i}")).otherwise(F.col(f"t{i}")).alias(c) for i, c in enumerate(names)), category(F.col("source_hash"), F.col("target_hash"), in_s, in_t).alias("category"), "source_hash", "target_hash")
+    return both.select(*(F.when(in_s, F.col(f"s{i}")).otherwise(F.col(f"t{i}")).alias(c) for i, c in enumerate(keys)), category(F.col("source_hash"), F.col("target_hash"), in_s, in_t).alias("category"), "source_hash", "target_hash")
 
 
 @tidy
