@@ -19,8 +19,8 @@ from .token_counts import byte_symbols
 END = 256
 #: Passes of expectation and maximisation; counts are whole numbers of 1/UNIT; what is added to each piece's count.
 SWEEPS, UNIT, ADDED = 2, 1024, 0.1
-#: Words that are looked at together.
-GROUP = 50_000
+#: Words that are looked at together; scores of words that a task remembers at most.
+GROUP, REMEMBERED = 50_000, 2_000_000
 
 
 class Vocabulary:
@@ -135,6 +135,29 @@ def word_scores(vocabulary: Vocabulary, distinct: pa.Array, log_p: np.ndarray) -
     return out
 
 
+class _Remembered:
+    """Scores of the words that a task has met: each is spelled once, until there are too many to remember."""
+
+    def __init__(self, vocabulary: Vocabulary, log_p: np.ndarray) -> None:
+        self.vocabulary, self.log_p = vocabulary, log_p
+        self.most = max(GROUP, REMEMBERED // max(1, log_p.shape[1]))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.scores = np.zeros((0, self.log_p.shape[1]))
+
+    def of(self, distinct: list[str]) -> np.ndarray:
+        new = [w for w in distinct if w not in self.place]
+        if len(self.place) + len(new) > self.most:
+            self._forget()
+            new = distinct
+        if new:
+            self.scores = np.concatenate([self.scores, word_scores(self.vocabulary, pa.array(new, pa.string()), self.log_p)])
+            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
+        return self.scores[np.fromiter((self.place[w] for w in distinct), np.int64, len(distinct))]
+
+
 def expected_pieces(vocabulary: Vocabulary, distinct: pa.Array, lang: np.ndarray, n: np.ndarray, log_p: np.ndarray) -> np.ndarray:
     """How often each piece is expected in words that occur ``n`` times in a language, by piece and language, in whole 1/UNIT.
 
@@ -232,13 +255,14 @@ def predict(docs: DataFrame, model: Model, tokenizer: str, *, id_col: str = "doc
 
     A text's score under a language is the log of its prior and of all its words' probabilities, each over all
     segmentations into pieces. Ties fall to the first language in order. A null or empty text, one without a letter, or a
-    model without languages gives ``und`` and 0. Whole texts are read; a task spells each distinct word of some megabytes of
-    text once. Ids may be null or repeat; other columns are not read; an empty table gives an empty result."""
+    model without languages gives ``und`` and 0. Whole texts are read; a task spells each distinct word
+    once, as long as it remembers it (a bounded number). Ids may be null or repeat; other columns are not read; an empty table gives an empty result."""
     sc = docs.sparkSession.sparkContext
     held, vocabulary = sc.broadcast(model), sc.broadcast(Vocabulary(tokenizer))
 
     def told(batches):
         m, langs = held.value, np.array([*held.value.langs, UNKNOWN], object)
+        spelled = _Remembered(vocabulary.value, m.log_p)
         for b in words.slices(batches, size=4 << 20):
             flat, ends = letters(b.column("text"))
             at, distinct = words.numbered(flat)
@@ -247,7 +271,7 @@ def predict(docs: DataFrame, model: Model, tokenizer: str, *, id_col: str = "doc
                 none[:] = True
             total = np.tile(m.prior, (b.num_rows, 1))
             if m.langs and len(flat):
-                each = word_scores(vocabulary.value, distinct, m.log_p)
+                each = spelled.of(distinct.to_pylist())
                 full = np.flatnonzero(np.diff(ends))
                 total[full] += np.add.reduceat(each[at], ends[full], axis=0)
             best, score = np.full(b.num_rows, len(m.langs)), np.zeros(b.num_rows)

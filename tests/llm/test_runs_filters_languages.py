@@ -198,6 +198,16 @@ def test_expected_pieces_against_all_segmentations(vocabulary):
     assert np.abs(got - want).max() < 0.02
 
 
+def test_remembered_words_have_the_same_scores(vocabulary, monkeypatch):
+    log_p = np.log(np.random.default_rng(1).random((len(vocabulary.pieces), 2)) + 1e-3)
+    monkeypatch.setattr(language_id, "GROUP", 3)
+    monkeypatch.setattr(language_id, "REMEMBERED", 8)
+    spelled = language_id._Remembered(vocabulary, log_p)
+    for some in (["the", "a"], ["a", "zzzz", "ñandú"], ["hello"], ["the", "a", "hello", "straße", "的", "x"], [], ["x"]):
+        assert np.array_equal(spelled.of(some), language_id.word_scores(vocabulary, pa.array(some, pa.string()), log_p))
+        assert len(spelled.place) <= max(4, len(some))
+
+
 def test_long_words_do_not_underflow(vocabulary):
     log_p = np.full((len(vocabulary.pieces), 2), -math.log(len(vocabulary.pieces)))
     got = language_id.word_scores(vocabulary, pa.array(["qx" * 3000, "a"]), log_p)
