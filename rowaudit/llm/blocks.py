@@ -27,7 +27,7 @@ from . import words
 from .scratch import bucketed, written
 
 #: A block ends behind the text that brings it to so many bytes or distinct words; buckets of a block, and blocks that meet in a wider one.
-BLOCK_BYTES, BLOCK_WORDS, FAN = 12 << 20, 400_000, 64
+BLOCK_BYTES, BLOCK_WORDS, FAN = 12 << 20, 400_000, 256
 #: Parts that the blocks' texts are stored in at most.
 MOST_PARTS = 50_000
 #: The bucket of rows that hold a block's texts.
@@ -185,7 +185,7 @@ class Texts:
                 values = join([data for _, _, data in sorted(rows, key=lambda r: r[1])])
                 return [(block, None, take(values, own)) for block, own in at.items()]
 
-            answers = written(self._met(level, answers, F.col("bucket") % buckets, F.col("block"), spread), "lowered")
+            answers = self._met(level, answers, F.col("bucket") % buckets, F.col("block"), spread)
         return answers
 
     def raised(self, rows: DataFrame, add: Callable[[list[tuple[np.ndarray, bytes]], int], Callable[[int, int], bytes]]) -> DataFrame:
@@ -200,7 +200,7 @@ class Texts:
                 total = add([(at[block], data) for block, _, data in rows], int(stop[-1]) if len(stop) else 0)
                 return [(None, b, total(i, j)) for b, i, j in zip(cuts[0].tolist(), (stop - cuts[1]).astype(np.int64).tolist(), stop.tolist(), strict=True)]
 
-            rows = written(self._met(level, rows, F.col("bucket"), wide, gather), "raised")
+            rows = self._met(level, rows, F.col("bucket"), wide, gather)
         return rows
 
 

@@ -241,6 +241,7 @@ def class_scores(docs: DataFrame, held_out: F.Column, *, id_col: str = "doc_id",
         return table([3] * len(rest), [block[k] for k in rest], part.column("bucket")[0].as_py(), [blocks.squeezed(own[blocks.unsqueezed(data[k], np.uint32)[0]]) for k in rest])
 
     named = parts.lowered(written(per_bucket(lexicon.union(places), numbers, rows), "lm-numbers"), *_values(np.uint16))
+    named = written(named, "lm-named") if parts.levels else named  # it is read twice
 
     def bigrams(block: blocks.BlockTexts, answers: list[bytes]) -> pa.Table:
         (codes,) = _by_number(block, answers, np.uint16)
