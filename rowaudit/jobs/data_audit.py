@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import canonical
-from ..operators import alignment, audit, causes, checksums, diff, fingerprint, kept_hashes, key_search, numbering, summary, value_fit
+from ..operators import alignment, audit, causes, checksums, diff, fingerprint, kept_hashes, key_search, numbering, sketches, summary, value_fit
 from ..sources import tables
 from .registry import query
 
@@ -720,3 +720,32 @@ def repeated_audit(source: DataFrame, target: DataFrame) -> DataFrame:
     source.limit(0).write.mode("overwrite").parquet(f"{path}/p3")
     kept = kept_hashes.refreshed(spark, path, state, KEYS, schema=schema)
     return diff.paired_hashes(kept, fingerprint.fingerprint(target, KEYS), KEYS).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _parts_sketched(orders: DataFrame) -> DataFrame:
+    """Sketches of five parts of a table, merged."""
+    parts = [sketches.column_sketches(orders.filter(F.pmod(F.hash("o_orderkey"), F.lit(5)) == k)) for k in range(5)]
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.union(p)
+    return sketches.merged(whole)
+
+
+@query(
+    "column_sketches", "orders_src",
+    " union all ".join(f"select '{c}' as column_name, count(*) as n_rows, count(*) - count({c}) as n_null, true as distinct_close, {m} as median_close from orders_src" for c, m in {"o_custkey": "true", "o_orderdate": "true", "o_orderkey": "true", "o_orderpriority": "null", "o_orderstatus": "null", "o_totalprice": "true"}.items()),
+)
+def column_sketches(orders: DataFrame) -> DataFrame:
+    """Merged sketches of all columns against exact counts and ranks: 5 % of the distinct values, 5 % of the rows around the middle."""
+    told = tables.written(sketches.estimates(_parts_sketched(orders)).select("column_name", "n_rows", "n_null", "n_distinct", F.col("values_at")[2].alias("median")), "sketched")
+    exact = summary.column_stats(orders).select("column_name", F.col("n_distinct").alias("exact"))
+    middle = {r["column_name"]: r["median"] for r in told.collect()}  # a row for each column
+    line = {c: F.unix_micros(F.col(c).cast("timestamp")) / 1_000_000 if c == "o_orderdate" else F.col(c).cast("double") for c, m in middle.items() if m is not None}
+    ranks = orders.agg(F.array(*(F.struct(F.lit(c).alias("column_name"), ((F.count_if(x < middle[c]) <= 0.55 * F.count(x)) & (F.count_if(x <= middle[c]) >= 0.45 * F.count(x))).alias("median_close")) for c, x in line.items())).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+    return told.join(exact, "column_name").join(ranks, "column_name", "left").select("column_name", "n_rows", "n_null", (F.abs(F.col("n_distinct") - F.col("exact")) <= 0.05 * F.col("exact")).alias("distinct_close"), "median_close")
+
+
+@query("order_keys_by_sketches", "orders_src", "select column_name, cast(row_number() over (order by place) as int) as place from (values ('o_orderdate', 1), ('o_orderkey', 2), ('o_totalprice', 3), ('o_custkey', 4)) as t(column_name, place) where exists (select 1 from orders_src)")
+def order_keys_by_sketches(orders: DataFrame) -> DataFrame:
+    """The columns to order a table by, ranked from its sketches."""
+    return summary.order_keys_by_stats(sketches.as_statistics(_parts_sketched(orders), "S", "ORDERS", KEYS), target=4).select("column_name", "place")

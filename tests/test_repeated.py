@@ -71,3 +71,20 @@ def test_causes_of_odd_rows(spark):
 def test_keys_named_like_the_numbers_of_keys(spark):
     df = spark.createDataFrame([(1, 2, "a")], "k1 int, k0 int, v string")
     assert [tuple(r)[:3] for r in diff.keyed_diff(df, df, ["k1", "k0"]).collect()] == [(1, 2, "matching")]
+
+
+def test_sketches_merge_within_their_error(spark):
+    from rowaudit.operators import sketches
+
+    df = spark.range(40_000).selectExpr("id as k", "id % 7000 as a", "cast(if(id % 4 = 0, null, id % 11) as string) as v", "cast(null as double) as nothing", "timestamp_seconds(id) as t", "array(id) as many")
+    whole = {r["column_name"]: r for r in sketches.estimates(sketches.column_sketches(df)).collect()}
+    parts = [sketches.column_sketches(df.filter(f"k between {lo} and {hi}")) for lo, hi in ((0, 9_999), (10_000, 39_999), (50_000, 60_000))]
+    both = {r["column_name"]: r for r in sketches.estimates(sketches.merged(parts[0].union(parts[1]).union(parts[2]))).collect()}
+    for got in (whole, both):
+        assert set(got) == {"k", "a", "v", "nothing", "t"}
+        assert abs(got["k"]["n_distinct"] - 40_000) < 2000 and abs(got["a"]["n_distinct"] - 7000) < 350
+        assert (got["v"]["n_rows"], got["v"]["n_null"], got["v"]["n_distinct"], got["v"]["values_at"]) == (40_000, 10_000, 11, None)
+        assert (got["nothing"]["n_null"], got["nothing"]["n_distinct"], got["nothing"]["values_at"]) == (40_000, 0, None)
+        assert all(abs(x - share * 40_000) < 2000 for x, share in zip(got["k"]["values_at"], (0.01, 0.25, 0.5, 0.75, 0.99), strict=True))
+        assert abs(got["t"]["values_at"][2] - 20_000) < 2000
+    assert {r["n_rows"] for r in sketches.column_sketches(df.limit(0)).collect()} == {0}
