@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -491,6 +490,7 @@ _FOUR = "orders_src orders_tgt lineitem_src lineitem_tgt"
 
 
 @query("audit_pairs", _FOUR, f"with {_MANY} select schema_name, table_name, object_type, compared_by, {_LONGS}, error from many")
+@tables.tidy
 def audit_pairs(*sides: DataFrame) -> DataFrame:
     return audit.audit_pairs(sides[0].sparkSession, _pairs(*sides))
 
@@ -500,6 +500,7 @@ def audit_pairs(*sides: DataFrame) -> DataFrame:
     f"""with {_MANY} select count(*) filter (object_type = 'Table') as tables, count(*) filter (object_type = 'View') as views, count(*) as objects, count(*) filter (error is null and mismatched + missing + extra = 0) as passed,
             count(*) filter (error is null and mismatched + missing + extra > 0) as failed, count(error) as errors, {", ".join(f"cast(sum({c}) as bigint) as {c}" for c in audit.TOTALS)}, cast(sum(matching) as double) * 100.0 / cast(sum(source_rows) as double) as match_percent from many""",
 )
+@tables.tidy
 def audit_pairs_summary(*sides: DataFrame) -> DataFrame:
     return summary.executive_summary(audit.audit_pairs(sides[0].sparkSession, _pairs(*sides)))
 
@@ -516,6 +517,7 @@ def _drilled(schema: str, table: str) -> str:
         union all select 'S3', 'LINES_BY_KEY', side, cast(l_orderkey as varchar) || '|' || cast(l_linenumber as varchar) from lk, sides
         where (side = 'missing' and t = 0 or side = 'extra' and s = 0 or side = 'duplicate' and greatest(s, t) > 1) and (select count(*) from lineitem_src) <> (select count(*) from lineitem_tgt)""",
 )
+@tables.tidy
 def count_drill_down(*sides: DataFrame) -> DataFrame:
     """From counts that differ to the keys behind them; equal counts, other key lists and tables that can't be counted are left alone."""
     return audit.count_drill_down(sides[0].sparkSession, _pairs(*sides))[1]
@@ -533,6 +535,7 @@ def count_drill_down(*sides: DataFrame) -> DataFrame:
         r as (select *, cast(row_number() over (partition by schema_name, table_name, category order by key_text) as int) as rank from e)
         select schema_name, table_name, category, rank, key_text from r where rank <= 5""",
 )
+@tables.tidy
 def pair_samples(*sides: DataFrame) -> DataFrame:
     """The first differences of every pair that has keys; those that can't be read are left out."""
     return audit.pair_samples(sides[0].sparkSession, _pairs(*sides))
@@ -564,15 +567,17 @@ def _estate(source: DataFrame, target: DataFrame) -> list[audit.Pair]:
         select 'S' || cast(k % 7 as varchar) as schema_name, 'T' || cast(k as varchar) as table_name, 'Table' as object_type, case when not gone then 'keys' end as compared_by,
                {", ".join(f"cast(case when gone then 0 else {c} end as bigint) as {c}" for c in audit.TOTALS)}, cast(0 as bigint) as duplicate_keys, case when gone then 'PATH_NOT_FOUND' end as error from e""",
 )
+@tables.tidy
 def audit_estate(source: DataFrame, target: DataFrame) -> DataFrame:
     """Two hundred pairs in one job; a table that one side lacks is a row with its error."""
     return audit.audit_pairs(source.sparkSession, _estate(source, target))
 
 
 @query("read_pair_diff", "orders_src orders_tgt", f"with {_KEYED} select category, count(*) as n from d group by 1")
+@tables.tidy
 def read_pair_diff(source: DataFrame, target: DataFrame) -> DataFrame:
     """Both sides as files of two formats, read as a pair and compared by key."""
-    paths = [f"{tables.shared_dir(source.sparkSession)}/pair-{uuid.uuid4().hex}" for _ in range(2)]
+    paths = [tables.new_folder(source.sparkSession, "pair") for _ in range(2)]
     source.write.parquet(paths[0])
     target.write.orc(paths[1])
     pair = tables.read_pair(source.sparkSession, {"path": paths[0]}, {"format": "orc", "path": paths[1]})
@@ -708,6 +713,7 @@ def column_causes(orders: DataFrame) -> DataFrame:
                      union all select * replace (o_orderkey + 20000000 as o_orderkey) from orders_src where o_orderkey % 8 = 1),
         {_KEYED.replace("from orders_src)", "from now)", 1)} select category, count(*) as n from d group by category""",
 )
+@tables.tidy
 def repeated_audit(source: DataFrame, target: DataFrame) -> DataFrame:
     """Hashes kept from a first run, then a part of the files is gone, one part changed and one added; the difference after the second run."""
     spark, schema = source.sparkSession, source.schema
@@ -735,6 +741,7 @@ def _parts_sketched(orders: DataFrame) -> DataFrame:
     "column_sketches", "orders_src",
     " union all ".join(f"select '{c}' as column_name, count(*) as n_rows, count(*) - count({c}) as n_null, true as distinct_close, {m} as median_close from orders_src" for c, m in {"o_custkey": "true", "o_orderdate": "true", "o_orderkey": "true", "o_orderpriority": "null", "o_orderstatus": "null", "o_totalprice": "true"}.items()),
 )
+@tables.tidy
 def column_sketches(orders: DataFrame) -> DataFrame:
     """Merged sketches of all columns against exact counts and ranks: 5 % of the distinct values, 5 % of the rows around the middle."""
     told = tables.written(sketches.estimates(_parts_sketched(orders)).select("column_name", "n_rows", "n_null", "n_distinct", F.col("values_at")[2].alias("median")), "sketched")
