@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import canonical
-from ..operators import alignment, audit, causes, checksums, diff, fingerprint, kept_hashes, key_search, numbering, sketches, summary, value_fit
+from ..operators import alignment, audit, causes, checksums, diff, fingerprint, kept_hashes, key_search, numbering, sketches, summary, tolerance, value_fit
 from ..sources import tables
 from .registry import query
 
@@ -249,6 +249,46 @@ def query_pair_parity(source: DataFrame, target: DataFrame) -> DataFrame:
     return diff.query_parity(source, target)
 
 
+#: Prices drift within the tolerance, or beyond it; sorted copies of both sides are walked in step, the smaller one moves on.
+_DRIFT = "o_totalprice + case o_orderkey % 5 when 1 then 0.5 when 2 then -0.75 when 3 then 40 else 0 end"
+_NEAR = "greatest(1.0::double, 1e-5::double * greatest(abs({a}), abs({b})))"
+_TOLERANT = f"""
+    u as (select rtrim(o_orderpriority) || '|' || rtrim(o_orderstatus) as text, cast(o_totalprice as double) as v, 1 as s, 0 as t from orders_src
+          union all select rtrim(o_orderpriority) || '|' || rtrim(o_orderstatus), cast({_DRIFT} as double), 0, 1 from orders_tgt),
+    f as (select sha256(text) as h, v, cast(sum(s) as bigint) as n_source, cast(sum(t) as bigint) as n_target from u group by 1, 2),
+    l as (select h, v, n_source > n_target as s, row_number() over (partition by h, n_source > n_target order by v) as nth
+          from (select h, v, n_source, n_target, unnest(range(abs(n_source - n_target))) as copy from f) as x),
+    w as (select h, cast(1 as bigint) as i, cast(1 as bigint) as j, cast(null as double) as a, cast(null as double) as b from (select distinct h from l) as x
+          union all
+          select w.h, case when p.v <= q.v or {_NEAR.format(a="p.v", b="q.v")} >= abs(p.v - q.v) then i + 1 else i end, case when q.v < p.v or {_NEAR.format(a="p.v", b="q.v")} >= abs(p.v - q.v) then j + 1 else j end,
+                 case when {_NEAR.format(a="p.v", b="q.v")} >= abs(p.v - q.v) then p.v end, case when {_NEAR.format(a="p.v", b="q.v")} >= abs(p.v - q.v) then q.v end
+          from w join l as p on p.h = w.h and p.s and p.nth = i join l as q on q.h = w.h and not q.s and q.nth = j),
+    m as (select h, v, cast(count(*) as bigint) as within from (select h, a as v from w where a is not null union all select h, b from w where b is not null) as x group by h, v),
+    d as (select f.h as row_hash, f.v as value, n_source, n_target, least(n_source, n_target) as exact, coalesce(within, 0) as within,
+                 greatest(n_source - n_target - coalesce(within, 0), 0) as missing, greatest(n_target - n_source - coalesce(within, 0), 0) as extra
+          from f left join m on f.h = m.h and f.v = m.v)"""
+
+
+def _drifted(source: DataFrame, target: DataFrame) -> tuple[DataFrame, DataFrame]:
+    columns = ["o_orderpriority", "o_orderstatus", "o_totalprice"]
+    return source.select(columns), target.withColumn("o_totalprice", F.expr(_DRIFT)).select(columns)
+
+
+@query("tolerant_diff", "orders_src orders_tgt", f"select * from (with recursive {_TOLERANT} select * from d) as x")
+def tolerant_diff(source: DataFrame, target: DataFrame) -> DataFrame:
+    """Orders as a table without a key, whose prices may be off by 1 or a hundred-thousandth."""
+    return tolerance.tolerant_diff(*_drifted(source, target), "o_totalprice", absolute=1.0, relative=1e-5)
+
+
+@query(
+    "tolerant_parity", "orders_src orders_tgt",
+    f"""select * from (with recursive {_TOLERANT} select cast(sum(n_source) as bigint) as source_rows, cast(sum(n_target) as bigint) as target_rows, cast(sum(exact) as bigint) as exact,
+        cast(coalesce(sum(within) filter (n_source > n_target), 0) as bigint) as within, cast(sum(missing) as bigint) as missing, cast(sum(extra) as bigint) as extra, sum(missing) + sum(extra) = 0 as same from d) as x""",
+)
+def tolerant_parity(source: DataFrame, target: DataFrame) -> DataFrame:
+    return tolerance.tolerant_parity(*_drifted(source, target), "o_totalprice", absolute=1.0, relative=1e-5)
+
+
 _ORDERED = "order by l_orderkey nulls first, l_linenumber nulls first, l_partkey nulls first, h"
 
 
