@@ -68,8 +68,9 @@ def _paired(left: DataFrame, absolute: float, relative: float, partitions: int)
     """``row_hash``, ``value``, ``paired`` copies of the rows ``(row_hash, value, n)``.
 
     They are dealt by ranges of both, so a large group spreads. A range is swept as if nothing waited before it; where
-    something does, the next range is swept again with it, until no range hears anything new. What waits seldom reaches far
-    into a range, so two or three rounds are usual; at worst there are as many as ranges. The driver holds a digest a range."""
+    something does, the next range is swept again with it, until no range hears anything new. What waits changes what comes
+    after it only as far as the sweep doesn't fall back in step; at worst there are as many rounds as ranges. The driver
+    holds a digest a range."""
     spark = left.sparkSession
     dealt = left.repartitionByRange(partitions, "row_hash", "value").sortWithinPartitions("row_hash", "value").withColumn("of_range", F.shiftright(F.monotonically_increasing_id(), _WITHIN))
     dealt = written(dealt, "ranges")
