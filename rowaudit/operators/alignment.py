@@ -87,7 +87,7 @@ def _chain(anchors: DataFrame) -> DataFrame:
     rows where nothing moved, and keeps the heaviest chain of them. Then blocks are joined, some at a time, and their
     stretches thinned to a chain again, until one is left. With one block of anchors the chain is the longest there is; with
     more, it is a chain of the blocks' chains, which may be a little shorter: then more rows count as moved, none wrongly as equal."""
-    both = written(numbered(numbered(anchors, [F.col("s")], into="a"), [F.col("t")], into="b").withColumn("block", F.floor(F.col("a") / BLOCK)), "anchors")
+    both = written(numbered(numbered(anchors, ["s"], into="a", staged=True), ["t"], into="b").withColumn("block", F.floor(F.col("a") / BLOCK)), "anchors")
     blocks = (both.agg(F.max("block")).first()[0] or 0) + 1
     segments = written(both.groupBy("block").applyInArrow(_segments, _SEGMENT), "segments")
     width = 1
@@ -151,7 +151,7 @@ def aligned_diff(source: DataFrame, target: DataFrame, order: list[str], *, colu
     def side(df: DataFrame) -> DataFrame:
         text = row_text(df, columns, **{"safe": True, **options})
         hashed = df.select(*(F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate(order)), F.xxhash64(F.lit(1), text).alias("h1"), F.xxhash64(F.lit(2), text).alias("h2"))
-        return numbered(hashed, [F.col(f"o{i}") for i in range(len(order))] + [F.col("h1"), F.col("h2")], into="pos", keep=["h1", "h2"])
+        return numbered(hashed, [*(f"o{i}" for i in range(len(order))), "h1", "h2"], into="pos", keep=["h1", "h2"])
 
     s, t = side(source), side(target)
     n = max(s.count(), t.count())

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.canonical import comparable, row_text, text_of
 from ..functions.names import fresh
 from ..sources.tables import tidy, written
-from .fingerprint import fingerprint, hash_of, is_lob  # noqa: F401
+from .fingerprint import fingerprint, hash_of, is_lob, packed, unpacked  # noqa: F401
 from .numbering import numbered
 
 
@@ -48,21 +48,22 @@ def paired_hashes(source: DataFrame, target: DataFrame, keys: list[str]) -> Data
     return both.select(*(F.when(in_s, F.col(f"s{i}")).otherwise(F.col(f"t{i}")).alias(c) for i, c in enumerate(keys)), category(F.col("source_hash"), F.col("target_hash"), in_s, in_t).alias("category"), "source_hash", "target_hash")
 
 
-@tidy
 def positional_diff(source: DataFrame, target: DataFrame, order: list[str], *, aggressive: bool = False, **options) -> DataFrame:
     """Pairs row n with row n in the order of ``order``, then of the hash: ``row_id``, ``category`` and both hashes.
 
-    ``aggressive`` orders text by its trimmed upper case. Only the order and the hash are written and sorted."""
+    ``aggressive`` orders text by its trimmed upper case. Order and hash are sorted once, then only hashes, as bytes, are written,
+    with their places. The result joins these when it is read, and isn't written itself; so they stay as long as it."""
 
     def side(df: DataFrame, name: str) -> DataFrame:
         kinds = {c.lower(): k for c, k in df.dtypes}
         by = [F.upper(F.trim(F.col(f"`{c}`"))) if aggressive and kinds[c.lower()] == "string" else F.col(f"`{c}`") for c in order]
         hashed = fingerprint(df, columns=options.get("columns"), **{k: v for k, v in options.items() if k != "columns"}, also={f"o{i}": x for i, x in enumerate(by)})
-        return numbered(hashed, [*(F.col(f"o{i}") for i in range(len(order))), F.col("row_hash")], keep=["row_hash"]).withColumnRenamed("row_hash", name)
+        return numbered(hashed.withColumn("row_hash", packed("row_hash")), [*(f"o{i}" for i in range(len(order))), "row_hash"], keep=["row_hash"]).withColumnRenamed("row_hash", name)
 
     source, target = comparable(source, target)
     both = side(source, "source_hash").join(side(target, "target_hash"), "row_id", "full_outer")
-    return both.select("row_id", category(F.col("source_hash"), F.col("target_hash"), F.col("source_hash").isNotNull(), F.col("target_hash").isNotNull()).alias("category"), "source_hash", "target_hash")
+    told = category(F.col("source_hash"), F.col("target_hash"), F.col("source_hash").isNotNull(), F.col("target_hash").isNotNull())
+    return both.select("row_id", told.alias("category"), unpacked("source_hash").alias("source_hash"), unpacked("target_hash").alias("target_hash"))
 
 
 def multiset_diff(source: DataFrame, target: DataFrame, **options) -> DataFrame:
@@ -154,7 +155,7 @@ def positional_column_diff(source: DataFrame, target: DataFrame, order: list[str
     (place,) = fresh([*source.columns, *target.columns], "row_id")
 
     def side(df: DataFrame) -> DataFrame:
-        return numbered(df, [*(F.col(f"`{c}`") for c in order), hash_of(row_text(df))], into=place)
+        return numbered(df, [*order, packed(hash_of(row_text(df)))], into=place)
 
     source, target = comparable(source, target)
     return column_diff(side(source), side(target), [place], **options).withColumnRenamed(place, "row_id")

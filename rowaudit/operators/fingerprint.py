@@ -60,6 +60,15 @@ def hash_of(text: Column, algorithm: str = "SHA256") -> Column:
     return F.md5(text) if algorithm.upper() == "MD5" else F.sha2(text, 256)
 
 
+def packed(row_hash: Column | str) -> Column:
+    """A hexadecimal digest as its bytes: half as long, and in the same order."""
+    return F.unhex(row_hash)
+
+
+def unpacked(row_hash: Column | str) -> Column:
+    return F.lower(F.hex(row_hash))
+
+
 def fingerprint(df: DataFrame, keys: list[str] | None = None, *, algorithm: str = "SHA256", columns: list[str] | None = None, also: dict[str, Column] | None = None, **options) -> DataFrame:
     """The key columns, those of ``also``, and ``row_hash``. The projection sits right on the scan: wide rows go no further."""
     return df.select(*(keys or []), *(c.alias(n) for n, c in (also or {}).items()), hash_of(row_text(df, columns, **options), algorithm).alias("row_hash"))

@@ -12,21 +12,33 @@ from ..sources.tables import written
 _WITHIN = 33
 
 
-def numbered(df: DataFrame, order: list[Column], *, into: str = "row_id", keep: list[str] | None = None, partitions: int | None = None) -> DataFrame:
+def numbered(df: DataFrame, order: list[Column | str], *, into: str = "row_id", keep: list[str] | None = None, partitions: int | None = None, staged: bool = False) -> DataFrame:
     """``df``, or its columns ``keep``, with row numbers from 1 over ``order``; equal rows get numbers in any order. A column ``into`` is replaced.
 
-    Rows are written with their order first, so that sampling for the ranges doesn't compute them again. They are dealt by
-    ranges of the order, sorted once there and written with their place: the number of their range and that within it. Then
-    the order isn't needed any more. The sizes of the ranges (a row for each on the driver) give what stands before each.
-    A number of each row breaks ties, so equal rows spread over ranges like others. Sorting is never in one task."""
+    Rows are dealt by ranges of the order, sorted once there and written with their place: the number of their range and that
+    within it. Then the order isn't needed any more. The sizes of the ranges (a row for each on the driver) give what stands
+    before each. A number of each row breaks ties, so equal rows spread over ranges like others. Sorting is never in one task.
+
+    A row is shuffled once and written once; a name in ``order`` that is kept too isn't carried twice. Sampling for the ranges
+    computes ``df`` a second time: ``staged`` writes it first, for one that costs more than its rows do."""
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() != into.lower()]
     *names, tie, place, of_range, before = fresh([*df.columns, into], *(f"o{k}" for k in range(len(order))), "tie", "place", "of_range", "before")
-    base = written(df.select(*(F.col(f"`{c}`") for c in kept), *(o.alias(x) for o, x in zip(order, names, strict=True)), F.monotonically_increasing_id().alias(tie)), "rows")
-    by = [F.asc_nulls_first(x) for x in (*names, tie)]
+    there = {c.lower(): c for c in kept}
+    by, extra = [], []
+    for o, x in zip(order, names, strict=True):
+        if isinstance(o, str) and o.lower() in there:
+            by.append(there[o.lower()])
+        else:
+            by.append(x)
+            extra.append((F.col(f"`{o}`") if isinstance(o, str) else o).alias(x))
+    base = df.select(*(F.col(f"`{c}`") for c in kept), *extra, F.monotonically_increasing_id().alias(tie))
+    if staged:
+        base = written(base, "rows")
+    by = [F.asc_nulls_first(F.col(f"`{x}`")) for x in (*by, tie)]
     sorted_ = base.repartitionByRange(n, *by).sortWithinPartitions(*by).select(*(F.col(f"`{c}`") for c in kept), F.monotonically_increasing_id().alias(place))
-    dealt = written(sorted_, "ranges").withColumn(of_range, F.shiftright(place, _WITHIN))
+    dealt = written(sorted_, "ranges", compression="zstd").withColumn(of_range, F.shiftright(place, _WITHIN))
     upto, starts = 0, []
     for k, size in sorted((r[0], r[1]) for r in dealt.groupBy(of_range).count().collect()):
         starts.append((k, upto))
