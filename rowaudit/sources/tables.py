@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,6 +70,22 @@ def _delete(spark: SparkSession, paths: list[str]) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextlib.contextmanager
+def attempt(spark: SparkSession) -> Iterator[Callable[[], None]]:
+    """The folders written within go at its end, unless the function that it gives is called: then the surroundings have them."""
+    mine: list[str] = []
+    kept = []
+    before = _OPEN.set((*_OPEN.get(), mine))
+    try:
+        yield lambda: kept.append(True)
+    finally:
+        _OPEN.reset(before)
+        if not kept:
+            _delete(spark, mine)
+        elif _OPEN.get():
+            _OPEN.get()[-1].extend(mine)
+
+
 def tidy(f: Callable) -> Callable:
     """The folders that ``f`` writes go when it returns or fails; a DataFrame that it returns, alone or in a tuple, is
     written first, and stays until the shared folder is cleared or the ``tidy`` function around it returns."""

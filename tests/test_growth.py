@@ -20,3 +20,19 @@ def test_a_positional_difference_writes_each_hash_once(spark, monkeypatch):
     assert taken == [("ranges", {"row_hash": "binary", "place": "bigint"})] * 2
     want = sorted((r.k, r.row_hash) for r in fingerprint.fingerprint(s, ["k"]).collect())
     assert [r.source_hash for r in d.orderBy("row_id").collect()] == [h for _, h in want]
+
+
+def test_a_retry_that_can_only_end_last_sorts_once(spark, monkeypatch):
+    sorts = []
+    monkeypatch.setattr(diff, "numbered", lambda df, order, **kw: (sorts.append(len(order)), numbering.numbered(df, order, **kw))[1])
+    s = spark.range(60).selectExpr("id % 2 as a", "id % 5 as b", "id as c", "'x' as v")
+    t = s.withColumn("v", F.when(F.col("c") == 7, "y").otherwise("x"))
+    d, used = diff.diff_with_retry(s, t, ["a"], ["b", "c"], steps=(0, 1, 2))
+    assert (used, sorts) == (2, [4, 4])
+    assert {r[0]: r[1] for r in d.groupBy("category").count().collect()} == {"matching": 59, "mismatched": 1}
+    same, used = diff.diff_with_retry(s, s.orderBy("c"), ["a"], ["b", "c"], steps=(0, 1, 2))
+    assert used == 0
+    assert same.filter("category <> 'matching'").isEmpty()
+    fewer, used = diff.diff_with_retry(s, t.filter("c <> 9"), ["a"], ["b", "c"], steps=(0, 1, 2))
+    assert used == 0
+    assert fewer.count() == 60
