@@ -295,7 +295,8 @@ _ORDERED = "order by l_orderkey nulls first, l_linenumber nulls first, l_partkey
 @query("canonical_row_number", "lineitem_src", f"select row_number() over ({_ORDERED}) as row_id, l_orderkey, l_linenumber, l_partkey, h as row_hash from (select *, sha256({LINE_TEXT}) as h from lineitem_src) as x")
 def canonical_row_number(lines: DataFrame) -> DataFrame:
     order = ["l_orderkey", "l_linenumber", "l_partkey"]
-    return numbering.numbered(fingerprint.fingerprint(lines, order), [F.col(c) for c in [*order, "row_hash"]])
+    hashed = fingerprint.fingerprint(lines, order).withColumn("row_hash", fingerprint.packed("row_hash"))
+    return numbering.numbered(hashed, [*order, "row_hash"]).withColumn("row_hash", fingerprint.unpacked("row_hash"))
 
 
 def _positional(src: str, tgt: str, text: str, by: str) -> str:

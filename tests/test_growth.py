@@ -36,3 +36,12 @@ def test_a_retry_that_can_only_end_last_sorts_once(spark, monkeypatch):
     fewer, used = diff.diff_with_retry(s, t.filter("c <> 9"), ["a"], ["b", "c"], steps=(0, 1, 2))
     assert used == 0
     assert fewer.count() == 60
+
+
+def test_numbered_rows_carry_no_column_twice(spark, sf, monkeypatch):
+    from rowaudit import jobs
+
+    taken = []
+    _noted(monkeypatch, numbering, taken)
+    jobs.QUERIES["canonical_row_number"](spark, sf)
+    assert taken == [("ranges", {"l_orderkey": "bigint", "l_linenumber": "int", "l_partkey": "bigint", "row_hash": "binary", "place": "bigint"})]
