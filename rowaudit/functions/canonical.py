@@ -204,9 +204,23 @@ def row_text(df: DataFrame, columns: list[str] | None = None, *, safe: bool = Fa
 
 
 def parse_timestamp(c: Column) -> Column:
-    """A timestamp from text in one of the known formats, or null."""
-    out = [F.try_to_timestamp(_month_case(c), F.lit(f)) for f in CLOCK_STYLE]
-    return F.coalesce(*out, *(F.try_to_timestamp(c, F.lit(f)) for f in ISO_STYLE)).cast("timestamp_ntz")
+    """A timestamp from text in one of the known formats, or null.
+
+    A format that fails costs far more than one that fits, so each is tried only on text of its outline: white space, points,
+    colons and digits of the fraction are where it has them."""
+    clock, iso = F.rtrim(c).rlike(r"^\S+-\S+-\S+\s+\S+\.\S+\s+\S+$"), c.rlike(r"^\s*\S+-\S+-\S+(\s+\S+)?\s*$")
+    cased = _month_case(c)
+    long_year = c.rlike(r"^\s*\S+-\S+-\S{3,}\s")
+    fraction = F.length(F.regexp_extract(c, r"\S[.:]\S+[.:]\S+\.(\d+)(\s|$)", 1))
+    colons = F.length(F.regexp_replace(c, "[^:]", ""))
+
+    def tried(text: Column, form: str) -> Column:
+        digits = form.count("S")
+        return F.when(fraction == digits if digits else fraction == 0, F.try_to_timestamp(text, F.lit(form)))
+
+    by_clock = [F.when(long_year if "yyyy" in f else ~long_year, tried(cased, f)) for f in CLOCK_STYLE]
+    by_iso = [F.when(colons == f.count(":"), tried(c, f)) for f in ISO_STYLE]
+    return F.when(clock, F.coalesce(*by_clock)).when(iso, F.coalesce(*by_iso)).cast("timestamp_ntz")
 
 
 def _month_case(c: Column) -> Column:

@@ -45,3 +45,13 @@ def test_numbered_rows_carry_no_column_twice(spark, sf, monkeypatch):
     _noted(monkeypatch, numbering, taken)
     jobs.QUERIES["canonical_row_number"](spark, sf)
     assert taken == [("ranges", {"l_orderkey": "bigint", "l_linenumber": "int", "l_partkey": "bigint", "row_hash": "binary", "place": "bigint"})]
+
+
+def test_a_text_is_parsed_by_the_format_of_its_outline_only(spark, monkeypatch):
+    from rowaudit.functions import canonical
+
+    fits = {"05-MAR-2024 01.05.09.000 PM": "d-MMM-yyyy h.mm.ss.SSS a", "2024-03-05 13:05:09.000000": "yyyy-MM-dd HH:mm:ss.SSSSSS", "2024-03-05": "yyyy-MM-dd", "not a time": None, "5-MAR-24 1.05.09 am": "d-MMM-yy h.mm.ss a"}
+    monkeypatch.setattr(canonical.F, "try_to_timestamp", lambda text, form: F.lit("2024-03-05 00:00:00").cast("timestamp") + F.when(F.col("form").eqNullSafe(form), F.expr("interval 0 hours")).otherwise(F.raise_error(F.lit("tried in vain")).cast("interval day to second")))
+    df = spark.createDataFrame(list(fits.items()), "x string, form string")
+    got = {r["x"]: r["at"] for r in df.select("x", canonical.parse_timestamp(F.col("x")).alias("at")).collect()}
+    assert {x for x, at in got.items() if at is None} == {"not a time"}
