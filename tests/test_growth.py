@@ -55,3 +55,16 @@ def test_a_text_is_parsed_by_the_format_of_its_outline_only(spark, monkeypatch):
     df = spark.createDataFrame(list(fits.items()), "x string, form string")
     got = {r["x"]: r["at"] for r in df.select("x", canonical.parse_timestamp(F.col("x")).alias("at")).collect()}
     assert {x for x, at in got.items() if at is None} == {"not a time"}
+
+
+def test_sets_that_repeat_often_are_never_counted_whole(spark, monkeypatch):
+    from rowaudit.operators import key_search
+
+    whole = []
+    real = key_search.F.pmod
+    array = key_search.F.array
+    monkeypatch.setattr(key_search.F, "array", lambda *sets: (whole.append(len(sets)), array(*sets))[1])
+    monkeypatch.setattr(key_search.F, "pmod", lambda *a: (whole.append("slice"), real(*a))[1])
+    df = spark.range(20000).selectExpr("id as k", "cast(id * 0.97 as int) as near", "id % 2 as two")
+    assert {r["columns"] for r in key_search.minimal_keys(df).collect()} == {"k", "near,two"}
+    assert whole == [2, "slice", 1, 1, "slice", 1]
