@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,12 +43,14 @@ class Pair:
 
 @dataclass(frozen=True)
 class _Open:
-    """A pair whose sides could be opened; ``number`` is its place in the list."""
+    """A pair whose sides could be opened; ``number`` is its place in the list. ``equal`` says that both sides have the same rows:
+    then one side tells all."""
 
     number: int
     source: DataFrame
     target: DataFrame
     keys: tuple[str, ...]
+    equal: bool = False
 
 
 def _opened(number: int, pair: Pair) -> _Open | str:
@@ -75,9 +77,10 @@ def _two(name: str, into: str) -> list[Column]:
     return [F.xxhash64(F.lit(k), F.col(name)).alias(f"{into}{k}") for k in (1, 2)]
 
 
-def _tagged(opened: list[_Open]) -> DataFrame:
-    """Both sides of all pairs as one stream: the pair's number, whether it has no key (``as_rows``), a 1 for the side that a row
-    is of in ``s`` or ``t``, the hashes ``k1, k2`` of its key, or of the row if it has none, ``h1, h2`` of the row, and the key's text.
+def _tagged(opened: list[_Open], *, whole: bool = False) -> DataFrame:
+    """Both sides of all pairs (of one that is equal, the source's only) as one stream: the pair's number, whether it has no key
+    (``as_rows``), a 1 for the side that a row is of in ``s`` or ``t``, the hashes ``k1, k2`` of its key, or of the row if it has none,
+    ``h1, h2`` of the row, and the key's text. Where ``h1, h2`` tell nothing more they are 0, if not ``whole``.
 
     Tables of the same columns and keys are put together first and hashed by one projection. It reads the partition's number,
     which keeps it above the union: below it, code would be made and compiled for each table. Tables small and large share
@@ -85,21 +88,31 @@ def _tagged(opened: list[_Open]) -> DataFrame:
     are spread over all."""
     alike: dict[tuple, list[DataFrame]] = {}
     for p in opened:
-        for s, df in ((1, p.source), (0, p.target)):
+        for s, df in ((1, p.source), (0, p.target))[: 1 if p.equal else 2]:
             fields = sorted(df.schema.fields, key=lambda f: f.name.lower())
             at = [f.name.lower() for f in fields]
-            kind = (tuple((n, f.dataType) for n, f in zip(at, fields, strict=True)), tuple(at.index(k.lower()) for k in p.keys))
+            kind = (tuple((n, f.dataType) for n, f in zip(at, fields, strict=True)), tuple(at.index(k.lower()) for k in p.keys), p.equal)
             quoted = (f.name.replace("`", "``") for f in fields)
             alike.setdefault(kind, []).append(df.selectExpr(f"{p.number} as pair", f"{s}L as s", *(f"`{c}` as c{i}" for i, c in enumerate(quoted))))
     streams = []
-    for (fields, keys), frames in alike.items():
+    for (fields, keys, equal), frames in alike.items():
         n = range(len(fields))
         texts = stacked(frames).select(F.when(F.spark_partition_id() >= 0, F.col("pair")).alias("pair"), "s", *(text_of(f"c{i}", fields[i][1]).alias(f"c{i}") for i in n))
         framed = texts.select("pair", "s", _framed([F.col(f"c{i}") for i in n]).alias("row"), *([_framed([F.col(f"c{i}") for i in keys]).alias("key")] if keys else []), F.concat_ws("|", *(F.col(f"c{i}") for i in keys)).alias("key_text"))
-        streams.append(framed.select("pair", F.lit(not keys).alias("as_rows"), "s", (1 - F.col("s")).alias("t"), *_two("key" if keys else "row", "k"), *_two("row", "h"), "key_text"))
+        h = _two("row", "h") if whole or keys and not equal else [F.lit(0).cast("long").alias(f"h{k}") for k in (1, 2)]
+        streams.append(framed.select("pair", F.lit(not keys).alias("as_rows"), "s", (1 - F.col("s")).alias("t"), *_two("key" if keys else "row", "k"), *h, "key_text"))
     return stacked(streams)
 
 
+def _equal(opened: list[_Open]) -> dict[int, _Open]:
+    """The pairs by number, and whether both sides have the same rows: as many, with the same sums of hashes. All pairs are read in
+    one job, which shuffles two rows of each task and pair; so a pair that can't be read is found before any of its rows moves."""
+    halves = [half for h in ("h1", "h2") for half in (F.shiftright(h, 32), F.shiftright(F.shiftleft(h, 32), 32))]
+    sums = _tagged(opened, whole=True).groupBy("pair", "s").agg(F.count(F.lit(1)), F.bit_xor("h1"), F.bit_xor("h2"), *(F.try_sum(x).alias(f"sum{i}") for i, x in enumerate(halves)))
+    sides = {(r["pair"], r["s"]): tuple(r)[2:] for r in sums.collect()}  # two rows for each pair
+    return {p.number: replace(p, equal=sides.get((p.number, 1)) == sides.get((p.number, 0))) for p in opened}
+
+
 def _compared(opened: list[_Open]) -> dict[int, tuple]:
     """By pair the totals and how many keys occur twice on a side: all pairs in one job.
 
@@ -116,7 +129,12 @@ def _compared(opened: list[_Open]) -> dict[int, tuple]:
         (n(rows & (s > t), s - t) + n(~rows & (t == 0), s)).alias("missing"), (n(rows & (t > s), t - s) + n(~rows & (s == 0), t)).alias("extra"), n(~rows & (F.greatest("s", "t") > 1), one).alias("duplicate_keys"),
     )
     found = {r["pair"]: tuple(r)[1:] for r in out.collect()}  # a row for each pair
-    return {p.number: found.get(p.number, (0,) * 7) for p in opened}
+    return {p.number: _both(found.get(p.number, (0,) * 7)) if p.equal else found.get(p.number, (0,) * 7) for p in opened}
+
+
+def _both(one: tuple) -> tuple:
+    """Totals of a pair with the same rows on both sides from those of its source alone."""
+    return (one[0], one[0], one[0], 0, 0, 0, one[-1])
 
 
 def audit_pairs(spark: SparkSession, pairs: Iterable[Pair]) -> DataFrame:
@@ -124,20 +142,26 @@ def audit_pairs(spark: SparkSession, pairs: Iterable[Pair]) -> DataFrame:
     side, and ``error``, the reason why it couldn't be read or compared (its totals are 0 then).
 
     1. Each pair's sides are opened alone: a missing path, driver, key or column, or a callback that raises, is its error.
-    2. All pairs that are left are compared in one job. If it fails on rows (a broken file, a lost connection), it is done
-       again by halves until the pairs that fail stand alone.
-    3. Pairs with keys that occur twice are compared once more, all in one job, as multisets of rows.
+    2. One job reads all pairs that are left, for sums of their hashes. If it fails on rows (a broken file, a lost connection), it
+       is done again by halves until the pairs that fail stand alone. Rows aren't shuffled yet.
+    3. All pairs that could be read are compared in one job; of pairs whose sums are equal, only one side's keys, for those that repeat.
+    4. Pairs with keys that occur twice are compared once more, all in one job, as multisets of rows.
 
     So the number of jobs doesn't grow with the number of pairs, and the driver gets a row for each. No pairs give no rows."""
     pairs = list(pairs)
     tried = [_opened(k, p) for k, p in enumerate(pairs)]
     errors = {k: x for k, x in enumerate(tried) if isinstance(x, str)}
     opened = [x for x in tried if isinstance(x, _Open)]
+    readable, broken = together(_equal, opened)
+    errors |= {opened[k].number: why for k, why in broken.items()}
+    opened = list(readable.values())
     found, failed = together(_compared, opened)
-    twice = [_Open(p.number, p.source, p.target, ()) for p in opened if found.get(p.number, (0,) * 7)[-1]]
-    again, too = together(_compared, twice)
+    again = {p.number: found[p.number] for p in opened if p.equal and p.number in found}
+    twice = [_Open(p.number, p.source, p.target, ()) for p in opened if not p.equal and found.get(p.number, (0,) * 7)[-1]]
+    more, too = together(_compared, twice)
+    again |= more
     errors |= {opened[k].number: why for k, why in failed.items()} | {twice[k].number: why for k, why in too.items()}
-    keyed = {p.number for p in opened if p.keys} - {p.number for p in twice}
+    keyed = {p.number for p in opened if p.keys and not found.get(p.number, (0,) * 7)[-1]}
     rows = []
     for k, p in enumerate(pairs):
         *totals, duplicates = (0,) * 7 if k in errors else (*again[k][:6], found[k][6]) if k in again else found[k]
@@ -184,9 +208,11 @@ def count_drill_down(spark: SparkSession, pairs: Iterable[Pair]) -> tuple[DataFr
 @tidy
 def pair_samples(spark: SparkSession, pairs: Iterable[Pair], n: int = 5) -> DataFrame:
     """For each pair that is compared by keys, the first ``n`` keys, by text, of each kind of difference: ``(schema_name, table_name,
-    category, rank, key_text)``; all pairs in one job. Keys that occur twice on a side are in no category."""
+    category, rank, key_text)``; all pairs in one job, after one that finds those that can't be read or have the same rows on both
+    sides (``audit_pairs``). Keys that occur twice on a side are in no category."""
     pairs = list(pairs)
-    opened = [x for k, p in enumerate(pairs) if p.keyed() and isinstance(x := _opened(k, p), _Open)]
+    readable, _ = together(_equal, [x for k, p in enumerate(pairs) if p.keyed() and isinstance(x := _opened(k, p), _Open)])
+    opened = [p for p in readable.values() if not p.equal]
 
     def first(some: list[_Open]) -> DataFrame:
         both = _tagged(some).groupBy("pair", "k1", "k2", "key_text")

@@ -68,3 +68,29 @@ def test_sets_that_repeat_often_are_never_counted_whole(spark, monkeypatch):
     df = spark.range(20000).selectExpr("id as k", "cast(id * 0.97 as int) as near", "id % 2 as two")
     assert {r["columns"] for r in key_search.minimal_keys(df).collect()} == {"k", "near,two"}
     assert whole == [2, "slice", 1, 1, "slice", 1]
+
+
+def test_rows_move_only_of_pairs_that_can_be_read(spark, monkeypatch, tmp_path):
+    from rowaudit.operators import audit
+
+    moved, real = [], audit._compared
+    monkeypatch.setattr(audit, "_compared", lambda some: (moved.append([(p.number, p.equal) for p in some]), real(some))[1])
+    s = spark.range(40).selectExpr("id as k", "id % 3 as v")
+    s.limit(1).selectExpr("'no Parquet'").write.text(str(tmp_path / "broken"))
+    broken = lambda: spark.read.schema(s.schema).parquet(str(tmp_path / "broken"))
+    pairs = [audit.Pair("s", "same", lambda: s, lambda: s, ("k",)), audit.Pair("s", "broken", lambda: s, broken, ("k",)), audit.Pair("s", "off", lambda: s, lambda: s.filter("k <> 4"), ("k",)), audit.Pair("s", "twice", lambda: s.union(s), lambda: s.union(s), ("k",))]
+    got = {r["table_name"]: (r["compared_by"], *tuple(r)[4:11]) for r in audit.audit_pairs(spark, pairs).collect()}
+    assert moved == [[(0, True), (2, False), (3, True)], []] or moved == [[(0, True), (2, False), (3, True)]]
+    assert got == {"same": ("keys", 40, 40, 40, 0, 0, 0, 0), "broken": (None, 0, 0, 0, 0, 0, 0, 0), "off": ("keys", 40, 39, 39, 0, 1, 0, 0), "twice": ("rows", 80, 80, 80, 0, 0, 0, 40)}
+
+
+def test_passes_that_leave_most_rows_tied_are_left_out(spark, monkeypatch):
+    from rowaudit.operators import refining
+
+    sizes, whole = [], refining.ordered
+    monkeypatch.setattr(refining, "ordered", lambda df, *rest: (sizes.append((df.count(), dict(df.dtypes)["row_hash"])), whole(df, *rest))[1])
+    s = spark.range(60).selectExpr("id % 2 as a", "id % 5 as b", "id as c", "'x' as v")
+    t = s.withColumn("v", F.when(F.col("c") == 7, "y").otherwise("x"))
+    got, used = refining.diff_refined(s, t, ["a"], ["b", "c"], steps=(0, 1, 2))
+    assert (used, sizes) == (2, [(60, "binary")] * 2)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, diff.diff_with_retry(s, t, ["a"], ["b", "c"], steps=(0, 1, 2))[0].collect()))
