@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.canonical import comparable
 from ..sources.tables import tidy, written
-from .diff import category
-from .fingerprint import fingerprint
+from .diff import category, surely_differ
+from .fingerprint import fingerprint, packed, unpacked
 
 #: Bits of a row's place within its range, as ``monotonically_increasing_id`` has them (fixed value).
 _WITHIN = 33
@@ -28,14 +28,14 @@ def ordered(df: DataFrame, keys: list[str], partitions: int) -> DataFrame:
     spark = df.sparkSession
     by = [F.asc_nulls_first(k) for k in (*keys, "row_hash", "tie")]
     sorted_ = df.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(partitions, *by).sortWithinPartitions(*by).drop("tie").withColumn("place", F.monotonically_increasing_id())
-    dealt = written(sorted_, "ranges")
+    dealt = written(sorted_, "ranges", compression="zstd")
     key, within = F.struct(*keys), W.partitionBy("of_range").orderBy("place")
     so_far = within.rowsBetween(W.unboundedPreceding, W.currentRow)
     flagged = dealt.withColumns({"of_range": F.shiftright("place", _WITHIN), "m": F.col("place").bitwiseAND(F.lit((1 << _WITHIN) - 1))})
     flagged = flagged.withColumn("new", ~key.eqNullSafe(F.lag(key).over(within)))
     flagged = flagged.withColumn("single", F.col("new") & F.coalesce(F.lead("new").over(within), F.lit(True)))
     flagged = flagged.withColumns({"start": F.max(F.when(F.col("new"), F.col("m"))).over(so_far), "singles": F.sum(F.col("single").cast("long")).over(so_far)})
-    flagged = written(flagged, "runs")
+    flagged = written(flagged, "runs", compression="zstd")
     edges = flagged.groupBy("of_range").agg(
         F.count(F.lit(1)).alias("n"), F.min_by(key, "m").alias("first"), F.max_by(key, "m").alias("last"), F.max("start").alias("last_start"), F.max("singles").alias("n_single"),
         F.min_by("single", "m").alias("first_single"), F.max_by("single", "m").alias("last_single"),
@@ -72,7 +72,10 @@ def diff_refined(source: DataFrame, target: DataFrame, order: list[str], more: l
        that such a row holds on either side; all other numbers have their final rows.
 
     The first pass orders text as it is, later ones by its trimmed upper case. Where these differ for any value, the second
-    pass sorts all rows once more. A pass without new columns is not run. Nulls come first; empty tables are fine."""
+    pass sorts all rows once more. A pass without new columns is not run. Nulls come first; empty tables are fine.
+
+    Where sums of hashes show that no order can pair all rows, passes whose order leaves most rows tied are left out: each would end
+    in mismatches, and the next sort all its rows again."""
     source, target = comparable(source, target)
     n = partitions or int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -81,13 +84,17 @@ def diff_refined(source: DataFrame, target: DataFrame, order: list[str], more: l
         text = [kinds[c.lower()] == "string" for c in order]
         folded = {f"a{i}": F.upper(F.trim(F.col(f"`{c}`"))) if kinds[c.lower()] == "string" else F.col(f"`{c}`") for i, c in enumerate([*order, *more])}
         plain = {f"p{i}": F.col(f"`{c}`") for i, c in enumerate(order) if text[i]}
-        out = written(fingerprint(df, also=folded | plain, **options).withColumn("before", F.lit(0).cast("long")), name)
+        out = written(fingerprint(df, also=folded | plain, **options).withColumns({"row_hash": packed("row_hash"), "before": F.lit(0).cast("long")}), name, compression="zstd")
         off = reduce(lambda x, y: x | y, (~F.col(p).eqNullSafe(F.col("a" + p[1:])) for p in plain), F.lit(False))
         return out, not plain or out.filter(off).isEmpty()
 
     sides = [hashed(source, "source"), hashed(target, "target")]
     alike = all(x for _, x in sides)
     whole = [x for x, _ in sides]
+    if len(steps) > 1 and surely_differ(whole):
+        uptos = [len(order) + len(more[:k]) for k in steps]
+        coarse = whole[0].agg(F.count(F.lit(1)), *(F.approx_count_distinct(F.xxhash64(*(f"a{i}" for i in range(upto)))) for upto in uptos)).first()
+        steps = steps[next((i for i, n_kinds in enumerate(coarse[1:]) if 2 * n_kinds >= coarse[0]), len(steps) - 1) :]
     state, known, settled, kept, used = None, 0, [None, None], [], 0
     both = None
     for k in steps:
@@ -102,9 +109,9 @@ def diff_refined(source: DataFrame, target: DataFrame, order: list[str], more: l
             now = [ordered(x.filter("tied").drop("row_id", "tied"), ["run", *(f"a{i}" for i in range(known, upto))], n) for x in state]
         s, t = (x.select("row_id", "row_hash", "tied") if y is None else x.select("row_id", "row_hash", "tied").union(y) for x, y in zip(now, settled, strict=True))
         s, t = s.toDF("row_id", "source_hash", "source_tied"), t.toDF("row_id", "target_hash", "target_tied")
-        both = written(s.join(t, "row_id", "full_outer"), "both")
+        both = written(s.join(t, "row_id", "full_outer"), "both", compression="zstd")
         told = category(F.col("source_hash"), F.col("target_hash"), F.col("source_hash").isNotNull(), F.col("target_hash").isNotNull()).alias("category")
-        shown = both.select("row_id", told, "source_hash", "target_hash")
+        shown = both.select("row_id", told, unpacked("source_hash").alias("source_hash"), unpacked("target_hash").alias("target_hash"))
         diff = reduce(DataFrame.union, [*kept, shown])
         counts = {r[0]: r[1] for r in diff.groupBy("category").count().collect()}
         if counts.get("missing") or counts.get("extra") or not counts.get("mismatched"):
