@@ -174,6 +174,30 @@ def text_of(name: str, kind: T.DataType, *, skip_binary: bool = False, xml: bool
     return F.coalesce(out, F.lit(NULL))
 
 
+_TIMES, _FLOATS = (T.DateType, T.TimestampType, T.TimestampNTZType), (T.FloatType, T.DoubleType)
+
+
+def shared_kind(a: T.DataType, b: T.DataType) -> T.DataType | None:
+    """The type as which columns of two types can be compared without their text: equal values there just if the texts of
+    ``text_of`` are equal. None where only the texts tell."""
+    if isinstance(a, T.IntegralType) and isinstance(b, T.IntegralType):
+        return T.LongType()
+    if isinstance(a, T.DecimalType) and isinstance(b, T.DecimalType) and a.scale == b.scale:
+        return a if a.precision >= b.precision else b
+    if isinstance(a, _TIMES) and isinstance(b, _TIMES):
+        return a if a == b == T.DateType() else T.TimestampNTZType()
+    return a if a == b and isinstance(a, (*_FLOATS, T.BooleanType, T.BinaryType)) else None
+
+
+def values_of(name: str, kind: T.DataType, shared: T.DataType | None) -> list[Column]:
+    """What to hash of a column of this type, so that equal hashes mean equal texts: its value as ``shared``, which costs far less
+    than its text, and whether it is null, which a hash passes over; where there is no such type, its text."""
+    if shared is None:
+        return [text_of(name, kind)]
+    c = F.col(f"`{name}`") if kind == shared else F.col(f"`{name}`").cast(shared)
+    return [F.when(c == 0, F.lit(0).cast(shared)).otherwise(c) if isinstance(shared, _FLOATS) else c, c.isNull()]
+
+
 def comparable(source: DataFrame, target: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both sides, with exact numbers as doubles where the other side's column of that name, in any case, is a float: so
     numbers match that are equal as far as the float goes, whatever their size. Columns of one kind on both sides stay exact."""
