@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.canonical import comparable, row_text, text_of
 from ..functions.names import fresh
-from ..sources.tables import attempt, tidy
+from ..sources.tables import attempt, gathered, tidy
 from .fingerprint import fingerprint, hash_of, is_lob, packed, unpacked  # noqa: F401
-from .numbering import numbered
+from .numbering import Range, numbered, paired
 
 
 def _all_equal(a: list[Column], b: list[Column]) -> Column:
@@ -51,17 +51,19 @@ def paired_hashes(source: DataFrame, target: DataFrame, keys: list[str]) -> Data
 def positional_diff(source: DataFrame, target: DataFrame, order: list[str], *, aggressive: bool = False, **options) -> DataFrame:
     """Pairs row n with row n in the order of ``order``, then of the hash: ``row_id``, ``category`` and both hashes.
 
-    ``aggressive`` orders text by its trimmed upper case. Order and hash are sorted once, then only hashes, as bytes, are written,
-    with their places. The result joins these when it is read, and isn't written itself; so they stay as long as it."""
+    ``aggressive`` orders text by its trimmed upper case. Order and hash are shuffled and sorted once, then only hashes, as bytes, are
+    written, with their places. The result pairs these as they lie when it is read, and isn't written itself; so they stay as long as it."""
 
-    def side(df: DataFrame, name: str) -> DataFrame:
+    def side(df: DataFrame) -> tuple[DataFrame, list[Range]]:
         kinds = {c.lower(): k for c, k in df.dtypes}
         by = [F.upper(F.trim(F.col(f"`{c}`"))) if aggressive and kinds[c.lower()] == "string" else F.col(f"`{c}`") for c in order]
         hashed = fingerprint(df, columns=options.get("columns"), **{k: v for k, v in options.items() if k != "columns"}, also={f"o{i}": x for i, x in enumerate(by)})
-        return numbered(hashed.withColumn("row_hash", packed("row_hash")), [*(f"o{i}" for i in range(len(order))), "row_hash"], keep=["row_hash"]).withColumnRenamed("row_hash", name)
+        ranges: list[Range] = []
+        return numbered(hashed.withColumn("row_hash", packed("row_hash")), [*(f"o{i}" for i in range(len(order))), "row_hash"], keep=["row_hash"], ranges=ranges), ranges
 
     source, target = comparable(source, target)
-    both = side(source, "source_hash").join(side(target, "target_hash"), "row_id", "full_outer")
+    with gathered(source.sparkSession, "positions"):
+        both = paired(side(source), side(target), "row_hash", ("source_hash", "target_hash"))
     told = category(F.col("source_hash"), F.col("target_hash"), F.col("source_hash").isNotNull(), F.col("target_hash").isNotNull())
     return both.select("row_id", told.alias("category"), unpacked("source_hash").alias("source_hash"), unpacked("target_hash").alias("target_hash"))
 

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 _OWN: dict[str, str] = {}
 #: Folders that the functions now running have written, innermost last; each thread has its own.
 _OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("_OPEN", default=())
+#: The folder that takes new ones in, if any.
+_IN: ContextVar[str | None] = ContextVar("_IN", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,12 +53,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has yet; it goes with its ``tidy`` function, if there is one."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if _OPEN.get():
+    path = f"{_IN.get() or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _OPEN.get() and not _IN.get():
         _OPEN.get()[-1].append(path)
     return path
 
 
+@contextlib.contextmanager
+def gathered(spark: SparkSession, name: str) -> Iterator[None]:
+    """New folders within lie in one folder of this name, and go with it."""
+    before = _IN.set(new_folder(spark, name))
+    try:
+        yield
+    finally:
+        _IN.reset(before)
+
+
 def written(df: DataFrame, name: str, *, compression: str | None = None) -> DataFrame:
     """``df`` as a table in the shared folder, read again: what it holds is fixed and survives lost executors."""
     path = new_folder(df.sparkSession, name)
